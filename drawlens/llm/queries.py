@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlens.llm import sharding
+from drawlens.llm import mixing, pii, secrets, sharding, spans
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -12,14 +12,36 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _digest(found, secrets.KINDS, {"n_assign": secrets.ASSIGN, "n_access": secrets.ACCESS, "n_hex": secrets.HEX})
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     return sharding.place(docs, "doc_id", 16).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _digest(found, pii.KINDS, {"n_email": pii.EMAIL, "n_ip": pii.IP, "n_card": pii.CARD, "n_phone": pii.PHONE})
+
+
+def _digest(found: DataFrame, kinds: list[str], counts: dict[str, int]) -> DataFrame:
+    base = F.sha2(spans.joined(spans.base_of(F.col("spans")), kinds).cast("binary"), 256)
+    counted = [spans.count_of(F.col("spans"), k).alias(n) for n, k in counts.items()]
+    return found.select("doc_id", *counted, base.alias("base_sha256"), spans.joined(F.col("spans"), kinds).alias("spans"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("text_key"))
+    mixed = mixing.mix(docs, "source", "size", ["doc_id", "text_key"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "source")
+
+
 def queries() -> dict:
-    return {"op8_sharding": op8_sharding}
+    return {"op5_secrets": op5_secrets, "op8_sharding": op8_sharding, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
