@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlens.llm import mixing, pii, secrets, sharding, spans
+from drawlens.llm import bpe, gif, mixing, pii, secrets, sharding, spans
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -12,11 +12,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.tokenised(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return _digest(found, secrets.KINDS, {"n_assign": secrets.ASSIGN, "n_access": secrets.ACCESS, "n_hex": secrets.HEX})
 
 
+def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return gif.features(gif.stored(docs))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -41,7 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op5_secrets": op5_secrets, "op8_sharding": op8_sharding, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
+    return {"op2_bpe": op2_bpe, "op5_secrets": op5_secrets, "op6_gif": op6_gif, "op8_sharding": op8_sharding, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
