@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlens.llm import bpe, gif, mixing, pii, secrets, sharding, spans
+from drawlens.llm import bpe, gif, lm, mixing, pii, secrets, sharding, spans
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -12,6 +12,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(folds: int):
+    """Whether the row's fold, by its doc_id, is 2. Rows without an id are never held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 2, F.lit(False))
+
+
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", _held_out(7).alias("held_out"), "text")
+    model = lm.fit(docs.where(~F.col("held_out")))
+    return lm.score(docs, model)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,7 +64,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe, "op5_secrets": op5_secrets, "op6_gif": op6_gif, "op8_sharding": op8_sharding, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
+    return {"op1_lm": op1_lm, "op2_bpe": op2_bpe, "op5_secrets": op5_secrets, "op6_gif": op6_gif, "op8_sharding": op8_sharding, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
