@@ -51,7 +51,7 @@ def confident_labels(edges: DataFrame, rounds: int = 3, least_seeds: int = 3, co
     edges = materialise(edges.groupBy("label", "value").agg(F.max("seed").alias("seed")), "labels")
     belief = F.col("seed").cast("double")
     scores = None
-    for k in range(rounds):
+    for _ in range(rounds):
         scored = edges
         if scores is not None:
             trusted = scores.where(F.col("score") >= confidence).select("label", "score")
@@ -59,9 +59,8 @@ def confident_labels(edges: DataFrame, rounds: int = 3, least_seeds: int = 3, co
             scored = edges.join(doubt, "value", "left")
             belief = F.when(F.col("seed"), 1.0).otherwise(F.coalesce(1 - F.exp("doubt"), F.lit(0.0)))
         scores = scored.groupBy("label").agg((F.sum(belief) / (F.count(F.lit(1)) + 1)).alias("score"), F.sum(F.col("seed").cast("long")).alias("seeds"))
-        if k < rounds - 1:
-            scores = materialise(scores.where(F.col("seeds") >= least_seeds), "scores")
-    return scores.where((F.col("seeds") >= least_seeds) & (F.col("score") >= confidence)).select("label", "score")
+        scores = scores.where(F.col("seeds") >= least_seeds)
+    return scores.where(F.col("score") >= confidence).select("label", "score")
 
 
 def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, rounds: int = 3, least_seeds: int = 3, confidence: float = 0.6) -> DataFrame:

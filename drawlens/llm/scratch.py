@@ -16,8 +16,11 @@ def folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there, and no executor's loss undoes it."""
+    """Writes df to the shared folder and reads it back: the lineage ends there, and no executor's loss undoes it.
+
+    The format is one whose writers and readers compress on the heap, so that many small files don't pile up native memory.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/drawlens-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "lz4").orc(path)
+    return spark.read.schema(df.schema).orc(path)
