@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlens.llm import bpe, gif, lm, mixing, pii, secrets, sharding, spans
+from drawlens.llm import ann, bpe, darts, gif, lm, mixing, pii, rules, secrets, sharding, spans
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,6 +30,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenised(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op3_darts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return darts.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), "vec_id", "embedding")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return _digest(found, secrets.KINDS, {"n_assign": secrets.ASSIGN, "n_access": secrets.ACCESS, "n_hex": secrets.HEX})
@@ -40,6 +49,12 @@ def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.features(gif.stored(docs))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ensemble = rules.fit(docs, _table(spark, sf_dir, "labels").where(~_held_out(4)))
+    return rules.scored(docs, ensemble).select("doc_id", _held_out(4).alias("held_out"), "score", "predicted")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -64,7 +79,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_lm": op1_lm, "op2_bpe": op2_bpe, "op5_secrets": op5_secrets, "op6_gif": op6_gif, "op8_sharding": op8_sharding, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
+    return {"op1_lm": op1_lm, "op2_bpe": op2_bpe, "op3_darts": op3_darts, "op4_ann": op4_ann, "op5_secrets": op5_secrets, "op6_gif": op6_gif, "op7_quality": op7_quality, "op8_sharding": op8_sharding, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
