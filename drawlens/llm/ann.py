@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+LEAST = 300  # of a small block, so many are verified at least
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -30,7 +31,7 @@ def block_search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
     for j in range(projections):
         rank[j, np.argsort(base[:, j], kind="stable")] = np.arange(len(vectors))
     unit = max(float(base.std()), 1e-12) * 0.25
-    need, wanted = int(np.ceil(threshold * projections)), min(len(vectors), k + 1 + int(share * len(vectors)))
+    need, wanted = int(np.ceil(threshold * projections)), min(len(vectors), k + 1 + max(LEAST, int(share * len(vectors))))
     edges: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def collisions(i: int, step: int) -> np.ndarray:

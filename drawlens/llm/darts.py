@@ -209,9 +209,8 @@ def _verified(pairs: DataFrame, every: DataFrame, similarity: float) -> DataFram
 
 
 def kept(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without the documents that aren't the first of their class, by key. Documents with a null key stay only if no other of their class has one; of
-    rows that repeat a key, one stays."""
-    firsts = classes(docs, key, text, **how).where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_key")).distinct()
-    own = docs.withColumn("_place", F.monotonically_increasing_id())
-    some = own.join(firsts, own[key].eqNullSafe(F.col("_key")), "leftsemi")
-    return some.dropDuplicates([key]).drop("_place")
+    """docs without the documents that aren't the first of their class, by key. Of rows that repeat a key one stays; rows without a key all stay,
+    as nothing names them."""
+    firsts = classes(docs, key, text, **how).where(F.col(key) == F.col("class_id")).select(key).distinct()
+    named = docs.join(firsts, key, "leftsemi").dropDuplicates([key])
+    return named.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))

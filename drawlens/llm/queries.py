@@ -12,13 +12,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _held_out(folds: int):
+def held_out(folds: int):
     """Whether the row's fold, by its doc_id, is 2. Rows without an id are never held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 2, F.lit(False))
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", _held_out(7).alias("held_out"), "text")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", held_out(7).alias("held_out"), "text")
     model = lm.fit(docs.where(~F.col("held_out")))
     return lm.score(docs, model)
 
@@ -51,8 +51,8 @@ def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ensemble = rules.fit(docs, _table(spark, sf_dir, "labels").where(~_held_out(4)))
-    return rules.scored(docs, ensemble).select("doc_id", _held_out(4).alias("held_out"), "score", "predicted")
+    ensemble = rules.fit(docs, _table(spark, sf_dir, "labels").where(~held_out(4)))
+    return rules.scored(docs, ensemble).select("doc_id", held_out(4).alias("held_out"), "score", "predicted")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
