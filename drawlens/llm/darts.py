@@ -93,33 +93,38 @@ def shingles(h: np.ndarray, text: np.ndarray, n: int, words: int) -> tuple[np.nd
     return t[new], m[new]
 
 
-def contents(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Two tables, both of one pass: of documents (key, node) and of contents (node, place, size, bands, shingles).
+def _words(tokens: Tokens, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts, the text of each, and each text's node: a hash of its words in order, the same for copies."""
+    n = len(ends)
+    h, of = tokens.read(data, ends)
+    last = np.r_[of[1:] != of[:-1], True]
+    h, of = h[~last], of[~last]
+    size = np.bincount(of, minlength=n)
+    place = np.arange(len(h)) - (np.cumsum(size) - size)[of]
+    node = np.zeros(n, np.uint64)
+    np.add.at(node, of, _mixed(h ^ _mixed(place.astype(np.uint64) + GOLD)))
+    return h, of, _mixed(node + size.astype(np.uint64)).view(np.int64)
+
+
+def _first(node: np.ndarray) -> np.ndarray:
+    """Whether each is the first of its kind."""
+    first = np.zeros(len(node), bool)
+    first[np.unique(node, return_index=True)[1]] = True
+    return first
 
-    node is a hash of the text's lower-cased words in order, the same for copies. A content is written once for each part of a batch that holds it; place tells those apart.
-    """
+
+def contents(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables: of documents (key, node), and of contents (node, size, bands) for texts with words. A content is written once for each slice of a batch that holds it."""
     k = bands * rows
-    schema = T.StructType(
-        [docs.schema[key], T.StructField("node", T.LongType()), T.StructField("place", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("shingles", T.ArrayType(T.IntegerType()))]
-    )
+    schema = T.StructType([docs.schema[key], T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         for batch in batches:
-            for lo, hi, data, ends in slices(batch.column(2)):
+            for lo, hi, data, ends in slices(batch.column(1)):
                 n = hi - lo
-                h, of = tokens.read(data, ends)
-                last = np.r_[of[1:] != of[:-1], True]
-                h, of = h[~last], of[~last]
-                size = np.bincount(of, minlength=n)
-                place = np.arange(len(h)) - (np.cumsum(size) - size)[of]
-                node = np.zeros(n, np.uint64)
-                np.add.at(node, of, _mixed(h ^ _mixed(place.astype(np.uint64) + GOLD)))
-                node = _mixed(node + size.astype(np.uint64)).view(np.int64)
-                _, lead = np.unique(node, return_index=True)
-                first = np.zeros(n, bool)
-                first[lead] = True
-                own = first[of]
+                h, of, node = _words(tokens, data, ends)
+                own = _first(node)[of]
                 t, m = shingles(h[own], of[own], n, words)
                 sig = signatures(t, m, np.ones(len(t)), n, k)
                 folded = np.zeros((n, bands), np.uint64) + np.arange(1, bands + 1).astype(np.uint64) * GOLD
@@ -127,19 +132,42 @@ def contents(docs: DataFrame, key: str, text: str, words: int, bands: int, rows:
                     folded = _mixed(folded + sig.reshape(n, bands, rows)[:, :, r])
                 counts = np.bincount(t, minlength=n)
                 has = counts > 0
-                band_lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(has, bands, 0))].astype(np.int32)), pa.array(folded[has].reshape(-1).view(np.int64)))
-                sets = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array((m >> U(32)).astype(np.uint32).view(np.int32)))
-                none = pa.array(~first)
-                import pyarrow.compute as pc
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(has, bands, 0))].astype(np.int32)), pa.array(folded[has].reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(node), pa.array(counts.astype(np.int32)), lists], names=schema.names)
 
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(node), batch.column(1).slice(lo, n), pa.array(counts.astype(np.int32)), pc.if_else(none, pa.scalar(None, band_lists.type), band_lists), pc.if_else(none, pa.scalar(None, sets.type), sets)], names=schema.names
-                )
+    made = materialise(docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, schema), "contents")
+    return made.select(key, "node"), made.where(F.size("bands") > 0).select("node", "size", "bands")
 
-    # Text goes through Python once: both tables are read from what is written here.
-    numbered = docs.select(F.col(key), F.monotonically_increasing_id().alias("place"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    made = materialise(numbered.mapInArrow(run, schema), "contents")
-    return made.select(key, "node"), made.where(F.col("bands").isNotNull()).drop(key)
+
+FILTER_BITS = 27  # of the filter of nodes: 16 MB, whatever the number of nodes
+
+
+def sets_of(docs: DataFrame, text: str, words: int, nodes: DataFrame) -> DataFrame:
+    """node, shingles: the whole sets of the contents in nodes, read from the texts again, so that no other set is ever written or shuffled.
+
+    Tasks get the nodes as a filter of a fixed size. What passes by chance is taken out by the join that uses the result, and if the nodes fill the filter, all passes.
+    """
+    bit = F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))  # nodes are hashes, and so are their last bits
+    cells = nodes.select(F.floor(bit / 64).cast("int").alias("cell"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit"))
+    held = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
+    flags = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    flags[held["cell"].to_numpy(int)] = held["bits"].to_numpy(np.int64)
+    known = docs.sparkSession.sparkContext.broadcast(flags)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            for lo, hi, data, ends in slices(batch.column(0)):
+                h, of, node = _words(tokens, data, ends)
+                bit = node & ((1 << FILTER_BITS) - 1)
+                wanted = _first(node) & ((known.value[bit >> 6] >> (bit & 63)) & 1).astype(bool)
+                t, m = shingles(h[wanted[of]], of[wanted[of]], hi - lo, words)
+                counts = np.bincount(t, minlength=hi - lo)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array((m >> U(32)).astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(node), lists], names=["node", "shingles"]).filter(pa.array(counts > 0))
+
+    found = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "node long, shingles array<int>")
+    return materialise(found.dropDuplicates(["node"]), "sets")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -168,19 +196,30 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
 
     Documents whose lower-cased words are the same are copies. Two contents are linked if the Jaccard similarity of their sets of `words`-word shingles is at
     least `similarity`; classes are the connected parts. Contents that share a band of the signature are compared by their whole sets: first every
-    content with the lowest of its band (a star, never all pairs of a band), then, after the parts are known, those of a band that are still in different parts and
+    content with the lowest of its bands (stars, never all pairs of a band), then, after the parts are known, those of a band that are still in different parts and
     whose sizes allow the similarity. At a similarity of 0.8 two contents share no band with a chance of 7e-5.
 
     Null and empty texts have no words and are copies of each other. A document with a null key gets its class as any other; the key of a class of such alone is
     null. An empty table gives an empty result.
     """
     members, every = contents(docs, key, text, words, bands, rows)
-    chosen = every.groupBy("node").agg(F.min("place").alias("place"))
-    every = every.join(chosen, ["node", "place"])
-    banded = materialise(every.where(F.col("size") > 0).select("node", "size", F.explode("bands").alias("band")), "bands")
-    lowest = banded.groupBy("band").agg(F.min("node").alias("b"), F.min("size").alias("least"), F.max("size").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = banded.join(lowest, "band").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
-    found = _verified(star, every, similarity)
+    banded = materialise(every.dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("band")), "bands")
+    lowest = banded.groupBy("band").agg(F.min(F.struct("node", "size")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    fits = lambda x, y: F.least(x, y) >= F.lit(similarity - 1e-9) * F.greatest(x, y)
+    stars = banded.join(lowest, "band").where((F.col("node") != F.col("low.node")) & fits(F.col("size"), F.col("low.size")))
+    stars = materialise(stars.groupBy(F.col("node").alias("a"), F.col("low.node").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "stars")
+    sets = sets_of(docs, text, words, banded.join(lowest.select("band"), "band", "leftsemi").select("node").distinct())
+
+    def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """The pairs that aren't in one part yet."""
+        pairs = pairs.join(parts.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+        return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+    # Each content with the lowest that it shares most bands with; then the other stars, where they could still join parts.
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+    found = _verified(best, sets, similarity)
+    parts = components(found)
+    found = found.unionByName(_verified(apart(stars, parts), sets, similarity))
     parts = components(found)
     # What is left: contents of one band in different parts. Sizes within the similarity fall in the same or the next class of sizes.
     many = banded.join(lowest.where("n > 2").select("band"), "band", "leftsemi")
@@ -190,19 +229,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     left = labelled.select("band", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"), F.col("step").alias("own"))
     right = labelled.select("band", "step", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("sb"))
     ordered = (F.col("a") < F.col("b")) | (F.col("own") != F.col("step"))
-    fits = F.least("sa", "sb") >= F.lit(similarity - 1e-9) * F.greatest("sa", "sb")
-    cross = left.join(right, ["band", "step"]).where((F.col("ca") != F.col("cb")) & ordered & fits)
-    cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    parts = components(found.unionByName(_verified(cross, every, similarity)))
+    cross = left.join(right, ["band", "step"]).where((F.col("ca") != F.col("cb")) & ordered & fits(F.col("sa"), F.col("sb")))
+    cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    parts = components(found.unionByName(_verified(cross, sets, similarity)))
     placed = members.join(parts, "node", "left").select(key, F.coalesce("comp", "node").alias("comp"))
     heads = placed.groupBy("comp").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return placed.join(heads, "comp").select(key, "class_id", "class_size")
 
 
-def _verified(pairs: DataFrame, every: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets of shingles are as similar as that."""
-    sets = every.select("node", "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     alike = common / (F.size("x") + F.size("y") - common)
     return materialise(both.where(alike >= similarity - 1e-9).select("a", "b"), "links")

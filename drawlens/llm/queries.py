@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawlens.llm import ann, bpe, darts, gif, lm, mixing, pii, rules, secrets, sharding, spans
+from drawlens.llm.scratch import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -74,7 +75,7 @@ def _digest(found: DataFrame, kinds: list[str], counts: dict[str, int]) -> DataF
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("text_key"))
-    mixed = mixing.mix(docs, "source", "size", ["doc_id", "text_key"])
+    mixed = mixing.mix(materialise(docs, "sizes"), "source", "size", ["doc_id", "text_key"])  # texts are read once
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "source")
 
 
