@@ -50,6 +50,14 @@ def conditional(s: Column, prev: Column, last3: Column, last10: Column) -> dict[
     return {name: F.when(has, c) for name, c in own.items()}
 
 
+def _multiple_of(m: int) -> Callable[[Column], Column]:
+    return lambda x: x % m == 0
+
+
+def _remainder(m: int) -> Callable[[Column], Column]:
+    return lambda x: x % m
+
+
 def families(s: Column, k: int, d: int) -> dict[str, Column]:
     """Named kinds of combination that are cut from a pool or watched, as tests of the ascending array."""
     every = lambda test: F.forall(s, test)
@@ -65,10 +73,10 @@ def families(s: Column, k: int, d: int) -> dict[str, Column]:
     digit_sum = F.transform(s, lambda x: F.floor(x / 100) + F.floor(x / 10) % 10 + x % 10)
     same_multiple = F.lit(False)
     for m in range(6, k // d + 1):
-        same_multiple = same_multiple | every(lambda x, m=m: x % m == 0)
+        same_multiple = same_multiple | every(_multiple_of(m))
     grid = F.lit(False)
     for width in (9, 11, 12, 13):
-        grid = grid | (F.size(F.array_distinct(F.transform(s, lambda x, w=width: x % w))) == 1)
+        grid = grid | (F.size(F.array_distinct(F.transform(s, _remainder(width)))) == 1)
     like = F.forall(F.sequence(F.lit(3), F.lit(d)), lambda i: F.element_at(s, i) == F.element_at(s, i - 1) + F.element_at(s, i - 2))
     return {
         "oneDecade": F.size(F.array_distinct(tens)) == 1, "mult5": every(lambda x: x % 5 == 0), "sameDigit": F.size(F.array_distinct(digit)) == 1, "evenSpaced": even, "evenStepTight": even & (F.get(steps, F.lit(0)) <= 11),

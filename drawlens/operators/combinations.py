@@ -129,7 +129,7 @@ def portfolio_stats(tickets: DataFrame, k: int, d: int, ks: int, tiers: list[tup
     luck = F.size(F.array_distinct(F.transform(F.filter("x", lambda y: y["m"].isin(with_bonus) & y["s"].isNotNull()), lambda y: y["s"]))) / F.lit(float(max(ks, 1)))
     prize = F.when(sure, 1.0).otherwise(luck)
     everything = float(comb(k, d))
-    out = rows.agg(F.max("tickets").alias("tickets"), F.max(F.size("cover")).alias("covered"), F.sum("w").alias("draws"), (F.sum(F.col("w") * prize) / everything).alias("any_prize"), (F.sum(F.when(F.col("best") >= 3, F.col("w"))) / everything).alias("three"), (F.sum(F.when(F.col("best") >= 4, F.col("w"))) / everything).alias("four"), (F.sum(F.col("w") * F.col("best")) / everything).alias("best_match"))
+    out = rows.agg(F.max("tickets").alias("tickets"), F.max(F.size("cover")).alias("covered"), F.sum("w").alias("draws"), (F.sum(F.col("w") * prize) / everything).alias("any_prize"), (F.sum(F.when(F.col("best") >= 3, F.col("w")).otherwise(0.0)) / everything).alias("three"), (F.sum(F.when(F.col("best") >= 4, F.col("w")).otherwise(0.0)) / everything).alias("four"), (F.sum(F.col("w") * F.col("best")) / everything).alias("best_match"))
     return out.withColumn("draws", F.round("draws").cast("long"))
 
 

@@ -41,14 +41,10 @@ def long(rows: DataFrame) -> DataFrame:
 
 def band(counts: np.ndarray, alphas: list[float], mass: float = 1.0) -> list[tuple[int, int]]:
     """For each alpha the first and last bin of the band: counts with `mass` spread over all bins; the tail below the first is at most alpha, and the last is the first at which what is above is."""
-    c = counts + mass / len(counts)
-    run, grand = np.cumsum(c), c.sum()
-    out = []
-    for a in alphas:
-        lo = int(np.argmax(run > a * grand))
-        hi = int(np.argmax(run >= (1 - a) * grand - 1e-12))
-        out.append((min(lo, hi), max(lo, hi)))
-    return out
+    run = np.cumsum(counts + mass / len(counts))
+    tails = np.asarray(alphas) * run[-1]
+    lo, hi = np.searchsorted(run, tails, side="right"), np.searchsorted(run, run[-1] - tails - 1e-12, side="left")
+    return list(zip(np.minimum(lo, hi).tolist(), np.maximum(lo, hi).tolist(), strict=True))
 
 
 def walk_forward(values: DataFrame, alphas: list[float] = ALPHAS, warm_up: int = WARM_UP) -> DataFrame:

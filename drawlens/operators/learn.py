@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from drawlens.checkpoints import cut
 from drawlens.history import History
 from drawlens.operators import signals
 
@@ -98,11 +99,10 @@ def backtest(h: History, keys: list[str] | None = None, similarity: bool = False
     ranks (by rank: hits, smoothed rate and its falling fit). Draw t is judged by weights from the draws before t alone."""
     keys = keys or [k for k in signals.KEYS if similarity or k != "similarity"]
     targets = h.draws.where(F.col("t") >= LEAST_HISTORY).select("game", "t", "dow")
-    z = signals.normalised(signals.raw(h, targets, similarity), keys).select("game", "t", "n", "hit", *keys)
-    values = signals.long(z, keys)
+    values = signals.long(cut(signals.normalised(signals.raw(h, targets, keys), keys).select("game", "t", "n", "hit", *keys)), keys)
     chance = TOP * h.d / h.k
-    hits = signal_hits(values)
-    weighted = weights(skills(hits, chance), chance)
+    hits = cut(signal_hits(values))
+    weighted = cut(weights(skills(hits, chance), chance))
     score = values.join(weighted.where("weight > 0").select("game", "t", "key", "weight"), ["game", "t", "key"]).groupBy("game", "t", "n", "hit").agg(F.round(F.sum(F.col("weight") * F.col("value")), 12).alias("score"))
     ranked = score.withColumn("rank", F.row_number().over(Window.partitionBy("game", "t").orderBy(F.col("score").desc(), "n")))
     base = hits.where("key = 'freqAll'").select("game", "t", F.col("hits").alias("baseline10"))

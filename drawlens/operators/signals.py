@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from drawlens.checkpoints import cut
 from drawlens.functions.odds import smoothed_rate
 from drawlens.history import History
 from drawlens.operators import describe
@@ -97,12 +98,13 @@ def similar(h: History, targets: DataFrame, back: int = 1500, most: int = 25) ->
     return near.withColumn("place", place).where(F.col("place") <= most)
 
 
-def raw(h: History, targets: DataFrame | None = None, similarity: bool = True) -> DataFrame:
-    """game, t, dow, n and a column for each of KEYS, for the targets (game, t, dow; the next draw, if not given)."""
+def raw(h: History, targets: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """game, t, dow, n, hit and a column for each of keys (of KEYS; all, if not given), for the targets (game, t, dow; the next draw, if not given). What no key needs isn't computed."""
+    keys = keys or KEYS
     targets = next_draw(h).select("game", "t", "dow") if targets is None else targets
     share = h.d / h.k
-    rows = panel(h)
-    rows = rows.join(targets.select("game", "t"), ["game", "t"], "leftsemi")
+    targets = cut(targets)
+    rows = cut(panel(h).join(targets.select("game", "t"), ["game", "t"], "leftsemi"))  # parts below read these rows again
     t, c = F.col("t"), F.col("c")
     p20, p10 = smoothed_rate(c, t, share, 20), smoothed_rate(c, t, share, 10)
     w10, w20, w50 = (F.least(t, F.lit(w)) for w in (10, 20, 50))
@@ -127,32 +129,34 @@ def raw(h: History, targets: DataFrame | None = None, similarity: bool = True) -
         F.when(F.col("gaps") < 4, 0.0).otherwise(F.exp(-z * z / 2) * mean / (sd + mean)).alias("cycle"),
         F.when(t < 2, p20).when(in_prev, (F.col("repeated") + 25 * p20) / (F.col("repeat_chances") + 25)).otherwise((c - F.col("repeated") - first + 25 * p20) / (fresh_chances + 25)).alias("repeat"),
     )
-    # zone: neighbours within 5, weighted by a bell of width 2
-    bell = [(d, 2.718281828459045 ** (-((d / 2) ** 2) / 2)) for d in range(-5, 6)]
-    near = rows.select("game", "t", F.col("n").alias("m"), "c").select("game", "t", "m", "c", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(g).alias("g")) for d, g in bell])).alias("b"))
-    zone = near.select("game", "t", (F.col("m") + F.col("b.d")).alias("n"), (F.col("c") * F.col("b.g")).alias("x"), F.col("b.g").alias("g")).groupBy("game", "t", "n").agg((F.sum("x") / F.sum("g")).alias("zone"))
-    rows = rows.join(zone, ["game", "t", "n"])
-    # hazard: hits and exposures by draws since seen, over all numbers and earlier draws
-    seen = F.max(F.when(F.col("hit") == 1, F.col("t"))).over(Window.partitionBy("game", "n").orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
-    exposed = h.grid.withColumn("g", F.least(F.coalesce(F.col("t") - seen, F.col("t")), F.lit(199))).groupBy("game", "t", "g").agg(F.count(F.lit(1)).alias("e"), F.sum("hit").alias("x"))
-    asked = rows.select("game", "t", F.least("since", F.lit(199)).alias("g")).distinct().withColumn("e", F.lit(0)).withColumn("x", F.lit(0)).withColumn("asked", F.lit(True))
-    run = Window.partitionBy("game", "g").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    both = exposed.withColumn("asked", F.lit(False)).unionByName(asked)
-    both = both.withColumn("hazard", (F.coalesce(F.sum("x").over(run), F.lit(0)) + 40 * share) / (F.coalesce(F.sum("e").over(run), F.lit(0)) + 40)).where("asked").select("game", "t", "g", "hazard")
-    rows = rows.withColumn("g", F.least("since", F.lit(199))).join(both, ["game", "t", "g"]).drop("g")
+    if "zone" in keys:  # neighbours within 5, weighted by a bell of width 2
+        bell = [(d, 2.718281828459045 ** (-((d / 2) ** 2) / 2)) for d in range(-5, 6)]
+        near = rows.select("game", "t", F.col("n").alias("m"), "c", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(g).alias("g")) for d, g in bell])).alias("b"))
+        near = near.select("game", "t", (F.col("m") + F.col("b.d")).alias("n"), (F.col("c") * F.col("b.g")).alias("x"), F.col("b.g").alias("g"))
+        rows = rows.join(near.groupBy("game", "t", "n").agg((F.sum("x") / F.sum("g")).alias("zone")), ["game", "t", "n"])
+    if "hazard" in keys:  # hits and exposures by draws since seen, over all numbers and earlier draws
+        seen = F.max(F.when(F.col("hit") == 1, F.col("t"))).over(Window.partitionBy("game", "n").orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
+        exposed = h.grid.withColumn("g", F.least(F.coalesce(F.col("t") - seen, F.col("t")), F.lit(199))).groupBy("game", "t", "g").agg(F.count(F.lit(1)).alias("e"), F.sum("hit").alias("x"))
+        asked = rows.select("game", "t", F.least("since", F.lit(199)).alias("g")).distinct().withColumn("e", F.lit(0)).withColumn("x", F.lit(0)).withColumn("asked", F.lit(True))
+        run = Window.partitionBy("game", "g").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+        both = exposed.withColumn("asked", F.lit(False)).unionByName(asked)
+        both = both.withColumn("hazard", (F.coalesce(F.sum("x").over(run), F.lit(0)) + 40 * share) / (F.coalesce(F.sum("e").over(run), F.lit(0)) + 40)).where("asked").select("game", "t", "g", "hazard")
+        rows = rows.withColumn("g", F.least("since", F.lit(199))).join(both, ["game", "t", "g"]).drop("g")
     aims = targets.select("game", "t", "dow")
     rates = rows.select("game", "t", "n", "p20")
     for name, half in HALF_LIVES.items():
-        rows = rows.join(recency(h, half, aims, name), ["game", "t", "n"])
-    rows = rows.join(_follower(h, aims, rates, 12, False, "follower"), ["game", "t", "n"], "left").join(_follower(h, aims, rates, 20, True, "followerDow"), ["game", "t", "n"], "left")
-    if similarity:
-        close = similar(h, aims).join(h.hits.select("game", F.col("t").alias("u"), "n"), ["game", "u"])
+        if name in keys:
+            rows = rows.join(recency(h, half, aims, name), ["game", "t", "n"])
+    for name, strength, by_day in (("follower", 12, False), ("followerDow", 20, True)):
+        if name in keys:
+            rows = rows.join(_follower(h, aims, rates, strength, by_day, name), ["game", "t", "n"], "left")
+    if "similarity" in keys:
+        alike = cut(similar(h, aims))
+        close = alike.join(h.hits.select("game", F.col("t").alias("u"), "n"), ["game", "u"])
         weight = close.groupBy("game", "t", "n").agg(F.sum("similarity").alias("x"))
-        whole = similar(h, aims).groupBy("game", "t").agg(F.sum("similarity").alias("y"))
+        whole = alike.groupBy("game", "t").agg(F.sum("similarity").alias("y"))
         rows = rows.join(weight, ["game", "t", "n"], "left").join(whole, ["game", "t"], "left").withColumn("similarity", F.coalesce(F.try_divide("x", "y"), F.lit(0.0))).drop("x", "y")
-    else:
-        rows = rows.withColumn("similarity", F.lit(0.0))
-    return rows.select("game", "t", "dow", "n", "hit", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in KEYS])
+    return rows.select("game", "t", "dow", "n", "hit", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in keys])
 
 
 def normalised(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:

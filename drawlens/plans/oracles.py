@@ -58,7 +58,7 @@ def _queries() -> dict[str, str]:
     q["position_counts"] = "select 'main' as game, position::int as position, n as v, count(*) as hits from (select n, row_number() over (partition by t order by n) as position from hits) group by 2, 3"
     q["hazard"] = """select 'main' as game, gap, count(*) as exposures, sum(hit)::bigint as hits from (select hit, least(199, coalesce(t - max(case when hit = 1 then t end) over (partition by n order by t rows between unbounded preceding and 1 preceding), t)) as gap from grid) group by gap"""
     q["draw_shape"] = "select 'main' as game, count(*) as draws, round(avg(list_sum(s)), 6) as mean_sum, round(greatest(stddev_pop(list_sum(s)), 1e-9), 6) as sum_sd, round(avg(s[5] - s[1]), 6) as mean_spread from draws"
-    q["odd_counts"] = "select 'main' as game, len(list_filter(s, x -> x % 2 = 1))::int as odd, count(*) as draws from draws group by 2"
+    q["odd_counts"] = "select 'main' as game, len(list_filter(s, lambda x: x % 2 = 1))::int as odd, count(*) as draws from draws group by 2"
     q["bonus_counters"] = "select 'main' as game, special, count(*) as hits, max(t)::int as last_seen, round(avg(gap), 6) as mean_gap from (select special, t, t - lag(t) over (partition by special order by t) as gap from draws) group by special"
     q["weekday_chi2"] = f"""select 'main' as game, dow, draws, round(chi2, 6) as chi2, round((chi2 - 68) / sqrt(136.0), 6) as z from (select w.dow, w.draws, sum(power(w.hits - w.draws * f.hits / f.draws::double, 2) / (w.draws * f.hits / f.draws::double)) * {(K - 1) / (K - D)!r} as chi2, min(w.draws * f.hits / f.draws::double) as least
       from wd w join freq f using (n) where w.draws >= 20 group by w.dow, w.draws) where least >= 1"""
@@ -110,7 +110,7 @@ def _queries() -> dict[str, str]:
     q["ticket_ledger"] = f"select 'main' as game, count(*) as tickets, count(case when status = 'settled' then 1 end) as settled, count(case when status = 'pending' then 1 end) as pending, sum(case when status = 'settled' then 2.0 else 0 end) as spent, sum(coalesce(prize, 0)) as won, sum(coalesce(prize, 0)) - sum(case when status = 'settled' then 2.0 else 0 end) as net, max(mains) as best_mains from {graded}"
     st = "[s[2]-s[1], s[3]-s[2], s[4]-s[3], s[5]-s[4]]"
     q["crowd_markers"] = f"""select 'main' as game, t, array_to_string(list_filter([case when s[5] <= 12 then 'months' when s[5] <= 31 then 'calendar' end, case when list_min({st}) = list_max({st}) then case when s[2] - s[1] = 1 then 'run' else 'step' end end,
-      case when len(list_filter(s, x -> x % 5 = 0)) = 5 then 'fives' end, case when len(list_distinct([x % 10 for x in s])) = 1 then 'same_digit' end], x -> x is not null), ',') as markers from draws"""
+      case when len(list_filter(s, lambda x: x % 5 = 0)) = 5 then 'fives' end, case when len(list_distinct([x % 10 for x in s])) = 1 then 'same_digit' end], lambda x: x is not null), ',') as markers from draws"""
     e = f"(draws * {D / K!r})"
     q["ball_chi2"] = f"select 'main' as game, 'ball_chi2' as test, round(v, 6) as value, round((v - 68) / sqrt(136.0), 6) as z from (select sum(power(hits - {e}, 2) / {e}) * {(K - 1) / (K - D)!r} as v from freq)"
     q["serial_corr"] = "select 'main' as game, 'serial' as test, round(v, 6) as value, round(v * sqrt(n), 6) as z from (select sum((a - m) * (b - m)) / sum(power(a - m, 2)) as v, max(n) as n from (select list_sum(s)::double as a, lead(list_sum(s)) over (order by t)::double as b, avg(list_sum(s)) over () as m, count(*) over () as n from draws))"
@@ -123,8 +123,8 @@ def _queries() -> dict[str, str]:
     q["bonus_chi2"] = "select 'main' as game, 'bonus_chi2' as test, round(v, 6) as value, round((v - 25) / sqrt(50.0), 6) as z from (select sum(c * c)::double * 26 / sum(c) - sum(c) as v from (select special, count(*) as c from draws group by special) having sum(c) >= 201)"
     q["sum_record"] = "select 'main' as game, min(list_sum(s))::int as least, min(case when list_sum(s) = (select min(list_sum(s)) from draws) then t end) as least_t, max(list_sum(s))::int as most, min(case when list_sum(s) = (select max(list_sum(s)) from draws) then t end) as most_t from draws"
     presets = {
-        "pos4low": (at_most_count(K, D, 4, 5), "s[4] <= 5"), "pos5low": (at_most_count(K, D, 5, 9), "s[5] <= 9"), "run": (K - D + 1, "s[5] - s[1] = 4"), "clustered": (adjacency_count(K, D, 3), f"len(list_filter({st}, x -> x = 1)) >= 3"), "allHigh": (comb(10, D), "s[1] >= 60"),
-        "window10": (window_count(K, D, 10), "s[5] - s[1] <= 9"), "digit4": (same_digit_count(K, D), "list_max([len(list_filter(s, v -> v % 10 = x)) for x in range(10)]) >= 4"), "dates": (comb(31, D), "s[5] <= 31"),
+        "pos4low": (at_most_count(K, D, 4, 5), "s[4] <= 5"), "pos5low": (at_most_count(K, D, 5, 9), "s[5] <= 9"), "run": (K - D + 1, "s[5] - s[1] = 4"), "clustered": (adjacency_count(K, D, 3), f"len(list_filter({st}, lambda x: x = 1)) >= 3"), "allHigh": (comb(10, D), "s[1] >= 60"),
+        "window10": (window_count(K, D, 10), "s[5] - s[1] <= 9"), "digit4": (same_digit_count(K, D), "list_max([len(list_filter(s, lambda v: v % 10 = x)) for x in range(10)]) >= 4"), "dates": (comb(31, D), "s[5] <= 31"),
     }
     q["preset_eliminations"] = " union all ".join(f"select 'main' as game, '{n}' as preset, {c}::bigint as combinations, round({c / comb(K, D)!r}, 9) as share, round({c}::double * count(*) / {float(comb(K, D))!r}, 6) as expected, count(case when {test} then 1 end) as observed from draws" for n, (c, test) in presets.items())
     past = "over (partition by n order by t rows between {} preceding and 1 preceding)"
@@ -147,7 +147,7 @@ def _queries() -> dict[str, str]:
     q["next_draw"] = "select 'main' as game, t, date, dow from nx"
     feats = _features()
     q["shape_features"] = "select 'main' as game, t, dow, " + ", ".join(f"{x} as \"{n}\"" for n, x in feats.items()) + " from draws"
-    q["conditional_features"] = """select 'main' as game, t, dow, len(list_intersect(s, p))::int as "repeatPrev", len(list_intersect(s, l3))::int as overlap3, len(list_intersect(s, l10))::int as overlap10, (list_sum(s) - list_sum(p))::int as "dSum", (s[5] - s[1] - p[5] + p[1])::int as "dSpread", (len(list_filter(s, x -> x % 2 = 1)) - len(list_filter(p, x -> x % 2 = 1)))::int as "dOdd"
+    q["conditional_features"] = """select 'main' as game, t, dow, case when p is not null then len(list_intersect(s, p))::int end as "repeatPrev", case when p is not null then len(list_intersect(s, l3))::int end as overlap3, case when p is not null then len(list_intersect(s, l10))::int end as overlap10, (list_sum(s) - list_sum(p))::int as "dSum", (s[5] - s[1] - p[5] + p[1])::int as "dSpread", case when p is not null then (len(list_filter(s, lambda x: x % 2 = 1)) - len(list_filter(p, lambda x: x % 2 = 1)))::int end as "dOdd"
       from (select t, dow, s, lag(s) over (order by t) as p, flatten(list(s) over (order by t rows between 3 preceding and 1 preceding)) as l3, flatten(list(s) over (order by t rows between 10 preceding and 1 preceding)) as l10 from draws)"""
     q["rank_scores"] = f"select 'main' as game, n, place::int as rank from (select n, row_number() over (order by round({f20}, 12) desc, n) as place from freq)"
     q["history_page"] = "select 'main' as game, t, array_to_string(s, '-') as numbers from draws order by t desc limit 12 offset 12"
@@ -169,11 +169,11 @@ def _features() -> dict[str, str]:
     """The features that need no earlier draw, over a sorted list s of five numbers of 69."""
     st = "[s[2]-s[1], s[3]-s[2], s[4]-s[3], s[5]-s[4]]"
     primes = "[2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67]"
-    count = lambda test: f"len(list_filter(s, x -> {test}))"
+    count = lambda test: f"len(list_filter(s, lambda x: {test}))"
     low, mid, high = count("x <= 23"), count("x > 23 and x <= 46"), count("x > 46")
     out = {f"pos{r}": f"s[{r}]" for r in range(1, 6)} | {f"gap{r}": f"(s[{r + 1}] - s[{r}])" for r in range(1, 5)}
     out |= {"sum": "list_sum(s)::int", "sumLow2": "s[1] + s[2]", "sumLow3": "s[1] + s[2] + s[3]", "sumHigh2": "s[5] + s[4]", "spread": "s[5] - s[1]", "sd": "round(sqrt(list_sum([power(x - list_sum(s) / 5.0, 2) for x in s]) / 5), 6)", "maxGap": f"list_max({st})", "minGap": f"list_min({st})"}
-    out |= {"consec": f"len(list_filter({st}, x -> x = 1))::int", "runs": "((s[2]-s[1] = 1)::int + (s[3]-s[2] = 1 and s[2]-s[1] <> 1)::int + (s[4]-s[3] = 1 and s[3]-s[2] <> 1)::int + (s[5]-s[4] = 1 and s[4]-s[3] <> 1)::int)", "odd": count("x % 2 = 1") + "::int", "prime": f"len(list_intersect(s, {primes}))::int"}
+    out |= {"consec": f"len(list_filter({st}, lambda x: x = 1))::int", "runs": "((s[2]-s[1] = 1)::int + (s[3]-s[2] = 1 and s[2]-s[1] <> 1)::int + (s[4]-s[3] = 1 and s[3]-s[2] <> 1)::int + (s[5]-s[4] = 1 and s[4]-s[3] <> 1)::int)", "odd": count("x % 2 = 1") + "::int", "prime": f"len(list_intersect(s, {primes}))::int"}
     out |= {"lowZone": low + "::int", "midZone": mid + "::int", "highZone": high + "::int", "aboveMid": count("x > 35") + "::int", "emptyZones": f"(({low} = 0)::int + ({mid} = 0)::int + ({high} = 0)::int)", "lastDigitDup": "(5 - len(list_distinct([x % 10 for x in s])))::int", "centerDist": "round(abs(list_sum(s) / 5.0 - 35), 6)"}
     return out
 

@@ -25,7 +25,7 @@ def _of(f: Callable[[History], DataFrame], digits: int = 6) -> Query:
 
 
 def _value(name: str) -> Query:
-    return _of(lambda h: signals.raw(h, similarity=False).select("game", "n", F.col(name).alias("value")))
+    return _of(lambda h: signals.raw(h, keys=[name]).select("game", "n", F.col(name).alias("value")))
 
 
 def _with_sales(spark: SparkSession, sf_dir: str) -> History:
