@@ -196,8 +196,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
 
     Documents whose lower-cased words are the same are copies. Two contents are linked if the Jaccard similarity of their sets of `words`-word shingles is at
     least `similarity`; classes are the connected parts. Contents that share a band of the signature are compared by their whole sets: first every
-    content with the lowest of its bands (stars, never all pairs of a band), then, after the parts are known, those of a band that are still in different parts and
-    whose sizes allow the similarity. At a similarity of 0.8 two contents share no band with a chance of 7e-5.
+    content with the lowest of its bands (stars, never all pairs of a band), then, after the parts are known, those of a band that are still in different parts,
+    where their sizes, less the shingles that no other content in question has, allow the similarity. No pair that could be linked is left out. At a similarity of 0.8 two contents share no band with a chance of 7e-5.
 
     Null and empty texts have no words and are copies of each other. A document with a null key gets its class as any other; the key of a class of such alone is
     null. An empty table gives an empty result.
@@ -226,10 +226,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     labelled = many.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = labelled.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y")
     labelled = labelled.join(mixed.select("band"), "band", "leftsemi").withColumn("step", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / similarity))).cast("int"))
-    left = labelled.select("band", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"), F.col("step").alias("own"))
-    right = labelled.select("band", "step", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("sb"))
+    # A shingle that no other content in question has can be in no intersection: what is left of a content bounds its similarity to any other.
+    flat = sets.join(labelled.select("node").distinct(), "node", "leftsemi").select("node", F.explode("shingles").alias("s"))
+    alone = flat.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    labelled = labelled.join(alone, "node", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0))).where(F.col("common") >= similarity * F.col("size") - 1e-9)
+    left = labelled.select("band", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"), F.col("common").alias("na"), F.col("step").alias("own"))
+    right = labelled.select("band", "step", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("sb"), F.col("common").alias("nb"))
     ordered = (F.col("a") < F.col("b")) | (F.col("own") != F.col("step"))
-    cross = left.join(right, ["band", "step"]).where((F.col("ca") != F.col("cb")) & ordered & fits(F.col("sa"), F.col("sb")))
+    enough = F.least("na", "nb") >= (F.col("sa") + F.col("sb")) * (similarity / (1 + similarity)) - 1e-9
+    cross = left.join(right, ["band", "step"]).where((F.col("ca") != F.col("cb")) & ordered & fits(F.col("sa"), F.col("sb")) & enough)
     cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
     parts = components(found.unionByName(_verified(cross, sets, similarity)))
     placed = members.join(parts, "node", "left").select(key, F.coalesce("comp", "node").alias("comp"))
