@@ -41,6 +41,15 @@ def features(s: Column, k: int, d: int) -> dict[str, Column]:
     return out
 
 
+def bounds(k: int, d: int) -> dict[str, tuple[int, int]]:
+    """The least and the most that each feature can be: the range of its histogram, known before any draw."""
+    low, high = d * (d + 1) // 2, d * k - d * (d - 1) // 2
+    out = {f"pos{r}": (r, k - d + r) for r in range(1, d + 1)} | {f"gap{r}": (1, k - d + 1) for r in range(1, d)}
+    out |= {"sum": (low, high), "sumLow2": (3, 2 * (k - d) + 3), "sumLow3": (6, 3 * (k - d) + 6), "sumHigh2": (2 * d - 1, 2 * k - 1), "spread": (d - 1, k - 1), "sd": (0, k), "maxGap": (1, k - d + 1), "minGap": (1, k - d + 1)}
+    out |= {"consec": (0, d - 1), "runs": (0, d - 1), "emptyZones": (0, 3), "lastDigitDup": (0, d - 1), "centerDist": (0, k // 2 + 1)} | {n: (0, d) for n in ("odd", "prime", "lowZone", "midZone", "highZone", "aboveMid", "repeatPrev", "overlap3", "overlap10")}
+    return out | {"dSum": (low - high, high - low), "dSpread": (d - k, k - d), "dOdd": (-d, d)}
+
+
 def conditional(s: Column, prev: Column, last3: Column, last10: Column) -> dict[str, Column]:
     """Features against earlier draws; null where there is none."""
     has = prev.isNotNull()

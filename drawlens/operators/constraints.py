@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlens.functions.odds import wilson
-from drawlens.functions.shapes import conditional, families, features
+from drawlens.functions.shapes import bounds, conditional, families, features
 from drawlens.history import History
 
 ALPHAS = [0.0005, 0.002, 0.01, 0.03]  # fixed values: the tails of the bands
@@ -47,23 +47,26 @@ def band(counts: np.ndarray, alphas: list[float], mass: float = 1.0) -> list[tup
     return list(zip(np.minimum(lo, hi).tolist(), np.maximum(lo, hi).tolist(), strict=True))
 
 
-def walk_forward(values: DataFrame, alphas: list[float] = ALPHAS, warm_up: int = WARM_UP) -> DataFrame:
+def walk_forward(values: DataFrame, k: int, d: int, alphas: list[float] = ALPHAS, warm_up: int = WARM_UP) -> DataFrame:
     """game, feature, alpha, t, dow, lo, hi, held: the band of each feature at each draw, from the draws before it, and whether the draw kept to it.
 
-    values: game, t, dow, feature, v. A task takes one feature of one game: its histogram grows by a draw at a time, so the cost is draws times bins.
+    values: game, t, dow, feature, v. A task takes one feature of one game: its histogram grows by a draw at a time, so the cost is draws times bins. The bins are those that the
+    feature can have, not those that the history happens to fill.
     """
+    limits = bounds(k, d)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
         bins = np.floor(rows["v"].to_numpy() + 0.5).astype(int)
-        base = bins.min()
-        counts = np.zeros(bins.max() - base + 1)
+        base, top = limits[rows["feature"].iloc[0]]
+        counts = np.zeros(top - base + 1)
         t, dow, out = rows["t"].to_numpy(), rows["dow"].to_numpy(), []
         for i, b in enumerate(bins):
             if i >= warm_up:
                 for a, (lo, hi) in zip(alphas, band(counts, alphas), strict=True):
                     out.append((a, t[i], dow[i], base + lo, base + hi, base + lo <= b <= base + hi))
-            counts[b - base] += 1
+            if base <= b <= top:
+                counts[b - base] += 1
         x = pd.DataFrame(out, columns=["alpha", "t", "dow", "lo", "hi", "held"])
         return x.assign(game=rows["game"].iloc[0], feature=rows["feature"].iloc[0])[["game", "feature", "alpha", "t", "dow", "lo", "hi", "held"]]
 
@@ -91,7 +94,7 @@ def rules(h: History, universe: DataFrame | None = None) -> DataFrame:
     """
     spark = h.draws.sparkSession
     universe = sample_universe(spark, h.k, h.d) if universe is None else universe
-    steps = walk_forward(long(measured(h)))
+    steps = walk_forward(long(measured(h)), h.k, h.d)
     latest = steps.groupBy("game", "feature").agg(F.max("t").alias("last"))
     steps = steps.join(latest, ["game", "feature"])
     held = F.col("held").cast("double")
@@ -119,7 +122,7 @@ def modes(h: History, floors: tuple[float, ...] = (0.99, 0.97, 0.94, 0.68), cand
     universe = (sample_universe(spark, h.k, h.d) if universe is None else universe).withColumn("id", F.monotonically_increasing_id())
     all_rules = rules(h, universe.select("sorted")).where("share < 0.999")
     top = all_rules.withColumn("r", F.row_number().over(Window.partitionBy("game").orderBy("share", "feature", "alpha"))).where(F.col("r") <= candidates).select("game", "feature", "alpha", "lo", "hi", "r")
-    steps = walk_forward(long(measured(h, context=False))).join(top.select("game", "feature", "alpha", "r"), ["game", "feature", "alpha"]).select("game", "r", "feature", "alpha", F.lit("step").alias("kind"), F.col("t").alias("id"), "held")
+    steps = walk_forward(long(measured(h, context=False)), h.k, h.d).join(top.select("game", "feature", "alpha", "r"), ["game", "feature", "alpha"]).select("game", "r", "feature", "alpha", F.lit("step").alias("kind"), F.col("t").alias("id"), "held")
     cols = features(F.col("sorted"), h.k, h.d)
     each = F.array(*[F.struct(F.lit(n).alias("feature"), F.floor(c.cast("double") + 0.5).alias("bin")) for n, c in cols.items()])
     space = universe.select("id", F.explode(each).alias("x")).select("id", "x.feature", "x.bin").join(top, "feature").select("game", "r", "feature", "alpha", F.lit("space").alias("kind"), "id", F.col("bin").between(F.col("lo"), F.col("hi")).alias("held"))

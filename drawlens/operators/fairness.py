@@ -66,9 +66,10 @@ def mean_gap(h: History) -> DataFrame:
 def bonus_chi2(h: History) -> DataFrame:
     """The counts of bonus numbers against the even share, with 201 bonus draws at least."""
     rows = describe.bonus_counts(h)
+    spread = sqrt(2 * max(1, h.ks - 1))
     n = rows.groupBy("game").agg(F.sum("hits").alias("all"), F.sum((F.col("hits") * F.col("hits")).cast("double")).alias("ss")).where("all >= 201")
     value = F.col("ss") * h.ks / F.col("all") - F.col("all")
-    return n.select("game", F.lit("bonus_chi2").alias("test"), value.alias("value"), ((value - (h.ks - 1)) / sqrt(2 * (h.ks - 1))).alias("z"))
+    return n.select("game", F.lit("bonus_chi2").alias("test"), value.alias("value"), ((value - (h.ks - 1)) / spread).alias("z"))
 
 
 def tests(h: History) -> DataFrame:
