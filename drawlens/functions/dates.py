@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", y.cast("int"), m.cast("int"), d.cast("int")), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.format_string("%04d-%02d-%02d", y.cast("int"), m.cast("int"), d.cast("int")), "yyyy-MM-dd")
 
 
 def date_of(text: Column, day_first: Column | bool = False) -> Column:
@@ -45,7 +45,7 @@ def money(text: Column) -> Column:
 
 def instant(date: Column, clock: str, zone: str) -> Column:
     """The moment at which a clock in a zone shows a time (HH:MM) on a date."""
-    return F.to_utc_timestamp(F.to_timestamp(F.concat_ws(" ", date.cast("string"), F.lit(clock)), F.lit("yyyy-MM-dd HH:mm")), zone)
+    return F.to_utc_timestamp(F.to_timestamp(F.concat_ws(" ", date.cast("string"), F.lit(clock)), "yyyy-MM-dd HH:mm"), zone)
 
 
 def countdown(now: Column, then: Column) -> Column:

@@ -3,6 +3,7 @@
 A cell that holds no draw never fails a job: rows are split into draws and errors.
 """
 
+import csv
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,7 +33,7 @@ def sniff(lines: list[str], bonus: str = "auto") -> Layout:
     some = [x for x in lines if x.strip()][:12]
     median = lambda c: sorted(x.count(c) for x in some)[len(some) // 2] if some else 0
     separator = max(DELIMITERS, key=median)
-    rows = [[c.strip().strip('"') for c in x.split(separator)] for x in some]
+    rows = [[c.strip() for c in row] for row in csv.reader(some, delimiter=separator, skipinitialspace=True)]
     words = lambda row: sum(any(ch.isalpha() for ch in c) and not any(ch.isdigit() for ch in c) for c in row)
     at = next((i for i, r in enumerate(rows[:3]) if len(r) > 1 and words(r) >= 2 and not any(c.isdigit() for c in r)), None)
     names = [c.lower() for c in rows[at]] if at is not None else []
@@ -124,7 +125,7 @@ def open_data(rows: DataFrame, game: str, packed: bool) -> DataFrame:
     parts = F.transform(F.split(F.trim("winning_numbers"), r"\s+"), lambda x: x.try_cast("int"))
     mains = F.slice(parts, 1, 5)
     special = F.get(parts, F.lit(5)) if packed else F.col("mega_ball").try_cast("int")
-    out = rows.select(F.try_to_date(F.substring("draw_date", 1, 10), F.lit("yyyy-MM-dd")).alias("date"), mains.alias("numbers"), special.alias("special"), F.lit(None).cast("double").alias("jackpot"), F.lit(None).cast("string").alias("winner_location"))
+    out = rows.select(F.try_to_date(F.substring("draw_date", 1, 10), "yyyy-MM-dd").alias("date"), mains.alias("numbers"), special.alias("special"), F.lit(None).cast("double").alias("jackpot"), F.lit(None).cast("string").alias("winner_location"))
     good = F.col("date").isNotNull() & F.col("special").isNotNull() & (F.size("numbers") == 5) & F.forall("numbers", lambda x: x.isNotNull()) & (F.size(F.array_distinct("numbers")) == 5)
     return shaped(out.where(F.coalesce(good, F.lit(False))), game)
 
@@ -141,7 +142,7 @@ def decode_history(rows: DataFrame, game: str) -> DataFrame:
     a = rows.select(F.from_json("row", "array<string>").alias("a")).where(F.size("a") >= 8)
     mains = F.transform(F.slice("a", F.lit(2), F.size("a") - 4), lambda x: x.try_cast("int"))
     back = lambda i, t: F.element_at("a", i).try_cast(t)
-    out = a.select(F.try_to_date(F.get("a", F.lit(0)), F.lit("yyyy-MM-dd")).alias("date"), mains.alias("numbers"), F.nullif(back(-3, "int"), F.lit(0)).alias("special"), F.nullif(back(-2, "double"), F.lit(0.0)).alias("jackpot"), F.nullif(F.element_at("a", -1), F.lit("")).alias("winner_location"))
+    out = a.select(F.try_to_date(F.get("a", F.lit(0)), "yyyy-MM-dd").alias("date"), mains.alias("numbers"), F.nullif(back(-3, "int"), F.lit(0)).alias("special"), F.nullif(back(-2, "double"), F.lit(0.0)).alias("jackpot"), F.nullif(F.element_at("a", -1), F.lit("")).alias("winner_location"))
     return shaped(out.where(F.col("date").isNotNull() & F.forall("numbers", lambda x: x.isNotNull())), game)
 
 
@@ -165,7 +166,7 @@ def jackpot_pages(pages: DataFrame, zone: str = "America/New_York", clock: str =
 def jackpot_payloads(rows: DataFrame) -> DataFrame:
     """rows (game, body) of double-encoded JSON {"d": "<json>"} to game, draw_date, jackpot, cash_value."""
     inner = F.from_json(F.get_json_object("body", "$.d"), "struct<Jackpot:struct<NextPrizePool:double,NextCashValue:double>,NextDrawingDate:string>")
-    out = rows.select("game", inner.alias("x")).select("game", F.try_to_date(F.substring("x.NextDrawingDate", 1, 10), F.lit("yyyy-MM-dd")).alias("draw_date"), F.col("x.Jackpot.NextPrizePool").alias("jackpot"), F.col("x.Jackpot.NextCashValue").alias("cash_value"))
+    out = rows.select("game", inner.alias("x")).select("game", F.try_to_date(F.substring("x.NextDrawingDate", 1, 10), "yyyy-MM-dd").alias("draw_date"), F.col("x.Jackpot.NextPrizePool").alias("jackpot"), F.col("x.Jackpot.NextCashValue").alias("cash_value"))
     return out.where(F.col("draw_date").isNotNull() & F.col("jackpot").between(1e6, 5e9))
 
 
