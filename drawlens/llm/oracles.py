@@ -27,7 +27,20 @@ def op8(shards: int = 16, blocks: int = 512) -> str:
     {", ".join(steps)},
     x as (select rid, hex(encode(text)) as hexed from d),
     c as (select rid, xor(list_reduce([('0x' || substr(hexed, 2 * i - 1, 2))::ubigint for i in range(1, length(hexed) // 2 + 1)],
-        lambda a, x: xor({table}[(xor(a, x) & 255) + 1]::ubigint, a >> 8), 4294967295::ubigint), 4294967295::ubigint)::bigint as text_crc32 from x),
+        lambda a, x: xor({table}[((xor(a, x) & 255) + 1)::bigint]::ubigint, a >> 8), 4294967295::ubigint), 4294967295::ubigint)::bigint as text_crc32 from x),
     r as (select d.doc_id, (octet_length(encode(d.text)) + 1)::bigint as size, coalesce(c.text_crc32, 0)::bigint as text_crc32, t.b16::int as shard, t.b17::int as grown_shard, (t.mix * {blocks} // 4294967296)::int as blk
         from d join t{shards + 1} t using (rid) join c using (rid))
     select doc_id, size, text_crc32, 'key' as law, shard, (row_number() over (partition by shard order by blk, doc_id, text_crc32) - 1)::bigint as slot, grown_shard from r"""
+
+
+def op10() -> str:
+    order = "3.0 * source_size / w, source nulls last"
+    return rf"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(concat(coalesce(doc_id::varchar, ''), '|', md5(coalesce(text, '')))) as h from documents),
+    s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as place, count(*) over () as n from d group by source),
+    w as (select *, case place % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as w from s),
+    l as (select *, ((sum(source_size) over ())::double - coalesce((sum(3.0 * source_size) over (order by {order} rows between unbounded preceding and 1 preceding))::double, 0)) / sum(w) over (order by {order} rows between current row and unbounded following) as level from w),
+    f as (select *, (select level from l where level * w <= 3.0 * source_size order by 3.0 * source_size / w limit 1) as final from l),
+    g as (select *, coalesce(least(final * w, (3.0 * source_size)::double), (3.0 * source_size)::double) as target, case when n > 1 then place::double / (n - 1) - 0.5 else 0.0 end as slope from f),
+    x as (select d.doc_id, d.size, g.source_size, g.target, g.slope, (sum(d.size) over (partition by d.source order by d.h, d.doc_id rows between unbounded preceding and current row) - d.size)::bigint as first from d join g on d.source is not distinct from g.source),
+    y as (select *, {" + ".join(f"greatest(0, least(size, round(target)::bigint - {k} * source_size - first))" for k in range(3))} as taken, least(1.0::double, first / greatest(target, 1.0::double)) as share from x)
+    select doc_id, size, source_size, target, taken::bigint as taken, case when taken > 0 then round(case when abs(slope) < 1e-9 then share else 2 * share / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * share)) end, 9) end as position from y"""

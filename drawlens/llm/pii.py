@@ -71,9 +71,15 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, rou
     and the values of confident labels that hold a digit or @ are reported as `context` where no base span overlaps.
 
     Distinct (label, value) pairs are summed before they are joined, so that a label of a third of the rows costs no more than its values. A null or
-    empty text has no spans; repeated rows are handled each by itself; an empty table gives an empty result.
+    empty text has no spans; repeated rows are handled each by itself; an empty table gives an empty result. A column of docs named `spans` is replaced; other names may be any.
     """
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = spans.columns_for(docs, text, keep)
+    rows = _found(docs, text, keep, rounds, least_seeds, confidence)
+    return rows.select(*[F.col(f"_kept.`{c}`").alias(c) for c in keep], "spans")
+
+
+def _found(docs: DataFrame, text: str, keep: list[str], rounds: int = 3, least_seeds: int = 3, confidence: float = 0.6) -> DataFrame:
+    """find() with the kept columns as one struct, `_kept`."""
     found = [
         lambda t: spans.parts(t, EMAIL, EMAIL_AT, t.contains("@")),
         lambda t: spans.parts(t, IP, IP_AT),
@@ -108,17 +114,15 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, rou
 
 def redact(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """docs with every span found replaced by its kind in angle brackets, <email>; overlapping spans become one. Columns and order as in docs."""
-    found = find(docs, text, keep=docs.columns, **how)
-    names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
+    found = _found(docs, text, docs.columns, **how)
+    names, own = F.array(*[F.lit(f"<{k}>") for k in KINDS]), F.col(f"_kept.`{text}`")
 
     def step(a: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"])
+        gap = F.substring(own, a["at"] + 1, s["start"] - a["at"])
         return F.struct(
             F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(gap, F.get(names, s["kind"])))).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at")
         )
 
     done = F.aggregate("spans", F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at")), step)
-    whole = found.withColumn("_done", done)
-    rest = F.expr(f"substring(`{text}`, _done.at + 1)")
-    new = F.when(F.size("spans") > 0, F.concat(F.array_join("_done.out", ""), rest)).otherwise(F.col(text))
-    return whole.withColumn(text, new).select(*docs.columns)
+    new = F.when(F.size("spans") > 0, F.concat(F.array_join(done["out"], ""), F.substring(own, done["at"] + 1, F.char_length(own)))).otherwise(own)
+    return found.select(*[new.alias(c) if c == text else F.col(f"_kept.`{c}`").alias(c) for c in docs.columns])

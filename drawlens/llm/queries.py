@@ -74,9 +74,9 @@ def _digest(found: DataFrame, kinds: list[str], counts: dict[str, int]) -> DataF
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("text_key"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"))
     mixed = mixing.mix(materialise(docs, "sizes"), "source", "size", ["doc_id", "text_key"])  # texts are read once
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "source")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 def queries() -> dict:
@@ -84,6 +84,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from drawlens.llm.oracles import op8
+    from drawlens.llm.oracles import op8, op10
 
-    return {"op8_sharding": op8()}
+    return {"op8_sharding": op8(), "op10_mixing": op10()}

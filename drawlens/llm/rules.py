@@ -185,6 +185,6 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", key: str =
 def scored(docs: DataFrame, ensemble: Ensemble, text: str = "text", least: float = 0.7) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if the score is at least `least`). Nulls and empty texts are scored like any other text;
     columns of docs that bear a name of the result are replaced."""
-    docs = docs.select(*[docs[c] for c in docs.columns if c not in ("score", "predicted")])
-    rows = measured(docs, text).withColumn("score", compiled(ensemble))
-    return rows.withColumn("predicted", (F.col("score") >= least).cast("int")).select(*docs.columns, "score", "predicted")
+    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    rows = measured(docs.select(F.struct(*[docs[c] for c in kept]).alias("_kept"), F.col(text).alias("text"))).withColumn("score", compiled(ensemble))
+    return rows.select(*[F.col(f"_kept.`{c}`").alias(c) for c in kept], "score", (F.col("score") >= least).cast("int").alias("predicted"))

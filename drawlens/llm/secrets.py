@@ -27,9 +27,9 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, sco
 
     The interval join is made of sorted neighbours: if any complement lies within the scope, so does the nearest one before
     or after; no pairs are built. Rows of one document meet in one task, whose sort spills; a null or empty text has no spans; repeated rows are
-    handled each by itself; an empty table gives an empty result.
+    handled each by itself; an empty table gives an empty result. A column of docs named `spans` is replaced; other names may be any.
     """
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = spans.columns_for(docs, text, keep)
     found = [
         lambda t: spans.parts(t, ASSIGN, ASSIGN_AT),
         lambda t: spans.parts(t, ACCESS, ACCESS_AT, t.contains("AKIA")),
@@ -55,4 +55,5 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, sco
 
     rows = rows.withColumn("_id", near(kind.isin(ACCESS, WEAK_ID))).withColumn("_secret", near(kind.isin(ASSIGN, HEX, WEAK_SECRET)))
     linked = F.when(kind == WEAK_ID, F.col("_secret")).when(kind == WEAK_SECRET, F.col("_id")).when(kind == ENDPOINT, F.col("_id") & F.col("_secret"))
-    return spans.gathered(rows.withColumn("base", F.when(strong, F.lit(True)).when(linked, F.lit(False))))
+    found_spans = spans.gathered(rows.withColumn("base", F.when(strong, F.lit(True)).when(linked, F.lit(False))))
+    return found_spans.select(*[F.col(f"_kept.`{c}`").alias(c) for c in keep], "spans")

@@ -54,15 +54,14 @@ def place(df: DataFrame, key: str, shards: int, blocks: int = 512) -> DataFrame:
     their own; a null key counts as -1; an empty table gives an empty result. Columns of df that bear a name of the result are replaced.
     """
     made = {"shard", "grown_shard", "slot"}
-    df = df.select(*[df[c] for c in df.columns if c not in made])
-    at = jump_buckets(F.col(key), [shards, shards + 1])
-    df = df.withColumn("_at", at)
-    df = df.withColumn("shard", F.col(f"_at.s{shards}").cast("int")).withColumn("grown_shard", F.col(f"_at.s{shards + 1}").cast("int"))
-    df = df.withColumn("_block", F.shiftright(F.col("_at.mix") * F.lit(blocks), 32).cast("int")).drop("_at")
+    kept = [c for c in df.columns if c not in made]
+    ties = F.struct(*[df[c] for c in [key] + ["text_crc32"] * ("text_crc32" in df.columns)])
+    df = df.select(F.struct(*[df[c] for c in kept]).alias("_kept"), ties.alias("_ties"), jump_buckets(df[key], [shards, shards + 1]).alias("_at"))
+    block = F.shiftright(F.col("_at.mix") * F.lit(blocks), 32).cast("int")
+    df = df.select("_kept", "_ties", F.col(f"_at.s{shards}").cast("int").alias("shard"), F.col(f"_at.s{shards + 1}").cast("int").alias("grown_shard"), block.alias("_block"))
     counts = df.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    ties = [key] + ["text_crc32"] * ("text_crc32" in df.columns)
-    row = F.row_number().over(Window.partitionBy("shard", "_block").orderBy(*ties))
+    row = F.row_number().over(Window.partitionBy("shard", "_block").orderBy("_ties"))
     out = df.withColumn("_row", row).join(F.broadcast(starts), ["shard", "_block"])
-    return out.withColumn("slot", F.col("_start") + F.col("_row") - 1).drop("_block", "_row", "_start")
+    return out.select(*[F.col(f"_kept.`{c}`").alias(c) for c in kept], "shard", "grown_shard", (F.col("_start") + F.col("_row") - 1).alias("slot"))

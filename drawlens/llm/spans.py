@@ -49,13 +49,17 @@ def located(docs: DataFrame, text: str, found: list[Column], keep: list[str]) ->
 
 
 def gathered(rows: DataFrame) -> DataFrame:
-    """One row for each document: its kept columns, and `spans`, an array of (start, kind, end, found, base) in that order.
+    """One row for each document: `_kept`, the struct of its columns, and `spans`, an array of (start, kind, end, found, base) in that order.
 
     rows: of located(), with a boolean `base`; rows whose `base` is null are dropped from the array, never the document.
     """
     one = F.when(F.col("base").isNotNull(), F.struct("start", "kind", "end", "found", "base"))
-    by_row = rows.groupBy("_row").agg(F.max("_kept").alias("_kept"), F.array_sort(F.collect_list(one)).alias("spans"))
-    return by_row.select("_kept.*", "spans")
+    return rows.groupBy("_row").agg(F.max("_kept").alias("_kept"), F.array_sort(F.collect_list(one)).alias("spans")).drop("_row")
+
+
+def columns_for(docs: DataFrame, text: str, keep: list[str] | None) -> list[str]:
+    """The columns that a finder's result keeps beside its own `spans`: those asked for, or all but the text."""
+    return [c for c in (docs.columns if keep is None else keep) if c != "spans" and (keep is not None or c != text)]
 
 
 def joined(spans: Column, names: list[str]) -> Column:
