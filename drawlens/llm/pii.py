@@ -63,6 +63,27 @@ def confident_labels(edges: DataFrame, rounds: int = 3, least_seeds: int = 3, co
     return scores.where(F.col("score") >= confidence).select("label", "score")
 
 
+TRUSTED_AT_ONCE = 1000  # so many labels are a test in the plan; more are joined
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows of located() with label (of labelled values, whose start, end and found become the value's), _base (a valid find of a base kind) and _covered (a base find overlaps)."""
+    kind = F.col("kind")
+    labelled = kind == CONTEXT
+    value = F.rtrim(F.regexp_extract("found", LABEL_AT, 2), F.lit(".)]}>!?"))
+    rows = rows.withColumn("label", F.when(labelled, F.lower(F.regexp_extract("found", LABEL_AT, 1))))
+    rows = rows.withColumn("start", F.when(labelled, F.col("end") - F.char_length(F.regexp_extract("found", LABEL_AT, 2))).otherwise(F.col("start")).cast("int"))
+    rows = rows.withColumn("found", F.when(labelled, value).otherwise(F.col("found")))
+    rows = rows.withColumn("end", (F.col("start") + F.char_length("found")).cast("int"))
+    rows = rows.withColumn("kind", F.when(labelled | _valid(kind, F.col("found")), kind))
+    ordered = "partition by _row order by start asc nulls first, kind desc"
+    rows = rows.withColumn("_base", F.coalesce(F.col("kind") < CONTEXT, F.lit(False)))
+    rows = rows.withColumn("_base_end", F.expr(f"max(case when _base then end end) over ({ordered} rows between unbounded preceding and current row)"))
+    rows = rows.withColumn("_base_start", F.expr(f"min(case when _base then start end) over ({ordered} rows between current row and unbounded following)"))
+    covered = F.coalesce(F.col("_base_end") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_base_start") < F.col("end"), F.lit(False))
+    return rows.withColumn("_covered", covered).drop("_base_end", "_base_start")
+
+
 def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, rounds: int = 3, least_seeds: int = 3, confidence: float = 0.6) -> DataFrame:
     """The columns `keep` of docs (all but the text, if not given) and `spans`: an array of (start, kind, end, found, base).
 
@@ -87,27 +108,17 @@ def _found(docs: DataFrame, text: str, keep: list[str], rounds: int = 3, least_s
         lambda t: spans.parts(t, PHONE, PHONE_AT, t.contains("+")),
         lambda t: spans.parts(t, CONTEXT, LABELLED_AT, t.contains(":") | t.contains("=") | t.contains("#")),
     ]
-    kind = F.col("kind")
-    rows = spans.located(docs, text, found, keep)
-    value = F.rtrim(F.regexp_extract("found", LABEL_AT, 2), F.lit(".)]}>!?"))
-    labelled = kind == CONTEXT
-    rows = rows.withColumn("label", F.when(labelled, F.lower(F.regexp_extract("found", LABEL_AT, 1))))
-    rows = rows.withColumn("start", F.when(labelled, F.col("end") - F.char_length(F.regexp_extract("found", LABEL_AT, 2))).otherwise(F.col("start")).cast("int"))
-    rows = rows.withColumn("found", F.when(labelled, value).otherwise(F.col("found")))
-    rows = rows.withColumn("end", (F.col("start") + F.char_length("found")).cast("int"))
-    rows = rows.withColumn("kind", F.when(labelled | _valid(kind, F.col("found")), kind))
-    rows = materialise(rows, "found")  # small: matches, not texts, unless `keep` has them
-    base = F.coalesce(F.col("kind") < CONTEXT, F.lit(False))
-    ordered = "partition by _row order by start asc nulls first, kind desc"
-    rows = rows.withColumn("_base", base).withColumn("_base_end", F.expr(f"max(case when _base then end end) over ({ordered} rows between unbounded preceding and current row)"))
-    rows = rows.withColumn("_base_start", F.expr(f"min(case when _base then start end) over ({ordered} rows between current row and unbounded following)"))
-    covered = F.coalesce(F.col("_base_end") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_base_start") < F.col("end"), F.lit(False))
-    rows = rows.withColumn("_covered", covered)
-    edges = rows.where(F.col("label").isNotNull()).select("label", F.lower("found").alias("value"), F.col("_covered").alias("seed"))
-    trusted = confident_labels(edges, rounds, least_seeds, confidence).select("label", F.lit(True).alias("_trusted"))
+    # Texts are scanned twice, once for the labels alone, so that what is kept of a document is shuffled once and written nowhere.
+    edges = _placed(spans.located(docs, text, found, [])).where(F.col("label").isNotNull()).select("label", F.lower("found").alias("value"), F.col("_covered").alias("seed"))
+    trusted = materialise(confident_labels(edges, rounds, least_seeds, confidence), "trusted").withColumnRenamed("label", "_label")
+    rows = _placed(spans.located(docs, text, found, keep))
     plain = rows.where(F.col("label").isNull()).withColumn("_trusted", F.lit(None).cast("boolean"))
-    learned = rows.where(F.col("label").isNotNull()).join(trusted, "label", "left").select(*plain.columns)
-    rows = plain.unionByName(learned)
+    known = {r._label for r in trusted.limit(TRUSTED_AT_ONCE + 1).collect()}
+    if len(known) <= TRUSTED_AT_ONCE:  # few labels, as is usual: a test, not a join
+        rows = rows.withColumn("_trusted", F.col("label").isin(*sorted(known)) if known else F.lit(False))
+    else:
+        learned = rows.where(F.col("label").isNotNull()).join(trusted.withColumn("_trusted", F.lit(True)), F.col("label") == F.col("_label"), "left").select(*plain.columns)
+        rows = plain.unionByName(learned)
     new = F.col("_trusted") & ~F.col("_covered") & F.regexp_like("found", F.lit("[0-9@]"))
     return spans.gathered(rows.withColumn("base", F.when(F.col("_base"), F.lit(True)).when(new, F.lit(False))))
 

@@ -15,12 +15,13 @@ def folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there, and no executor's loss undoes it.
 
-    The format is one whose writers and readers compress on the heap, so that many small files don't pile up native memory.
+    The format is one whose writers and readers compress on the heap, so that many small files don't pile up native memory. `files`: at most so many, for a table that is known to be small.
     """
     spark = df.sparkSession
+    df = df if files is None else df.coalesce(files)
     path = f"{folder(spark)}/drawlens-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").orc(path)
     return spark.read.schema(df.schema).orc(path)
