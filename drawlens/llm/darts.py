@@ -139,6 +139,7 @@ def contents(docs: DataFrame, key: str, text: str, words: int, bands: int, rows:
     return made.select(key, "node"), made.where(F.size("bands") > 0).select("node", "size", "bands")
 
 
+PIVOTS = 2  # rounds of stars to the largest part of a band
 SKETCH = 512  # coordinates of which candidates keep one bit each
 FILTER_BITS = 27  # of the filter of nodes: 16 MB, whatever the number of nodes
 
@@ -171,7 +172,7 @@ def sets_of(docs: DataFrame, text: str, words: int, nodes: DataFrame) -> DataFra
                     some = has[at : at + 256]
                     own = np.isin(t, some)
                     sig = signatures(np.searchsorted(some, t[own]), m[own], np.ones(own.sum()), len(some), SKETCH, seed=2)
-                    bits[some] = np.packbits((sig & U(1)).astype(np.uint8), axis=1).view(np.int64)
+                    bits[some] = np.packbits((sig >> U(36) & U(1)).astype(np.uint8), axis=1).view(np.int64)
                 sketches = pa.ListArray.from_arrays(pa.array((np.arange(hi - lo + 1) * (SKETCH // 64)).astype(np.int32)), pa.array(bits.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([pa.array(node), lists, sketches], names=["node", "shingles", "bits"]).filter(pa.array(counts > 0))
 
@@ -231,20 +232,33 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     parts = components(found)
     found = found.unionByName(_verified(apart(stars, parts), sets, similarity))
     parts = components(found)
-    # What is left: contents of one band in different parts. Sizes within the similarity fall in the same or the next class of sizes.
     many = banded.join(lowest.where("n > 2").select("band"), "band", "leftsemi")
-    labelled = many.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = labelled.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y")
-    labelled = labelled.join(mixed.select("band"), "band", "leftsemi").withColumn("step", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / similarity))).cast("int"))
-    labelled = labelled.join(sets.select("node", "bits"), "node")
-    side = lambda n: [F.col("node").alias(n), F.col("comp").alias(f"c{n}"), F.col("size").alias(f"s{n}"), F.col("bits").alias(f"x{n}")]
+
+    def labelled_by(parts: DataFrame) -> DataFrame:
+        """The rows of bands whose contents are in different parts, with comp."""
+        rows = many.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = rows.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y")
+        return rows.join(mixed.select("band"), "band", "leftsemi")
+
+    # Contents outside the largest part of a band with a member of that part, another one in every band and round.
+    for k in range(PIVOTS):
+        labelled = labelled_by(parts)
+        largest = labelled.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m"), F.min_by(F.struct("node", "size"), F.xxhash64("node", "band", F.lit(k))).alias("pivot"))
+        largest = largest.groupBy("band").agg(F.max_by(F.struct("comp", "pivot"), F.struct("m", "comp")).alias("top"))
+        pairs = labelled.join(largest, "band").where((F.col("comp") != F.col("top.comp")) & fits(F.col("size"), F.col("top.pivot.size"))).select(F.col("node").alias("a"), F.col("top.pivot.node").alias("b")).distinct()
+        found = found.unionByName(_verified(pairs, sets, similarity))
+        parts = components(found)
+    # What is left: contents of one band in different parts. Sizes within the similarity fall in the same or the next class of sizes.
+    labelled = labelled_by(parts).withColumn("step", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / similarity))).cast("int"))
+    labelled = labelled.join(sets.select("node", "bits"), "node").join(labelled.groupBy("node").agg(F.collect_list("band").alias("in")), "node")
+    side = lambda n: [F.col("node").alias(n), F.col("comp").alias(f"c{n}"), F.col("size").alias(f"s{n}"), F.col("bits").alias(f"x{n}"), F.col("in").alias(f"i{n}")]
     left = labelled.select("band", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.col("step").alias("own"), *side("a"))
     right = labelled.select("band", "step", *side("b"))
     ordered = (F.col("a") < F.col("b")) | (F.col("own") != F.col("step"))
     differ = sum((F.bit_count(F.get("xa", F.lit(i)).bitwiseXOR(F.get("xb", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
     share = (1 - similarity) / 2  # of the bits that differ between sets just so similar; 3.5 deviations are allowed
     most = int(SKETCH * share + 3.5 * (SKETCH * share * (1 - share)) ** 0.5)
-    cross = left.join(right, ["band", "step"]).where((F.col("ca") != F.col("cb")) & ordered & fits(F.col("sa"), F.col("sb")) & (differ <= most))
+    cross = left.join(right, ["band", "step"]).where((F.col("ca") != F.col("cb")) & ordered & fits(F.col("sa"), F.col("sb")) & (differ <= most) & (F.array_min(F.array_intersect("ia", "ib")) == F.col("band")))  # each pair in the first band of both
     cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
     parts = components(found.unionByName(_verified(cross, sets, similarity)))
     placed = members.join(parts, "node", "left").select(key, F.coalesce("comp", "node").alias("comp"))
