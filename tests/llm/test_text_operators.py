@@ -196,3 +196,43 @@ def test_seats_against_enumeration():
             assert abs(got - alone / sum(w for w, _ in own)) < 1e-9
     near = s.alone(np.array([200.0, 201.0]), np.array([40.0, 40.0]))
     assert abs(near[0] / near[1] - 1) < 0.03
+
+
+def plain_tables(counts, u, d, d0, tables, sweeps, r):
+    """Mean numbers of tables of one word's cells, by moving one customer at a time between tables that are known one by one."""
+    theta, seats = 1.0, [[c] for c in counts]
+    everything, total, seen = theta + tables.sum(), np.zeros(len(counts)), 0
+    for sweep in range(sweeps):
+        for i, c in enumerate(counts):
+            own = seats[i]
+            for _ in range(c):
+                k = r.choices(range(len(own)), own)[0]
+                own[k] -= 1
+                if not own[k]:
+                    del own[k]
+                root = sum(map(len, seats))
+                new = (theta + d * tables[u[i]]) * max(root - d0, 1e-9) / everything
+                if r.random() * (new + c - 1 - d * len(own)) < new:
+                    own.append(1)
+                else:
+                    own[r.choices(range(len(own)), [x - d for x in own])[0]] += 1
+        if sweep >= sweeps // 5:
+            total += [len(x) for x in seats]
+            seen += 1
+    return total / seen
+
+
+def test_seats_as_one_customer_at_a_time():
+    """Whole sweeps settle where a plain sampler does, for cells below and above EXACT."""
+    import pyarrow as pa
+
+    tables = np.linspace(50, 5000, lm.CONTEXTS)
+    for counts, d, d0 in (([20, 100, 3], 0.6, 0.5), ([260, 2, 7], 0.6, 0.5)):
+        u = [5, 20, 63]
+        want = plain_tables(counts, u, d, d0, tables, 1200 if counts[0] == 20 else 700, random.Random(1))
+        n = 300  # words alike, so that few samples give a mean
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([bytes(u)] * n, pa.binary()), pa.array([np.array(counts, "<i8").tobytes()] * n, pa.binary())], names=["w", "us", "ns"])
+        t, root = lm.Seating(d, d0, tables).run(lm.Cells(batch), 10, 6, 7)
+        got = t.reshape(n, -1).mean(0)
+        assert np.allclose(got, want, rtol=0.06), (got, want)
+        assert np.allclose(root, t.reshape(n, -1).sum(1))
