@@ -15,6 +15,7 @@ from drawlens.operators import signals
 LEAST_HISTORY, TOP, SKILL_HALF_LIFE, RANK_PRIOR = 30, 10, 80.0, 30.0
 FLOOR, SHARPEN, TRUST_FROM, TRUST_SPAN = 0.35, 2, 2.0, 2.5
 RATE, SHRINK = 0.02, 1e-3
+ML_KEY = "mlModel"
 
 
 def signal_hits(z: DataFrame) -> DataFrame:
@@ -94,12 +95,26 @@ def isotonic(rows: DataFrame, value: str, order: str, by: str = "game") -> DataF
     return rows.join(places, [by, order]).join(fit, [by, "b"]).drop("b")
 
 
-def backtest(h: History, keys: list[str] | None = None, similarity: bool = False) -> dict[str, DataFrame]:
+def combiner(h: History) -> tuple[DataFrame, DataFrame]:
+    """(values, model): all signals and mlModel, long, for the draws of the evaluation; and game, t, n, mlModel for the next draw, by what all draws have taught."""
+    ahead = signals.next_draw(h).select("game", "t", "dow")
+    targets = h.draws.where(F.col("t") >= LEAST_HISTORY).select("game", "t", "dow").unionByName(ahead)
+    z = cut(signals.normalised(signals.raw(h, targets)).select("game", "t", "n", "hit", *signals.KEYS))
+    rows = cut(z.join(gradient_scores(h, z), ["game", "t", "n"]))
+    ahead = ahead.select("game", "t")
+    return signals.long(rows.join(ahead, ["game", "t"], "left_anti"), [*signals.KEYS, ML_KEY]), rows.join(ahead, ["game", "t"], "left_semi").select("game", "t", "n", ML_KEY)
+
+
+def backtest(h: History, keys: list[str] | None = None) -> dict[str, DataFrame]:
     """The walk-forward evaluation: signals (by key: mean hits, skill, last weight), points (by draw: hits of the ensemble's best d and 10, and of plain frequency) and
-    ranks (by rank: hits, smoothed rate and its falling fit). Draw t is judged by weights from the draws before t alone."""
-    keys = keys or [k for k in signals.KEYS if similarity or k != "similarity"]
-    targets = h.draws.where(F.col("t") >= LEAST_HISTORY).select("game", "t", "dow")
-    values = signals.long(cut(signals.normalised(signals.raw(h, targets, keys), keys).select("game", "t", "n", "hit", *keys)), keys)
+    ranks (by rank: hits, smoothed rate and its falling fit). Draw t is judged by weights from the draws before t alone. All signals and the learned combiner take part, whose scores for the next draw are `model`; if keys
+    are given, only these."""
+    model = None
+    if keys is None:
+        values, model = combiner(h)
+    else:
+        targets = h.draws.where(F.col("t") >= LEAST_HISTORY).select("game", "t", "dow")
+        values = signals.long(cut(signals.normalised(signals.raw(h, targets, keys), keys).select("game", "t", "n", "hit", *keys)), keys)
     chance = TOP * h.d / h.k
     hits = cut(signal_hits(values))
     weighted = cut(weights(skills(hits, chance), chance))
@@ -111,4 +126,4 @@ def backtest(h: History, keys: list[str] | None = None, similarity: bool = False
     ranks = ranks.withColumn("rate", (F.col("hits") + RANK_PRIOR * h.d / h.k) / (F.col("evaluated") + RANK_PRIOR))
     last = weighted.groupBy("game", "key").agg(F.max_by("skill", "t").alias("skill"), F.max_by("weight", "t").alias("weight"))
     summary = hits.groupBy("game", "key").agg(F.avg("hits").alias("mean_hits"), F.count(F.lit(1)).alias("evaluated")).join(last, ["game", "key"])
-    return {"signals": summary, "points": points, "ranks": isotonic(ranks, "rate", "rank"), "ranked": ranked}
+    return {"signals": summary, "points": points, "ranks": isotonic(ranks, "rate", "rank"), "ranked": ranked} | ({"model": model} if model is not None else {})

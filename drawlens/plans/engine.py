@@ -14,7 +14,7 @@ LEAST_DRAWS, MOST_POOL = 12, 150
 LABELS = {
     "freqAll": "comes often", "freqDow": "comes often on this weekday", "dowRecent": "came on this weekday lately", "recencyFast": "came in the last few draws", "recency": "came in recent draws", "recencySlow": "came over a longer while", "window10": "in the last 10 draws", "window20": "in the last 20 draws",
     "window50": "in the last 50 draws", "zone": "its neighbours come often", "hot": "above its own rate", "momentum": "rising", "overdue": "longer away than its mean gap", "hazard": "numbers away so long tend to come", "cycle": "near its usual gap", "repeat": "may repeat", "follower": "follows the last numbers",
-    "followerDow": "follows the last numbers on this weekday", "similarity": "came in similar situations",
+    "followerDow": "follows the last numbers on this weekday", "similarity": "came in similar situations", "mlModel": "the learned combination of all signals",
 }
 
 
@@ -43,13 +43,15 @@ def confidence(evaluated: Column, edge: Column) -> Column:
     return F.when((evaluated >= 120) & (edge >= 1.12), "High").when((evaluated >= 40) & (edge >= 1.03), "Medium").otherwise("Low")
 
 
-def prediction(h: History, weights: DataFrame | None = None, ranks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def prediction(h: History, weights: DataFrame | None = None, ranks: DataFrame | None = None, model: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(numbers, reasons) for the next draw. numbers: game, t, n, score, rank, probability (by rank; the even share without ranks). reasons: game, n, place, key, contribution, reason: each number's six largest.
 
-    weights: game, key, weight (even, if not given); ranks: game, rank, fit, as of learn.backtest().
+    weights: game, key, weight (even, if not given); ranks: game, rank, fit; model: game, t, n, mlModel, the learned combiner's scores of the next draw; all as of learn.backtest().
     """
     z = signals.long(signals.normalised(signals.raw(h)))
-    weighted = z.withColumn("weight", F.lit(1 / len(signals.KEYS))) if weights is None else z.join(weights.where("weight > 0").select("game", "key", "weight"), ["game", "key"])
+    if model is not None:
+        z = z.unionByName(signals.long(model.withColumn("hit", F.lit(None).cast(z.schema["hit"].dataType)), [learn.ML_KEY]))
+    weighted = z.withColumn("weight", F.lit(1 / (len(signals.KEYS) + (model is not None)))) if weights is None else z.join(weights.where("weight > 0").select("game", "key", "weight"), ["game", "key"])
     parts = weighted.select("game", "t", "n", "key", (F.col("weight") * F.col("value")).alias("contribution"))
     score = parts.groupBy("game", "t", "n").agg(F.round(F.sum("contribution"), 12).alias("score"))
     score = score.withColumn("rank", F.row_number().over(Window.partitionBy("game").orderBy(F.col("score").desc(), "n")))
@@ -110,7 +112,7 @@ def analysed(history: History, evaluated: bool = True) -> dict[str, DataFrame]:
     h = History(cut(h.draws), h.k, h.d, h.ks)  # every table below reads the draws again
     h = History(cut(h.draws.join(problems(h), "game", "left_anti")), h.k, h.d, h.ks)
     test = learn.backtest(h) if evaluated else None
-    numbers, reasons = prediction(h, test["signals"] if test else None, test["ranks"] if test else None)
+    numbers, reasons = prediction(h, test["signals"] if test else None, test["ranks"] if test else None, test["model"] if test else None)
     out = {
         "problems": problems(history), "eras": eras.detect(history), "next_draw": signals.next_draw(h), "numbers": numbers, "reasons": reasons, "number_stats": number_stats(h), "hot_cold": describe.hot_cold(h), "overdue": describe.overdue(h), "pairs": describe.top_pairs(h),
         "followers": describe.top_followers(h), "weekdays": describe.weekday_profiles(h), "weekday_tests": describe.weekday_significance(h), "trends": describe.trends(h), "streaks": describe.current_streaks(h), "positions": positions.statistics(h), "profiles": positions.profiles(h), "overlaps": overlaps.histogram(history),

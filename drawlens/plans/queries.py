@@ -101,7 +101,7 @@ def queries() -> dict[str, Query]:
         "band_count": lambda s, d: u(s).where("sorted[0] between 1 and 6 and sorted[1] between 4 and 12 and sorted[2] between 8 and 15 and sorted[3] between 10 and 20").agg(F.count(F.lit(1)).alias("combinations")),
         "rule_space_share": lambda s, d: constraints.space_histogram(u(s), 20, 4).where("feature = 'sum'").select("bin", "combinations"), "portfolio_exact": lambda s, d: rounded(portfolio(s), 9),
         # Not for SQL: folds, samples and greedy choices, which tests hold against plain versions.
-        "signals_next": _of(lambda h: signals.normalised(signals.raw(h)).drop("hit")), "bonus_signals": _of(signals.bonus), "walk_forward_signals": _of(lambda h: learn.backtest(h)["signals"]), "rank_calibration": _of(lambda h: learn.backtest(h)["ranks"]),
+        "signals_next": _of(lambda h: signals.normalised(signals.raw(h)).drop("hit")), "bonus_signals": _of(signals.bonus), "walk_forward_signals": _of(lambda h: learn.backtest(h)["signals"]), "rank_calibration": _of(lambda h: learn.backtest(h)["ranks"]), "ml_combiner": _of(lambda h: learn.combiner(h)[1]),
         "constraint_rules": _of(constraints.rules), "constraint_modes": _of(constraints.modes), "pool_replay": _of(constraints.cut_by), "overlap_law": _of(constraints.closed_form_overlap, 9),
         "ticket_deal": _of(ticket_deal), "best_combinations": _of(lambda h: joined(combinations.best_combinations(describe.frequency(h).select("game", "n", F.col("rate").alias("score")), h))), "positional_fit": _of(lambda h: positions.fit(h, [5, 17, 31, 44, 62])),
     }

@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from drawlens.history import History
-from drawlens.operators import learn, money
+from drawlens.operators import learn, money, signals
 from drawlens.plans import engine
 from drawlens.sources import generated
 
@@ -54,3 +54,14 @@ def test_reality_and_inspection(spark):
     points = learn.backtest(h, ["freqAll", "window20"])["points"]
     real = engine.reality(points, h, h.d).collect()
     assert sum(r.observed for r in real) == 230 and abs(sum(r.expected for r in real) - 230) < 1e-6
+
+
+def test_all_signals_and_the_combiner_are_evaluated(spark):
+    h = generated.fair(spark, 60)
+    h = History(h.draws.persist(), h.k, h.d, h.ks)
+    out = engine.analysed(h)
+    assert {r.key for r in out["signals"].collect()} == {*signals.KEYS, "mlModel"}
+    assert {r.key for r in engine.prediction(h, *(learn.backtest(h)[x] for x in ("signals", "ranks", "model")))[1].collect()} >= {"similarity", "mlModel"}
+    # the live scores come from a fold over all draws before, so they differ from number to number
+    model = learn.combiner(h)[1].collect()
+    assert sorted(r.n for r in model) == list(range(1, h.k + 1)) and {r.t for r in model} == {60} and len({r.mlModel for r in model}) > 10
