@@ -28,9 +28,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and drops documents so that the sources come near their targets, in the order in which training takes them."""
     sized = docs.withColumn("_size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")).withColumn("_text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    rows = mixing.in_order(mixing.mix(sized, "source", "_size", ["doc_id", "_text_key"]))
-    times = F.ceil(F.col("taken") / F.col("_size")).cast("int")
-    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    return mixing.in_order(mixing.mix(sized, "source", "_size", ["doc_id", "_text_key"])).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

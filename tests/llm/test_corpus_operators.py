@@ -214,6 +214,21 @@ def test_mix(spark, odd_docs):
     assert odd.count() == odd_docs.count() and mixing.mix(odd_docs.limit(0), "source", "size", ["doc_id"]).count() == 0
 
 
+def test_repeats_are_laid_along_the_whole_run(spark):
+    rows = [(i, "a" if i < 40 else "b", 10) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    mixed = mixing.mix(df, "source", "size", ["doc_id"])
+    for x in mixed.where("source = 'a'").collect():
+        assert x.taken == 30 and len(x.positions) == 3 and x.positions[0] == x.position and x.positions == sorted(x.positions)
+        demand = [p - 0.5 * (p * p - p) for p in x.positions]  # the first of two sources fades
+        assert all(abs(b - a - 1 / 3) < 1e-9 for a, b in zip(demand, demand[1:], strict=False))
+    order = mixing.in_order(mixed).select("doc_id", "source", "position").collect()
+    at = [x.position for x in order]
+    assert at == sorted(at) and sum(x.source == "a" for x in order) == 120
+    late = sum(x.source == "a" and x.position >= 0.5 for x in order)
+    assert abs(late - 45) <= 1  # 1 - (1.5 t - 0.5 t^2) of 120 uses; first uses alone end at t = 0.24
+
+
 @pytest.mark.parametrize("slope", [-0.5, -0.2, 0.0, 0.3, 0.5])
 def test_positions_invert_the_schedule(spark, slope):
     t = spark.range(11).select((F.col("id") / 10).alias("t")).withColumn("d", F.col("t") + slope * (F.col("t") * F.col("t") - F.col("t")))
