@@ -15,8 +15,8 @@ IP_AT = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD_AT = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\x20-]?[0-9])"
 PHONE_AT = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
-# A label with its separator, and the value that stands behind it.
-LABELLED_AT = r"""(?<![\p{L}_-])[\p{L}_-]{2,30}\x20?[:=#]\x20{0,2}[^\s"',;:=#]{5,80}"""
+# A label with its separator, and the whole value that stands behind it; phones and cards hold spaces, other values end there.
+LABELLED_AT = rf"""(?<![\p{{L}}_-])[\p{{L}}_-]{{2,30}}\x20?[:=#]\x20{{0,2}}(?:{PHONE_AT}|{CARD_AT}|[^\s"',;:=#]{{5,}}+)"""
 LABEL_AT = r"^([\p{L}_-]+\x20?[:=#])\x20{0,2}(.+)$"
 
 
@@ -46,7 +46,7 @@ def confident_labels(edges: DataFrame, rounds: int = 3, least_seeds: int = 3, co
 
     edges: label, value, seed (the value is personal data by its form). A label's score is the mean belief in its distinct values, with one
     unbelieved value added; a value's belief is 1 for a seed, else the chance that at least one of its confident labels is right. Beliefs and
-    scores are recomputed `rounds` times. A label needs `least_seeds` distinct seeds of its own.
+    scores are recomputed `rounds` times. A label needs values whose beliefs sum up to `least_seeds`, as of so many distinct seeds.
     """
     edges = materialise(edges.groupBy("label", "value").agg(F.max("seed").alias("seed")), "labels")
     belief = F.col("seed").cast("double")
@@ -58,8 +58,8 @@ def confident_labels(edges: DataFrame, rounds: int = 3, least_seeds: int = 3, co
             doubt = edges.join(trusted, "label").groupBy("value").agg(F.sum(F.log1p(-F.least("score", F.lit(0.999999)))).alias("doubt"))
             scored = edges.join(doubt, "value", "left")
             belief = F.when(F.col("seed"), 1.0).otherwise(F.coalesce(1 - F.exp("doubt"), F.lit(0.0)))
-        scores = scored.groupBy("label").agg((F.sum(belief) / (F.count(F.lit(1)) + 1)).alias("score"), F.sum(F.col("seed").cast("long")).alias("seeds"))
-        scores = scores.where(F.col("seeds") >= least_seeds)
+        scores = scored.groupBy("label").agg((F.sum(belief) / (F.count(F.lit(1)) + 1)).alias("score"), F.sum(belief).alias("support"))
+        scores = scores.where(F.col("support") >= least_seeds - 1e-9)
     return scores.where(F.col("score") >= confidence).select("label", "score")
 
 

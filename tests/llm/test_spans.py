@@ -90,3 +90,20 @@ def test_digest_columns(spark, tmp_path):
     r = queries.op5_secrets(spark, str(tmp_path)).first()
     assert (r.n_assign, r.n_access, r.n_hex) == (1, 1, 0) and r.spans == "assign:0:19,access:24:44" and r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
     assert spans.joined(F.array(), secrets.KINDS) is not None
+
+
+def test_believed_values_make_new_labels_confident(spark):
+    seeds = [("a", f"v{i}", i < 38) for i in range(42)]  # confident by its seeds, so v38 to v41 are believed
+    edges = seeds + [("b", "v0", True), ("b", "v1", True), *[("b", f"v{i}", False) for i in range(38, 42)], *[("c", f"w{i}", i < 2) for i in range(4)]]
+    got = {r.label for r in pii.confident_labels(spark.createDataFrame(edges, "label string, value string, seed boolean")).collect()}
+    assert got == {"a", "b"}
+
+
+def test_seeds_with_spaces_and_long_values(spark):
+    rows = [(i, f"phone: +1 (555) 123-45{i:02}") for i in range(20, 26)] + [(i, f"card: 4111 1111 1111 1111, ref# {'x' * 90}{i}") for i in range(3)] + [(50, "phone: 0049-30-1234 and"), (51, "phone: " + "9a" * 70 + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, s.found) for s in r.spans] for r in pii.find(df).collect()}
+    assert found[20] == [(pii.PHONE, "+1 (555) 123-4520")] and found[0] == [(pii.CARD, "4111 1111 1111 1111")]
+    assert found[50] == [(pii.CONTEXT, "0049-30-1234")]
+    assert found[51] == [(pii.CONTEXT, "9a" * 70)]
+    assert {r.text for r in pii.redact(df.where("doc_id <> 50")).collect()} >= {"phone: <context> end"}
