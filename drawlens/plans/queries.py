@@ -69,7 +69,7 @@ def portfolio(spark: SparkSession) -> DataFrame:
 
 def ticket_deal(h: History) -> DataFrame:
     scores = describe.frequency(h).select("game", "n", F.col("rate").alias("score"))
-    return combinations.deal(scores, h, 5, tries=200, accept=F.size(money.crowd_markers(F.col("numbers"), h.k)) == 0).select("game", "ticket", F.array_join("numbers", "-").alias("numbers"))
+    return combinations.deal(scores, h, 5, accept=F.size(money.crowd_markers(F.col("numbers"), h.k)) == 0).select("game", "ticket", F.array_join("numbers", "-").alias("numbers"))
 
 
 def queries() -> dict[str, Query]:

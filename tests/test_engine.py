@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from drawlens.history import History
 from drawlens.operators import learn, money, signals
-from drawlens.plans import engine
+from drawlens.plans import engine, queries
 from drawlens.sources import generated
 
 
@@ -65,3 +65,10 @@ def test_all_signals_and_the_combiner_are_evaluated(spark):
     # the live scores come from a fold over all draws before, so they differ from number to number
     model = learn.combiner(h)[1].collect()
     assert sorted(r.n for r in model) == list(range(1, h.k + 1)) and {r.t for r in model} == {60} and len({r.mlModel for r in model}) > 10
+
+
+def test_tickets_are_dealt_with_all_tries(spark, monkeypatch):
+    given, deal = {}, queries.combinations.deal
+    monkeypatch.setattr(queries.combinations, "deal", lambda *a, **k: given.update(k) or deal(*a, **k))
+    tickets = queries.ticket_deal(generated.fair(spark, 60))
+    assert "tries" not in given and tickets.count() == 5
