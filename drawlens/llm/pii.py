@@ -10,13 +10,14 @@ EMAIL, IP, CARD, PHONE, CONTEXT = range(5)
 KINDS = ["email", "ip", "card", "phone", "context"]
 
 # Fixed patterns. Each starts where a run starts, so that a long run is read once; the sets and repetitions are those of the kinds' definitions.
-EMAIL_AT = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+"
+# No group with a body of variable length is repeated (Java matches those by recursion): a domain runs on to two dots, a dot at its end, or what no domain holds.
+EMAIL_AT = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9-][A-Za-z0-9.-]*?(?=\.\.|\.?(?![A-Za-z0-9.-]))"
 IP_AT = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD_AT = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\x20-]?[0-9])"
 PHONE_AT = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 # A label with its separator, and the whole value that stands behind it; phones and cards hold spaces, other values end there.
-LABELLED_AT = rf"""(?<![\p{{L}}_-])[\p{{L}}_-]{{2,30}}\x20?[:=#]\x20{{0,2}}(?:{PHONE_AT}|{CARD_AT}|[^\s"',;:=#]{{5,}}+)"""
+LABELLED_AT = rf"""(?<![\p{{L}}_-])[\p{{L}}_-]{{2,}}+\x20?[:=#]\x20{{0,2}}(?:{PHONE_AT}|{CARD_AT}|[^\s"',;:=#]{{5,}}+)"""
 LABEL_AT = r"^([\p{L}_-]+\x20?[:=#])\x20{0,2}(.+)$"
 
 

@@ -12,21 +12,24 @@ KINDS = ["assign", "access", "hex", "weak_id", "weak_secret", "endpoint"]
 ASSIGN_AT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS_AT = r"AKIA[A-Z0-9]{16,}"
 HEX_AT = r"[0-9a-f]{24,}"
-WEAK_ID_AT = r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])[A-Z0-9]{16,32}(?![A-Za-z0-9])"
-WEAK_SECRET_AT = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{32,64}={0,2}(?![A-Za-z0-9+/_=-])"
-ENDPOINT_AT = r"""(?:https?|wss?|ftp|jdbc:[a-z]+|amqps?|redis|mongodb)://[^\s"'<>]{4,300}"""
+# Weak identifiers: upper-case runs of any length, mixed runs shorter than a secret, and UUIDs. Weak secrets and endpoints have no greatest length.
+WEAK_ID_AT = (
+    r"(?<![A-Za-z0-9-])(?:(?=[A-Z]*[0-9])[A-Z0-9]{16,}+|(?=[A-Za-z]*[0-9])[A-Za-z0-9]{16,31}|[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12})(?![A-Za-z0-9-])"
+)
+WEAK_SECRET_AT = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])"
+ENDPOINT_AT = r"""(?:https?|wss?|ftp|jdbc:[a-z]+|amqps?|redis|mongodb)://[^\s"'<>]{4,}+"""
 
 
 def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, scope: int = 200) -> DataFrame:
     """The columns `keep` of docs (all but the text, if not given) and `spans`: an array of (start, kind, end, found, base).
 
     Kinds assign, access and hex are reported wherever they are found (`base` true). Identifiers, secrets and endpoints of weaker looks are
-    reported only with their complement, whose start lies within `scope` code points of theirs in the same document: an
+    reported only with their complement, at most `scope` code points away (from the end of the one to the start of the other) in the same document: an
     identifier with a secret, a secret with an identifier, an endpoint with both. Strong finds count as complements: access as an identifier, assign and
     hex as secrets. A weak find that overlaps a strong one is the same text again and isn't reported.
 
-    The interval join is made of sorted neighbours: if any complement lies within the scope, so does the nearest one before
-    or after; no pairs are built. Rows of one document meet in one task, whose sort spills; a null or empty text has no spans; repeated rows are
+    The interval join is made of sorted neighbours: if any complement lies within the scope, so does the one that ends last of those that start before,
+    or the first that starts after; no pairs are built. Rows of one document meet in one task, whose sort spills; a null or empty text has no spans; repeated rows are
     handled each by itself; an empty table gives an empty result. A column of docs named `spans` is replaced; other names may be any.
     """
     keep = spans.columns_for(docs, text, keep)
@@ -50,8 +53,8 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, sco
     rows = rows.withColumn("kind", F.when(strong | ~F.coalesce(covered, F.lit(False)), kind))
 
     def near(which):
-        at = F.when(which, start)
-        return F.coalesce(start - F.max(at).over(before) <= scope, F.lit(False)) | F.coalesce(F.min(at).over(after) - start <= scope, F.lit(False))
+        earlier, later = F.max(F.when(which, end)).over(before), F.min(F.when(which, start)).over(after)
+        return F.coalesce(start - earlier <= scope, F.lit(False)) | F.coalesce(later - end <= scope, F.lit(False))
 
     rows = rows.withColumn("_id", near(kind.isin(ACCESS, WEAK_ID))).withColumn("_secret", near(kind.isin(ASSIGN, HEX, WEAK_SECRET)))
     linked = F.when(kind == WEAK_ID, F.col("_secret")).when(kind == WEAK_SECRET, F.col("_id")).when(kind == ENDPOINT, F.col("_id") & F.col("_secret"))

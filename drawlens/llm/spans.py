@@ -16,14 +16,13 @@ def parts(text: Column, kind: int, pattern: str, when: Column | None = None, lef
 
     `when` is a cheap test that holds for every text with a match.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    # Matches and gaps are zipped, so that each array is made once, not once for each match.
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    both = F.filter(F.arrays_zip(found.alias("found"), gaps.alias("gap")), lambda x: x["found"].isNotNull())
     near = (lambda g: F.right(g, F.lit(left))) if left else (lambda g: F.lit(None).cast("string"))
     each = F.transform(
-        found,
-        lambda m, i: F.struct(
-            F.lit(kind).alias("kind"), i.cast("int").alias("i"), F.char_length(F.get(gaps, i)).cast("int").alias("gap"), near(F.get(gaps, i)).alias("left"), m.alias("found")
-        ),
+        both,
+        lambda x, i: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), F.char_length(x["gap"]).cast("int").alias("gap"), near(x["gap"]).alias("left"), x["found"].alias("found")),
     )
     has = F.regexp_like(text, F.lit(pattern))
     return F.when(has if when is None else when & has, each).otherwise(F.array().cast(PART))
