@@ -77,8 +77,8 @@ def _throw(best, names, of, element, weight, limit, strip, low, width, k, seed)
         best[slot[better]], names[slot[better]] = key[better], d[better]
 
 
-def shingles(h: np.ndarray, text: np.ndarray, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each text: the text's number and a hash, in order of both. A text of fewer words is one shingle; one of none has none."""
+def shingles(h: np.ndarray, text: np.ndarray, n: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text: the text's number, a hash, and the weight (how often the text has it), in order of the first two. A text of fewer words is one shingle; one of none has none."""
     size = np.bincount(text, minlength=n)
     start = np.cumsum(size) - size
     mixed = np.zeros(len(h), np.uint64)
@@ -89,8 +89,16 @@ def shingles(h: np.ndarray, text: np.ndarray, n: int, words: int) -> tuple[np.nd
     keep = np.arange(len(h)) - start[text] <= size[text] - span
     order = np.lexsort((mixed[keep], text[keep]))
     t, m = text[keep][order], mixed[keep][order]
-    new = np.r_[True, (t[1:] != t[:-1]) | (m[1:] != m[:-1])] if len(t) else np.zeros(0, bool)
-    return t[new], m[new]
+    new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (m[1:] != m[:-1])]) if len(t) else np.zeros(0, np.int64)
+    return t[new], m[new], np.diff(np.r_[new, len(t)]).astype(float)
+
+
+def _units(t: np.ndarray, m: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted shingles as sets: a shingle of weight k becomes k elements, so that plain set operations give weighted similarities."""
+    k = weight.astype(np.int64)
+    row = np.repeat(np.arange(len(m)), k)
+    again = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
+    return t[row], np.where(again > 0, _mixed(m[row] + again.astype(np.uint64) * GOLD), m[row])
 
 
 def _words(tokens: Tokens, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,72 +122,69 @@ def _first(node: np.ndarray) -> np.ndarray:
 
 
 def contents(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Two tables: of documents (key, node), and of contents (node, size, bands) for texts with words. A content is written once for each slice of a batch that holds it."""
+    """Two tables: of documents (key, at: a hash of the text as it is, node), and of contents (node, size, bands) for texts with words; size is the sum of the weights. A content is written once for each slice of a batch that holds it."""
     k = bands * rows
-    schema = T.StructType([docs.schema[key], T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("at", T.LongType()), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         for batch in batches:
-            for lo, hi, data, ends in slices(batch.column(1)):
+            for lo, hi, data, ends in slices(batch.column(2)):
                 n = hi - lo
                 h, of, node = _words(tokens, data, ends)
                 own = _first(node)[of]
-                t, m = shingles(h[own], of[own], n, words)
-                sig = signatures(t, m, np.ones(len(t)), n, k)
+                t, m, weight = shingles(h[own], of[own], n, words)
+                sig = signatures(t, m, weight, n, k)
                 folded = np.zeros((n, bands), np.uint64) + np.arange(1, bands + 1).astype(np.uint64) * GOLD
                 for r in range(rows):
                     folded = _mixed(folded + sig.reshape(n, bands, rows)[:, :, r])
-                counts = np.bincount(t, minlength=n)
-                has = counts > 0
+                sizes = np.bincount(t, weight, n)
+                has = sizes > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(has, bands, 0))].astype(np.int32)), pa.array(folded[has].reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(node), pa.array(counts.astype(np.int32)), lists], names=schema.names)
-
-    made = materialise(docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, schema), "contents")
-    return made.select(key, "node"), made.where(F.size("bands") > 0).select("node", "size", "bands")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(node), pa.array(sizes.astype(np.int32)), lists], names=schema.names)
 
+    given = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    made = materialise(given.mapInArrow(run, schema), "contents")
+    return made.select("key", "at", "node"), made.where(F.size("bands") > 0).select("node", "size", "bands")
 
-PIVOTS = 2  # rounds of stars to the largest part of a band
-SKETCH = 512  # coordinates of which candidates keep one bit each
-FILTER_BITS = 27  # of the filter of nodes: 16 MB, whatever the number of nodes
 
-
-def sets_of(docs: DataFrame, text: str, words: int, nodes: DataFrame) -> DataFrame:
-    """node, shingles, bits: the whole sets of the contents in nodes, and a bit of each coordinate of a longer signature, read from the texts again, so that no other set is ever written or shuffled.
-
-    Tasks get the nodes as a filter of a fixed size. What passes by chance is taken out by the join that uses the result, and if the nodes fill the filter, all passes.
-    """
-    bit = F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))  # nodes are hashes, and so are their last bits
-    cells = nodes.select(F.floor(bit / 64).cast("int").alias("cell"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit"))
-    held = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
-    flags = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    flags[held["cell"].to_numpy(int)] = held["bits"].to_numpy(np.int64)
-    known = docs.sparkSession.sparkContext.broadcast(flags)
+def sets_of(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
+    """node, shingles: the whole weighted sets of the contents in wanted (key, at: of one document of each), read from the texts again, so that no other set is ever written or shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         for batch in batches:
             for lo, hi, data, ends in slices(batch.column(0)):
                 h, of, node = _words(tokens, data, ends)
-                bit = node & ((1 << FILTER_BITS) - 1)
-                wanted = _first(node) & ((known.value[bit >> 6] >> (bit & 63)) & 1).astype(bool)
-                t, m = shingles(h[wanted[of]], of[wanted[of]], hi - lo, words)
+                first = _first(node)
+                t, m = _units(*shingles(h[first[of]], of[first[of]], hi - lo, words))
                 counts = np.bincount(t, minlength=hi - lo)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array((m >> U(32)).astype(np.uint32).view(np.int32)))
-                has = np.flatnonzero(counts)
-                bits = np.zeros((hi - lo, SKETCH // 64), np.int64)
-                for at in range(0, len(has), 256):  # long signatures, some sets at a time
-                    some = has[at : at + 256]
-                    own = np.isin(t, some)
-                    sig = signatures(np.searchsorted(some, t[own]), m[own], np.ones(own.sum()), len(some), SKETCH, seed=2)
-                    bits[some] = np.packbits((sig >> U(36) & U(1)).astype(np.uint8), axis=1).view(np.int64)
-                sketches = pa.ListArray.from_arrays(pa.array((np.arange(hi - lo + 1) * (SKETCH // 64)).astype(np.int32)), pa.array(bits.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(node), lists, sketches], names=["node", "shingles", "bits"]).filter(pa.array(counts > 0))
-
-    found = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "node long, shingles array<int>, bits array<long>")
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(m.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(node), lists], names=["node", "shingles"]).filter(pa.array(counts > 0))
+
+    here = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_at"), F.col(text).alias("text"))
+    found = here.join(wanted, here["_key"].eqNullSafe(wanted["key"]) & (here["_at"] == wanted["at"]), "leftsemi").select("text").mapInArrow(run, "node long, shingles array<long>")
     return materialise(found.dropDuplicates(["node"]), "sets")
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """node, bits: of each set one bit of each of SKETCH coordinates. Two sets differ in half as large a part of the bits as they are apart; five deviations more are allowed, which a pair fails with a chance of 3e-7."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                n, lists = some.num_rows, some.column(1)
+                element = lists.flatten().to_numpy().view(np.uint64)
+                of = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+                sig = signatures(of, element, np.ones(len(of)), n, SKETCH, seed=2)
+                bits = np.packbits((sig >> U(36) & U(1)).astype(np.uint8), axis=1).view(np.int64)
+                rows = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * (SKETCH // 64)).astype(np.int32)), pa.array(bits.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([some.column(0), rows], names=["node", "bits"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, bits array<long>")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Of edges (a, b): node, comp, the smallest node of each connected component, by large and small stars in turn until nothing changes.
 
@@ -202,24 +207,42 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(edges.select("b", "b").distinct().toDF("node", "comp"))
 
 
+SKETCH = 2048  # coordinates of which the last contents to be compared keep one bit each
+PIVOTS = 3  # rounds in which the rest of every band is compared with one of its members
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, words: int = 5, bands: int = 24, rows: int = 5) -> DataFrame:
     """One row for each document: key, class_id (the smallest key of its class) and class_size.
 
-    Documents whose lower-cased words are the same are copies. Two contents are linked if the Jaccard similarity of their sets of `words`-word shingles is at
-    least `similarity`; classes are the connected parts. Contents that share a band of the signature are compared by their whole sets: first every
-    content with the lowest of its bands (stars, never all pairs of a band), then, after the parts are known, those of a band that are still in different parts,
-    where their sizes and a longer signature of one bit a coordinate allow the similarity (at just the similarity asked for, that test fails with a chance of 2e-4). At a similarity of 0.8 two contents share no band with a chance of 7e-5.
-
-    Null and empty texts have no words and are copies of each other. A document with a null key gets its class as any other; the key of a class of such alone is
+    Documents whose lower-cased words are the same are copies. Two contents are linked if the weighted Jaccard similarity of their shingles of `words` words (a shingle
+    weighs as often as the text has it) is at least `similarity`; classes are the connected parts. At a similarity of 0.8 two contents share no band of the signature with a chance of 7e-5; those that share
+    one are compared by their whole sets (but for the sketches' 3e-7, see _parts()). A null or empty text has no words, and all such are copies of each other. A document with a null key gets its class as any other; the key of a class of such alone is
     null. An empty table gives an empty result.
     """
+    members, nodes = _parts(docs, key, text, similarity, words, bands, rows)
+    heads = nodes.groupBy("comp").agg(F.min("one.key").alias("class_id"), F.sum("copies").alias("class_size"))
+    named = materialise(nodes.join(heads, "comp").select("node", "class_id", "class_size"), "classes")
+    return members.join(named, "node").select(F.col("key").alias(key), "class_id", "class_size")
+
+
+def _parts(docs: DataFrame, key: str, text: str, similarity: float, words: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """members (key, at, node) of the documents, and nodes: one row for each content with comp (its part), one (its document of the least key, nulls last) and copies.
+
+    Every content meets the lowest of its bands (stars, never all pairs of a band). Then only bands whose contents are in different parts are of interest: in
+    each round all their contents meet one, first the one with the least of its own. Shingles that no other content of these bands has can't be common to a pair, which
+    bounds the similarities that a content can have: those of whom nothing near enough can exist leave, and with them nearly all of a large group of copies that are
+    too far from each other. What then is still in one band and in different parts is compared pair by pair, by long sketches first.
+    """
     members, every = contents(docs, key, text, words, bands, rows)
+    one = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "at")).alias("one")
+    nodes = materialise(members.groupBy("node").agg(one, F.count(F.lit(1)).alias("copies")), "nodes")
     banded = materialise(every.dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("band")), "bands")
     lowest = banded.groupBy("band").agg(F.min(F.struct("node", "size")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     fits = lambda x, y: F.least(x, y) >= F.lit(similarity - 1e-9) * F.greatest(x, y)
     stars = banded.join(lowest, "band").where((F.col("node") != F.col("low.node")) & fits(F.col("size"), F.col("low.size")))
     stars = materialise(stars.groupBy(F.col("node").alias("a"), F.col("low.node").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "stars")
-    sets = sets_of(docs, text, words, banded.join(lowest.select("band"), "band", "leftsemi").select("node").distinct())
+    wanted = banded.join(lowest.select("band"), "band", "leftsemi").select("node").distinct()
+    sets = sets_of(docs, key, text, words, nodes.join(wanted, "node", "leftsemi").select("one.key", "one.at"))
 
     def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
         """The pairs that aren't in one part yet."""
@@ -232,38 +255,56 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     parts = components(found)
     found = found.unionByName(_verified(apart(stars, parts), sets, similarity))
     parts = components(found)
-    many = banded.join(lowest.where("n > 2").select("band"), "band", "leftsemi")
 
-    def labelled_by(parts: DataFrame) -> DataFrame:
+    def unsettled(rows: DataFrame, parts: DataFrame) -> DataFrame:
         """The rows of bands whose contents are in different parts, with comp."""
-        rows = many.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        rows = rows.drop("comp").join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = rows.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y")
         return rows.join(mixed.select("band"), "band", "leftsemi")
 
-    # Contents outside the largest part of a band with a member of that part, another one in every band and round.
+    rest = materialise(unsettled(banded.join(lowest.where("n > 2").select("band"), "band", "leftsemi"), parts), "unsettled")
+    # Elements that only one of these contents has: `most` is what a content can have in common with another.
+    elements = sets.join(rest.select("node").distinct(), "node", "leftsemi").select("node", F.explode("shingles").alias("e"))
+    alone = elements.groupBy("e").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    rest = rest.join(alone, "node", "left").withColumn("most", F.col("size") - F.coalesce("own", F.lit(0)))
+    rest = unsettled(rest.where(F.col("most") >= F.lit(similarity - 1e-9) * F.col("size")).drop("own"), parts)
+
+    def could(a: str, b: str):
+        common = F.least(f"{a}most", f"{b}most")
+        return common >= F.lit(similarity - 1e-9) * (F.col(f"{a}size") + F.col(f"{b}size") - common)
+
     for k in range(PIVOTS):
-        labelled = labelled_by(parts)
-        largest = labelled.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m"), F.min_by(F.struct("node", "size"), F.xxhash64("node", "band", F.lit(k))).alias("pivot"))
-        largest = largest.groupBy("band").agg(F.max_by(F.struct("comp", "pivot"), F.struct("m", "comp")).alias("top"))
-        pairs = labelled.join(largest, "band").where((F.col("comp") != F.col("top.comp")) & fits(F.col("size"), F.col("top.pivot.size"))).select(F.col("node").alias("a"), F.col("top.pivot.node").alias("b")).distinct()
+        rest = materialise(rest, "unsettled")
+        share = F.col("most") / F.col("size")
+        first = F.struct(share if k == 0 else F.lit(0.0), F.xxhash64("node", "band", F.lit(k)))
+        if k == 2:  # one of the largest part
+            largest = rest.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m"), F.max_by(F.struct("node", "size", "most", "comp"), first).alias("pivot"))
+            pivots = largest.groupBy("band").agg(F.max_by("pivot", F.struct("m", "comp")).alias("pivot"))
+        else:
+            pivots = rest.groupBy("band").agg(F.max_by(F.struct("node", "size", "most", "comp"), first).alias("pivot"))
+        pairs = rest.join(pivots, "band").where((F.col("comp") != F.col("pivot.comp")) & could("", "pivot.")).select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct()
         found = found.unionByName(_verified(pairs, sets, similarity))
         parts = components(found)
-    # What is left: contents of one band in different parts. Sizes within the similarity fall in the same or the next class of sizes.
-    labelled = labelled_by(parts).withColumn("step", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / similarity))).cast("int"))
-    labelled = labelled.join(sets.select("node", "bits"), "node").join(labelled.groupBy("node").agg(F.collect_list("band").alias("in")), "node")
-    side = lambda n: [F.col("node").alias(n), F.col("comp").alias(f"c{n}"), F.col("size").alias(f"s{n}"), F.col("bits").alias(f"x{n}"), F.col("in").alias(f"i{n}")]
-    left = labelled.select("band", F.explode(F.array("step", F.col("step") + 1)).alias("step"), F.col("step").alias("own"), *side("a"))
-    right = labelled.select("band", "step", *side("b"))
-    ordered = (F.col("a") < F.col("b")) | (F.col("own") != F.col("step"))
-    differ = sum((F.bit_count(F.get("xa", F.lit(i)).bitwiseXOR(F.get("xb", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
-    share = (1 - similarity) / 2  # of the bits that differ between sets just so similar; 3.5 deviations are allowed
-    most = int(SKETCH * share + 3.5 * (SKETCH * share * (1 - share)) ** 0.5)
-    cross = left.join(right, ["band", "step"]).where((F.col("ca") != F.col("cb")) & ordered & fits(F.col("sa"), F.col("sb")) & (differ <= most) & (F.array_min(F.array_intersect("ia", "ib")) == F.col("band")))  # each pair in the first band of both
-    cross = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+        rest = unsettled(rest, parts)
+    # What is left, pair by pair, each in the first band of both. Sizes within the similarity fall in the same or the next class of sizes.
+    rest = materialise(rest, "unsettled")
+    own = sets.join(rest.select("node").distinct(), "node", "leftsemi")
+    held = rest.groupBy("node").agg(F.collect_list("band").alias("in")).join(sketches(own), "node")
+    rest = rest.join(held, "node")
+    step = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
+    side = lambda n: [F.col(c).alias(f"{n}{c}") for c in ("node", "comp", "size", "most", "in", "bits")]
+    left = rest.withColumn("own", step).select("band", F.explode(F.array("own", F.col("own") + 1)).alias("step"), "own", *side("a"))
+    right = rest.select("band", step.alias("step"), *side("b"))
+    ordered = (F.col("anode") < F.col("bnode")) | (F.col("own") != F.col("step"))
+    differ = sum((F.bit_count(F.get("abits", F.lit(i)).bitwiseXOR(F.get("bbits", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    apart_by = (1 - similarity) / 2  # the part of the bits that differ between sets just so similar
+    near = differ <= int(SKETCH * apart_by + 5 * (SKETCH * apart_by * (1 - apart_by)) ** 0.5)
+    once = F.array_min(F.array_intersect("ain", "bin")) == F.col("band")
+    cross = left.join(right, ["band", "step"]).where((F.col("acomp") != F.col("bcomp")) & ordered & could("a", "b") & near & once)
+    cross = cross.select(F.greatest("anode", "bnode").alias("a"), F.least("anode", "bnode").alias("b")).distinct()
     parts = components(found.unionByName(_verified(cross, sets, similarity)))
-    placed = members.join(parts, "node", "left").select(key, F.coalesce("comp", "node").alias("comp"))
-    heads = placed.groupBy("comp").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return placed.join(heads, "comp").select(key, "class_id", "class_size")
+    nodes = nodes.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return members, nodes
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -274,9 +315,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return materialise(both.where(alike >= similarity - 1e-9).select("a", "b"), "links")
 
 
-def kept(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without the documents that aren't the first of their class, by key. Of rows that repeat a key one stays; rows without a key all stay,
-    as nothing names them."""
-    firsts = classes(docs, key, text, **how).where(F.col(key) == F.col("class_id")).select(key).distinct()
-    named = docs.join(firsts, key, "leftsemi").dropDuplicates([key])
-    return named.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+def kept(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, words: int = 5, bands: int = 24, rows: int = 5) -> DataFrame:
+    """docs with one row for each class of near duplicates: that of the smallest key (nulls come last), ties by the text's hash.
+
+    Classes are those of contents, so rows that repeat a key with other texts are told apart, and so are rows without a key. Rows that repeat both key and text are one
+    document; one of them stays.
+    """
+    _, nodes = _parts(docs, key, text, similarity, words, bands, rows)
+    heads = materialise(nodes.groupBy("comp").agg(F.min("one").alias("one")).select(F.col("one.key").alias("_head"), F.col("one.at").alias("_head_at")), "heads")
+    marked = docs.withColumn("_darts_at", F.xxhash64(text))
+    own = marked.join(heads, marked[key].eqNullSafe(heads["_head"]) & (marked["_darts_at"] == heads["_head_at"]), "leftsemi")
+    return own.dropDuplicates([key, "_darts_at"]).select(*docs.columns)

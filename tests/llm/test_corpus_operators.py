@@ -16,7 +16,8 @@ def plain_classes(docs):
     sets = {}
     for d, t in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[d] = frozenset(zip(*[w[i:] for i in range(5)], strict=False)) if len(w) >= 5 else frozenset([tuple(w)])
+        grams = list(zip(*[w[i:] for i in range(5)], strict=False)) if len(w) >= 5 else [tuple(w)]
+        sets[d] = frozenset((g, k) for g, n in collections.Counter(grams).items() for k in range(n))  # weighted: the second copy of a shingle is another element
     parent = {d: d for d in sets}
 
     def root(x):
@@ -57,6 +58,21 @@ def test_classes_as_brute_force(spark):
     assert got == plain_classes(rows)
 
 
+def test_kept_by_row(spark):
+    words = [f"w{i}" for i in range(40)]
+    near, other, third = " ".join([*words[:-1], "x"]), " ".join(words[::-1]), "quite another text of a few words"
+    rows = [(1, " ".join(words)), (1, other), (1, near), (2, other.upper()), (None, near), (None, third), (None, third), (3, "the one text of three")]
+    got = darts.kept(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) in [sorted([(0, third), (1, other), (3, "the one text of three"), (1, x)]) for x in (" ".join(words), near)]
+
+
+def test_repeated_lines_weigh(spark):
+    line = "this same line again and again "
+    rows = [(1, line * 40 + "tail one two three four"), (2, line * 39 + "tail one two three four"), (3, line * 4 + "tail one two three four")]
+    got = {r.doc_id: r.class_id for r in darts.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} == plain_classes(rows)
+
+
 def test_classes_of_odd_documents(spark, odd_docs):
     rows = darts.classes(odd_docs).collect()
     assert len(rows) == odd_docs.count()
@@ -65,7 +81,7 @@ def test_classes_of_odd_documents(spark, odd_docs):
     assert {r.class_id for r in rows if r.doc_id is None} == {None, 2}
     kept = darts.kept(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 5, 8, 9]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 5, 8, 9]  # the row of nulls is a copy of 2, the other without an id is not
     assert darts.classes(odd_docs.limit(0)).count() == 0
 
 
