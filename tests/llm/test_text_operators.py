@@ -174,7 +174,7 @@ def test_empty_training(spark, odd_docs):
 
 
 def test_seats_against_enumeration():
-    """A given customer sits alone with the chance that counting partitions gives."""
+    """The numbers of seatings are those that counting partitions gives."""
     s = lm.Seating(0.4, 0.5, np.zeros(lm.CONTEXTS))
 
     def partitions(n):
@@ -189,13 +189,32 @@ def test_seats_against_enumeration():
     weight = lambda p: math.prod(math.prod(j - 0.4 for j in range(1, x)) for x in p)
     for c in (2, 4, 7):
         for t in range(1, c + 1):
-            own = [(weight(p), p[-1] == 1 and True) for p in partitions(c) if len(p) == t]
-            # the last customer alone: partitions of c - 1 with a table more
-            alone = sum(weight(p) for p in partitions(c - 1) if len(p) == t - 1) if t > 1 else 0.0
-            got = s.alone(np.array([float(c)]), np.array([float(t)]))[0]
-            assert abs(got - alone / sum(w for w, _ in own)) < 1e-9
-    near = s.alone(np.array([200.0, 201.0]), np.array([40.0, 40.0]))
-    assert abs(near[0] / near[1] - 1) < 0.03
+            assert math.isclose(math.exp(s.log_s[c, t]), sum(weight(p) for p in partitions(c) if len(p) == t), rel_tol=1e-9)
+    # beyond EXACT customers the law goes on as it was, but for a constant of the cell
+    t, pull = np.arange(20.0, 90.0), np.full(70, -1.0)
+    near, far = (s.law(np.full(70, c), t, np.full(70, 3.0), pull) for c in (200.0, 201.0))
+    assert np.allclose(near - near[0], far - far[0], atol=0.4)
+
+
+def test_same_scores_however_dealt(spark):
+    r = random.Random(3)
+    corpus = [(i, " ".join(f"w{min(int(r.paretovariate(0.6)), 400)}" for _ in range(60))) for i in range(120)]
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    got = []
+    for partitions, rows in ((1, "10000"), (7, "5")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        try:
+            dealt = docs.repartition(partitions)
+            scored = lm.score(dealt, lm.fit(dealt, head=30)).cache()
+            got.append({x.doc_id: x.score for x in scored.collect()})
+            one = lm.perplexity(scored).first()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(abs(got[0][i] - got[1][i]) < 1e-6 for i in got[0])
+    tokens = 61 * 120
+    assert math.isclose(one.perplexity, 10 ** (-sum(got[1].values()) / tokens), rel_tol=1e-9) and one.perplexity < one.base_perplexity
 
 
 def plain_tables(counts, u, d, d0, tables, sweeps, r):
