@@ -58,6 +58,57 @@ def test_gif_round_trip(spark, odd_docs):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
     assert len({r.feature for r in rows if (r.t or "") == ""}) == 1
     assert gif.features(gif.stored(odd_docs.limit(0))).count() == 0
+    by_hand = {r.doc_id: r for r in rows if r.doc_id in (1, 5)}
+    for r in gif.stored(odd_docs).where("doc_id in (1, 5)").collect():
+        shown = list(gif.frames(bytes(r.media)))
+        counts = collections.Counter((int(p) >> 6 & 3) * 16 + (int(p) >> 14 & 3) * 4 + (int(p) >> 22 & 3) for f in shown for p in f.pixels.ravel() if int(p) >> 24)
+        want = f"frames={len(shown)};ms={sum(f.delay_ms for f in shown)};colours=" + ",".join(f"{i}:{counts[i]}" for i in sorted(counts))
+        assert by_hand[r.doc_id].feature == want and by_hand[r.doc_id].media_sha256 == hashlib.sha256(r.media).hexdigest() and by_hand[r.doc_id].media_bytes == len(r.media)
+    odd = gif.features(spark.createDataFrame([(1, None), (2, bytearray(b"GIF89a\1\0\1\0\0\0\0;"))], "id long, media binary")).orderBy("id").collect()
+    assert odd[0].payload_bytes is None and odd[0].feature is None and odd[1].payload_bytes == 0
+
+
+def textbook_decoder(data, bits):
+    clear, size, at, out = 1 << bits, bits + 1, 0, b""
+    table, last, number = [bytes([i]) for i in range(clear)] + [b"", b""], b"", int.from_bytes(data, "little")
+    base = list(table)
+    while True:
+        code, at = number >> at & ((1 << size) - 1), at + size
+        if code == clear:
+            table, size, last = list(base), bits + 1, b""
+        elif code == clear + 1:
+            return out
+        else:
+            now = table[code] if code < len(table) else last + last[:1]
+            if last and len(table) < 4096:
+                table.append(last + now[:1])
+            if len(table) == 1 << size and size < 12:
+                size += 1
+            out, last = out + now, now
+
+
+def test_media_by_another_decoder():
+    r = random.Random(2)
+    text = " ".join(r.choice(["the", "of", "and", "word", "text", "another", "frame"]) for _ in range(9000)).encode()
+    for raw in (text, bytes(r.randrange(256) for _ in range(3000)), b"", b"a" * 5000):
+        payload = gif.padded(raw)
+        media = gif.encode([payload])[0]
+        images = list(gif.Reader(media).images())
+        assert b"".join(textbook_decoder(x.codes, x.bits) for x in images) == payload
+        assert b"".join(x.tobytes() for x in gif.decoded(images)) == payload
+    images = list(gif.Reader(gif.encode([gif.padded(text)])[0]).images())
+    assert {x.disposal for x in images} == {0, 1, 2, 3} and {x.hole for x in images} == {None, 32} and len({x.delay_ms for x in images}) == 13 and len({x.palette.tobytes() for x in images}) > 1
+    assert len(gif.encode([gif.padded(text)])[0]) < 0.9 * len(text)
+
+
+def test_streams_that_end_early_or_err():
+    whole = plain_lzw(bytes([1, 2, 3, 1, 2, 3, 1, 2, 3]), 2)
+    early, both = gif.lzw([whole[:2]], 2)[0].tobytes(), gif.lzw([whole, whole[:2], b""], 2)
+    assert bytes([1, 2, 3, 1, 2, 3, 1, 2, 3]).startswith(early) and both[0].tobytes() == bytes([1, 2, 3, 1, 2, 3, 1, 2, 3]) and both[1].tobytes() == early and not len(both[2])
+    with pytest.raises(ValueError):
+        gif.lzw([bytes([0b111100])], 2)  # after the clear, a code that no table has
+    with pytest.raises(ValueError):
+        list(gif.frames(b"not a picture"))
 
 
 def plain_lzw(samples, bits):
@@ -117,7 +168,7 @@ def test_gif_rules(spark):
     assert rgba(1, 1, 1) == (0, 0, 255, 255) and rgba(2, 1, 1) == (255, 0, 0, 255)  # a hole shows what was there
     assert rgba(1, 1, 2) == (0, 0, 0, 0) and rgba(0, 0, 2) == (0, 0, 255, 255)  # cleared after frame 1
     assert [rgba(0, y, 3)[0] for y in range(4)] == [255, 0, 255, 0]  # rows of an interlaced frame come in passes
-    assert gif.histogram(f[0].pixels)[48] == 8 and gif.histogram(f[0].pixels)[12] == 8
+    assert gif.histograms([f[0].pixels])[0, 48] == 8 and gif.histograms([f[0].pixels])[0, 12] == 8
     rows = gif.timed_frames(spark.createDataFrame([(1, bytearray(g)), (2, None)], "id long, media binary")).orderBy("frame").collect()
     assert [(r.id, r.frame, r.delay_ms, r.width) for r in rows] == [(1, 0, 50, 4), (1, 1, 70, 4), (1, 2, 90, 4), (1, 3, 10, 4)] and sum(rows[0].histogram) == 16
 
@@ -127,7 +178,7 @@ def test_long_lzw_streams():
     for n, top in ((20_000, 4), (20_000, 256), (5, 256)):
         samples = bytes(r.randrange(top) for _ in range(n))
         bits = 2 if top == 4 else 8
-        assert gif.lzw(plain_lzw(samples, bits), bits) == samples
+        assert gif.lzw([plain_lzw(samples, bits), plain_lzw(samples[:50], bits)], bits)[0].tobytes() == samples
 
 
 def words(t):
