@@ -4,8 +4,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]  # fixed values
+
+
 def _date(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", y.cast("int"), m.cast("int"), d.cast("int")), "yyyy-MM-dd")
+    return F.when(y.cast("int").between(1900, 2200), F.try_to_date(F.format_string("%04d-%02d-%02d", y.cast("int"), m.cast("int"), d.cast("int")), "yyyy-MM-dd"))
 
 
 def date_of(text: Column, day_first: Column | bool = False) -> Column:
@@ -21,8 +24,8 @@ def date_of(text: Column, day_first: Column | bool = False) -> Column:
     is_day = F.when(a > 12, F.lit(True)).when(b > 12, F.lit(False)).otherwise(day_first)
     words = F.regexp_replace(F.regexp_replace(t, r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""), r"[,.]", "")
     month_first, day_word = r"^([A-Za-z]{3})[a-z]*\s+([0-9]{1,2})\s+([0-9]{4})", r"^([0-9]{1,2})\s+([A-Za-z]{3})[a-z]*\s+([0-9]{4})"
-    months = F.lit("janfebmaraprmayjunjulaugsepoctnovdec")  # fixed text
-    index = lambda x: F.floor((F.position(F.lower(x), months) - 1) / 3) + 1
+    months = F.create_map(*[F.lit(v) for i, m in enumerate(MONTHS, 1) for v in (m, i)])
+    index = lambda x: F.try_element_at(months, F.lower(x))
     n = F.regexp_extract(t, serial, 1).try_cast("int")
     guard = lambda ok, value: F.when(ok, value)
     return F.coalesce(

@@ -1,6 +1,7 @@
 """Features of a combination, as column expressions over its ascending array."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,39 +60,48 @@ def conditional(s: Column, prev: Column, last3: Column, last10: Column) -> dict[
     return {name: F.when(has, c) for name, c in own.items()}
 
 
-def _multiple_of(m: int) -> Callable[[Column], Column]:
-    return lambda x: x % m == 0
-
-
-def _remainder(m: int) -> Callable[[Column], Column]:
-    return lambda x: x % m
+# The play slip has columns of 14 numbers and five of them, the widths of grids in which a column counts, the widest of the tight steps,
+# the least common factor, the span and the gap that make a family, and the numbers of some.
+SLIP, SLIP_COLUMNS, GRIDS, TIGHT_STEP, LEAST_FACTOR, TIGHT_SPAN, WIDE_GAP = 14, 5, (9, 11, 12, 13), 11, 6, 7, 15
+FIBONACCI, POWERS_OF_TWO = [1, 2, 3, 5, 8, 13, 21, 34, 55], [1, 2, 4, 8, 16, 32, 64, 128]
 
 
 def families(s: Column, k: int, d: int) -> dict[str, Column]:
-    """Named kinds of combination that are cut from a pool or watched, as tests of the ascending array."""
-    every = lambda test: F.forall(s, test)
-    at = lambda i: F.element_at(s, i)
-    steps = gaps_of(s)
-    even = F.size(F.array_distinct(steps)) == 1
-    span = at(d) - at(1)
-    tens = F.transform(s, lambda x: F.floor(x / 10))
-    digit = F.transform(s, lambda x: x % 10)
-    among = lambda values: F.size(F.array_except(s, F.array(*[F.lit(v) for v in values]))) == 0
-    fib = [1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144]
-    powers = sorted({i * i for i in range(1, 13)} | {i**3 for i in range(1, 6)})
-    digit_sum = F.transform(s, lambda x: F.floor(x / 100) + F.floor(x / 10) % 10 + x % 10)
-    same_multiple = F.lit(False)
-    for m in range(6, k // d + 1):
-        same_multiple = same_multiple | every(_multiple_of(m))
-    grid = F.lit(False)
-    for width in (9, 11, 12, 13):
-        grid = grid | (F.size(F.array_distinct(F.transform(s, _remainder(width)))) == 1)
-    like = F.forall(F.sequence(F.lit(3), F.lit(d)), lambda i: F.element_at(s, i) == F.element_at(s, i - 1) + F.element_at(s, i - 2))
+    """Named kinds of combination that are cut from a pool or watched, as tests of the ascending array. The tests name each place, without lambdas, so that they compile."""
+    n = [F.element_at(s, i) for i in range(1, d + 1)]
+    steps = [b - a for a, b in zip(n, n[1:], strict=False)]
+    every = lambda tests: reduce(lambda a, b: a & b, tests, F.lit(True))
+    some = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
+    alike = lambda f: every(f(x) == f(n[0]) for x in n[1:])
+    among = lambda values: every(x.isin([v for v in values if v <= k] or [0]) for x in n)
+    div = lambda x, m: F.floor(x / m)
+    even = every(g == steps[0] for g in steps[1:])
+    digits = lambda x: [(x % 10, F.lit(True)), (div(x, 10) % 10, x >= 10), (div(x, 100), x >= 100)]
+    seen = reduce(lambda a, b: a.bitwiseOR(b), [F.when(has, F.element_at(F.array(*[F.lit(1 << i) for i in range(10)]), v.cast("int") + 1)).otherwise(0) for x in n for v, has in digits(x)])
+    row, column = (lambda x: (x - 1) % SLIP), (lambda x: div(x - 1, SLIP))
     return {
-        "oneDecade": F.size(F.array_distinct(tens)) == 1, "mult5": every(lambda x: x % 5 == 0), "sameDigit": F.size(F.array_distinct(digit)) == 1, "evenSpaced": even, "evenStepTight": even & (F.get(steps, F.lit(0)) <= 11),
-        "tightSpan": span <= 2 * d, "runFive": even & (F.get(steps, F.lit(0)) == 1), "slipRow": F.size(F.array_distinct(F.transform(s, lambda x: F.floor((x - 1) / 5)))) == 1, "slipColumn": F.size(F.array_distinct(F.transform(s, lambda x: x % 5))) == 1,
-        "squareCube": among(powers), "fib": among(fib), "digitSum": F.size(F.array_distinct(digit_sum)) == 1, "column7": F.size(F.array_distinct(F.transform(s, lambda x: x % 7))) == 1,
-        "wideGaps": F.array_min(steps) >= (k - 1) // d, "allPrime": F.size(F.array_except(s, F.array(*[F.lit(p) for p in PRIMES]))) == 0, "sameMultiple": same_multiple, "gridColumn": grid,
-        "powerTwo": among([1, 2, 4, 8, 16, 32, 64, 128]), "repdigit": every(lambda x: (x >= 11) & (x % 11 == 0)), "mirrorPool": F.forall(F.sequence(F.lit(1), F.lit(d)), lambda i: F.element_at(s, i) + F.element_at(s, d + 1 - i) == k + 1), "fibLike": like if d >= 3 else F.lit(False),
+        "oneDecade": alike(lambda x: div(x, 10)),
+        "mult5": every(x % 5 == 0 for x in n),
+        "sameDigit": alike(lambda x: x % 10),
+        "evenSpaced": even,
+        "evenStepTight": even & (steps[0] <= TIGHT_STEP),
+        "tightSpan": n[-1] - n[0] <= TIGHT_SPAN,
+        "runFive": every(g == 1 for g in steps),
+        "slipRow": alike(row),
+        "slipColumn": alike(lambda x: F.least(column(x), F.lit(SLIP_COLUMNS - 1))),
+        "squareCube": among(sorted({i * i for i in range(1, 13)} | {i**3 for i in range(1, 6)})),
+        "fib": among(FIBONACCI),
+        "digitSum": alike(lambda x: div(x, 100) + div(x, 10) % 10 + x % 10),
+        "column7": alike(lambda x: x % 7),
+        "wideGaps": every(g >= WIDE_GAP for g in steps),
+        "allPrime": among(PRIMES),
+        "sameMultiple": some(every(x % m == 0 for x in n) for m in range(LEAST_FACTOR, k // d + 1)),
+        "gridColumn": some(alike(lambda x, m=m: x % m) for m in GRIDS),
+        "slipDiagonal": alike(lambda x: row(x) - column(x)) | alike(lambda x: row(x) + column(x)),
+        "twoDigits": F.bit_count(seen) <= 2,
+        "powerTwo": among(POWERS_OF_TWO),
+        "repdigit": every((x >= 11) & ((x < 100) & (x % 11 == 0) | (x >= 100) & (x % 111 == 0)) for x in n),
+        "mirrorPool": every(a + b == k + 1 for a, b in zip(n, n[::-1], strict=True)),
+        "fibLike": every(c == a + b for a, b, c in zip(n, n[1:], n[2:], strict=False)),
         "triangular": among([i * (i + 1) // 2 for i in range(1, 17)]),
-    }
+    }

@@ -22,6 +22,19 @@ def ordered(draws: DataFrame, *order: str) -> DataFrame:
     return draws.withColumn("_within", within).join(starts, ["game", "date"]).withColumn("t", (F.col("_start") + F.col("_within") - 1).cast("long")).drop("_start", "_within")
 
 
+BLOCK = 4096  # draws to a block, where a window goes over the draws of a game
+
+
+def blocked(rows: DataFrame, back: int, size: int = BLOCK) -> DataFrame:
+    """rows with block and edge: each row stands in the block of its t, and the last `back` of a block once more, as its edge, in the next.
+
+    A window over ("game", "block") by t that looks back over `back` rows at most sees, for rows that are no edge, what it would see over the whole game, if t is gapless; no game is sorted in one task.
+    """
+    own = F.floor(F.col("t") / size)
+    blocks = F.when(F.col("t") % size >= size - back, F.array(own, own + 1)).otherwise(F.array(own))
+    return rows.withColumn("block", F.explode(blocks)).withColumn("edge", F.col("block") != own)
+
+
 @dataclass
 class History:
     """draws: game, t, date, dow (0 is Sunday), numbers, sorted, special, jackpot, winner_location, sales; k, d, ks: pool, numbers in a draw, bonus pool."""
@@ -53,6 +66,11 @@ class History:
             "game", "t", "dow", "n", F.array_contains("sorted", F.col("n")).cast("int").alias("hit")
         )
 
+    @cached_property
+    def previous(self) -> DataFrame:
+        """game, t, prev: the sorted numbers of the draw before t."""
+        return self.draws.select("game", (F.col("t") + 1).alias("t"), F.col("sorted").alias("prev"))
+
     def until(self, column: str, last: int) -> DataFrame:
         """hits of the last `last` draws of each game, for a column of draws that counts them."""
         return self.hits.join(self.sizes, "game").where(F.col("t") >= F.col(column) - last)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from drawlens.functions.odds import wilson
 from drawlens.functions.shapes import bounds, conditional, families, features
-from drawlens.history import History
+from drawlens.history import BLOCK, History, blocked
 
 ALPHAS = [0.0005, 0.002, 0.01, 0.03]  # fixed values: the tails of the bands
 WARM_UP, LEAST_STEPS = 120, 40
@@ -18,9 +18,10 @@ WARM_UP, LEAST_STEPS = 120, 40
 
 def with_context(h: History) -> DataFrame:
     """draws with prev (the numbers of the draw before), last3 and last10 (the distinct numbers of so many before)."""
-    by = Window.partitionBy("game").orderBy("t")
+    rows = blocked(h.draws.select("game", "t", "dow", "sorted"), 10)
+    by = Window.partitionBy("game", "block").orderBy("t")
     union = lambda w: F.array_distinct(F.flatten(F.collect_list("sorted").over(by.rowsBetween(-w, -1))))
-    return h.draws.select("game", "t", "dow", "sorted", F.lag("sorted").over(by).alias("prev"), union(3).alias("last3"), union(10).alias("last10"))
+    return rows.withColumn("prev", F.lag("sorted").over(by)).withColumn("last3", union(3)).withColumn("last10", union(10)).where(~F.col("edge")).drop("block", "edge")
 
 
 def measured(h: History, context: bool = True) -> DataFrame:
@@ -156,20 +157,56 @@ def modes(h: History, floors: tuple[float, ...] = (0.99, 0.97, 0.94, 0.68), cand
     return steps.unionByName(space).groupBy("game").applyInPandas(greedy, "game string, floor double, place int, feature string, alpha double, survival double, share double")
 
 
-CUTS = ["mult5", "sameDigit", "evenStepTight", "runFive", "slipRow", "squareCube", "fib", "digitSum", "sameMultiple", "gridColumn", "powerTwo", "repdigit"]
+# The families that the reduced pool leaves out, in the order in which they are asked.
+CUTS = ["oneDecade", "mult5", "sameDigit", "evenStepTight", "tightSpan", "runFive", "slipRow", "squareCube", "fib", "digitSum", "sameMultiple", "gridColumn", "slipDiagonal", "twoDigits", "powerTwo", "repdigit"]
 
 
-def cut_by(h: History) -> DataFrame:
-    """game, t, cut_by: why each draw would have been left out of the reduced pool, from the draws before it: drawn before, low places, a record sum, or the first family that matches; null if it would not."""
+def mode_failures(h: History, mode: DataFrame) -> DataFrame:
+    """game, t: the draws that broke a rule of the mode (game, feature, alpha), each judged by the band from the draws before it."""
+    steps = walk_forward(long(measured(h, context=False)), h.k, h.d)
+    return steps.join(mode.select("game", "feature", "alpha").distinct(), ["game", "feature", "alpha"], "leftsemi").where(~F.col("held")).select("game", "t").distinct()
+
+
+def cut_by(h: History, failed: DataFrame | None = None, warm_up: int = WARM_UP) -> DataFrame:
+    """game, date, t, kept, cut_by: whether the reduced pool, as it stood before it, held the first draw of each date after the warm-up, and if not, why.
+
+    The first of these counts: bands (failed, of mode_failures(), has the draw), drawn before, low places, a sum at or beyond the record, or the first of CUTS that matches. The records
+    before a draw are those of the blocks of draws before its own, and of its own until then. A game's retired pools should be left out of h (eras.detect()).
+    """
     fam = families(F.col("sorted"), h.k, h.d)
     total = F.aggregate("sorted", F.lit(0), lambda a, x: a + x)
-    by = Window.partitionBy("game").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    rows = h.draws.select("game", "t", "sorted", total.alias("s"))
-    rows = rows.withColumn("lo", F.min("s").over(by)).withColumn("hi", F.max("s").over(by)).withColumn("nth", F.row_number().over(Window.partitionBy("game", "sorted").orderBy("t")))
-    out = F.when(F.col("nth") > 1, "drawn").when((F.element_at("sorted", h.d - 1) <= 5) | (F.element_at("sorted", h.d) <= 9), "low").when((F.col("t") > 0) & ((F.col("s") <= F.col("lo")) | (F.col("s") >= F.col("hi"))), "record")
+    rows = h.draws.select("game", "date", "t", "sorted", total.alias("s"), F.floor(F.col("t") / BLOCK).alias("block"))
+    before = Window.partitionBy("game").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    blocks = rows.groupBy("game", "block").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    blocks = blocks.select("game", "block", F.min("lo").over(before).alias("lo0"), F.max("hi").over(before).alias("hi0"))
+    own = Window.partitionBy("game", "block").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("lo", F.min("s").over(own)).withColumn("hi", F.max("s").over(own)).join(blocks, ["game", "block"])
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("game", "sorted").orderBy("t"))).join(h.sizes, "game")
+    first = F.when(F.col("draws") > warm_up, warm_up).otherwise(0)
+    rows = rows.where(F.col("t") >= first).withColumn("r", F.row_number().over(Window.partitionBy("game", "date").orderBy("t"))).where("r = 1")
+    record = (F.col("t") > first) & ((F.col("s") <= F.least("lo", "lo0")) | (F.col("s") >= F.greatest("hi", "hi0")))
+    if failed is None:
+        rows = rows.withColumn("failed", F.lit(False))
+    else:
+        rows = rows.join(failed.select("game", "t", F.lit(True).alias("failed")), ["game", "t"], "left")
+    out = F.when(F.col("failed"), "bands").when(F.col("nth") > 1, "drawn").when((F.element_at("sorted", h.d - 1) <= 5) | (F.element_at("sorted", h.d) <= 9), "low").when(record, "record")
     for name in CUTS:
         out = out.when(fam[name], name)
-    return rows.select("game", "t", out.alias("cut_by"))
+    return rows.select("game", "date", "t", out.isNull().alias("kept"), out.alias("cut_by"))
+
+
+def reduced_pool(h: History, universe: DataFrame, mode: DataFrame) -> DataFrame:
+    """The combinations (sorted) of a universe that the reduced pool holds: within the mode's bands (feature, lo, hi), no low places, no family of CUTS, a sum within the records, and never drawn. One game's history."""
+    own = features(F.col("sorted"), h.k, h.d)
+    bands = {r.feature: (r.lo, r.hi) for r in mode.select("feature", "lo", "hi").collect()}  # a rule for each feature at most
+    inside = [F.floor(own[f].cast("double") + 0.5).between(lo, hi) for f, (lo, hi) in bands.items() if f in own]
+    total = F.aggregate("sorted", F.lit(0), lambda a, x: a + x)
+    least, most = h.draws.agg(F.min(total), F.max(total)).first()
+    fam = families(F.col("sorted"), h.k, h.d)
+    out = (F.element_at("sorted", h.d - 1) > 5) & (F.element_at("sorted", h.d) > 9) & (total > F.lit(least)) & (total < F.lit(most))
+    for test in [*inside, *[~fam[name] for name in CUTS]]:
+        out = out & test
+    return universe.where(out).join(h.draws.select("sorted").distinct(), "sorted", "left_anti")
 
 
 def closed_form_overlap(h: History) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlens.functions.odds import smoothed_rate
-from drawlens.history import History
+from drawlens.history import History, blocked
 
 
 def frequency(h: History) -> DataFrame:
@@ -94,8 +94,7 @@ def top_pairs(h: History, most: int = 15) -> DataFrame:
 
 def successions(h: History) -> DataFrame:
     """game, t, dow, j, i: every number j of draw t - 1 with every number i of draw t."""
-    before = F.lag("sorted").over(Window.partitionBy("game").orderBy("t"))
-    rows = h.draws.select("game", "t", "dow", "sorted", before.alias("prev")).where(F.col("prev").isNotNull())
+    rows = h.draws.select("game", "t", "dow", "sorted").join(h.previous, ["game", "t"])
     return rows.select("game", "t", "dow", "sorted", F.explode("prev").alias("j")).select("game", "t", "dow", "j", F.explode("sorted").alias("i"))
 
 
@@ -187,7 +186,7 @@ def current_streaks(h: History, most: int = 8) -> DataFrame:
     return _top(streaks(h).where("streak >= 2"), [F.col("streak").desc(), F.col("n")], most).select("game", "place", "n", "streak")
 
 
-def rolling_mean(df: DataFrame, value: str, width: int, by: str = "game", order: str = "t") -> DataFrame:
-    """df with mean_<width>, the mean of the last `width` values; at the start, of those there are."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(-(width - 1), 0)
-    return df.withColumn(f"mean_{width}", F.avg(value).over(w))
+def rolling_mean(df: DataFrame, value: str, width: int) -> DataFrame:
+    """df (game, t: gapless) with mean_<width>, the mean of the last `width` values; at the start, of those there are."""
+    w = Window.partitionBy("game", "block").orderBy("t").rowsBetween(-(width - 1), 0)
+    return blocked(df, width - 1).withColumn(f"mean_{width}", F.avg(value).over(w)).where(~F.col("edge")).drop("block", "edge")

@@ -42,15 +42,14 @@ def serial(h: History) -> DataFrame:
     """The correlation of each draw's sum with the next."""
     rows = h.draws.select("game", "t", F.aggregate("sorted", F.lit(0), lambda a, x: a + x).cast("double").alias("s"))
     mean = rows.groupBy("game").agg(F.avg("s").alias("m"), F.count(F.lit(1)).alias("n"))
-    rows = rows.withColumn("next", F.lead("s").over(Window.partitionBy("game").orderBy("t"))).join(mean, "game")
+    rows = rows.join(rows.select("game", (F.col("t") - 1).alias("t"), F.col("s").alias("next")), ["game", "t"], "left").join(mean, "game")
     c = rows.groupBy("game").agg((F.sum((F.col("s") - F.col("m")) * (F.col("next") - F.col("m"))) / F.sum((F.col("s") - F.col("m")) * (F.col("s") - F.col("m")))).alias("value"), F.max("n").alias("n"))
     return c.select("game", F.lit("serial").alias("test"), "value", (F.col("value") * F.sqrt("n")).alias("z"))
 
 
 def repeat_rate(h: History) -> DataFrame:
     """The mean number of numbers that a draw shares with the one before, against d * d / k."""
-    before = F.lag("sorted").over(Window.partitionBy("game").orderBy("t"))
-    rows = h.draws.select("game", F.size(F.array_intersect("sorted", before)).alias("o"), before.alias("p")).where(F.col("p").isNotNull())
+    rows = h.draws.select("game", "t", "sorted").join(h.previous, ["game", "t"]).select("game", F.size(F.array_intersect("sorted", "prev")).alias("o"))
     e = h.d * h.d / h.k
     var = e * (1 - h.d / h.k) * (h.k - h.d) / (h.k - 1)
     return rows.groupBy("game").agg(F.avg("o").alias("value"), F.count(F.lit(1)).alias("n")).select("game", F.lit("repeat_rate").alias("test"), "value", ((F.col("value") - e) / F.sqrt(var / F.col("n"))).alias("z"))

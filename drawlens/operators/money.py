@@ -108,8 +108,8 @@ def ledger(grades: DataFrame) -> DataFrame:
     return grades.groupBy("game").agg(F.count(F.lit(1)).alias("tickets"), F.sum(done.cast("long")).alias("settled"), F.sum((~done).cast("long")).alias("pending"), spent.alias("spent"), won.alias("won"), (won - spent).alias("net"), F.max("mains").alias("best_mains"))
 
 
-def crowd_markers(numbers: Column, k: int) -> Column:
-    """Why many people may play an ascending combination: an array of months or calendar, run or step, fives, same_digit."""
+def crowd_markers(numbers: Column, k: int, drawn: Column | None = None) -> Column:
+    """Why many people may play an ascending combination: an array of months or calendar, run or step, fives, same_digit, and past_winner where `drawn` (it was drawn before) holds."""
     top = F.element_at(numbers, -1)
     steps = F.array_distinct(F.zip_with(F.slice(numbers, 2, 100), F.slice(numbers, F.lit(1), F.size(numbers) - 1), lambda a, b: a - b))
     even = F.size(steps) == 1
@@ -118,5 +118,6 @@ def crowd_markers(numbers: Column, k: int) -> Column:
         F.when(even & (F.get(steps, F.lit(0)) == 1), "run").when(even & (F.size(numbers) >= 3), "step"),
         F.when(F.forall(numbers, lambda x: x % 5 == 0), "fives"),
         F.when(F.size(F.array_distinct(F.transform(numbers, lambda x: x % 10))) == 1, "same_digit"),
+        F.when(F.lit(False) if drawn is None else drawn, "past_winner"),
     )
     return F.array_compact(marks)

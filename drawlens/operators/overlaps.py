@@ -32,17 +32,17 @@ def histogram(h: History) -> DataFrame:
     levels = None
     for m in range(h.d + 1):
         if m:
-            shared = _subsets(h, m).groupBy("game", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("game").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("s"))
+            shared = _subsets(h, m).groupBy("game", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("game").agg(F.sum(F.expr("cast(c * (c - 1) div 2 as decimal(38, 0))")).alias("s"))
         else:
-            shared = h.sizes.select("game", (F.col("draws") * (F.col("draws") - 1) / 2).alias("s"))
+            shared = h.sizes.select("game", F.expr("cast(draws * (draws - 1) div 2 as decimal(38, 0))").alias("s"))
         shared = shared.withColumn("m", F.lit(m))
         levels = shared if levels is None else levels.unionByName(shared)
     out = []
     for q in range(h.d + 1):
-        sign = [float((-1) ** (m - q) * comb(m, q)) if m >= q else 0.0 for m in range(h.d + 1)]
+        sign = [(-1) ** (m - q) * comb(m, q) if m >= q else 0 for m in range(h.d + 1)]  # whole numbers throughout: the terms cancel
         out.append(F.struct(F.lit(q).alias("overlap"), F.sum(F.get(F.array(*[F.lit(x) for x in sign]), F.col("m")) * F.col("s")).alias("pairs"), F.lit(hypergeometric(h.k, h.d, h.d, q)).alias("p")))
     rows = levels.groupBy("game").agg(F.array(*out).alias("o")).select("game", F.inline("o")).join(h.sizes, "game")
-    return rows.select("game", "overlap", F.round("pairs").cast("long").alias("pairs"), (F.col("p") * F.col("draws") * (F.col("draws") - 1) / 2).alias("expected"))
+    return rows.select("game", "overlap", F.col("pairs").cast("long").alias("pairs"), (F.col("p") * F.col("draws") * (F.col("draws") - 1) / 2).alias("expected"))
 
 
 def closest(h: History, most: int = 4) -> DataFrame:

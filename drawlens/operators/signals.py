@@ -53,16 +53,17 @@ def panel(h: History) -> DataFrame:
     """Every draw, and the next one, by every number: the counts before it that signals are made of."""
     rows = _rows(h)
     before = Window.partitionBy("game", "n").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    near = lambda w: Window.partitionBy("game", "n").orderBy("t").rowsBetween(-w, -1)
-    day = Window.partitionBy("game", "n", "dow").orderBy("t")
+    order, day = Window.partitionBy("game", "n").orderBy("t"), Window.partitionBy("game", "n", "dow").orderBy("t")
     one = F.col("hit") == 1
-    rows = rows.withColumn("prev_hit", F.coalesce(F.lag("hit").over(Window.partitionBy("game", "n").orderBy("t")), F.lit(0)))
+    rows = rows.withColumn("prev_hit", F.coalesce(F.lag("hit").over(order), F.lit(0)))
     rows = rows.withColumn("last_seen", F.max(F.when(one, F.col("t"))).over(before)).withColumn("gap", F.when(one, F.col("t") - F.col("last_seen")))
     zero = lambda c: F.coalesce(c, F.lit(0))
+    # The count of the last w is the running count less what it was w rows before: one running sum, whatever the widths.
+    rows = rows.withColumn("c", zero(F.sum("hit").over(before))).withColumn("c_dow", zero(F.sum("hit").over(day.rowsBetween(Window.unboundedPreceding, -1))))
+    last = lambda c, w, o: F.col(c) - F.lag(c, w, 0).over(o)
     return rows.select(
-        "game", "t", "dow", "n", "hit", "prev_hit", "last_seen",
-        zero(F.sum("hit").over(before)).alias("c"), zero(F.sum("hit").over(near(10))).alias("c10"), zero(F.sum("hit").over(near(20))).alias("c20"), zero(F.sum("hit").over(near(50))).alias("c50"),
-        zero(F.sum("hit").over(day.rowsBetween(Window.unboundedPreceding, -1))).alias("c_dow"), F.count("hit").over(day.rowsBetween(Window.unboundedPreceding, -1)).alias("n_dow"), zero(F.sum("hit").over(day.rowsBetween(-8, -1))).alias("c_dow8"),
+        "game", "t", "dow", "n", "hit", "prev_hit", "last_seen", "c", last("c", 10, order).alias("c10"), last("c", 20, order).alias("c20"), last("c", 50, order).alias("c50"),
+        "c_dow", F.count("hit").over(day.rowsBetween(Window.unboundedPreceding, -1)).alias("n_dow"), last("c_dow", 8, day).alias("c_dow8"),
         F.count("gap").over(before).alias("gaps"), F.avg("gap").over(before).alias("gap_mean"), F.stddev_pop("gap").over(before).alias("gap_sd"),
         zero(F.sum((one & (F.col("prev_hit") == 1)).cast("int")).over(before)).alias("repeated"), zero(F.sum("prev_hit").over(before)).alias("repeat_chances"),
     )
@@ -76,7 +77,7 @@ def _follower(h: History, targets: DataFrame, rates: DataFrame, strength: float,
     day = ["dow"] if by_day else []
     happened = describe.successions(h).select("game", "t", *day, "j", F.col("i").alias("n"), F.lit(1).alias("w"), F.lit(False).alias("asked"))
     prev = h.draws.select("game", (F.col("t") + 1).alias("t"), F.explode("sorted").alias("j"))
-    chances = h.draws.select("game", "t", *day, F.lag("sorted").over(Window.partitionBy("game").orderBy("t")).alias("p")).select("game", "t", *day, F.explode("p").alias("j"), F.lit(1).alias("w"), F.lit(False).alias("asked"))
+    chances = h.draws.select("game", "t", *day).join(h.previous, ["game", "t"]).select("game", "t", *day, F.explode("prev").alias("j"), F.lit(1).alias("w"), F.lit(False).alias("asked"))
     asked = targets.join(prev, ["game", "t"]).select("game", "t", *day, "j", F.lit(0).alias("w"), F.lit(True).alias("asked"))
     order = lambda keys: Window.partitionBy("game", *keys, *day).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
     total = chances.unionByName(asked).withColumn("chances", F.coalesce(F.sum("w").over(order(["j"])), F.lit(0))).where("asked").select("game", "t", "j", "chances")

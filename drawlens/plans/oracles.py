@@ -110,7 +110,7 @@ def _queries() -> dict[str, str]:
     q["ticket_ledger"] = f"select 'main' as game, count(*) as tickets, count(case when status = 'settled' then 1 end) as settled, count(case when status = 'pending' then 1 end) as pending, sum(case when status = 'settled' then 2.0 else 0 end) as spent, sum(coalesce(prize, 0)) as won, sum(coalesce(prize, 0)) - sum(case when status = 'settled' then 2.0 else 0 end) as net, max(mains) as best_mains from {graded}"
     st = "[s[2]-s[1], s[3]-s[2], s[4]-s[3], s[5]-s[4]]"
     q["crowd_markers"] = f"""select 'main' as game, t, array_to_string(list_filter([case when s[5] <= 12 then 'months' when s[5] <= 31 then 'calendar' end, case when list_min({st}) = list_max({st}) then case when s[2] - s[1] = 1 then 'run' else 'step' end end,
-      case when len(list_filter(s, lambda x: x % 5 = 0)) = 5 then 'fives' end, case when len(list_distinct([x % 10 for x in s])) = 1 then 'same_digit' end], lambda x: x is not null), ',') as markers from draws"""
+      case when len(list_filter(s, lambda x: x % 5 = 0)) = 5 then 'fives' end, case when len(list_distinct([x % 10 for x in s])) = 1 then 'same_digit' end, case when row_number() over (partition by s order by t) > 1 then 'past_winner' end], lambda x: x is not null), ',') as markers from draws"""
     e = f"(draws * {D / K!r})"
     q["ball_chi2"] = f"select 'main' as game, 'ball_chi2' as test, round(v, 6) as value, round((v - 68) / sqrt(136.0), 6) as z from (select sum(power(hits - {e}, 2) / {e}) * {(K - 1) / (K - D)!r} as v from freq)"
     q["serial_corr"] = "select 'main' as game, 'serial' as test, round(v, 6) as value, round(v * sqrt(n), 6) as z from (select sum((a - m) * (b - m)) / sum(power(a - m, 2)) as v, max(n) as n from (select list_sum(s)::double as a, lead(list_sum(s)) over (order by t)::double as b, avg(list_sum(s)) over () as m, count(*) over () as n from draws))"
@@ -131,7 +131,14 @@ def _queries() -> dict[str, str]:
     q["rolling_counts_asof"] = f"select 'main' as game, t, n, hit, coalesce(sum(hit) {past.format('unbounded')}, 0)::bigint as c, coalesce(sum(hit) {past.format(10)}, 0)::bigint as c10, coalesce(sum(hit) {past.format(20)}, 0)::bigint as c20, coalesce(sum(hit) {past.format(50)}, 0)::bigint as c50, max(case when hit = 1 then t end) {past.format('unbounded')} as last_seen from grid"
     q["weekday_recent_asof"] = "select 'main' as game, t, n, coalesce(sum(hit) over w8, 0)::bigint as c_dow8, coalesce(sum(hit) over wall, 0)::bigint as c_dow from grid window w8 as (partition by n, dow order by t rows between 8 preceding and 1 preceding), wall as (partition by n, dow order by t rows between unbounded preceding and 1 preceding)"
     w = 0.5 ** (1 / 20)
-    q["ewma_asof"] = f"select 'main' as game, d.t, pool.n, round(coalesce(sum({1 - w!r} * power({w!r}, d.t - 1 - h.t)), 0), 6) as recency from draws d cross join sizes cross join pool left join hits h on h.n = pool.n and h.t < d.t and h.t >= d.t - 1080 where d.t % 16 = 0 group by d.t, pool.n"
+    q["ewma_asof"] = f"select 'main' as game, d.t, pool.n, round(coalesce(sum({1 - w!r} * power({w!r}, d.t - 1 - h.t)), 0), 6) as recency from draws d cross join sizes cross join pool left join hits h on h.n = pool.n and h.t < d.t and h.t >= d.t - 1080 group by d.t, pool.n"
+    tests = family_tests(*[f"s[{i}]" for i in range(1, 6)])
+    why = " ".join(f"when {tests[n]} then '{n}'" for n in CUT_ORDER)
+    first = "(select case when draws > 120 then 120 else 0 end from sizes)"
+    q["pool_replay"] = f"""select 'main' as game, date, t, cut_by is null as kept, cut_by from (select date, t, case when nth > 1 then 'drawn' when s[4] <= 5 or s[5] <= 9 then 'low' when t > {first} and (total <= lo or total >= hi) then 'record' {why} end as cut_by, row_number() over (partition by date order by t) as r
+      from (select date, t, s, total, row_number() over (partition by s order by t) as nth, min(total) over (order by t rows between unbounded preceding and 1 preceding) as lo, max(total) over (order by t rows between unbounded preceding and 1 preceding) as hi from (select *, list_sum(s)::int as total from draws)) where t >= {first}) where r = 1"""
+    binomial = lambda n, m: "(" + f"case {m} when 0 then 1.0 " + " ".join(f"when {j} then " + " * ".join(f"({n} - {i}) / {i + 1}.0" for i in range(j)) for j in range(1, 6)) + " end)"
+    q["overlap_law"] = f"""select 'main' as game, t, o as overlap, round(({binomial("size", "o")} * {binomial("(69 - size)", "(5 - o)")}) / 11238513.0, 9) as p from (select t, len(list_distinct(flatten(list(s) over (order by t rows between 10 preceding and 1 preceding)))) as size from draws) cross join (select unnest(range(0, 6))::int as o) where t > 0"""
     f20 = "(hits + 20.0 * 5/69) / (draws + 20)"
     q["freq_signal"] = f"select 'main' as game, n, round({f20}, 6) as value from freq"
     q["zone_signal"] = "select 'main' as game, a.n, round(sum(exp(-power((b.n - a.n) / 2.0, 2) / 2) * b.hits) / sum(exp(-power((b.n - a.n) / 2.0, 2) / 2)), 6) as value from freq a join freq b on b.n between a.n - 5 and a.n + 5 group by a.n"
@@ -178,16 +185,35 @@ def _features() -> dict[str, str]:
     return out
 
 
+def family_tests(*n: str) -> dict[str, str]:
+    """The families as tests of five ascending numbers of 1..69."""
+    a, b, c, d, e = n
+    every = lambda f: "(" + " and ".join(f(x) for x in n) + ")"
+    same = lambda f: "(" + " and ".join(f"{f(x)} = {f(a)}" for x in n[1:]) + ")"
+    steps = [f"({y} - {x})" for x, y in zip(n, n[1:])]
+    even = f"({steps[0]} = {steps[1]} and {steps[1]} = {steps[2]} and {steps[2]} = {steps[3]})"
+    digits = " | ".join(f"(1 << ({x} % 10)::int) | (case when {x} >= 10 then 1 << ({x} // 10)::int else 0 end)" for x in n)
+    return {
+        "oneDecade": same(lambda x: f"{x} // 10"), "mult5": every(lambda x: f"{x} % 5 = 0"), "sameDigit": same(lambda x: f"{x} % 10"), "evenSpaced": even, "evenStepTight": f"({even} and {steps[0]} <= 11)", "tightSpan": f"({e} - {a} <= 7)", "runFive": f"({e} - {a} = 4)",
+        "slipRow": same(lambda x: f"({x} - 1) % 14"), "slipColumn": same(lambda x: f"least(4, ({x} - 1) // 14)"), "squareCube": every(lambda x: f"{x} in (1, 4, 8, 9, 16, 25, 27, 36, 49, 64)"), "fib": every(lambda x: f"{x} in (1, 2, 3, 5, 8, 13, 21, 34, 55)"),
+        "digitSum": same(lambda x: f"({x} // 10 + {x} % 10)"), "column7": same(lambda x: f"({x} - 1) % 7"), "wideGaps": f"least({', '.join(steps)}) >= 15", "allPrime": every(lambda x: f"{x} in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67)"),
+        "sameMultiple": f"gcd(gcd(gcd(gcd({a}, {b}), {c}), {d}), {e}) >= 6", "gridColumn": "(" + " or ".join(same(lambda x, m=m: f"{x} % {m}") for m in (9, 11, 12, 13)) + ")",
+        "slipDiagonal": f"({same(lambda x: f'(({x} - 1) % 14 - ({x} - 1) // 14)')} or {same(lambda x: f'(({x} - 1) % 14 + ({x} - 1) // 14)')})", "twoDigits": f"bit_count(({digits})::int) <= 2", "powerTwo": every(lambda x: f"{x} in (1, 2, 4, 8, 16, 32, 64)"),
+        "repdigit": every(lambda x: f"{x} in (11, 22, 33, 44, 55, 66)"), "mirrorPool": f"({a} + {e} = 70 and {b} + {d} = 70 and {c} = 35)", "fibLike": f"({c} = {a} + {b} and {d} = {b} + {c} and {e} = {c} + {d})", "triangular": every(lambda x: f"{x} in (1, 3, 6, 10, 15, 21, 28, 36, 45, 55, 66)"),
+    }
+
+
+# The families that the reduced pool leaves out, in order.
+CUT_ORDER = "oneDecade mult5 sameDigit evenStepTight tightSpan runFive slipRow squareCube fib digitSum sameMultiple gridColumn slipDiagonal twoDigits powerTwo repdigit".split()
+
+
 def _spaces() -> dict[str, str]:
     """Counts over all choices of 4 of 20 and 3 of 24 numbers."""
     u = "with pool as (select unnest(range(1, 21))::int as n), u as (select a.n as a, b.n as b, c.n as c, d.n as d from pool a join pool b on b.n > a.n join pool c on c.n > b.n join pool d on d.n > c.n) "
-    tests = {
-        "oneDecade": "a // 10 = d // 10", "mult5": "a % 5 = 0 and b % 5 = 0 and c % 5 = 0 and d % 5 = 0", "sameDigit": "a % 10 = b % 10 and b % 10 = c % 10 and c % 10 = d % 10", "evenSpaced": "b - a = c - b and c - b = d - c", "evenStepTight": "b - a = c - b and c - b = d - c and b - a <= 11", "tightSpan": "d - a <= 8", "runFive": "d - a = 3",
-        "slipRow": "(a - 1) // 5 = (d - 1) // 5", "slipColumn": "a % 5 = b % 5 and b % 5 = c % 5 and c % 5 = d % 5", "squareCube": "a in (1,4,8,9,16) and b in (1,4,8,9,16) and c in (1,4,8,9,16) and d in (1,4,8,9,16)", "fib": "a in (1,2,3,5,8,13) and b in (1,2,3,5,8,13) and c in (1,2,3,5,8,13) and d in (1,2,3,5,8,13)",
-        "digitSum": "a // 10 + a % 10 = b // 10 + b % 10 and b // 10 + b % 10 = c // 10 + c % 10 and c // 10 + c % 10 = d // 10 + d % 10", "column7": "a % 7 = b % 7 and b % 7 = c % 7 and c % 7 = d % 7", "wideGaps": "least(b - a, c - b, d - c) >= 4", "allPrime": "a in (2,3,5,7,11,13,17,19) and b in (2,3,5,7,11,13,17,19) and c in (2,3,5,7,11,13,17,19) and d in (2,3,5,7,11,13,17,19)", "sameMultiple": "false",
-        "gridColumn": " or ".join(f"(a % {m} = b % {m} and b % {m} = c % {m} and c % {m} = d % {m})" for m in (9, 11, 12, 13)), "powerTwo": "a in (1,2,4,8,16) and b in (1,2,4,8,16) and c in (1,2,4,8,16) and d in (1,2,4,8,16)", "repdigit": "a >= 11 and a % 11 = 0 and b % 11 = 0 and c % 11 = 0 and d % 11 = 0", "mirrorPool": "a + d = 21 and b + c = 21", "fibLike": "c = a + b and d = b + c", "triangular": "a in (1,3,6,10,15) and b in (1,3,6,10,15) and c in (1,3,6,10,15) and d in (1,3,6,10,15)",
-    }
-    out = {"subset_families": u + " union all ".join(f"select '{n}' as family, count(case when {t} then 1 end) as combinations, round(count(case when {t} then 1 end) / {float(comb(20, 4))!r}, 9) as share from u" for n, t in tests.items())}
+    five = "with a_ as (select unnest(range(1, 70)) as a), b_ as (select a, unnest(range(a + 1, 70)) as b from a_), c_ as (select a, b, unnest(range(b + 1, 70)) as c from b_), d_ as (select a, b, c, unnest(range(c + 1, 70)) as d from c_), u as (select a, b, c, d, unnest(range(d + 1, 70)) as e from d_), "
+    counts = ", ".join(f'count(*) filter (where {t}) as "{n}"' for n, t in family_tests("a", "b", "c", "d", "e").items())
+    each = " union all ".join(f"select '{n}' as family, \"{n}\" as combinations, round(\"{n}\" / {float(comb(69, 5))!r}, 12) as share from f" for n in family_tests("a", "b", "c", "d", "e"))
+    out = {"subset_families": five + f"f as (select {counts} from u) " + each}
     out["sum_at_most"] = u + "select total::int as total, combinations, (sum(combinations) over (order by total))::bigint as at_most from (select a + b + c + d as total, count(*) as combinations from u group by 1)"
     out["band_count"] = u + "select count(*) as combinations from u where a between 1 and 6 and b between 4 and 12 and c between 8 and 15 and d between 10 and 20"
     out["rule_space_share"] = u + "select total::int as bin, count(*) as combinations from (select a + b + c + d as total from u) group by 1"

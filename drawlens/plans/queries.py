@@ -58,8 +58,22 @@ def merge_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ewma_asof(h: History) -> DataFrame:
-    """The recency of half-life 20 before every sixteenth draw."""
-    return signals.recency(h, 20, h.draws.where("t % 16 = 0").select("game", "t"), "recency")
+    """The recency of half-life 20 before every draw."""
+    return signals.recency(h, 20, h.draws.select("game", "t"), "recency")
+
+
+def crowd_markers(h: History) -> DataFrame:
+    """The markers of every draw; past winners are combinations that were drawn before it."""
+    again = F.row_number().over(Window.partitionBy("game", "sorted").orderBy("t")) > 1
+    rows = h.draws.select("game", "t", "sorted", again.alias("again"))
+    return rows.select("game", "t", F.array_join(money.crowd_markers(F.col("sorted"), h.k, F.col("again")), ",").alias("markers"))
+
+
+def pool_replay_bands(h: History) -> DataFrame:
+    """The replay with the bands of the mode of the highest floor of survival."""
+    mode = constraints.modes(h)
+    top = mode.groupBy("game").agg(F.max("floor").alias("floor"))
+    return constraints.cut_by(h, constraints.mode_failures(h, mode.join(top, ["game", "floor"])))
 
 
 def portfolio(spark: SparkSession) -> DataFrame:
@@ -86,7 +100,7 @@ def queries() -> dict[str, Query]:
         "era_detect": _of(eras.detect), "jackpot_stats": lambda s, d: rounded(money.jackpots(_with_sales(s, d))), "attach_sales": lambda s, d: rounded(_with_sales(s, d).draws.select("game", "t", "sales"), 2), "recent_winners": _of(money.winners), "jackpot_thirds": _of(money.thirds), "jackpot_projection": _of(money.projection),
         "ticket_ev": _of(lambda h: money.ticket_value(h.draws.select("game", "t", "jackpot", F.lit(1e7).alias("sold")), "jackpot", "sold", h.k, h.d, h.ks).select("game", "t", "lower_value", "split", "share", "value"), 9),
         "hypergeom_dist": lambda s, d: s.createDataFrame([(m, hypergeometric(69, 10, 5, m)) for m in range(6)], "hits int, p double"), "tier_grade": tier_grade, "ticket_ledger": lambda s, d: money.ledger(money.graded(_tickets(s, d), history(s, d))),
-        "crowd_markers": _of(lambda h: h.draws.select("game", "t", F.array_join(money.crowd_markers(F.col("sorted"), h.k), ",").alias("markers"))), "ball_chi2": _of(fairness.ball_chi2), "serial_corr": _of(fairness.serial), "ks_colex": _of(fairness.combination_ks), "repeat_test": _of(fairness.repeat_rate), "mean_gap_test": _of(fairness.mean_gap), "bonus_chi2": _of(fairness.bonus_chi2),
+        "crowd_markers": _of(crowd_markers), "ball_chi2": _of(fairness.ball_chi2), "serial_corr": _of(fairness.serial), "ks_colex": _of(fairness.combination_ks), "repeat_test": _of(fairness.repeat_rate), "mean_gap_test": _of(fairness.mean_gap), "bonus_chi2": _of(fairness.bonus_chi2),
         "fairness": _of(fairness.tests),
         "sum_record": _of(lambda h: h.draws.select("game", "t", total(F.col("sorted")).alias("s")).groupBy("game").agg(F.min("s").alias("least"), F.min_by("t", F.struct("s", "t")).alias("least_t"), F.max("s").alias("most"), F.min_by("t", F.struct(-F.col("s"), F.col("t"))).alias("most_t"))),
         "preset_eliminations": lambda s, d: combinations.preset_counts(history(s, d)).select("game", "preset", "combinations", F.round("share", 9).alias("share"), F.round("expected", 6).alias("expected"), "observed"),
@@ -97,11 +111,11 @@ def queries() -> dict[str, Query]:
         "rank_scores": _of(lambda h: by_rate(h).select("game", "n", F.row_number().over(Window.partitionBy("game").orderBy(F.col("p").desc(), "n")).alias("rank"))),
         "history_page": _of(lambda h: joined(h.draws.select("game", "t", "sorted").orderBy(F.col("t").desc()).offset(12).limit(12).withColumnRenamed("sorted", "numbers"))), "merge_draws": merge_draws,
         "isotonic_calibration": _of(lambda h: learn.isotonic(describe.frequency(h).select("game", F.row_number().over(Window.partitionBy("game").orderBy("n")).alias("rank"), F.col("hits").cast("double").alias("v")), "v", "rank").select("game", "rank", "fit")),
-        "subset_families": lambda s, d: rounded(combinations.family_counts(s, 20, 4), 9), "sum_at_most": lambda s, d: combinations.sum_distribution(s, 20, 4),
+        "subset_families": lambda s, d: rounded(combinations.family_counts(s, 69, 5), 12), "sum_at_most": lambda s, d: combinations.sum_distribution(s, 20, 4),
         "band_count": lambda s, d: u(s).where("sorted[0] between 1 and 6 and sorted[1] between 4 and 12 and sorted[2] between 8 and 15 and sorted[3] between 10 and 20").agg(F.count(F.lit(1)).alias("combinations")),
         "rule_space_share": lambda s, d: constraints.space_histogram(u(s), 20, 4).where("feature = 'sum'").select("bin", "combinations"), "portfolio_exact": lambda s, d: rounded(portfolio(s), 9),
         # Not for SQL: folds, samples and greedy choices, which tests hold against plain versions.
         "signals_next": _of(lambda h: signals.normalised(signals.raw(h)).drop("hit")), "bonus_signals": _of(signals.bonus), "walk_forward_signals": _of(lambda h: learn.backtest(h)["signals"]), "rank_calibration": _of(lambda h: learn.backtest(h)["ranks"]), "ml_combiner": _of(lambda h: learn.combiner(h)[1]),
-        "constraint_rules": _of(constraints.rules), "constraint_modes": _of(constraints.modes), "pool_replay": _of(constraints.cut_by), "overlap_law": _of(constraints.closed_form_overlap, 9),
+        "constraint_rules": _of(constraints.rules), "constraint_modes": _of(constraints.modes), "pool_replay": _of(constraints.cut_by), "pool_replay_bands": _of(pool_replay_bands), "overlap_law": _of(constraints.closed_form_overlap, 9),
         "ticket_deal": _of(ticket_deal), "best_combinations": _of(lambda h: joined(combinations.best_combinations(describe.frequency(h).select("game", "n", F.col("rate").alias("score")), h))), "positional_fit": _of(lambda h: positions.fit(h, [5, 17, 31, 44, 62])),
     }

@@ -164,3 +164,34 @@ def test_dates_and_money(spark):
     amounts = ["$1.5 million", "20M", "$1,000", "2 Billion", "0", "abc", None]
     got = [r.m for r in spark.createDataFrame([(c,) for c in amounts], "c string").select(dates.money(F.col("c")).alias("m")).collect()]
     assert got == [1.5e6, 2e7, 1000.0, 2e9, None, None, None]
+
+
+def test_members_of_families(spark):
+    """Members and neighbours of each family at 69 and 5."""
+    members = {
+        "oneDecade": ([20, 21, 25, 28, 29], [19, 21, 25, 28, 29]), "tightSpan": ([44, 45, 47, 50, 51], [44, 45, 47, 50, 52]), "slipRow": ([3, 17, 31, 45, 59], [3, 17, 31, 45, 60]), "slipColumn": ([57, 60, 63, 66, 69], [56, 60, 63, 66, 69]),
+        "wideGaps": ([3, 19, 35, 51, 67], [3, 19, 35, 51, 65]), "evenStepTight": ([1, 12, 23, 34, 45], [1, 13, 25, 37, 49]), "slipDiagonal": ([1, 16, 31, 46, 61], [1, 16, 31, 46, 62]), "twoDigits": ([1, 11, 12, 21, 22], [1, 11, 12, 21, 23]),
+        "sameMultiple": ([6, 12, 30, 48, 66], [5, 10, 15, 20, 25]), "repdigit": ([11, 22, 33, 44, 66], [11, 22, 33, 44, 65]), "digitSum": ([9, 18, 27, 36, 45], [9, 18, 27, 36, 46]), "mirrorPool": ([3, 19, 35, 51, 67], [3, 19, 35, 51, 66]), "fibLike": ([1, 3, 4, 7, 11], [1, 3, 4, 7, 12]),
+        "squareCube": ([1, 8, 27, 36, 64], [1, 8, 27, 36, 63]), "powerTwo": ([1, 2, 4, 8, 64], [1, 2, 4, 8, 63]), "gridColumn": ([1, 10, 19, 28, 37], [1, 8, 15, 22, 29]),
+    }
+    rows = spark.createDataFrame([(n, i == 0, v) for n, both in members.items() for i, v in enumerate(both)], "family string, member boolean, s array<int>")
+    for r in rows.select("family", "member", "s", *[c.alias(f"_{n}") for n, c in shapes.families(F.col("s"), 69, 5).items()]).collect():
+        assert r[f"_{r.family}"] == r.member, r.family
+
+
+def test_replay_by_bands_and_dates(spark):
+    rows = [(f"2020-01-{1 + i // 2:02}", i, sorted([3 + i, 20 + i % 7, 35 + i % 5, 50 + i % 3, 60 + i % 9])) for i in range(30)]
+    draws = spark.createDataFrame([("g", t, datetime.date.fromisoformat(d), 1, s, s, 1) for d, t, s in rows], "game string, t long, date date, dow int, numbers array<int>, sorted array<int>, special int")
+    h = History(draws)
+    failed = spark.createDataFrame([("g", 12)], "game string, t long")
+    got = {r.t: r.cut_by for r in constraints.cut_by(h, failed, warm_up=10).collect()}
+    assert sorted(got) == list(range(10, 30, 2)) and got[12] == "bands"
+    for t, why in got.items():
+        s, past = rows[t][2], [sum(x[2]) for x in rows[:t]]
+        if why == "record":
+            assert not min(past) < sum(s) < max(past)
+        elif why is None:
+            assert t == 10 or min(past) < sum(s) < max(past)
+    pool = spark.createDataFrame([([10, 21, 36, 51, 62],), ([1, 2, 3, 4, 20],), (rows[0][2],), ([1, 2, 3, 4, 5],)], "sorted array<int>")
+    rule = spark.createDataFrame([("pos1", 2, 20)], "feature string, lo int, hi int")
+    assert [r.sorted for r in constraints.reduced_pool(h, pool, rule).collect()] == [[10, 21, 36, 51, 62]]
