@@ -5,7 +5,7 @@ import hashlib
 import heapq
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -122,11 +122,36 @@ def replay(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarra
     return sym[alive], np.r_[0, np.cumsum(np.bincount(word[alive], minlength=len(words)))]
 
 
-def encode(vocab: Vocabulary, pattern, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts in a row, and where each text's begin. The words of all texts make one corpus, each distinct word encoded once."""
-    number: dict[str, int] = defaultdict(count().__next__)
-    used = [np.fromiter(map(number.__getitem__, pattern.findall(t)), np.int64) for t in texts]
-    ids, starts = replay(vocab, [w.encode("utf-8", "surrogatepass") for w in number])
+class Lexicon:
+    """The words that a task has met, each with its ids: merges are replayed over what is new of each next part of the corpus, all new words together."""
+
+    MOST = 1 << 19  # words that are kept; beyond, the lexicon begins anew, which changes no ids
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.ids, self.starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def places(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of the words of each text; their ids are known from then on."""
+        if len(self.number) > self.MOST:
+            self.clear()
+        before = len(self.number)
+        used = [np.fromiter(map(self.number.__getitem__, words), np.int64) for words in texts]
+        new = [w.encode("utf-8", "surrogatepass") for w in islice(self.number, before, None)]
+        ids, starts = replay(self.vocab, new)
+        self.starts = np.concatenate([self.starts, starts[1:] + len(self.ids)])
+        self.ids = np.concatenate([self.ids, ids])
+        return used
+
+
+def encode(lexicon: Lexicon, pattern, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in a row, and where each text's begin."""
+    used = lexicon.places([pattern.findall(t) for t in texts])
+    ids, starts = lexicon.ids, lexicon.starts
     sizes = starts[1:] - starts[:-1]
     at = np.concatenate(used) if used else np.zeros(0, np.int64)
     lengths = sizes[at]
@@ -138,14 +163,15 @@ def encode(vocab: Vocabulary, pattern, texts: list[str]) -> tuple[np.ndarray, np
 
 
 def decode(vocab: Vocabulary, ids: list[int]) -> bytes:
+    """The bytes of the ids; an id that no token has, in the range of ids, gives none, and one beyond it is an IndexError."""
     return b"".join(map(vocab.bytes_of.__getitem__, ids))
 
 
 def tokenised(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = True, chunk: int = 24 << 20) -> DataFrame:
     """docs without the text, with n_tokens, ids_sha256, decoded_sha256 and, if asked for, `ids`.
 
-    Texts are encoded as the rank file at `path` (read by the driver; its size is that of the vocabulary) and `pattern` say, without special tokens. The
-    corpus over which merges are replayed is a task's next `chunk` bytes of text: tasks need nothing of each other, nothing is shuffled,
+    Texts are encoded as the rank file at `path` (read by the driver; its size is that of the vocabulary) and `pattern` say, without special tokens. Each task replays the merges over the
+    distinct words of its part of the corpus, `chunk` bytes of text after the other, a word once (Lexicon): tasks need nothing of each other, nothing is shuffled,
     and memory is bounded. ids_sha256 is of the decimal ids joined by commas; decoded_sha256 of the bytes that the ids give.
     A null text counts as empty (no tokens); an empty table gives an empty result; columns of docs that bear a name of the result are replaced.
     """
@@ -159,6 +185,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str, text: str = "text", ids:
         import regex
 
         v, find = vocab.value, regex.compile(pattern)
+        lexicon = Lexicon(v)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             sizes = np.cumsum(np.diff(_offsets(texts)))
@@ -167,7 +194,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str, text: str = "text", ids:
                 past = sizes[at - 1] if at else 0
                 end = max(at + 1, int(np.searchsorted(sizes, past + chunk)))
                 some = [x or "" for x in texts.slice(at, end - at).to_pylist()]
-                flat, starts = encode(v, find, some)
+                flat, starts = encode(lexicon, find, some)
                 digests, decoded, lists = [], [], []
                 for i in range(len(some)):
                     own = flat[starts[i] : starts[i + 1]].tolist()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drawlens.llm.lm import Tokens, _mixed, slices
-from drawlens.llm.scratch import materialise
+from drawlens.llm.scratch import drop, materialise
 
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
@@ -197,13 +197,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct(), "edges", files)
     before = None
     while (now := state(edges)) != before and now[0]:
-        before = now
+        before, edges_now = now, edges
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         edges = both.join(least, "a").where((F.col("b") > F.col("a"))).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         moved = edges.join(least, "a")
-        edges = materialise(moved.select("b", "m").where("b != m").union(least.select("a", "m")).toDF("a", "b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", files)
+        old, edges = edges_now, materialise(moved.select("b", "m").where("b != m").union(least.select("a", "m")).toDF("a", "b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", files)
+        drop(old)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(edges.select("b", "b").distinct().toDF("node", "comp"))
 
 
@@ -303,8 +304,9 @@ def _parts(docs: DataFrame, key: str, text: str, similarity: float, words: int,
     cross = left.join(right, ["band", "step"]).where((F.col("acomp") != F.col("bcomp")) & ordered & could("a", "b") & near & once)
     cross = cross.select(F.greatest("anode", "bnode").alias("a"), F.least("anode", "bnode").alias("b")).distinct()
     parts = components(found.unionByName(_verified(cross, sets, similarity)))
-    nodes = nodes.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    return members, nodes
+    placed = materialise(nodes.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+    drop(nodes, banded, stars, sets, rest)
+    return members, placed
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
