@@ -178,8 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", key: str =
     The sample of labels is bounded, so its keys are broadcast to the documents, and only its documents are measured.
     """
     some = labels.where(F.col(key).isNotNull() & F.col(target).isNotNull()).select(key, F.col(target).cast("int").alias("_label")).orderBy(F.xxhash64(key), "_label").limit(sample)
-    rows = measured(docs.select(key, text).join(F.broadcast(some), key), text).select("_label", *[f"stat_{s}" for s in STATISTICS]).orderBy("_label", *[f"stat_{s}" for s in STATISTICS]).toPandas()
-    return fit_rules(rows.iloc[:, 1:].to_numpy(float), rows["_label"].to_numpy(float), **how)
+    rows = measured(docs.select(key, text).join(F.broadcast(some), key), text).select("_label", *[f"stat_{s}" for s in STATISTICS]).toPandas().to_numpy(float)
+    rows = rows[np.lexsort(rows.T[::-1])]  # in an order of its own, whatever the partitions
+    return fit_rules(rows[:, 1:], rows[:, 0], **how)
 
 
 def scored(docs: DataFrame, ensemble: Ensemble, text: str = "text", least: float = 0.7) -> DataFrame:
