@@ -43,3 +43,9 @@ def history(spark: SparkSession, sf_dir: str) -> History:
         draws = draws_of_orders(table("orders"), table("lineitem"), table("customer"), table("nation"))
         _kept[key] = History(draws.persist(), POOL, SIZE, BONUS)
     return _kept[key]
+
+
+def release() -> None:
+    """Lets go of the draws that history() keeps."""
+    while _kept:
+        _kept.popitem()[1].draws.unpersist()
