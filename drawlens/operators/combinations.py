@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from drawlens.functions.shapes import families, features, total
 from drawlens.history import History
-from drawlens.operators.describe import shape
+from drawlens.operators.describe import pair_counts, shape
 from drawlens.operators.money import TIERS
 
 
@@ -152,13 +152,50 @@ def deal(scores: DataFrame, h: History, tickets: int, seed: int = 1, tries: int
     return picked.groupBy("game", "ticket").agg(F.min_by("numbers", F.struct((~good).cast("int"), F.col("try"))).alias("numbers"))
 
 
-def best_combinations(scores: DataFrame, h: History, pool: int = 12, most: int = 8) -> DataFrame:
-    """game, place, numbers, score, sum_z: of all choices of d of each game's best `pool` numbers, those with the highest sum of scores less 0.06 times the squared distance of their sum from the mean draw's."""
+# The weights of a combination's pair lift, squared distance of its sum, odd count and columns, and how far from its mean a column may be.
+PAIRS, SUM, ODD, COLUMNS, FREE = 0.3, 0.06, 0.25, 0.12, 1.5
+
+
+def best_combinations(scores: DataFrame, h: History, pool: int = 12, most: int = 8, accept: Column | None = None) -> DataFrame:
+    """game, place, numbers, score, sum_z: of all choices of d of each game's best `pool` numbers, those with the highest score.
+
+    A score is the sum of the numbers' scores, plus the mean log lift of their pairs, less the squared distance of their sum from the mean draw's, plus the log of how common their count of
+    odd numbers is, less how far each place is from what that place has been. accept: a test of `numbers`; combinations that fail it are only used where none passes. The choices are a
+    fixed number a game; pairs, odd counts and places are summed from the draws by themselves.
+    """
     top = scores.withColumn("r", F.row_number().over(Window.partitionBy("game").orderBy(F.col("score").desc(), "n"))).where(F.col("r") <= pool)
     held = top.groupBy("game").agg(F.array_sort(F.collect_list("n")).alias("cover"), F.map_from_entries(F.collect_list(F.struct("n", "score"))).alias("of"))
-    rows = chosen(held, "cover", h.d).join(shape(h).select("game", "mean_sum", "sum_sd"), "game")
-    z = (total(F.col("part")) - F.col("mean_sum")) / F.col("sum_sd")
-    value = F.aggregate("part", F.lit(0.0), lambda a, x: a + F.element_at("of", x)) - 0.06 * z * z
-    rows = rows.select("game", F.col("part").alias("numbers"), F.round(value, 9).alias("score"), z.alias("sum_z"))
-    place = F.row_number().over(Window.partitionBy("game").orderBy(F.col("score").desc(), "numbers"))
-    return rows.withColumn("place", place).where(F.col("place") <= most).select("game", "place", "numbers", "score", "sum_z")
+    rows = chosen(held, "cover", h.d).select("game", F.col("part").alias("numbers"), "of")
+    hits = h.hits.groupBy("game", "n").agg(F.count(F.lit(1)).alias("hits"))
+    fix = (h.d - 1) * h.k / (h.d * (h.k - 1))
+    a, b = (hits.select("game", F.col("n").alias(x), F.col("hits").alias(f"h{x}")) for x in "ab")
+    near = top.select("game", F.col("n").alias("a")).join(top.select("game", F.col("n").alias("b")), "game").where("a < b")  # pairs of the pool's numbers
+    near = near.join(h.sizes, "game").join(a, ["game", "a"], "left").join(b, ["game", "b"], "left").join(pair_counts(h), ["game", "a", "b"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    lift = F.log((zero("together") + 0.75) / (zero("ha") * zero("hb") / F.col("draws") * fix + 0.75))
+    lifts = near.groupBy("game").agg(F.map_from_entries(F.collect_list(F.struct((F.col("a") * 1000 + F.col("b")).alias("k"), lift.alias("v")))).alias("lift"))
+    odd_of = lambda x: F.size(F.filter(x, lambda v: v % 2 == 1))
+    odd = h.draws.groupBy("game", odd_of(F.col("sorted")).alias("odd")).agg(F.count(F.lit(1)).alias("m")).groupBy("game").agg(F.map_from_entries(F.collect_list(F.struct("odd", "m"))).alias("odds"), F.max("m").alias("odd_most"))
+    places = []
+    for i in range(h.d):
+        v = F.get("sorted", F.lit(i))
+        places.append(F.struct(F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("least"), F.max(v).alias("most")))
+    columns = h.draws.groupBy("game").agg(F.array(*places).alias("columns"))
+    rows = rows.join(shape(h).select("game", "mean_sum", "sum_sd"), "game").join(lifts, "game").join(odd, "game").join(columns, "game")
+    s = F.col("numbers")
+    z = (total(s) - F.col("mean_sum")) / F.greatest(F.lit(1.0), F.col("sum_sd"))
+    at = lambda i: F.get(s, F.lit(i))
+    pairs = sum((F.element_at("lift", at(i) * 1000 + at(j)) for i in range(h.d) for j in range(i + 1, h.d)), F.lit(0.0)) / (h.d * (h.d - 1) / 2)
+    odd_bonus = F.log((zero(F.try_element_at("odds", odd_of(s))) + 1.0) / (F.col("odd_most") + 1.0))
+    far = F.lit(0.0)
+    for i in range(h.d):
+        c = F.get("columns", F.lit(i))
+        off = F.abs(at(i) - c["mean"]) / c["sd"]
+        beyond = F.when(off > FREE, (off - FREE) * (off - FREE)).otherwise(0.0) + F.when((at(i) < c["least"]) | (at(i) > c["most"]), 4.0).otherwise(0.0)
+        far = far + F.when(c["sd"] > 0, beyond).otherwise(0.0)
+    own = F.aggregate(s, F.lit(0.0), lambda acc, x: acc + F.element_at("of", x))
+    value = own + PAIRS * pairs - SUM * z * z + ODD * odd_bonus - COLUMNS * far
+    rows = rows.select("game", "numbers", F.round(value, 9).alias("score"), z.alias("sum_z"), (F.lit(True) if accept is None else accept).alias("good"))
+    place = F.row_number().over(Window.partitionBy("game").orderBy(F.col("good").desc(), F.col("score").desc(), "numbers"))
+    best = rows.withColumn("place", place).where(F.col("place") <= most).withColumn("any", F.max("good").over(Window.partitionBy("game")))
+    return best.where("good or not any").select("game", "place", "numbers", "score", "sum_z")

@@ -195,3 +195,40 @@ def test_replay_by_bands_and_dates(spark):
     pool = spark.createDataFrame([([10, 21, 36, 51, 62],), ([1, 2, 3, 4, 20],), (rows[0][2],), ([1, 2, 3, 4, 5],)], "sorted array<int>")
     rule = spark.createDataFrame([("pos1", 2, 20)], "feature string, lo int, hi int")
     assert [r.sorted for r in constraints.reduced_pool(h, pool, rule).collect()] == [[10, 21, 36, 51, 62]]
+
+
+def test_best_combinations_as_plain_loops(spark, fair):
+    from math import log
+    from statistics import fmean, pstdev
+
+    scores = describe.frequency(fair).select("game", "n", F.col("rate").alias("score"))
+    got = {}
+    for r in combinations.best_combinations(scores, fair).collect():
+        got.setdefault(r.game, []).append((r.place, list(r.numbers), r.score))
+    k, d = fair.k, fair.d
+    for game, found in got.items():
+        draws = [r.sorted for r in fair.draws.where(F.col("game") == game).collect()]
+        score = {r.n: r.score for r in scores.where(F.col("game") == game).collect()}
+        n, hits = len(draws), {v: sum(v in s for s in draws) for v in score}
+        together = lambda a, b: sum(a in s and b in s for s in draws)
+        sums = [sum(s) for s in draws]
+        odd = [sum(v % 2 for v in s) for s in draws]
+        most_odd = max(odd.count(o) for o in range(d + 1))
+        pool = sorted(score, key=lambda v: (-score[v], v))[:12]
+        pair = {(a, b): log((together(a, b) + 0.75) / (hits[a] * hits[b] / n * (d - 1) * k / (d * (k - 1)) + 0.75)) for a, b in choices(sorted(pool), 2)}
+        places = [[s[i] for s in draws] for i in range(d)]
+        stats = [(fmean(p), pstdev(p), min(p), max(p)) for p in places]
+        want = []
+        for c in choices(sorted(pool), d):
+            z = (sum(c) - fmean(sums)) / max(1, pstdev(sums))
+            far = 0.0
+            for v, (m, sd, least, top) in zip(c, stats, strict=True):
+                far += max(0.0, abs(v - m) / sd - 1.5) ** 2 + 4 * (v < least or v > top)
+            value = sum(score[v] for v in c) + 0.3 * fmean(pair[p] for p in choices(c, 2)) - 0.06 * z * z + 0.25 * log((odd.count(sum(v % 2 for v in c)) + 1) / (most_odd + 1)) - 0.12 * far
+            want.append((-round(value, 9), list(c)))
+        want.sort()
+        assert [x[1] for x in sorted(found)] == [c for _, c in want[:8]]
+        assert all(abs(x[2] + w[0]) < 1e-6 for x, w in zip(sorted(found), want, strict=False))
+    none = combinations.best_combinations(scores, fair, accept=F.lit(False)).count()
+    some = combinations.best_combinations(scores, fair, accept=F.get("numbers", F.lit(0)) % 2 == 1).collect()
+    assert none == 8 * len(got) and all(r.numbers[0] % 2 == 1 for r in some)
