@@ -55,3 +55,22 @@ def countdown(now: Column, then: Column) -> Column:
     """Days, hours, minutes and seconds to a moment, 0 once it is past."""
     s = F.greatest(F.lit(0), F.unix_timestamp(then) - F.unix_timestamp(now))
     return F.struct(F.floor(s / 86400).alias("days"), F.floor(s % 86400 / 3600).alias("hours"), F.floor(s % 3600 / 60).alias("minutes"), (s % 60).alias("seconds"))
+
+
+def long_date(date: Column) -> Column:
+    """A date as Mon D, YYYY."""
+    return F.date_format(date, "MMM d, yyyy")
+
+
+def days_since(date: Column, now: Column) -> Column:
+    """Days, with their fraction, from the start of a date to a moment; infinity without a date."""
+    return F.coalesce((F.unix_micros(now) - F.unix_micros(date.cast("timestamp"))) / 86_400e6, F.lit(float("inf")))
+
+
+def money_text(amount: Column, words: bool = False) -> Column:
+    """Dollars in short: $1.25B, $20.5M (no decimal from 100 million), $7K, $12; with words, $1.25 Billion, $20 Million."""
+    fixed = lambda unit, digits: F.format_string(f"%.{digits}f", F.round(amount / unit, digits))
+    millions = fixed(1e6, 0) if words else F.when(amount >= 1e8, fixed(1e6, 0)).otherwise(fixed(1e6, 1))
+    names = (" Billion", " Million") if words else ("B", "M")
+    text = F.when(amount >= 1e9, F.concat(fixed(1e9, 2), F.lit(names[0]))).when(amount >= 1e6, F.concat(millions, F.lit(names[1]))).when(amount >= 1e3, F.concat(fixed(1e3, 0), F.lit("K"))).otherwise(fixed(1.0, 0))
+    return F.concat(F.lit("$"), text)

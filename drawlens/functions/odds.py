@@ -28,6 +28,11 @@ def order_statistic(pool: int, size: int, r: int, v: int) -> float:
     return comb(v - 1, r - 1) * comb(pool - v, size - r) / comb(pool, size)
 
 
+def position_interval(pool: int, size: int, r: int, low: int, high: int) -> float:
+    """The chance that the r-th smallest of `size` numbers of `pool` lies in low..high."""
+    return sum(order_statistic(pool, size, r, v) for v in range(max(1, low), min(pool, high) + 1))
+
+
 def jackpot_odds(pool: int, size: int, bonus: int = 0) -> int:
     return comb(pool, size) * max(1, bonus)
 
@@ -44,3 +49,9 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> Column:
     centre, spread, scale = p + z * z / (2 * m), z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m)), 1 + z * z / m
     low, high = F.greatest(F.lit(0.0), (centre - spread) / scale), F.least(F.lit(1.0), (centre + spread) / scale)
     return F.struct(F.when(n > 0, low).otherwise(0.0).alias("low"), F.when(n > 0, high).otherwise(1.0).alias("high"))
+
+
+def edge_text(probability: Column, chance: float) -> Column:
+    """How far a probability is from chance, in words: about chance within 3 %, else the rounded per cent above or below."""
+    edge = probability / chance - 1 if chance > 0 else probability * 0.0
+    return F.when(F.abs(edge) < 0.03, "about chance").otherwise(F.concat(F.when(edge > 0, "+").otherwise("-"), F.round(F.abs(edge) * 100).cast("int").cast("string"), F.lit("% vs chance")))

@@ -3,6 +3,7 @@
 from math import comb
 
 from drawlens.functions.odds import hypergeometric, order_statistic
+from drawlens.functions.shapes import bounds
 from drawlens.operators.combinations import at_most_count, same_digit_count, window_count, adjacency_count
 from drawlens.operators.money import tier_chances
 
@@ -160,7 +161,26 @@ def _queries() -> dict[str, str]:
     q["history_page"] = "select 'main' as game, t, array_to_string(s, '-') as numbers from draws order by t desc limit 12 offset 12"
     q["merge_draws"] = "select 'main' as game, sum((src = 3)::int)::bigint as both, sum((src = 1)::int)::bigint as only_old, sum((src = 2)::int)::bigint as only_new, count(jackpot) as jackpots from (select date, s, special, sum(distinct src) as src, max(jackpot) as jackpot from (select date, s, special, case when t % 5 = 0 then null else jackpot end as jackpot, 1 as src from draws where t % 3 > 0 union all select date, s, special, jackpot, 2 from draws where t % 3 < 2) group by date, s, special)"
     q["isotonic_calibration"] = """select 'main' as game, x::int as rank, round(fit, 6) as fit from (select x, min(top) as fit from (select a.x as a, b.x, max(b2.m) as top from sp a join sp b on b.x >= a.x join mm b2 on b2.a = a.x and b2.b >= b.x group by 1, 2) group by x)"""
+    q["companions"] = """select 'main' as game, n, kind, place::int as place, other, times from (select *, row_number() over (partition by n, kind order by times desc, other) as place from
+      (select h1.n as n, h2.n as other, 'partner' as kind, count(*) as times from hits h1 join hits h2 on h1.t = h2.t and h1.n <> h2.n group by 1, 2 union all select j, i, 'follower', followed from trans)) where place <= 5"""
+    q["calendar_rate"] = f"select 'main' as game, sum((s[5] <= 31)::int)::bigint as seen, count(*) as draws, round({comb(31, D) / comb(K, D)!r}::double, 6) as expected from draws"
+    q["typical_sales"] = """select 'main' as game, round(case when count(*) >= 3 then list_sort(list(sales))[(count(*) // 2 + 1)::int] end, 2) as sales from draws d cross join sizes
+      join (select od.date, sum(l_extendedprice) as sales from (select o_orderkey, o_orderdate::date as date from orders) od join lineitem on l_orderkey = o_orderkey group by od.date) x on x.date = d.date where t >= draws - 40 and sales > 0"""
+    slices = {"pooled": "0", "bonus": "special", "decade": "((s[1] - 1) // 10)::int", "odd": "len(list_filter(s, lambda x: x % 2 = 1))::int", "weekday": "dow"}
+    sliced = " union all ".join(f"select '{n}' as slice, {c} as part, t, list_sum(s) as v from draws" for n, c in slices.items())
+    q["slice_floors"] = """select 'main' as game, a.slice, a.groups, a.chances, a.broke, round(a.broke / a.chances::double, 6) as rate, round(p.broke / p.chances::double, 6) as pooled_rate, a.chances >= 100 and a.groups >= 2 and a.broke / a.chances::double > 1.5 * (p.broke / p.chances::double) as rejected
+      from sf a cross join (select * from sf where slice = 'pooled') p where a.slice <> 'pooled'"""
+    q["replay_reasons"] = """select 'main' as game, place::int as place, cut_by, draws, judged, held, round(held / judged::double, 6) as held_rate from (select cut_by, count(*) as draws, row_number() over (order by count(*) desc, cut_by) as place from rp where not kept group by cut_by)
+      cross join (select count(*) as judged, sum(kept::int)::bigint as held from rp)"""
+    binned = " union all ".join(f"select '{n}' as feature, {hi - lo + 1} as room, t, floor(({feats[n]})::double + 0.5)::int as bin from draws" for n, (lo, hi) in bounds(K, D).items() if n in feats)
+    q["feature_standing"] = """select 'main' as game, feature, value, count(*) as observations, min(bin) as least, max(bin) as most, count(case when bin = value then 1 end) as times, round((count(case when bin = value then 1 end) + 1.0 / room) / (count(*) + 1.0), 6) as p, round(count(case when bin < value then 1 end) / count(*)::double, 6) as percentile
+      from (select *, arg_max(bin, t) over (partition by feature) as value from bf) group by feature, value, room"""
+    q["ticket_lab"] = f"""select 'main' as game, k.ticket, list_sum(k.numbers)::int as total, round(a.under, 6) as total_below, round(a.same, 6) as odd_share, a.pair_total, a.best_overlap, array_to_string(b.best_t, '-') as best_t, a.three_up, coalesce(c.c, 0)::bigint as special_count
+      from {tk} k join la a on a.numbers = k.numbers join (select l.numbers, list(l.t order by l.t)[1:3] as best_t from lm l join la on la.numbers = l.numbers and l.o = la.best_overlap group by l.numbers) b on b.numbers = k.numbers left join (select special, count(*) as c from draws group by special) c on c.special = k.special"""
     more = {
+        "slice_floors": f", sf as (select slice, count(distinct part) as groups, count(lo) as chances, count(case when v < lo then 1 end) as broke from (select slice, part, v, min(v) over (partition by slice, part order by t rows between unbounded preceding and 1 preceding) as lo from ({sliced}) where part is not null) group by slice) ",
+        "replay_reasons": f", rp as ({q['pool_replay']}) ", "feature_standing": f", bf as ({binned}) ",
+        "ticket_lab": f", lm as (select k.numbers, d.t, len(list_intersect(k.numbers, d.s))::int as o, list_sum(d.s) < list_sum(k.numbers) as under, len(list_filter(d.s, lambda x: x % 2 = 1)) = len(list_filter(k.numbers, lambda x: x % 2 = 1)) as same from (select distinct numbers from {tk}) k cross join draws d), la as (select numbers, avg(under::int) as under, avg(same::int) as same, sum(o * (o - 1) // 2)::bigint as pair_total, max(o) as best_overlap, count(case when o >= 3 then 1 end) as three_up from lm group by numbers) ",
         "pair_overlap_hist": f", pp as {pairs} ", "closest_pairs": f", pp as {pairs} ",
         "jackpot_projection": ", seq as (select t, jackpot, winner_location is not null as won, lag(jackpot) over (order by t) as before, lag(winner_location is not null) over (order by t) as bw from draws) ",
         "hazard_signal": ", hz as (" + q["hazard"].replace("'main' as game, ", "") + ") ",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from drawlens.functions.odds import hypergeometric
 from drawlens.functions.shapes import total
 from drawlens.history import History
-from drawlens.operators import combinations, constraints, describe, eras, fairness, learn, money, overlaps, positions, signals
+from drawlens.operators import combinations, constraints, describe, eras, fairness, learn, money, overlaps, positions, reports, signals
 from drawlens.sources import orders, text
 from drawlens.sources.orders import history
 
@@ -86,6 +86,12 @@ def ticket_deal(h: History) -> DataFrame:
     return combinations.deal(scores, h, 5, accept=F.size(money.crowd_markers(F.col("numbers"), h.k)) == 0).select("game", "ticket", F.array_join("numbers", "-").alias("numbers"))
 
 
+def ticket_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the record says about every customer's ticket."""
+    rows = reports.ticket_lab(_tickets(spark, sf_dir), history(spark, sf_dir))
+    return rounded(rows.select("game", "ticket", "total", "total_below", "odd_share", "pair_total", "best_overlap", F.array_join(F.col("best_t").cast("array<string>"), "-").alias("best_t"), "three_up", "special_count"))
+
+
 def queries() -> dict[str, Query]:
     joined = lambda df, c="numbers": df.withColumn(c, F.array_join(c, "-"))
     u = lambda spark: combinations.subsets(spark, 20, 4)
@@ -114,6 +120,8 @@ def queries() -> dict[str, Query]:
         "subset_families": lambda s, d: rounded(combinations.family_counts(s, 69, 5), 12), "sum_at_most": lambda s, d: combinations.sum_distribution(s, 20, 4),
         "band_count": lambda s, d: u(s).where("sorted[0] between 1 and 6 and sorted[1] between 4 and 12 and sorted[2] between 8 and 15 and sorted[3] between 10 and 20").agg(F.count(F.lit(1)).alias("combinations")),
         "rule_space_share": lambda s, d: constraints.space_histogram(u(s), 20, 4).where("feature = 'sum'").select("bin", "combinations"), "portfolio_exact": lambda s, d: rounded(portfolio(s), 9),
+        "companions": _of(reports.companions), "calendar_rate": _of(reports.calendar_rate), "typical_sales": lambda s, d: rounded(reports.typical_sales(_with_sales(s, d)), 2), "slice_floors": _of(reports.slice_floors),
+        "replay_reasons": _of(lambda h: reports.replay_reasons(constraints.cut_by(h))), "feature_standing": _of(reports.standing), "ticket_lab": ticket_lab,
         # Not for SQL: folds, samples and greedy choices, which tests hold against plain versions.
         "signals_next": _of(lambda h: signals.normalised(signals.raw(h)).drop("hit")), "bonus_signals": _of(signals.bonus), "walk_forward_signals": _of(lambda h: learn.backtest(h)["signals"]), "rank_calibration": _of(lambda h: learn.backtest(h)["ranks"]), "ml_combiner": _of(lambda h: learn.combiner(h)[1]),
         "constraint_rules": _of(constraints.rules), "constraint_modes": _of(constraints.modes), "pool_replay": _of(constraints.cut_by), "pool_replay_bands": _of(pool_replay_bands), "overlap_law": _of(constraints.closed_form_overlap, 9),

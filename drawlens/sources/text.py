@@ -181,3 +181,29 @@ def sized_games(draws: DataFrame) -> DataFrame:
     size = draws.groupBy("game", F.size("sorted").alias("d")).agg(F.count(F.lit(1)).alias("c"))
     modal = size.withColumn("r", F.row_number().over(Window.partitionBy("game").orderBy(F.col("c").desc(), F.col("d").desc()))).where("r = 1").select("game", "d")
     return draws.groupBy("game").agg(F.max(F.array_max("sorted")).alias("k"), F.max("special").alias("ks"), (F.count("special") / F.count(F.lit(1))).alias("bonus_share")).join(modal, "game").select("game", "d", "k", "ks", "bonus_share")
+
+
+def ascending_games(draws: DataFrame) -> DataFrame:
+    """game, ascending: whether every draw of a game lists its numbers in ascending order; places in source order mean something only where one does not."""
+    return draws.groupBy("game").agg(F.bool_and(F.coalesce(F.col("numbers") == F.array_sort("numbers"), F.lit(False))).alias("ascending"))
+
+
+def entry_problem(numbers: Column, special: Column, size: int, pool: int = 0, bonus: bool = False, most_special: int = 0) -> Column:
+    """Why a draw typed in (numbers: array of int, null where a cell is no whole number) can't be taken; null if it can. A bonus number may be up to half above the largest seen."""
+    why = F.when(F.size(numbers) != size, "another count of numbers").when(F.exists(numbers, lambda x: x.isNull() | (x < 1)), "a number is missing")
+    if pool:
+        why = why.when(F.exists(numbers, lambda x: x > pool), "a number is above the pool")
+    why = why.when(F.size(F.array_distinct(numbers)) < size, "a number comes twice")
+    if bonus:
+        why = why.when(special.isNull() | (special < 1), "the bonus number is missing")
+        why = why.when(special > 1.5 * most_special, "the bonus number is too large") if most_special else why
+    return why
+
+
+def published(old: DataFrame, built: DataFrame) -> DataFrame:
+    """For each game the draws of `built` (with old's columns), unless `old` has more: a source with a bad day never shortens a published history."""
+    count = lambda d, name: d.groupBy("game").agg(F.count(F.lit(1)).alias(name))
+    sizes = count(old, "_old").join(count(built, "_new"), "game", "full")
+    shorter = F.coalesce("_old", F.lit(0)) > F.coalesce("_new", F.lit(0))
+    keep = lambda d, test: d.select(*old.columns).join(sizes.where(test).select("game"), "game", "left_semi").select(*old.columns)
+    return keep(old, shorter).unionByName(keep(built, ~shorter))
