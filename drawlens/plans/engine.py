@@ -8,7 +8,7 @@ from drawlens.functions.dates import countdown, instant
 from drawlens.functions.odds import hypergeometric
 from drawlens.functions.shapes import features
 from drawlens.history import History
-from drawlens.operators import combinations, constraints, describe, eras, fairness, learn, money, overlaps, positions, signals
+from drawlens.operators import combinations, constraints, describe, eras, fairness, learn, money, overlaps, positions, reports, signals
 
 LEAST_DRAWS, MOST_POOL = 12, 150
 LABELS = {
@@ -116,9 +116,9 @@ def analysed(history: History, evaluated: bool = True) -> dict[str, DataFrame]:
     out = {
         "problems": problems(history), "eras": eras.detect(history), "next_draw": signals.next_draw(h), "numbers": numbers, "reasons": reasons, "number_stats": number_stats(h), "hot_cold": describe.hot_cold(h), "overdue": describe.overdue(h), "pairs": describe.top_pairs(h),
         "followers": describe.top_followers(h), "weekdays": describe.weekday_profiles(h), "weekday_tests": describe.weekday_significance(h), "trends": describe.trends(h), "streaks": describe.current_streaks(h), "positions": positions.statistics(h), "profiles": positions.profiles(h), "overlaps": overlaps.histogram(history),
-        "repeats": overlaps.exact(history), "closest": overlaps.closest(history), "similar": signals.similar(h, signals.next_draw(h)), "fairness": fairness.tests(h), "presets": combinations.preset_counts(h), "rules": constraints.rules(h), "replay": constraints.cut_by(h),
+        "repeats": overlaps.exact(history), "closest": overlaps.closest(history), "similar": signals.similar(h, signals.next_draw(h)), "fairness": fairness.tests(h), "presets": combinations.preset_counts(h), "rules": constraints.rules(h), "replay": constraints.cut_by(h), "companions": reports.companions(h), "standing": reports.standing(h), "slice_floors": reports.slice_floors(h),
         "combinations": combinations.best_combinations(numbers.select("game", "n", "score"), h), "jackpots": money.jackpots(h), "projection": money.projection(h),
     }
     if h.ks:
         out["bonus"] = signals.bonus(h)
-    return out | ({"signals": test["signals"], "points": test["points"], "ranks": test["ranks"], "drivers": drivers(test["signals"])} if test else {})
+    return out | ({"signals": test["signals"], "points": test["points"], "ranks": test["ranks"], "drivers": drivers(test["signals"]), "summary": reports.point_summary(test["points"])} if test else {})
