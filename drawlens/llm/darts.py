@@ -186,24 +186,27 @@ def sketches(sets: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Of edges (a, b): node, comp, the smallest node of each connected component, by large and small stars in turn until nothing changes.
+    """Of edges (a, b): node, comp, the smallest node of each connected component, by large and small stars in turn until only stars are left.
 
-    A node's neighbours are never gathered: each star is a minimum by node, joined back. Nodes without edges aren't in the result.
+    A node's neighbours are never gathered: each star is a minimum by node, joined back. Edges that are stars already, as those of an earlier result, take no turn. Nodes
+    without edges aren't in the result.
     """
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.xxhash64("a", "b") / 1024).cast("decimal(20,0)")), F.lit(0))).first())
+    down = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+
+    def stars(e: DataFrame) -> bool:
+        """Whether each node is either the smallest of its neighbours or has a single one, which is such a smallest."""
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(e.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or (below > 0 and above > 0)").isEmpty()
 
     files = 1 + edges.count() // 200_000
-    edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct(), "edges", files)
-    before = None
-    while (now := state(edges)) != before and now[0]:
-        before, edges_now = now, edges
+    edges = materialise(edges.select(down).where("a != b").distinct(), "edges", files)
+    while not stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        edges = both.join(least, "a").where((F.col("b") > F.col("a"))).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        moved = edges.join(least, "a")
-        old, edges = edges_now, materialise(moved.select("b", "m").where("b != m").union(least.select("a", "m")).toDF("a", "b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", files)
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b != m").select("b", "m").union(least.select("a", "m")).toDF("a", "b")
+        old, edges = edges, materialise(small.select(down).distinct(), "edges", files)
         drop(old)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(edges.select("b", "b").distinct().toDF("node", "comp"))
 
@@ -250,25 +253,30 @@ def _parts(docs: DataFrame, key: str, text: str, similarity: float, words: int,
         pairs = pairs.join(parts.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
         return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
+    def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+        """The parts as the links between them join them."""
+        return components(parts.toDF("a", "b").unionByName(links))
+
     # Each content with the lowest that it shares most bands with; then the other stars, where they could still join parts.
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    found = _verified(best, sets, similarity)
-    parts = components(found)
-    found = found.unionByName(_verified(apart(stars, parts), sets, similarity))
-    parts = components(found)
-
-    def unsettled(rows: DataFrame, parts: DataFrame) -> DataFrame:
-        """The rows of bands whose contents are in different parts, with comp."""
-        rows = rows.drop("comp").join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    parts = components(_verified(best, sets, similarity))
+    parts = joined(parts, _verified(apart(stars, parts), sets, similarity))
+
+    def placed_in(rows: DataFrame, parts: DataFrame) -> DataFrame:
+        """The rows with comp."""
+        return rows.drop("comp").join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def unsettled(rows: DataFrame) -> DataFrame:
+        """The rows of bands whose contents are in different parts."""
         mixed = rows.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y")
         return rows.join(mixed.select("band"), "band", "leftsemi")
 
-    rest = materialise(unsettled(banded.join(lowest.where("n > 2").select("band"), "band", "leftsemi"), parts), "unsettled")
+    rest = materialise(unsettled(placed_in(banded.join(lowest.where("n > 2").select("band"), "band", "leftsemi"), parts)), "unsettled")
     # Elements that only one of these contents has: `most` is what a content can have in common with another.
     elements = sets.join(rest.select("node").distinct(), "node", "leftsemi").select("node", F.explode("shingles").alias("e"))
     alone = elements.groupBy("e").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
     rest = rest.join(alone, "node", "left").withColumn("most", F.col("size") - F.coalesce("own", F.lit(0)))
-    rest = unsettled(rest.where(F.col("most") >= F.lit(similarity - 1e-9) * F.col("size")).drop("own"), parts)
+    rest = unsettled(rest.where(F.col("most") >= F.lit(similarity - 1e-9) * F.col("size")).drop("own"))
 
     def could(a: str, b: str):
         common = F.least(f"{a}most", f"{b}most")
@@ -284,9 +292,8 @@ def _parts(docs: DataFrame, key: str, text: str, similarity: float, words: int,
         else:
             pivots = rest.groupBy("band").agg(F.max_by(F.struct("node", "size", "most", "comp"), first).alias("pivot"))
         pairs = rest.join(pivots, "band").where((F.col("comp") != F.col("pivot.comp")) & could("", "pivot.")).select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct()
-        found = found.unionByName(_verified(pairs, sets, similarity))
-        parts = components(found)
-        rest = unsettled(rest, parts)
+        parts = joined(parts, _verified(pairs, sets, similarity))
+        rest = unsettled(placed_in(rest, parts))
     # What is left, pair by pair, each in the first band of both. Sizes within the similarity fall in the same or the next class of sizes.
     rest = materialise(rest, "unsettled")
     own = sets.join(rest.select("node").distinct(), "node", "leftsemi")
@@ -303,7 +310,7 @@ def _parts(docs: DataFrame, key: str, text: str, similarity: float, words: int,
     once = F.array_min(F.array_intersect("ain", "bin")) == F.col("band")
     cross = left.join(right, ["band", "step"]).where((F.col("acomp") != F.col("bcomp")) & ordered & could("a", "b") & near & once)
     cross = cross.select(F.greatest("anode", "bnode").alias("a"), F.least("anode", "bnode").alias("b")).distinct()
-    parts = components(found.unionByName(_verified(cross, sets, similarity)))
+    parts = joined(parts, _verified(cross, sets, similarity))
     placed = materialise(nodes.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
     drop(nodes, banded, stars, sets, rest)
     return members, placed
