@@ -297,7 +297,7 @@ def _parts(docs: DataFrame, key: str, text: str, similarity: float, words: int,
     # What is left, pair by pair, each in the first band of both. Sizes within the similarity fall in the same or the next class of sizes.
     rest = materialise(rest, "unsettled")
     own = sets.join(rest.select("node").distinct(), "node", "leftsemi")
-    held = rest.groupBy("node").agg(F.collect_list("band").alias("in")).join(sketches(own), "node")
+    held = materialise(rest.groupBy("node").agg(F.collect_list("band").alias("in")).join(sketches(own), "node"), "held")  # both sides of the join read it
     rest = rest.join(held, "node")
     step = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
     side = lambda n: [F.col(c).alias(f"{n}{c}") for c in ("node", "comp", "size", "most", "in", "bits")]
@@ -312,7 +312,7 @@ def _parts(docs: DataFrame, key: str, text: str, similarity: float, words: int,
     cross = cross.select(F.greatest("anode", "bnode").alias("a"), F.least("anode", "bnode").alias("b")).distinct()
     parts = joined(parts, _verified(cross, sets, similarity))
     placed = materialise(nodes.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    drop(nodes, banded, stars, sets, rest)
+    drop(nodes, banded, stars, sets, rest, held)
     return members, placed
 
 
