@@ -44,3 +44,41 @@ def op10() -> str:
     x as (select d.doc_id, d.size, g.source_size, g.target, g.slope, (sum(d.size) over (partition by d.source order by d.h, d.doc_id rows between unbounded preceding and current row) - d.size)::bigint as first from d join g on d.source is not distinct from g.source),
     y as (select *, {" + ".join(f"greatest(0, least(size, round(target)::bigint - {k} * source_size - first))" for k in range(3))} as taken, least(1.0::double, first / greatest(target, 1.0::double)) as share from x)
     select doc_id, size, source_size, target, taken::bigint as taken, case when taken > 0 then round(case when abs(slope) < 1e-9 then share else 2 * share / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * share)) end, 9) end as position from y"""
+
+
+def op11() -> str:
+    blanks = "concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))"
+    return f"""with d as materialized (select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+    x as (select rid, doc_id, unnest(range(1, len(lines) + 1)) as i, unnest(lines) as line from d),
+    k as materialized (select *, translate(trim(line, {blanks}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from x),
+    o as (select key, min(doc_id) as owner from k where length(key) >= 10 group by key having count(distinct doc_id) > 1),
+    m as (select rid, doc_id, i, line, owner is not null and owner <> doc_id as lost from k left join o using (key))
+    select doc_id, count(*) as n_lines, count(case when lost then 1 end) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not lost), '')) as kept_sha256 from m group by rid, doc_id"""
+
+
+def op12() -> str:
+    h = lambda i: f"('0x' || substr(h, {1 + 8 * i}, 8))::bigint"
+    return rf"""with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u, sha256('42:' || doc_id) as h from documents),
+    c as (select *, len(u) as n, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or {h(2)} % 100 >= 50 then 'plain' when {h(3)} % 100 < 80 then 'spm' else 'psm' end as form,
+        least({h(0)} % (len(u) + 1), {h(1)} % (len(u) + 1)) as lo, greatest({h(0)} % (len(u) + 1), {h(1)} % (len(u) + 1)) as hi from d),
+    p as (select *, array_to_string(u[1:lo], '') as a, array_to_string(u[lo + 1:hi], '') as m, array_to_string(u[hi + 1:n], '') as z from c)
+    select doc_id, n::bigint as n, form, case when form <> 'plain' then length(a) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+        sha256(case form when 'plain' then text when 'psm' then '<P>' || a || '<S>' || z || '<M>' || m else '<S>' || z || '<P>' || a || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256 from p"""
+
+
+def op13(k: int = 8, dims: int = 64, rounds: int = 10) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} as materialized (select rid, min(d * {k} + c) // {k} as distance, (min(d * {k} + c) % {k})::int as cluster from
+                (select v.rid, c.c, list_sum([(v.q[i] - c.q[i]) * (v.q[i] - c.q[i]) for i in range(1, {dims + 1})])::hugeint as d from v cross join c{r} c) group by rid)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} as materialized (select c.c, coalesce(n.q, c.q) as q from c{r} c left join (select cluster, list(x order by i) as q from (select a.cluster, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as x
+                from (select v.rid, unnest(range(1, {dims + 1})) as i, unnest(v.q) as x from v) y join a{r} a on a.rid = y.rid group by a.cluster, i) group by cluster) n on n.cluster = c.c)"""
+            )
+    return f"""with v as materialized (select row_number() over () as rid, vec_id, [floor(1024 * x::double)::hugeint for x in embedding] as q from embeddings where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dims}),
+    c0 as materialized (select (row_number() over (order by sha256('3:' || vec_id), q) - 1)::int as c, q from v order by sha256('3:' || vec_id), q limit {k}), {", ".join(steps)}
+    select v.vec_id, a.cluster, a.distance::bigint as distance, (sum(a.distance) over (partition by a.cluster))::bigint as cluster_inertia, (sum(a.distance) over ())::bigint as inertia, sha256(array_to_string(c.q, ',')) as centroid_sha256
+    from v join a{rounds} a using (rid) join c{rounds} c on c.c = a.cluster"""

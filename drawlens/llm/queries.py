@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drawlens.llm import ann, bpe, darts, gif, lm, mixing, pii, rules, secrets, sharding, spans
+from drawlens.llm import ann, bpe, centroids, darts, fim, gif, line_runs, lm, mixing, pii, rules, secrets, sharding, spans
 from drawlens.llm.scratch import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,11 +79,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
+def _sha256(text):
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_runs.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", _sha256(F.col("kept")).alias("kept_sha256"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.rearranged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    again = fim.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _sha256(F.col("output")).alias("output_sha256"), _sha256(again).alias("restored_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = centroids.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", _sha256(F.array_join("centroid", ",")).alias("centroid_sha256"))
+
+
 def queries() -> dict:
-    return {"op1_lm": op1_lm, "op2_bpe": op2_bpe, "op3_darts": op3_darts, "op4_ann": op4_ann, "op5_secrets": op5_secrets, "op6_gif": op6_gif, "op7_quality": op7_quality, "op8_sharding": op8_sharding, "op9_pii": op9_pii, "op10_mixing": op10_mixing}
+    return {"op1_lm": op1_lm, "op2_bpe": op2_bpe, "op3_darts": op3_darts, "op4_ann": op4_ann, "op5_secrets": op5_secrets, "op6_gif": op6_gif, "op7_quality": op7_quality, "op8_sharding": op8_sharding, "op9_pii": op9_pii, "op10_mixing": op10_mixing, "op11_lines": op11_lines, "op12_fim": op12_fim, "op13_centroids": op13_centroids}
 
 
 def oracle_sql() -> dict[str, str]:
-    from drawlens.llm.oracles import op8, op10
+    from drawlens.llm.oracles import op8, op10, op11, op12, op13
 
-    return {"op8_sharding": op8(), "op10_mixing": op10()}
+    return {"op8_sharding": op8(), "op10_mixing": op10(), "op11_lines": op11(), "op12_fim": op12(), "op13_centroids": op13()}
