@@ -43,12 +43,17 @@ def features(s: Column, k: int, d: int) -> dict[str, Column]:
 
 
 def bounds(k: int, d: int) -> dict[str, tuple[int, int]]:
-    """The least and the most that each feature can be: the range of its histogram, known before any draw."""
+    """The least and the most that each feature can be, as fixed values: they bound every band, and a histogram has bins() of them, known before any draw."""
     low, high = d * (d + 1) // 2, d * k - d * (d - 1) // 2
     out = {f"pos{r}": (r, k - d + r) for r in range(1, d + 1)} | {f"gap{r}": (1, k - d + 1) for r in range(1, d)}
-    out |= {"sum": (low, high), "sumLow2": (3, 2 * (k - d) + 3), "sumLow3": (6, 3 * (k - d) + 6), "sumHigh2": (2 * d - 1, 2 * k - 1), "spread": (d - 1, k - 1), "sd": (0, k), "maxGap": (1, k - d + 1), "minGap": (1, k - d + 1)}
-    out |= {"consec": (0, d - 1), "runs": (0, d - 1), "emptyZones": (0, 3), "lastDigitDup": (0, d - 1), "centerDist": (0, k // 2 + 1)} | {n: (0, d) for n in ("odd", "prime", "lowZone", "midZone", "highZone", "aboveMid", "repeatPrev", "overlap3", "overlap10")}
-    return out | {"dSum": (low - high, high - low), "dSpread": (d - k, k - d), "dOdd": (-d, d)}
+    out |= {"sum": (low, high), "sumLow2": (3, 2 * k - 1), "sumLow3": (6, 3 * k - 3), "sumHigh2": (3, 2 * k - 1), "spread": (d - 1, k - 1), "sd": (0, k), "maxGap": (1, k - d + 1), "minGap": (1, (k - 1) // (d - 1))}
+    out |= {"consec": (0, d - 1), "runs": (0, d // 2), "emptyZones": (0, 2), "lastDigitDup": (0, d - 1), "centerDist": (0, k)} | {n: (0, d) for n in ("odd", "prime", "lowZone", "midZone", "highZone", "aboveMid", "repeatPrev", "overlap3", "overlap10")}
+    return out | {"dSum": (-high, high), "dSpread": (-k, k), "dOdd": (-d, d)}
+
+
+def bins(k: int, d: int) -> dict[str, int]:
+    """How many bins the histogram of each feature has: one for each whole value within its bounds, and one more above them, among which prior mass is shared."""
+    return {name: hi - lo + 2 for name, (lo, hi) in bounds(k, d).items()}
 
 
 def conditional(s: Column, prev: Column, last3: Column, last10: Column) -> dict[str, Column]:
@@ -80,7 +85,7 @@ def families(s: Column, k: int, d: int) -> dict[str, Column]:
     seen = reduce(lambda a, b: a.bitwiseOR(b), [F.when(has, F.element_at(F.array(*[F.lit(1 << i) for i in range(10)]), v.cast("int") + 1)).otherwise(0) for x in n for v, has in digits(x)])
     row, column = (lambda x: (x - 1) % SLIP), (lambda x: div(x - 1, SLIP))
     return {
-        "oneDecade": alike(lambda x: div(x, 10)),
+        "oneDecade": alike(lambda x: div(x - 1, 10)),
         "mult5": every(x % 5 == 0 for x in n),
         "sameDigit": alike(lambda x: x % 10),
         "evenSpaced": even,

@@ -1,19 +1,22 @@
 """Shape rules: bands that draws keep to, learned from the draws before each."""
 
 
+from functools import reduce
 from math import comb
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawlens.functions.odds import wilson
-from drawlens.functions.shapes import bounds, conditional, families, features
+from drawlens.checkpoints import cut
+from drawlens.functions.odds import choose, order_statistic, wilson
+from drawlens.functions.shapes import bounds, conditional, count_where, families, features, total
 from drawlens.history import BLOCK, History, blocked
+from drawlens.operators import bands, eras
 
 ALPHAS = [0.0005, 0.002, 0.01, 0.03]  # fixed values: the tails of the bands
+TAILS = [round(a * bands.UNIT) for a in ALPHAS]
 WARM_UP, LEAST_STEPS = 120, 40
+WORD = 60  # combinations to a word of bits
 
 
 def with_context(h: History) -> DataFrame:
@@ -40,44 +43,24 @@ def long(rows: DataFrame) -> DataFrame:
     return rows.select("game", "t", "dow", F.explode(each).alias("x")).select("game", "t", "dow", "x.feature", "x.v").where(F.col("v").isNotNull())
 
 
-def band(counts: np.ndarray, alphas: list[float], mass: float = 1.0) -> list[tuple[int, int]]:
-    """For each alpha the first and last bin of the band: counts with `mass` spread over all bins; the tail below the first is at most alpha, and the last is the first at which what is above is."""
-    run = np.cumsum(counts + mass / len(counts))
-    tails = np.asarray(alphas) * run[-1]
-    lo, hi = np.searchsorted(run, tails, side="right"), np.searchsorted(run, run[-1] - tails - 1e-12, side="left")
-    return list(zip(np.minimum(lo, hi).tolist(), np.maximum(lo, hi).tolist(), strict=True))
+def steps(h: History, context: bool = True) -> DataFrame:
+    """game, feature, t, dow, v, bands (an array of lo, hi, in the order of ALPHAS), for every draw from the warm-up on and, with v null, for the draw to come: what each rule was before the draw. Computed once."""
+    values = cut(long(measured(h, context)))  # read several times
+    return cut(bands.asof(values, h.k, h.d, TAILS).where(F.col("t") >= WARM_UP))
 
 
-def walk_forward(values: DataFrame, k: int, d: int, alphas: list[float] = ALPHAS, warm_up: int = WARM_UP) -> DataFrame:
-    """game, feature, alpha, t, dow, lo, hi, held: the band of each feature at each draw, from the draws before it, and whether the draw kept to it.
-
-    values: game, t, dow, feature, v. A task takes one feature of one game: its histogram grows by a draw at a time, so the cost is draws times bins. The bins are those that the
-    feature can have, not those that the history happens to fill.
-    """
-    limits = bounds(k, d)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        bins = np.floor(rows["v"].to_numpy() + 0.5).astype(int)
-        base, top = limits[rows["feature"].iloc[0]]
-        counts = np.zeros(top - base + 1)
-        t, dow, out = rows["t"].to_numpy(), rows["dow"].to_numpy(), []
-        for i, b in enumerate(bins):
-            if i >= warm_up:
-                for a, (lo, hi) in zip(alphas, band(counts, alphas), strict=True):
-                    out.append((a, t[i], dow[i], base + lo, base + hi, base + lo <= b <= base + hi))
-            if base <= b <= top:
-                counts[b - base] += 1
-        x = pd.DataFrame(out, columns=["alpha", "t", "dow", "lo", "hi", "held"])
-        return x.assign(game=rows["game"].iloc[0], feature=rows["feature"].iloc[0])[["game", "feature", "alpha", "t", "dow", "lo", "hi", "held"]]
-
-    return values.groupBy("game", "feature").applyInPandas(fold, "game string, feature string, alpha double, t long, dow int, lo int, hi int, held boolean")
+def by_rule(rows: DataFrame) -> DataFrame:
+    """game, feature, alpha, t, dow, v, lo, hi, held: steps(), one row for each rule and draw."""
+    each = F.array(*[F.struct(F.lit(a).alias("alpha"), F.get("bands", F.lit(i))["lo"].alias("lo"), F.get("bands", F.lit(i))["hi"].alias("hi")) for i, a in enumerate(ALPHAS)])
+    out = rows.select("game", "feature", "t", "dow", "v", F.inline(each))
+    return out.select("game", "feature", "alpha", "t", "dow", "v", "lo", "hi", bands.held(F.col("v"), F.col("lo"), F.col("hi")).alias("held"))
 
 
 def sample_universe(spark, k: int, d: int, n: int = 8000, seed: int = 1) -> DataFrame:
-    """sorted: n combinations, each the d numbers of 1..k with the least hashes of seed, row and number: any row can be made anywhere, alone."""
-    keys = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda v: F.struct(F.xxhash64(F.lit(seed), "id", v).alias("h"), v.cast("int").alias("v")))
-    return spark.range(n).select(F.array_sort(F.transform(F.slice(F.array_sort(keys), 1, d), lambda x: x["v"])).alias("sorted"))
+    """id, sorted: n combinations, each the d numbers of 1..k with the least md5 of seed, id and number: any row can be made anywhere, alone."""
+    digest = lambda v: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), v.cast("string")).cast("binary"))
+    keys = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda v: F.struct(digest(v).alias("h"), v.cast("int").alias("v")))
+    return spark.range(n).select("id", F.array_sort(F.transform(F.slice(F.array_sort(keys), 1, d), lambda x: x["v"])).alias("sorted"))
 
 
 def space_histogram(universe: DataFrame, k: int, d: int) -> DataFrame:
@@ -87,90 +70,222 @@ def space_histogram(universe: DataFrame, k: int, d: int) -> DataFrame:
     return universe.select(F.explode(each).alias("x")).groupBy("x.feature", "x.bin").agg(F.count(F.lit(1)).alias("combinations"))
 
 
-def rules(h: History, universe: DataFrame | None = None) -> DataFrame:
-    """One row for each feature and alpha: steps, survival (with its Wilson interval), recent survival, share of the universe within the last band, edge_z and tier.
+def shares(h: History, tested: DataFrame, universe: DataFrame) -> DataFrame:
+    """game, feature, alpha, share: how much of the universe each rule admitted, on average over the draws that it was tested on, each with the band and the draws before it as they then were.
 
-    Only features that need no earlier draw have a share. tier: typical if the band removes less than 0.1 % of the universe, ultra_rare if it leaves less than 2 %, historically_rare if survival is
-    2 errors above the share, else unsupported.
+    tested: by_rule(), without the draw to come. Features of one combination are counted in the universe; changes from the draw before are those of the combination, moved; numbers shared with earlier draws follow the
+    hypergeometric law of how many different numbers those had. Draws that ask the same are counted first, so what is looked up are bands, not draws.
     """
-    spark = h.draws.sparkSession
-    universe = sample_universe(spark, h.k, h.d) if universe is None else universe
-    steps = walk_forward(long(measured(h)), h.k, h.d)
-    latest = steps.groupBy("game", "feature").agg(F.max("t").alias("last"))
-    steps = steps.join(latest, ["game", "feature"])
-    held = F.col("held").cast("double")
-    stats = steps.groupBy("game", "feature", "alpha").agg(
-        F.count(F.lit(1)).alias("steps"), F.sum(held).cast("long").alias("kept"), F.avg(F.when(F.col("t") > F.col("last") - 100, held)).alias("recent"), F.max_by("lo", "t").alias("lo"), F.max_by("hi", "t").alias("hi")
+    space = cut(space_histogram(universe, h.k, h.d))
+    everything = universe.count()
+    before = with_context(h).select("game", "t", total(F.col("prev")).alias("sum"), (F.element_at("prev", -1) - F.element_at("prev", 1)).alias("spread"), count_where(F.col("prev"), lambda x: x % 2 == 1).alias("odd"), F.size("prev").alias("repeatPrev"), F.size("last3").alias("overlap3"), F.size("last10").alias("overlap10"))
+    moved = {"dSum": "sum", "dSpread": "spread", "dOdd": "odd"}
+    common = ["repeatPrev", "overlap3", "overlap10"]
+    rows = tested.select("game", "feature", "alpha", "t", "lo", "hi")
+    plain = rows.where(~F.col("feature").isin([*moved, *common])).withColumn("as", F.col("feature"))
+    both = rows.where(F.col("feature").isin([*moved, *common])).join(before, ["game", "t"])
+    pick = lambda names: F.coalesce(*[F.when(F.col("feature") == n, F.col(c)) for n, c in names.items()])
+    shift = pick(moved)
+    relative = both.where(F.col("feature").isin(list(moved))).select("game", "feature", "alpha", "t", (F.col("lo") + shift).alias("lo"), (F.col("hi") + shift).alias("hi"), F.element_at(F.create_map(*[F.lit(x) for pair in moved.items() for x in pair]), F.col("feature")).alias("as"))
+    asked = plain.unionByName(relative).groupBy("game", "feature", "alpha", "as", "lo", "hi").agg(F.count(F.lit(1)).alias("times"))
+    places = asked.select("as", "lo", "hi").distinct()
+    inside = places.join(space.withColumnRenamed("feature", "as"), "as").where(F.col("bin").between(F.col("lo"), F.col("hi"))).groupBy("as", "lo", "hi").agg(F.sum("combinations").alias("c"))
+    counted = asked.join(inside, ["as", "lo", "hi"], "left").select("game", "feature", "alpha", "times", (F.coalesce("c", F.lit(0)) / everything).alias("share"))
+    met = both.where(F.col("feature").isin(common)).withColumn("m", pick({n: n for n in common})).groupBy("game", "feature", "alpha", "lo", "hi", "m").agg(F.count(F.lit(1)).alias("times"))
+    law = lambda o: choose(F.col("m"), o) * choose(h.k - F.col("m"), h.d - o) / float(comb(h.k, h.d))
+    chance = reduce(lambda a, b: a + b, [F.when(F.lit(o).between(F.col("lo"), F.col("hi")), law(o)).otherwise(0.0) for o in range(h.d + 1)])
+    shared = met.select("game", "feature", "alpha", "times", chance.alias("share"))
+    return counted.unionByName(shared).groupBy("game", "feature", "alpha").agg((F.sum(F.col("times") * F.col("share")) / F.sum("times")).alias("share"))
+
+
+def rules(h: History, universe: DataFrame | None = None, tested: DataFrame | None = None) -> DataFrame:
+    """One row for each feature and alpha, for games of 160 draws at least: place (usable ones first, then by edge_z), lo and hi (the band from all draws), observed_min, observed_max, steps, survival with its Wilson interval, the survival of the last 50, 100
+    and 250 draws and of the first half, stability (second half less first), share, edge_z, theory (the chance of the band, for places), tier, usable, proven.
+
+    tier: typical if the band has all that the feature can be, or removes less than 0.1 % of the universe; ultra_rare if it leaves less than 2 %; historically_rare if survival is 2 errors above the share; else unsupported.
+    Usable rules need no earlier draw and are not typical. `tested` is steps(), if it is at hand.
+    """
+    universe = cut(sample_universe(h.draws.sparkSession, h.k, h.d)) if universe is None else universe
+    tested = steps(h) if tested is None else tested
+    rows = by_rule(tested)
+    final = rows.where("v is null").select("game", "feature", "alpha", "lo", "hi", F.col("t").alias("draws")).where(F.col("draws") >= WARM_UP + LEAST_STEPS)
+    rows = rows.where("v is not null")
+    ok, back = F.col("held").cast("double"), F.col("draws") - F.col("t")
+    late = lambda w: (F.sum(F.when(back <= w, ok).otherwise(0.0)) / F.least(F.lit(float(w)), F.count(F.lit(1)))).alias(f"recent_{w}")
+    first = F.col("t") - WARM_UP < (F.col("draws") - WARM_UP) / 2
+    stats = rows.join(final.select("game", "feature", "alpha", "draws"), ["game", "feature", "alpha"]).groupBy("game", "feature", "alpha").agg(
+        F.count(F.lit(1)).alias("steps"), F.sum(F.col("held").cast("long")).alias("kept"), late(50), late(100), late(250), F.avg(F.when(first, ok)).alias("first_half"), F.coalesce(F.avg(F.when(~first, ok)), F.lit(0.0)).alias("second_half"),
+    )
+    seen = long(measured(h)).groupBy("game", "feature").agg(F.floor(F.min("v") + 0.5).cast("int").alias("observed_min"), F.floor(F.max("v") + 0.5).cast("int").alias("observed_max"))
+    law = h.draws.sparkSession.createDataFrame([(f"pos{r}", v, order_statistic(h.k, h.d, r, v)) for r in range(1, h.d + 1) for v in range(1, h.k + 1)], "feature string, value int, p double")  # d * k rows
+    theory = final.join(F.broadcast(law), "feature").where(F.col("value").between(F.col("lo"), F.col("hi"))).groupBy("game", "feature", "alpha").agg(F.sum("p").alias("theory"))
+    key = ["game", "feature", "alpha"]
+    out = final.join(stats, key).join(shares(h, rows, universe), key).join(seen, ["game", "feature"]).join(theory, key, "left")
+    out = out.withColumn("survival", F.col("kept") / F.col("steps")).withColumn("w", wilson(F.col("kept"), F.col("steps")))
+    out = out.withColumn("edge_z", (F.col("survival") - F.col("share")) / F.sqrt(F.greatest(F.lit(1e-12), F.col("share") * (1 - F.col("share")) / F.col("steps"))))
+    limits = bounds(h.k, h.d)
+    end = lambda i: F.element_at(F.create_map(*[F.lit(x) for f, b in limits.items() for x in (f, b[i])]), F.col("feature"))
+    everything = (F.col("lo") <= end(0)) & (F.col("hi") >= end(1))
+    typical = everything | (1 - F.col("share") < 0.001)
+    out = out.withColumn("proven", F.col("edge_z") >= 2).withColumn("usable", ~typical & ~F.col("feature").isin(bands.CONDITIONAL))
+    tier = F.when(typical, "typical").when(F.col("share") < 0.02, "ultra_rare").when(F.col("proven"), "historically_rare").otherwise("unsupported")
+    place = F.row_number().over(Window.partitionBy("game").orderBy(F.col("usable").desc(), F.round("edge_z", 9).desc(), "feature", "alpha"))
+    stability = F.col("second_half") - F.col("first_half")
+    return out.withColumn("tier", tier).withColumn("place", place).select(
+        "game", "place", "feature", "alpha", "lo", "hi", "observed_min", "observed_max", "steps", "survival", F.col("w.low").alias("low"), F.col("w.high").alias("high"), "recent_50", "recent_100", "recent_250", "first_half", stability.alias("stability"), "share", "edge_z", "theory", "tier", "usable", "proven",
     )
-    stats = stats.where(F.col("steps") >= LEAST_STEPS)
-    space = space_histogram(universe, h.k, h.d)
-    total = space.groupBy("feature").agg(F.sum("combinations").alias("all"))
-    inside = stats.join(space, "feature").where(F.col("bin").between(F.col("lo"), F.col("hi"))).groupBy("game", "feature", "alpha").agg(F.sum("combinations").alias("within")).join(total, "feature")
-    share = inside.select("game", "feature", "alpha", (F.col("within") / F.col("all")).alias("share"))
-    rows = stats.join(share, ["game", "feature", "alpha"], "left").withColumn("survival", F.col("kept") / F.col("steps")).withColumn("w", wilson(F.col("kept"), F.col("steps")))
-    edge = (F.col("survival") - F.col("share")) / F.sqrt(F.greatest(F.lit(1e-12), F.col("share") * (1 - F.col("share")) / F.col("steps")))
-    tier = F.when(F.col("share").isNull(), "conditional").when(F.col("share") > 0.999, "typical").when(F.col("share") < 0.02, "ultra_rare").when(F.col("edge_z") >= 2, "historically_rare").otherwise("unsupported")
-    rows = rows.withColumn("edge_z", edge).withColumn("tier", tier)
-    return rows.select("game", "feature", "alpha", "lo", "hi", "steps", "survival", F.col("w.low").alias("low"), F.col("w.high").alias("high"), "recent", "share", "edge_z", "tier")
-
-
-def modes(h: History, floors: tuple[float, ...] = (0.99, 0.97, 0.94, 0.68), candidates: int = 40, universe: DataFrame | None = None) -> DataFrame:
-    """game, floor, place, feature, alpha, survival, share: for each floor of joint survival the rules that are taken, in order, each the one that removes most of the universe for what it costs.
-
-    Chosen on the first half of the steps. The steps and universe of at most `candidates` rules of a game go to one task as bits: 8,000 combinations and one bit a draw.
+
+
+def rule_slices(h: History, tested: DataFrame | None = None) -> DataFrame:
+    """game, feature, alpha, slice, part, draws, survival: each rule's survival by weekday (0 is Sunday) and, where the numbers show a change of the game's rules, in the eras before and after it."""
+    rows = by_rule(steps(h) if tested is None else tested).where("v is not null")
+    rows = rows.join(eras.detect(h).select("game", "cutoff"), "game", "left")
+    parts = F.array(F.struct(F.lit("weekday").alias("slice"), F.col("dow").cast("string").alias("part")), F.struct(F.lit("era").alias("slice"), F.when(F.col("t") < F.col("cutoff"), "earlier").when(F.col("cutoff").isNotNull(), "current").alias("part")))
+    rows = rows.select("game", "feature", "alpha", "held", F.inline(parts)).where("part is not null")
+    return rows.groupBy("game", "feature", "alpha", "slice", "part").agg(F.count(F.lit(1)).alias("draws"), F.avg(F.col("held").cast("double")).alias("survival"))
+
+
+def position_bands(h: History) -> DataFrame:
+    """game, position, lo, hi, p25, median, p75: the band of each place from all draws at the tail of 0.2 %, and its quartiles by the same law."""
+    names = [f"pos{r}" for r in range(1, h.d + 1)]
+    values = long(measured(h, context=False)).where(F.col("feature").isin(names))
+    rows = bands.whole(values, h.k, h.d, {"wide": TAILS[1], "mid": bands.UNIT // 4, "half": bands.UNIT // 2})
+    return rows.select("game", F.substring("feature", 4, 9).cast("int").alias("position"), F.col("wide_lo").alias("lo"), F.col("wide_hi").alias("hi"), F.col("mid_lo").alias("p25"), F.col("half_lo").alias("median"), F.col("mid_hi").alias("p75"))
+
+
+def prefix_shares(chosen: DataFrame, tested: DataFrame, universe: DataFrame, h: History, budget: int = 3000, least: int = 450) -> DataFrame:
+    """game, mode, half (first, second), place, share, steps: of rules applied in order (game, mode, place, feature, alpha) what is left of the universe after each, with the bands as they stood at each draw, on average over draws.
+
+    Draws are taken at a stride, as bands hardly move between neighbours: 450 of them, or `budget` over the number of rules, if that is less. The universe is packed into words of bits, one set of words for each different band; a running AND over the
+    rules of a draw gives all prefixes at once.
     """
-    spark = h.draws.sparkSession
-    universe = (sample_universe(spark, h.k, h.d) if universe is None else universe).withColumn("id", F.monotonically_increasing_id())
-    all_rules = rules(h, universe.select("sorted")).where("share < 0.999")
-    top = all_rules.withColumn("r", F.row_number().over(Window.partitionBy("game").orderBy("share", "feature", "alpha"))).where(F.col("r") <= candidates).select("game", "feature", "alpha", "lo", "hi", "r")
-    steps = walk_forward(long(measured(h, context=False)), h.k, h.d).join(top.select("game", "feature", "alpha", "r"), ["game", "feature", "alpha"]).select("game", "r", "feature", "alpha", F.lit("step").alias("kind"), F.col("t").alias("id"), "held")
+    rows = by_rule(tested).where("v is not null").join(chosen, ["game", "feature", "alpha"]).select("game", "mode", "place", "feature", "t", "lo", "hi")
+    sizes = rows.groupBy("game", "mode").agg((F.max("t") + 1 - WARM_UP).alias("all"), F.max("place").alias("depth"))
+    stride = F.greatest(F.lit(1), F.floor(F.col("all") / least + 0.5), F.floor(F.col("all") * F.col("depth") / budget + 0.5))
+    step, half = F.col("t") - WARM_UP, F.floor(F.col("all") / 2)
+    rows = rows.join(sizes, ["game", "mode"]).withColumn("half", F.when(step < half, "first").otherwise("second"))
+    rows = rows.where((step - F.when(F.col("half") == "first", 0).otherwise(half)) % stride == 0)
+    rows = cut(rows.select("game", "mode", "half", "place", "feature", "t", "lo", "hi"))
     cols = features(F.col("sorted"), h.k, h.d)
-    each = F.array(*[F.struct(F.lit(n).alias("feature"), F.floor(c.cast("double") + 0.5).alias("bin")) for n, c in cols.items()])
-    space = universe.select("id", F.explode(each).alias("x")).select("id", "x.feature", "x.bin").join(top, "feature").select("game", "r", "feature", "alpha", F.lit("space").alias("kind"), "id", F.col("bin").between(F.col("lo"), F.col("hi")).alias("held"))
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        names = rows[["r", "feature", "alpha"]].drop_duplicates().sort_values("r").reset_index(drop=True)
-        table = {kind: rows[rows["kind"] == kind].pivot(index="id", columns="r", values="held").sort_index().to_numpy(bool) for kind in ("step", "space")}
-        past, space_ = table["step"][: len(table["step"]) // 2], table["space"]
-        out = []
-        for floor in floors:
-            ok, left, used = np.ones(len(past), bool), np.ones(len(space_), bool), []
-            while True:
-                best = None
-                for j in range(len(names)):
-                    if j in used:
-                        continue
-                    keep, room = (ok & past[:, j]).mean(), (left & space_[:, j]).mean()
-                    if keep < floor or room >= left.mean():
-                        continue
-                    gain = (left.mean() - room) / max(1e-4, ok.mean() - keep)
-                    if best is None or gain > best[0]:
-                        best = (gain, j, keep, room)
-                if best is None:
-                    break
-                _, j, keep, room = best
-                used.append(j)
-                ok, left = ok & past[:, j], left & space_[:, j]
-                out.append((rows["game"].iloc[0], floor, len(used), names["feature"][j], names["alpha"][j], keep, room))
-        return pd.DataFrame(out, columns=["game", "floor", "place", "feature", "alpha", "survival", "share"])
-
-    return steps.unionByName(space).groupBy("game").applyInPandas(greedy, "game string, floor double, place int, feature string, alpha double, survival double, share double")
+    each = F.array(*[F.struct(F.lit(n).alias("feature"), c.cast("double").alias("v")) for n, c in cols.items()])
+    values = universe.select("id", F.inline(each))
+    bit = F.when(bands.held(F.col("v"), F.col("lo"), F.col("hi")), F.pow(F.lit(2.0), F.col("id") % WORD).cast("long")).otherwise(0)
+    words = rows.select("feature", "lo", "hi").distinct().join(values, "feature").groupBy("feature", "lo", "hi", F.floor(F.col("id") / WORD).alias("word")).agg(F.sum(bit).alias("bits"))
+    run = Window.partitionBy("game", "mode", "t", "word").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    left = rows.join(words, ["feature", "lo", "hi"]).withColumn("left", F.bit_count(F.bit_and("bits").over(run)))
+    count = left.groupBy("game", "mode", "half", "place").agg(F.sum("left").alias("left"), F.countDistinct("t").alias("steps"))
+    return count.select("game", "mode", "half", "place", (F.col("left") / F.col("steps") / universe.count()).alias("share"), "steps")
+
+
+def kept_after(chosen: DataFrame, tested: DataFrame) -> DataFrame:
+    """game, mode, t, out: for each draw and mode (game, mode, place, feature, alpha) the place of the first rule that the draw broke, null if it kept to all."""
+    rows = by_rule(tested).where("v is not null").join(chosen, ["game", "feature", "alpha"])
+    return rows.groupBy("game", "mode", "t").agg(F.min(F.when(~F.col("held"), F.col("place"))).alias("out"))
+
+
+def frontier(h: History, universe: DataFrame | None = None, tested: DataFrame | None = None, all_rules: DataFrame | None = None, most: int = 12) -> DataFrame:
+    """game, rules, share, survival, dominated: what is left of the universe, and of the draws, after the first 0 to `most` usable rules in order of share; dominated if another point leaves less of the universe and no fewer draws."""
+    universe = cut(sample_universe(h.draws.sparkSession, h.k, h.d)) if universe is None else universe
+    tested = steps(h) if tested is None else tested
+    all_rules = rules(h, universe, tested) if all_rules is None else all_rules
+    order = F.row_number().over(Window.partitionBy("game").orderBy(F.round("share", 9), "feature", "alpha"))
+    chosen = cut(all_rules.where("usable").withColumn("place", order).where(F.col("place") <= most).select("game", F.lit(0.0).alias("mode"), "place", "feature", "alpha"))
+    halves = prefix_shares(chosen, tested, universe, h)
+    share = halves.groupBy("game", "place").agg((F.sum(F.col("share") * F.col("steps")) / F.sum("steps")).alias("share"))
+    kept = kept_after(chosen, tested).groupBy("game", "out").agg(F.count(F.lit(1)).alias("c"))
+    survival = share.join(kept, "game").groupBy("game", "place", "share").agg((F.sum(F.when(F.col("out").isNull() | (F.col("out") > F.col("place")), F.col("c")).otherwise(0)) / F.sum("c")).alias("survival"))
+    points = survival.select("game", F.col("place").alias("rules"), "share", "survival").unionByName(share.select("game").distinct().select("game", F.lit(0).alias("rules"), F.lit(1.0).alias("share"), F.lit(1.0).alias("survival")))
+    # Sorted by survival, a point is dominated if a point of no less survival has a smaller share.
+    better = F.min("share").over(Window.partitionBy("game").orderBy(F.col("survival").desc()).rangeBetween(Window.unboundedPreceding, 0))
+    return points.select("game", "rules", "share", "survival", (F.col("share") > better).alias("dominated"))
+
+
+MODES = (0.99, 0.97, 0.94, 0.68)  # fixed values: the floors of survival
+
+
+def modes(h: History, floors: tuple[float, ...] = MODES, candidates: int = 40, universe: DataFrame | None = None, tested: DataFrame | None = None, all_rules: DataFrame | None = None) -> DataFrame:
+    """game, mode (its floor), place, feature, alpha, lo, hi, survival, share: for each floor of joint survival the rules that are taken, in order, each the one that removes most of the universe for the draws that it costs.
+
+    Chosen on the first half of the draws, with the universe within the last bands. Candidates are the `candidates` usable rules of least share. Draws and combinations become bits, 32 to a word: a round ANDs the words of all that was chosen with those of each
+    candidate and counts, for all games and floors at once; words are spread over tasks, and what comes to the driver is one rule for each game and floor. There are as many rounds as the deepest mode has rules, 40 at most.
+    """
+    universe = cut(sample_universe(h.draws.sparkSession, h.k, h.d)) if universe is None else universe
+    tested = steps(h) if tested is None else tested
+    all_rules = rules(h, universe, tested) if all_rules is None else all_rules
+    order = F.row_number().over(Window.partitionBy("game").orderBy(F.round("share", 9), "feature", "alpha"))
+    top = cut(all_rules.where("usable").withColumn("r", order).where(F.col("r") <= candidates).select("game", "feature", "alpha", "lo", "hi", "steps", "r"))
+    past = by_rule(tested).where("v is not null").join(top.select("game", "feature", "alpha", "steps", "r"), ["game", "feature", "alpha"]).withColumn("bit", F.col("t") - WARM_UP).where(F.col("bit") < F.floor(F.col("steps") / 2)).select("game", F.lit("past").alias("kind"), "r", "bit", "held")
+    cols = features(F.col("sorted"), h.k, h.d)
+    each = F.array(*[F.struct(F.lit(n).alias("feature"), c.cast("double").alias("v")) for n, c in cols.items()])
+    space = universe.select("id", F.inline(each)).join(F.broadcast(top), "feature").select("game", F.lit("space").alias("kind"), "r", F.col("id").alias("bit"), bands.held(F.col("v"), F.col("lo"), F.col("hi")).alias("held"))
+    bits = past.unionByName(space).groupBy("game", "kind", "r", F.floor(F.col("bit") / 32).alias("word")).agg(F.sum(F.when(F.col("held"), F.pow(F.lit(2.0), F.col("bit") % 32).cast("long")).otherwise(0)).alias("w"), F.count(F.lit(1)).alias("n"))
+    words = cut(bits.groupBy("game", "kind", "word", "n").agg(F.map_from_entries(F.collect_list(F.struct("r", "w"))).alias("of")))
+    totals = {(r.game, r.kind): r.n for r in words.groupBy("game", "kind").agg(F.sum("n").alias("n")).collect()}
+    names = {(r.game, r.r): r for r in top.collect()}
+    state = {(g, floor): ([], 1.0, 1.0) for g in {g for g, _ in names} for floor in floors}
+    open_, out = set(state), []
+    while open_:
+        table = h.draws.sparkSession.createDataFrame([(g, f, state[g, f][0]) for g, f in sorted(open_)], "game string, mode double, taken array<int>")
+        alive = F.aggregate("taken", F.lit((1 << 32) - 1).cast("long"), lambda a, r: a.bitwiseAND(F.element_at(F.col("of"), r)))
+        left = words.join(F.broadcast(table), "game").withColumn("alive", alive)
+        tried = left.select("game", "mode", "kind", "taken", F.explode("of").alias("r", "w"), "alive").where(~F.array_contains("taken", F.col("r")))
+        c = tried.groupBy("game", "mode", "r").agg(*[F.sum(F.when(F.col("kind") == kind, F.bit_count(F.col("alive").bitwiseAND(F.col("w")))).otherwise(0)).alias(kind) for kind in ("past", "space")])
+        now = h.draws.sparkSession.createDataFrame([(g, f, state[g, f][1], state[g, f][2], max(1, totals[g, "past"]), totals[g, "space"]) for g, f in sorted(open_)], "game string, mode double, survival double, share double, past_n long, space_n long")
+        c = c.join(F.broadcast(now), ["game", "mode"]).withColumn("keep", F.col("past") / F.col("past_n")).withColumn("room", F.col("space") / F.col("space_n"))
+        gain = (F.col("share") - F.col("room")) / F.greatest(F.lit(1e-4), F.col("survival") - F.col("keep"))
+        good = c.where((F.col("keep") >= F.col("mode")) & (F.col("share") - F.col("room") > 1e-6)).withColumn("gain", F.round(gain, 9))
+        best = good.groupBy("game", "mode").agg(F.min_by(F.struct("r", "keep", "room"), F.struct(-F.col("gain"), F.col("r"))).alias("b")).collect()
+        open_ = set()
+        for x in best:
+            taken = state[x.game, x.mode][0] + [x.b.r]
+            state[x.game, x.mode] = (taken, x.b.keep, x.b.room)
+            open_.add((x.game, x.mode))
+            rule = names[x.game, x.b.r]
+            out.append((x.game, x.mode, len(taken), rule.feature, rule.alpha, rule.lo, rule.hi, x.b.keep, x.b.room))
+    return h.draws.sparkSession.createDataFrame(out, "game string, mode double, place int, feature string, alpha double, lo int, hi int, survival double, share double")
+
+
+def mode_report(h: History, mode: DataFrame, universe: DataFrame, tested: DataFrame) -> DataFrame:
+    """game, mode, rules, survival (all draws), broken (draws that broke a rule), low (Wilson), share, combinations_after, edge_z (first half), holdout_survival, holdout_draws, holdout_edge_z: what modes() are worth, each survival against what its own rules then left of the universe."""
+    chosen = cut(mode.select("game", "mode", "place", "feature", "alpha"))
+    kept = kept_after(chosen, tested)
+    sizes = kept.groupBy("game").agg((F.max("t") + 1 - WARM_UP).alias("n"))
+    past = F.col("t") - WARM_UP < F.floor(F.col("n") / 2)
+    ok = F.col("out").isNull().cast("double")
+    facts = kept.join(sizes, "game").groupBy("game", "mode", "n").agg(F.avg(ok).alias("survival"), F.sum(F.col("out").isNull().cast("long")).alias("k"), F.avg(F.when(past, ok)).alias("first"), F.avg(F.when(~past, ok)).alias("holdout_survival"), F.sum((~past).cast("long")).alias("holdout_draws"), F.sum(past.cast("long")).alias("m"))
+    depth = chosen.groupBy("game", "mode").agg(F.max("place").alias("rules"))
+    halves = prefix_shares(chosen, tested, universe, h).join(depth, ["game", "mode"]).where("place = rules")
+    share = halves.groupBy("game", "mode", "rules").agg(F.max(F.when(F.col("half") == "first", F.col("share"))).alias("a"), F.max(F.when(F.col("half") == "second", F.col("share"))).alias("b"), (F.sum(F.col("share") * F.col("steps")) / F.sum("steps")).alias("share"))
+    z = lambda s, p, n: (s - p) / F.sqrt(F.greatest(F.lit(1e-12), p * (1 - p) / F.greatest(F.lit(1), n)))
+    rows = facts.join(share, ["game", "mode"])
+    return rows.select(
+        "game", "mode", "rules", "survival", (F.col("n") - F.col("k")).alias("broken"), wilson(F.col("k"), F.col("n"))["low"].alias("low"), "share", F.round(F.col("share") * comb(h.k, h.d)).cast("long").alias("combinations_after"), z(F.col("first"), F.col("a"), F.col("m")).alias("edge_z"), "holdout_survival", "holdout_draws",
+        z(F.col("holdout_survival"), F.col("b"), F.col("holdout_draws")).alias("holdout_edge_z"),
+    )
+
+
+def eliminated(h: History, mode: DataFrame, tested: DataFrame, most: int = 25) -> DataFrame:
+    """game, mode, place, t, failed: the first `most` draws that broke a mode, and the rules (feature@alpha, in the mode's order) that they broke."""
+    rows = by_rule(tested).where("v is not null").join(mode.select("game", "mode", F.col("place").alias("p"), "feature", "alpha"), ["game", "feature", "alpha"]).where(~F.col("held"))
+    draws = rows.groupBy("game", "mode", "t").agg(F.array_sort(F.collect_list(F.struct("p", F.concat_ws("@", "feature", F.col("alpha").cast("string")).alias("rule")))).alias("x"))
+    place = F.row_number().over(Window.partitionBy("game", "mode").orderBy("t"))
+    return draws.withColumn("place", place).where(F.col("place") <= most).select("game", "mode", "place", "t", F.array_join(F.transform("x", lambda r: r["rule"]), ",").alias("failed"))
 
 
 # The families that the reduced pool leaves out, in the order in which they are asked.
 CUTS = ["oneDecade", "mult5", "sameDigit", "evenStepTight", "tightSpan", "runFive", "slipRow", "squareCube", "fib", "digitSum", "sameMultiple", "gridColumn", "slipDiagonal", "twoDigits", "powerTwo", "repdigit"]
 
 
-def mode_failures(h: History, mode: DataFrame) -> DataFrame:
+def mode_failures(mode: DataFrame, tested: DataFrame) -> DataFrame:
     """game, t: the draws that broke a rule of the mode (game, feature, alpha), each judged by the band from the draws before it."""
-    steps = walk_forward(long(measured(h, context=False)), h.k, h.d)
-    return steps.join(mode.select("game", "feature", "alpha").distinct(), ["game", "feature", "alpha"], "leftsemi").where(~F.col("held")).select("game", "t").distinct()
+    rows = by_rule(tested).where("v is not null")
+    return rows.join(mode.select("game", "feature", "alpha").distinct(), ["game", "feature", "alpha"], "leftsemi").where(~F.col("held")).select("game", "t").distinct()
 
 
 def cut_by(h: History, failed: DataFrame | None = None, warm_up: int = WARM_UP) -> DataFrame:
     """game, date, t, kept, cut_by: whether the reduced pool, as it stood before it, held the first draw of each date after the warm-up, and if not, why.
 
-    The first of these counts: bands (failed, of mode_failures(), has the draw), drawn before, low places, a sum at or beyond the record, or the first of CUTS that matches. The records
+    The first of these counts: bands (failed, of mode_failures(), has a draw of its date), drawn before, low places, a sum at or beyond the record, or the first of CUTS that matches. The records
     before a draw are those of the blocks of draws before its own, and of its own until then. A game's retired pools should be left out of h (eras.detect()).
     """
     fam = families(F.col("sorted"), h.k, h.d)
@@ -188,46 +303,16 @@ def cut_by(h: History, failed: DataFrame | None = None, warm_up: int = WARM_UP)
     if failed is None:
         rows = rows.withColumn("failed", F.lit(False))
     else:
-        rows = rows.join(failed.select("game", "t", F.lit(True).alias("failed")), ["game", "t"], "left")
+        days = h.draws.join(failed.select("game", "t"), ["game", "t"]).select("game", "date", F.lit(True).alias("failed")).distinct()
+        rows = rows.join(days, ["game", "date"], "left")
     out = F.when(F.col("failed"), "bands").when(F.col("nth") > 1, "drawn").when((F.element_at("sorted", h.d - 1) <= 5) | (F.element_at("sorted", h.d) <= 9), "low").when(record, "record")
     for name in CUTS:
         out = out.when(fam[name], name)
     return rows.select("game", "date", "t", out.isNull().alias("kept"), out.alias("cut_by"))
 
 
-def reduced_pool(h: History, universe: DataFrame, mode: DataFrame) -> DataFrame:
-    """The combinations (sorted) of a universe that the reduced pool holds: within the mode's bands (feature, lo, hi), no low places, no family of CUTS, a sum within the records, and never drawn. One game's history."""
-    own = features(F.col("sorted"), h.k, h.d)
-    bands = {r.feature: (r.lo, r.hi) for r in mode.select("feature", "lo", "hi").collect()}  # a rule for each feature at most
-    inside = [F.floor(own[f].cast("double") + 0.5).between(lo, hi) for f, (lo, hi) in bands.items() if f in own]
-    total = F.aggregate("sorted", F.lit(0), lambda a, x: a + x)
-    least, most = h.draws.agg(F.min(total), F.max(total)).first()
-    fam = families(F.col("sorted"), h.k, h.d)
-    out = (F.element_at("sorted", h.d - 1) > 5) & (F.element_at("sorted", h.d) > 9) & (total > F.lit(least)) & (total < F.lit(most))
-    for test in [*inside, *[~fam[name] for name in CUTS]]:
-        out = out & test
-    return universe.where(out).join(h.draws.select("sorted").distinct(), "sorted", "left_anti")
-
-
 def closed_form_overlap(h: History) -> DataFrame:
     """game, t, overlap, p: the chance that a draw shares so many numbers with the union of the 10 before it, by the hypergeometric law of that union's size."""
     ways = {(size, m): comb(size, m) * comb(h.k - size, h.d - m) / comb(h.k, h.d) for size in range(h.k + 1) for m in range(h.d + 1)}
     table = h.draws.sparkSession.createDataFrame([(s, m, p) for (s, m), p in ways.items()], "size int, overlap int, p double")
     return with_context(h).where("prev is not null").select("game", "t", F.size("last10").alias("size")).join(table, "size").select("game", "t", "overlap", "p")
-
-
-def ledger(h: History, universe: DataFrame) -> DataFrame:
-    """step, removed, remaining: what each step of the reduction takes from a universe (sorted), first match wins: drawn before, low places, then the families."""
-    fam = families(F.col("sorted"), h.k, h.d)
-    drawn = h.draws.select("sorted", F.lit(True).alias("drawn")).distinct()
-    reason = F.when(F.col("drawn"), "drawn").when((F.element_at("sorted", h.d - 1) <= 5) | (F.element_at("sorted", h.d) <= 9), "low")
-    for name in CUTS:
-        reason = reason.when(fam[name], name)
-    order = ["drawn", "low", *CUTS]
-    rows = universe.join(drawn, "sorted", "left").withColumn("step", reason)
-    each = [F.struct(F.lit(i).alias("i"), F.lit(n).alias("step"), F.sum((F.coalesce(F.col("step"), F.lit("")) == n).cast("long")).alias("removed")) for i, n in enumerate(order)]
-    flat = rows.agg(F.count(F.lit(1)).alias("n"), F.array(*each).alias("x")).select("n", F.inline("x"))
-    run = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)  # one row for each step
-    return flat.select("step", "removed", (F.col("n") - F.sum("removed").over(run)).alias("remaining"))
-
-

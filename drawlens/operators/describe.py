@@ -149,19 +149,18 @@ def bonus_counts(h: History) -> DataFrame:
 
 
 def weekday_significance(h: History) -> DataFrame:
-    """game, dow, draws, chi2, z: whether a weekday's numbers differ from all; weekdays with 20 draws and an expectation of 1 at least."""
-    rows = by_weekday(h).join(frequency(h).select("game", "n", F.col("hits").alias("all_hits")), ["game", "n"]).join(h.sizes.withColumnRenamed("draws", "all"), "game")
-    expected = F.col("draws") * F.col("all_hits") / F.col("all")
-    part = F.when(expected > 0, (F.col("hits") - expected) * (F.col("hits") - expected) / F.when(expected > 0, expected))
-    rows = rows.where("draws >= 20").groupBy("game", "dow", "draws").agg(F.sum(part).alias("raw"), F.min(expected).alias("least"))
+    """game, dow, draws, chi2, z: whether a scheduled weekday's numbers differ from the even share; weekdays with 20 draws and an expectation of 1 at least. Scaled to a mean of k - 1, as a draw's numbers differ."""
+    expected = F.col("draws") * (h.d / h.k)
+    rows = by_weekday(h).join(schedule(h).select("game", "dow"), ["game", "dow"], "leftsemi").where((F.col("draws") >= 20) & (expected >= 1))
+    rows = rows.groupBy("game", "dow", "draws").agg(F.sum((F.col("hits") - expected) * (F.col("hits") - expected) / expected).alias("raw"))
     chi2 = F.col("raw") * ((h.k - 1) / (h.k - h.d))
-    return rows.where("least >= 1").select("game", "dow", "draws", chi2.alias("chi2"), ((chi2 - (h.k - 1)) / F.sqrt(F.lit(2.0 * (h.k - 1)))).alias("z"))
+    return rows.select("game", "dow", "draws", chi2.alias("chi2"), ((chi2 - (h.k - 1)) / F.sqrt(F.lit(2.0 * (h.k - 1)))).alias("z"))
 
 
 def weekday_profiles(h: History, most: int = 6) -> DataFrame:
     """game, dow, place, n, hits, rate, lift: each scheduled weekday's most frequent numbers, ties by lift against the number's own rate."""
-    rows = by_weekday(h).join(schedule(h).select("game", "dow"), ["game", "dow"], "leftsemi").join(frequency(h).select("game", "n", F.col("rate").alias("own")), ["game", "n"])
-    rows = rows.withColumn("rate", F.col("hits") / F.col("draws")).withColumn("lift", F.round(F.col("hits") / F.col("draws") / F.col("own"), 9))
+    rows = by_weekday(h).join(schedule(h).select("game", "dow"), ["game", "dow"], "leftsemi").join(frequency(h).select("game", "n", F.col("hits").alias("own_hits")), ["game", "n"]).join(h.sizes.select("game", F.col("draws").alias("all_draws")), "game").where("hits > 0")
+    rows = rows.withColumn("rate", F.col("hits") / F.col("draws")).withColumn("lift", F.round(F.col("hits") / F.col("draws") / (F.col("own_hits") / F.col("all_draws")), 9))
     return _top(rows, [F.col("hits").desc(), F.col("lift").desc(), F.col("n")], most, by=("game", "dow")).select("game", "dow", "place", "n", "hits", "rate", "lift")
 
 

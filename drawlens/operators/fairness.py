@@ -20,10 +20,11 @@ def colex_rank(numbers: Column, d: int) -> Column:
     return out
 
 
-def ball_chi2(h: History) -> DataFrame:
-    """game, test, value, z: the counts of all numbers against the even share."""
+def ball_chi2(h: History, corrected: bool = False) -> DataFrame:
+    """game, test, value, z: the counts of all numbers against the even share. A draw's numbers differ, so the plain statistic averages k - d, not k - 1; `corrected` scales it to k - 1."""
+    scale = (h.k - 1) / (h.k - h.d) if corrected else 1.0
     e = F.col("draws") * (h.d / h.k)
-    rows = describe.frequency(h).join(h.sizes, "game").groupBy("game").agg((F.sum((F.col("hits") - e) * (F.col("hits") - e) / e) * ((h.k - 1) / (h.k - h.d))).alias("value"))
+    rows = describe.frequency(h).join(h.sizes, "game").groupBy("game").agg((F.sum((F.col("hits") - e) * (F.col("hits") - e) / e) * scale).alias("value"))
     return rows.select("game", F.lit("ball_chi2").alias("test"), "value", ((F.col("value") - (h.k - 1)) / sqrt(2 * (h.k - 1))).alias("z"))
 
 
@@ -47,11 +48,11 @@ def serial(h: History) -> DataFrame:
     return c.select("game", F.lit("serial").alias("test"), "value", (F.col("value") * F.sqrt("n")).alias("z"))
 
 
-def repeat_rate(h: History) -> DataFrame:
-    """The mean number of numbers that a draw shares with the one before, against d * d / k."""
+def repeat_rate(h: History, corrected: bool = False) -> DataFrame:
+    """The mean number of numbers that a draw shares with the one before, against d * d / k, with the variance of d independent numbers, or, `corrected`, of d different ones."""
     rows = h.draws.select("game", "t", "sorted").join(h.previous, ["game", "t"]).select("game", F.size(F.array_intersect("sorted", "prev")).alias("o"))
     e = h.d * h.d / h.k
-    var = e * (1 - h.d / h.k) * (h.k - h.d) / (h.k - 1)
+    var = e * (1 - h.d / h.k) * ((h.k - h.d) / (h.k - 1) if corrected else 1)
     return rows.groupBy("game").agg(F.avg("o").alias("value"), F.count(F.lit(1)).alias("n")).select("game", F.lit("repeat_rate").alias("test"), "value", ((F.col("value") - e) / F.sqrt(var / F.col("n"))).alias("z"))
 
 

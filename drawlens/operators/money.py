@@ -85,27 +85,33 @@ def ticket_value(df: DataFrame, jackpot: str, sold: str, k: int, d: int, ks: int
 def graded(tickets: DataFrame, h: History, tiers: list[tuple] = TIERS) -> DataFrame:
     """tickets (game, ticket, numbers, special, for_date, cost) with status, mains, special_hit, jackpot and prize, against the last draw of their date.
 
-    settled: there is a draw of that date; pending: there is none, or no date. All mains win the jackpot if the bonus matches or the draw has none. A ticket without a bonus number
+    settled: there is a draw of that date; pending: there is none; open: the ticket has no date, and is graded against the game's last draw. All mains win the jackpot if the bonus matches or the draw has none. A ticket without a bonus number
     that has all mains gets the tier of all mains.
     """
     drawn = h.draws.groupBy("game", "date").agg(F.max_by(F.struct("sorted", "special"), "t").alias("r")).select("game", F.col("date").alias("for_date"), "r.sorted", F.col("r.special").alias("drawn_special"))
-    rows = tickets.join(drawn, ["game", "for_date"], "left")
+    latest = h.draws.groupBy("game").agg(F.max_by(F.struct("sorted", "special"), "t").alias("l"))  # a row for each game
+    rows = tickets.join(drawn, ["game", "for_date"], "left").join(latest, "game", "left")
+    opened = F.col("for_date").isNull()
+    rows = rows.withColumn("sorted", F.when(opened, F.col("l.sorted")).otherwise(F.col("sorted"))).withColumn("drawn_special", F.when(opened, F.col("l.special")).otherwise(F.col("drawn_special"))).drop("l")
     mains = F.size(F.array_intersect("numbers", "sorted"))
     hit = F.coalesce(F.col("special") == F.col("drawn_special"), F.lit(False))
-    rows = rows.withColumn("status", F.when(F.col("sorted").isNull(), "pending").otherwise("settled"))
+    rows = rows.withColumn("status", F.when(opened, "open").when(F.col("sorted").isNull(), "pending").otherwise("settled"))
     rows = rows.withColumn("mains", F.when(F.col("sorted").isNotNull(), mains)).withColumn("special_hit", F.when(F.col("sorted").isNotNull(), hit))
     won = F.coalesce((F.col("mains") == h.d) & (F.col("drawn_special").isNull() | F.col("special_hit")), F.lit(False))
     prize = F.lit(0.0)
     for match, bonus, dollars in tiers:
         prize = F.when((F.col("mains") == match) & (F.col("special_hit") == bonus), dollars).otherwise(prize)
-    return rows.withColumn("jackpot", won).withColumn("prize", F.when(F.col("status") == "settled", F.when(won, 0.0).otherwise(prize))).drop("sorted", "drawn_special")
+    return rows.withColumn("jackpot", won).withColumn("prize", F.when(F.col("sorted").isNotNull(), F.when(won, 0.0).otherwise(prize))).drop("sorted", "drawn_special")
 
 
 def ledger(grades: DataFrame) -> DataFrame:
-    """game, tickets, settled, pending, spent, won, net, best_mains: totals of graded tickets; open ones don't count as money."""
+    """game, tickets, settled, pending, open, spent, won, net, best_mains, best_special: totals of graded tickets. A dated ticket is spent, drawn or not; open ones never touch money or the best result, which counts a bonus hit as half a number."""
+    of = lambda s: F.sum((F.col("status") == s).cast("long"))
     done = F.col("status") == "settled"
-    spent, won = F.sum(F.when(done, F.col("cost")).otherwise(0.0)), F.sum(F.when(done, F.col("prize")).otherwise(0.0))
-    return grades.groupBy("game").agg(F.count(F.lit(1)).alias("tickets"), F.sum(done.cast("long")).alias("settled"), F.sum((~done).cast("long")).alias("pending"), spent.alias("spent"), won.alias("won"), (won - spent).alias("net"), F.max("mains").alias("best_mains"))
+    spent, won = F.sum(F.when(F.col("status") != "open", F.col("cost")).otherwise(0.0)), F.sum(F.when(done, F.col("prize")).otherwise(0.0))
+    best = F.max(F.when(done, F.struct("mains", "special_hit")))
+    rows = grades.groupBy("game").agg(F.count(F.lit(1)).alias("tickets"), of("settled").alias("settled"), of("pending").alias("pending"), of("open").alias("open"), spent.alias("spent"), won.alias("won"), (won - spent).alias("net"), best.alias("best"))
+    return rows.select("game", "tickets", "settled", "pending", "open", "spent", "won", "net", F.col("best.mains").alias("best_mains"), F.col("best.special_hit").alias("best_special"))
 
 
 def crowd_markers(numbers: Column, k: int, drawn: Column | None = None) -> Column:

@@ -6,7 +6,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawlens.functions.shapes import bounds, features, total
+from drawlens.functions.shapes import bins, features, total
 from drawlens.history import BLOCK, History
 from drawlens.operators.combinations import chosen
 from drawlens.operators.constraints import long, measured
@@ -96,16 +96,16 @@ def point_summary(points: DataFrame, recent: int = 100) -> DataFrame:
 def standing(h: History, prior: float = 1.0) -> DataFrame:
     """game, feature, value, observations, least, most, times, p, percentile: the last draw's features among those of all draws.
 
-    times: draws with that value, rounded; p: its share, with `prior` spread over all values that the feature can have; percentile: the share of draws below. A game has as many rows
+    times: draws with that value, rounded; p: its share, with `prior` spread over all bins that the feature has; percentile: the share of draws below. A game has as many rows
     here as its features have values.
     """
     values = long(measured(h, context=False)).withColumn("bin", F.floor(F.col("v") + 0.5).cast("int"))
     last = h.draws.groupBy("game").agg(F.max_by(F.struct("t", "dow", "sorted"), "t").alias("x")).select("game", "x.t", "x.dow", "x.sorted")
     own = last.select("game", "t", "dow", *[c.alias(n) for n, c in features(F.col("sorted"), h.k, h.d).items()])
     own = long(own).select("game", "feature", F.floor(F.col("v") + 0.5).cast("int").alias("value"))
-    bins = values.groupBy("game", "feature", "bin").agg(F.count(F.lit(1)).alias("c"))
-    rows = bins.join(own, ["game", "feature"])
-    sizes = F.create_map(*[F.lit(x) for n, (lo, hi) in bounds(h.k, h.d).items() for x in (n, hi - lo + 1)])
+    counts = values.groupBy("game", "feature", "bin").agg(F.count(F.lit(1)).alias("c"))
+    rows = counts.join(own, ["game", "feature"])
+    sizes = F.create_map(*[F.lit(x) for n, room in bins(h.k, h.d).items() for x in (n, room)])
     of = lambda test: F.coalesce(F.sum(F.when(test, F.col("c"))), F.lit(0))
     out = rows.groupBy("game", "feature", "value").agg(F.sum("c").alias("observations"), F.min("bin").alias("least"), F.max("bin").alias("most"), of(F.col("bin") == F.col("value")).alias("times"), of(F.col("bin") < F.col("value")).alias("below"))
     p = (F.col("times") + prior / F.element_at(sizes, F.col("feature"))) / (F.col("observations") + prior)

@@ -85,7 +85,7 @@ def inspected(rules: DataFrame, numbers: list[int], k: int, d: int) -> DataFrame
     s = F.array(*[F.lit(n) for n in sorted(numbers)])
     cols = features(s, k, d)
     values = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), c.cast("double").alias("v")) for n, c in cols.items()])).alias("x")).select("x.*")
-    return rules.join(values, "feature").select("game", "feature", "alpha", "v", "lo", "hi", F.floor(F.col("v") + 0.5).between(F.col("lo"), F.col("hi")).alias("passes"))
+    return rules.join(values, "feature").select("game", "feature", "alpha", "v", "lo", "hi", F.col("v").between(F.col("lo"), F.col("hi")).alias("passes"))
 
 
 def reality(points: DataFrame, h: History, picked: int) -> DataFrame:

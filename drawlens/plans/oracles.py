@@ -1,13 +1,17 @@
-"""DuckDB SQL that gives the rows of the queries, over the same tables."""
+"""DuckDB SQL that gives the rows of the queries, over the same tables. Nothing here comes from the code that it is held against: laws and constants are written out once more."""
 
 from math import comb
 
-from drawlens.functions.odds import hypergeometric, order_statistic
-from drawlens.functions.shapes import bounds
-from drawlens.operators.combinations import at_most_count, same_digit_count, window_count, adjacency_count
-from drawlens.operators.money import tier_chances
+from drawlens.plans import rules_sql
 
 K, D, KS = 69, 5, 26
+# The lower prizes, by main numbers and bonus.
+PRIZES = [(5, False, 1_000_000.0), (4, True, 50_000.0), (4, False, 100.0), (3, True, 100.0), (3, False, 7.0), (2, True, 7.0), (1, True, 4.0), (0, True, 4.0)]
+
+
+def hyper(picked: int, m: int) -> float:
+    """The chance that m of `picked` numbers are among the five drawn."""
+    return comb(picked, m) * comb(K - picked, D - m) / comb(K, D)
 
 BASE = """with li as (select distinct l_orderkey, (l_partkey % 69 + 1)::int as n from lineitem),
 r as (select l_orderkey, n, row_number() over (partition by l_orderkey order by (n*7919 + l_orderkey*31) % 10007, n) rn, count(*) over (partition by l_orderkey) c from li),
@@ -61,10 +65,10 @@ def _queries() -> dict[str, str]:
     q["draw_shape"] = "select 'main' as game, count(*) as draws, round(avg(list_sum(s)), 6) as mean_sum, round(greatest(stddev_pop(list_sum(s)), 1e-9), 6) as sum_sd, round(avg(s[5] - s[1]), 6) as mean_spread from draws"
     q["odd_counts"] = "select 'main' as game, len(list_filter(s, lambda x: x % 2 = 1))::int as odd, count(*) as draws from draws group by 2"
     q["bonus_counters"] = "select 'main' as game, special, count(*) as hits, max(t)::int as last_seen, round(avg(gap), 6) as mean_gap from (select special, t, t - lag(t) over (partition by special order by t) as gap from draws) group by special"
-    q["weekday_chi2"] = f"""select 'main' as game, dow, draws, round(chi2, 6) as chi2, round((chi2 - 68) / sqrt(136.0), 6) as z from (select w.dow, w.draws, sum(power(w.hits - w.draws * f.hits / f.draws::double, 2) / (w.draws * f.hits / f.draws::double)) * {(K - 1) / (K - D)!r} as chi2, min(w.draws * f.hits / f.draws::double) as least
-      from wd w join freq f using (n) where w.draws >= 20 group by w.dow, w.draws) where least >= 1"""
+    q["weekday_chi2"] = f"""select 'main' as game, dow, draws, round(chi2, 6) as chi2, round((chi2 - 68) / sqrt(136.0), 6) as z from (select dow, w.draws, sum(power(w.hits - w.draws * 5.0 / 69, 2) / (w.draws * 5.0 / 69)) * 68 / 64 as chi2
+      from wd w where w.draws >= 20 and w.draws * 5.0 / 69 >= 1 and dow in (select dow from sched) group by dow, w.draws)"""
     q["dow_profiles"] = """select 'main' as game, dow, place::int as place, n, hits, round(rate, 6) as rate, round(lift, 6) as lift from (select *, row_number() over (partition by dow order by hits desc, lift desc, n) as place from
-      (select w.dow, w.n, w.hits, w.hits / w.draws::double as rate, round(w.hits / w.draws::double / f.rate, 9) as lift from wd w join sched using (dow) join freq f on f.n = w.n)) where place <= 6"""
+      (select w.dow, w.n, w.hits, w.hits / w.draws::double as rate, round(w.hits / w.draws::double / (f.hits / f.draws::double), 9) as lift from wd w join sched using (dow) join freq f on f.n = w.n where w.hits > 0)) where place <= 6"""
     mo = "select n, round(last_10 / least(draws, 10)::double - last_50 / least(draws, 50)::double, 9) as m from rc"
     q["trends"] = f"""select 'main' as game, kind, place::int as place, n, round(m, 6) as momentum from (select 'rising' as kind, row_number() over (order by m desc, n) as place, n, m from ({mo}) where m > 0 union all select 'falling', row_number() over (order by m, n desc), n, m from ({mo}) where m < 0) where place <= 6"""
     runs = "(select n, count(*) as run, max(t) as ended from (select n, t, t - row_number() over (partition by n order by t) as island from hits) group by n, island)"
@@ -74,7 +78,7 @@ def _queries() -> dict[str, str]:
     pos = "(select t, n as v, (row_number() over (partition by t order by n))::int as position from hits)"
     q["position_profiles"] = f"""select 'main' as game, position, min(v) as least, min(case when cum >= 0.25 then v end) as p25, min(case when cum >= 0.5 then v end) as median, min(case when cum >= 0.75 then v end) as p75, max(v) as most from
       (select position, v, sum(c) over (partition by position order by v) / sum(c) over (partition by position)::double as cum from (select position, v, count(*) as c from {pos} group by position, v)) group by position"""
-    theory = ", ".join(f"({r}, {v}, {order_statistic(K, D, r, v)!r})" for r in range(1, D + 1) for v in range(1, K + 1))
+    theory = ", ".join(f"({r}, {v}, {comb(v - 1, r - 1) * comb(K - v, D - r) / comb(K, D)!r})" for r in range(1, D + 1) for v in range(1, K + 1))
     q["position_stats"] = f"""select 'main' as game, a.position, a.draws, round(mean, 6) as mean, round(sd, 6) as sd, "distinct", p10, p25, p50, p75, p90, round(expected, 6) as expected, round(chi2, 6) as chi2, dof::bigint as dof from
       (select position, count(*) as draws, avg(v) as mean, stddev_pop(v) as sd, count(distinct v) as "distinct", {", ".join(f"min(case when i = least(m - 1, floor({f} * m)) then v end) as p{round(f * 100)}" for f in (0.1, 0.25, 0.5, 0.75, 0.9))} from
         (select position, v, row_number() over (partition by position order by v, t) - 1 as i, count(*) over (partition by position) as m from {pos}) group by position) a
@@ -83,7 +87,7 @@ def _queries() -> dict[str, str]:
     q["order_stat_pmf"] = f"select * from (select position::int as position, v::int as v, round(p, 9) as p from (values {theory}) e(position, v, p))"
     q["exact_repeats"] = "select 'main' as game, array_to_string(s, '-') as numbers, count(*) as draws, min(t) as first, max(t) as last from draws group by 2 having count(*) > 1"
     pairs = "(select a.t as a, b.t as b, count(*) as o from hits a join hits b on a.n = b.n and a.t < b.t group by 1, 2)"
-    levels = ", ".join(f"({m}, {hypergeometric(K, D, D, m)!r})" for m in range(D + 1))
+    levels = ", ".join(f"({m}, {hyper(D, m)!r})" for m in range(D + 1))
     q["pair_overlap_hist"] = f"""select 'main' as game, l.m::int as overlap, (case when l.m = 0 then draws * (draws - 1) // 2 - (select count(*) from pp) else coalesce(c, 0) end)::bigint as pairs, round(l.p * draws * (draws - 1) / 2, 6) as expected from (values {levels}) l(m, p) cross join sizes left join (select o, count(*) as c from pp group by o) x on x.o = l.m"""
     q["closest_pairs"] = "select 'main' as game, place::int as place, a, b, o::int as overlap from (select a, b, o, row_number() over (order by a, b) as place from pp where o = (select max(o) from pp)) where place <= 4"
     q["latest_sharing"] = "select 'main' as game, len(list_intersect(s, (select s from draws order by t desc limit 1)))::int as overlap, count(*) as draws, max(t) as last from draws group by 2"
@@ -98,34 +102,36 @@ def _queries() -> dict[str, str]:
       (select h.n, case when i < floor(m / 3) then 'l' when i >= m - floor(m / 3) then 'h' end as part from (select t, row_number() over (order by jackpot, t) - 1 as i, count(*) over () as m from draws) x join hits h on h.t = x.t))"""
     q["jackpot_projection"] = """select 'main' as game, case when lw then 'reset' else 'roll' end as basis, round(case when lw then (select list_sort(list(jackpot))[(count(*) // 2 + 1)::int] from (select jackpot from seq where bw order by t desc limit 20))
       else lj + (select list_sort(list(step))[(count(*) // 2 + 1)::int] from (select jackpot - before as step from seq where not bw and jackpot > before order by t desc limit 30)) end, 6) as projected from (select arg_max(won, t) as lw, arg_max(jackpot, t) as lj from seq)"""
-    tiers = ", ".join(f"({m}, {str(b).lower()}, {x!r}, {c!r})" for m, b, x, c in tier_chances(K, D, KS))
+    tiers = ", ".join(f"({m}, {str(b).lower()}, {x!r}, {hyper(D, m) * (1 / KS if b else 1 - 1 / KS)!r})" for m, b, x in PRIZES)
     chance = 1 / (comb(K, D) * KS)
     q["ticket_ev"] = f"""select 'main' as game, t, round(lower, 9) as lower_value, round(1 - exp(-1e7 * {chance!r}), 9) as split, round((1 - exp(-1e7 * {chance!r})) / (1e7 * {chance!r}), 9) as share, round(lower + jackpot * {chance!r} * (1 - exp(-1e7 * {chance!r})) / (1e7 * {chance!r}) - 2.0, 9) as value from draws cross join (select sum(x * c) as lower from (values {tiers}) v(m, b, x, c))"""
-    q["hypergeom_dist"] = "select * from (values " + ", ".join(f"({m}, {hypergeometric(K, 10, D, m)!r})" for m in range(D + 1)) + ") v(hits, p)"
-    tk = "(select (c_custkey)::bigint as ticket, list_sort([(1 + i * 13 + c_custkey % 13)::int for i in range(5)]) as numbers, (c_custkey % 26 + 1)::int as special, ('1995-01-01'::date + (c_custkey % 2400)::int) as for_date from customer)"
-    grade = f"""(select k.ticket, k.numbers, k.special, case when d.s is null then 'pending' else 'settled' end as status, case when d.s is not null then len(list_intersect(k.numbers, d.s))::int end as mains, case when d.s is not null then coalesce(k.special = d.special, false) end as special_hit
-      from {tk} k left join (select date, arg_max(s, t) as s, arg_max(special, t) as special from draws group by date) d on d.date = k.for_date)"""
-    prize = "case when g.status = 'settled' then case when g.mains = 5 and g.special_hit then 0.0 else coalesce(v.x, 0.0) end end"
+    q["hypergeom_dist"] = "select 'main' as game, x.hits::int as hits, draws, round(p, 12) as p from (select len(list_intersect(s, top)) as hits, count(*) as draws from draws cross join (select list(n) as top from (select n from freq order by hits desc, n limit 10)) group by 1) x join (values " + ", ".join(f"({m}, {hyper(10, m)!r})" for m in range(D + 1)) + ") v(hits, p) using (hits)"
+    tk = "(select (c_custkey)::bigint as ticket, list_sort([(1 + i * 13 + c_custkey % 13)::int for i in range(5)]) as numbers, (c_custkey % 26 + 1)::int as special, case when c_custkey % 11 > 0 then '1995-01-01'::date + (c_custkey % 2400)::int end as for_date from customer)"
+    grade = f"""(select ticket, numbers, special, status, case when s is not null then len(list_intersect(numbers, s))::int end as mains, case when s is not null then coalesce(special = drawn, false) end as special_hit from
+      (select k.ticket, k.numbers, k.special, case when k.for_date is null then 'open' when d.s is null then 'pending' else 'settled' end as status, case when k.for_date is null then l.s else d.s end as s, case when k.for_date is null then l.special else d.special end as drawn
+      from {tk} k left join (select date, arg_max(s, t) as s, arg_max(special, t) as special from draws group by date) d on d.date = k.for_date cross join (select arg_max(s, t) as s, arg_max(special, t) as special from draws) l))"""
+    prize = "case when g.mains is not null then case when g.mains = 5 and g.special_hit then 0.0 else coalesce(v.x, 0.0) end end"
     graded = f"(select g.*, {prize} as prize, coalesce(g.mains = 5 and g.special_hit, false) as jackpot from {grade} g left join (values {tiers}) v(m, b, x, c) on v.m = g.mains and v.b = g.special_hit)"
     q["tier_grade"] = f"select 'main' as game, ticket, status, mains, special_hit, jackpot, prize from {graded}"
-    q["ticket_ledger"] = f"select 'main' as game, count(*) as tickets, count(case when status = 'settled' then 1 end) as settled, count(case when status = 'pending' then 1 end) as pending, sum(case when status = 'settled' then 2.0 else 0 end) as spent, sum(coalesce(prize, 0)) as won, sum(coalesce(prize, 0)) - sum(case when status = 'settled' then 2.0 else 0 end) as net, max(mains) as best_mains from {graded}"
+    q["ticket_ledger"] = f"""select 'main' as game, tickets, settled, pending, "open", spent, won, won - spent as net, best // 2 as best_mains, best % 2 = 1 as best_special from (select count(*) as tickets, count(case when status = 'settled' then 1 end) as settled, count(case when status = 'pending' then 1 end) as pending, count(case when status = 'open' then 1 end) as "open",
+      sum(case when status <> 'open' then 2.0 else 0 end) as spent, sum(case when status = 'settled' then prize else 0 end) as won, max(case when status = 'settled' then mains * 2 + special_hit::int end)::int as best from {graded})"""
     st = "[s[2]-s[1], s[3]-s[2], s[4]-s[3], s[5]-s[4]]"
     q["crowd_markers"] = f"""select 'main' as game, t, array_to_string(list_filter([case when s[5] <= 12 then 'months' when s[5] <= 31 then 'calendar' end, case when list_min({st}) = list_max({st}) then case when s[2] - s[1] = 1 then 'run' else 'step' end end,
       case when len(list_filter(s, lambda x: x % 5 = 0)) = 5 then 'fives' end, case when len(list_distinct([x % 10 for x in s])) = 1 then 'same_digit' end, case when row_number() over (partition by s order by t) > 1 then 'past_winner' end], lambda x: x is not null), ',') as markers from draws"""
     e = f"(draws * {D / K!r})"
-    q["ball_chi2"] = f"select 'main' as game, 'ball_chi2' as test, round(v, 6) as value, round((v - 68) / sqrt(136.0), 6) as z from (select sum(power(hits - {e}, 2) / {e}) * {(K - 1) / (K - D)!r} as v from freq)"
+    q["ball_chi2"] = f"select 'main' as game, 'ball_chi2' as test, round(v, 6) as value, round((v - 68) / sqrt(136.0), 6) as z from (select sum(power(hits - {e}, 2) / {e}) as v from freq)"
     q["serial_corr"] = "select 'main' as game, 'serial' as test, round(v, 6) as value, round(v * sqrt(n), 6) as z from (select sum((a - m) * (b - m)) / sum(power(a - m, 2)) as v, max(n) as n from (select list_sum(s)::double as a, lead(list_sum(s)) over (order by t)::double as b, avg(list_sum(s)) over () as m, count(*) over () as n from draws))"
     colex = " + ".join("(" + " * ".join(f"(s[{i}] - {1 + j})" for j in range(i)) + f")::double / {float(__import__('math').factorial(i))!r}" for i in range(1, D + 1))
     q["ks_colex"] = f"select 'main' as game, 'combination_ks' as test, round(v, 6) as value, round(v * 2 / (1.36 / sqrt(n)), 6) as z from (select max(greatest(abs(u - i / n::double), abs((i + 1) / n::double - u))) as v, max(n) as n from (select u, row_number() over (order by u, t) - 1 as i, count(*) over () as n from (select t, ({colex}) / {float(comb(K, D))!r} as u from draws)))"
     e2, p2 = D * D / K, D / K
-    var = e2 * (1 - D / K) * (K - D) / (K - 1)
+    var = e2 * (1 - D / K)
     q["repeat_test"] = f"select 'main' as game, 'repeat_rate' as test, round(v, 6) as value, round((v - {e2!r}) / sqrt({var!r} / n), 6) as z from (select avg(len(list_intersect(s, b))) as v, count(*) as n from (select s, lag(s) over (order by t) as b from draws) where b is not null)"
     q["mean_gap_test"] = f"select 'main' as game, 'mean_gap' as test, round(v, 6) as value, round((v - {1 / p2!r}) / sqrt({(1 - p2) / p2**2!r} / n), 6) as z from (select avg(gap) as v, count(gap) as n from gp)"
     q["bonus_chi2"] = "select 'main' as game, 'bonus_chi2' as test, round(v, 6) as value, round((v - 25) / sqrt(50.0), 6) as z from (select sum(c * c)::double * 26 / sum(c) - sum(c) as v from (select special, count(*) as c from draws group by special) having sum(c) >= 201)"
     q["sum_record"] = "select 'main' as game, min(list_sum(s))::int as least, min(case when list_sum(s) = (select min(list_sum(s)) from draws) then t end) as least_t, max(list_sum(s))::int as most, min(case when list_sum(s) = (select max(list_sum(s)) from draws) then t end) as most_t from draws"
     presets = {
-        "pos4low": (at_most_count(K, D, 4, 5), "s[4] <= 5"), "pos5low": (at_most_count(K, D, 5, 9), "s[5] <= 9"), "run": (K - D + 1, "s[5] - s[1] = 4"), "clustered": (adjacency_count(K, D, 3), f"len(list_filter({st}, lambda x: x = 1)) >= 3"), "allHigh": (comb(10, D), "s[1] >= 60"),
-        "window10": (window_count(K, D, 10), "s[5] - s[1] <= 9"), "digit4": (same_digit_count(K, D), "list_max([len(list_filter(s, lambda v: v % 10 = x)) for x in range(10)]) >= 4"), "dates": (comb(31, D), "s[5] <= 31"),
+        "pos4low": (321, "s[4] <= 5"), "pos5low": (126, "s[5] <= 9"), "run": (65, "s[5] - s[1] = 4"), "clustered": (8385, f"len(list_filter({st}, lambda x: x = 1)) >= 3"), "allHigh": (252, "s[1] >= 60"),
+        "window10": (7686, "s[5] - s[1] <= 9"), "digit4": (20670, "list_max([len(list_filter(s, lambda v: v % 10 = x)) for x in range(10)]) >= 4"), "dates": (169911, "s[5] <= 31"),
     }
     q["preset_eliminations"] = " union all ".join(f"select 'main' as game, '{n}' as preset, {c}::bigint as combinations, round({c / comb(K, D)!r}, 9) as share, round({c}::double * count(*) / {float(comb(K, D))!r}, 6) as expected, count(case when {test} then 1 end) as observed from draws" for n, (c, test) in presets.items())
     past = "over (partition by n order by t rows between {} preceding and 1 preceding)"
@@ -172,7 +178,7 @@ def _queries() -> dict[str, str]:
       from sf a cross join (select * from sf where slice = 'pooled') p where a.slice <> 'pooled'"""
     q["replay_reasons"] = """select 'main' as game, place::int as place, cut_by, draws, judged, held, round(held / judged::double, 6) as held_rate from (select cut_by, count(*) as draws, row_number() over (order by count(*) desc, cut_by) as place from rp where not kept group by cut_by)
       cross join (select count(*) as judged, sum(kept::int)::bigint as held from rp)"""
-    binned = " union all ".join(f"select '{n}' as feature, {hi - lo + 1} as room, t, floor(({feats[n]})::double + 0.5)::int as bin from draws" for n, (lo, hi) in bounds(K, D).items() if n in feats)
+    binned = " union all ".join(f"select '{n}' as feature, {hi - lo + 2} as room, t, floor(({feats[n]})::double + 0.5)::int as bin from draws" for n, (lo, hi) in rules_sql.LIMITS.items() if n in feats)
     q["feature_standing"] = """select 'main' as game, feature, value, count(*) as observations, min(bin) as least, max(bin) as most, count(case when bin = value then 1 end) as times, round((count(case when bin = value then 1 end) + 1.0 / room) / (count(*) + 1.0), 6) as p, round(count(case when bin < value then 1 end) / count(*)::double, 6) as percentile
       from (select *, arg_max(bin, t) over (partition by feature) as value from bf) group by feature, value, room"""
     q["ticket_lab"] = f"""select 'main' as game, k.ticket, list_sum(k.numbers)::int as total, round(a.under, 6) as total_below, round(a.same, 6) as odd_share, a.pair_total, a.best_overlap, array_to_string(b.best_t, '-') as best_t, a.three_up, coalesce(c.c, 0)::bigint as special_count
@@ -214,7 +220,7 @@ def family_tests(*n: str) -> dict[str, str]:
     even = f"({steps[0]} = {steps[1]} and {steps[1]} = {steps[2]} and {steps[2]} = {steps[3]})"
     digits = " | ".join(f"(1 << ({x} % 10)::int) | (case when {x} >= 10 then 1 << ({x} // 10)::int else 0 end)" for x in n)
     return {
-        "oneDecade": same(lambda x: f"{x} // 10"), "mult5": every(lambda x: f"{x} % 5 = 0"), "sameDigit": same(lambda x: f"{x} % 10"), "evenSpaced": even, "evenStepTight": f"({even} and {steps[0]} <= 11)", "tightSpan": f"({e} - {a} <= 7)", "runFive": f"({e} - {a} = 4)",
+        "oneDecade": f"(({a} - 1) // 10 = ({e} - 1) // 10)", "mult5": every(lambda x: f"{x} % 5 = 0"), "sameDigit": same(lambda x: f"{x} % 10"), "evenSpaced": even, "evenStepTight": f"({even} and {steps[0]} <= 11)", "tightSpan": f"({e} - {a} <= 7)", "runFive": f"({e} - {a} = 4)",
         "slipRow": same(lambda x: f"({x} - 1) % 14"), "slipColumn": same(lambda x: f"least(4, ({x} - 1) // 14)"), "squareCube": every(lambda x: f"{x} in (1, 4, 8, 9, 16, 25, 27, 36, 49, 64)"), "fib": every(lambda x: f"{x} in (1, 2, 3, 5, 8, 13, 21, 34, 55)"),
         "digitSum": same(lambda x: f"({x} // 10 + {x} % 10)"), "column7": same(lambda x: f"({x} - 1) % 7"), "wideGaps": f"least({', '.join(steps)}) >= 15", "allPrime": every(lambda x: f"{x} in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67)"),
         "sameMultiple": f"gcd(gcd(gcd(gcd({a}, {b}), {c}), {d}), {e}) >= 6", "gridColumn": "(" + " or ".join(same(lambda x, m=m: f"{x} % {m}") for m in (9, 11, 12, 13)) + ")",
@@ -227,23 +233,64 @@ def family_tests(*n: str) -> dict[str, str]:
 CUT_ORDER = "oneDecade mult5 sameDigit evenStepTight tightSpan runFive slipRow squareCube fib digitSum sameMultiple gridColumn slipDiagonal twoDigits powerTwo repdigit".split()
 
 
-def _spaces() -> dict[str, str]:
-    """Counts over all choices of 4 of 20 and 3 of 24 numbers."""
-    u = "with pool as (select unnest(range(1, 21))::int as n), u as (select a.n as a, b.n as b, c.n as c, d.n as d from pool a join pool b on b.n > a.n join pool c on c.n > b.n join pool d on d.n > c.n) "
-    five = "with a_ as (select unnest(range(1, 70)) as a), b_ as (select a, unnest(range(a + 1, 70)) as b from a_), c_ as (select a, b, unnest(range(b + 1, 70)) as c from b_), d_ as (select a, b, c, unnest(range(c + 1, 70)) as d from c_), u as (select a, b, c, d, unnest(range(d + 1, 70)) as e from d_), "
-    counts = ", ".join(f'count(*) filter (where {t}) as "{n}"' for n, t in family_tests("a", "b", "c", "d", "e").items())
-    each = " union all ".join(f"select '{n}' as family, \"{n}\" as combinations, round(\"{n}\" / {float(comb(69, 5))!r}, 12) as share from f" for n in family_tests("a", "b", "c", "d", "e"))
-    out = {"subset_families": five + f"f as (select {counts} from u) " + each}
-    out["sum_at_most"] = u + "select total::int as total, combinations, (sum(combinations) over (order by total))::bigint as at_most from (select a + b + c + d as total, count(*) as combinations from u group by 1)"
-    out["band_count"] = u + "select count(*) as combinations from u where a between 1 and 6 and b between 4 and 12 and c between 8 and 15 and d between 10 and 20"
-    out["rule_space_share"] = u + "select total::int as bin, count(*) as combinations from (select a + b + c + d as total from u) group by 1"
-    v = "with pool as (select unnest(range(1, 13))::int as n), u as (select a.n as a, b.n as b, c.n as c from pool a join pool b on b.n > a.n join pool c on c.n > b.n), k(numbers, special) as (values ([1, 2, 3], 1), ([3, 4, 5], 2), ([9, 10, 11], 1)), "
-    m = "m as (select u.*, k.special, len(list_intersect([a, b, c], k.numbers)) as x from u cross join k), s as (select a, b, c, max(x) as best, max((x in (3, 5, 4))::int) as sure, count(distinct case when x in (0, 1, 2, 3, 4) then special end) as lucky from m group by a, b, c) "
-    out["portfolio_exact"] = v + m + f"select 3::bigint as tickets, 8::int as covered, count(*) as draws, round(sum(case when sure = 1 then 1.0 else lucky / 4.0 end) / {float(comb(12, 3))!r}, 9) as any_prize, round(sum((best >= 3)::int) / {float(comb(12, 3))!r}, 9) as three, round(sum((best >= 4)::int) / {float(comb(12, 3))!r}, 9) as four, round(avg(best), 9) as best_match from s"
+# Every combination of five of 69, as five columns.
+SPACE = ", a_ as (select unnest(range(1, 70)) as a), b_ as (select a, unnest(range(a + 1, 70)) as b from a_), c_ as (select a, b, unnest(range(b + 1, 70)) as c from b_), d_ as (select a, b, c, unnest(range(c + 1, 70)) as d from c_), u as (select a, b, c, d, unnest(range(d + 1, 70)) as e from d_) "
+PLANTED = {
+    "era": "t >= (select draws from sizes) * 0.6 or s[5] <= 59",
+    "streak": "t < (select draws from sizes) * 0.9 or list_contains(s, 7) or list_contains(s, 11)",
+}
+
+
+def planted(which: str) -> str:
+    """The base with some draws left out, and places numbered anew."""
+    head, tail = BASE.split("sizes as (select count(*) as draws from draws),")
+    head = head.replace("hits as (select od.t", "hits0 as (select od.t").replace("from hits group by t),\ndraws as", "from hits0 group by t),\ndraws0 as")
+    where = PLANTED[which].replace("(select draws from sizes)", "(select count(*) from draws0)")
+    return head + f"draws as (select game, (row_number() over (order by t) - 1)::bigint as t, date, dow, s, special, jackpot, winner_location from draws0 where {where}),\nhits as (select t, dow, unnest(s) as n from draws),\nsizes as (select count(*) as draws from draws)," + tail
+
+
+def _spaces(q: dict[str, str], rules: dict[str, tuple[str, str]], feats: dict[str, str]) -> dict[str, str]:
+    """Queries that count the whole space, or that stand on a history with something planted."""
+    tests, drawn = family_tests("a", "b", "c", "d", "e"), family_tests(*[f"s[{i}]" for i in range(1, 6)])
+    counts = ", ".join(f'count(*) filter (where {t}) as "{n}"' for n, t in tests.items())
+    seen = ", ".join(f'count(*) filter (where {t}) as "{n}"' for n, t in drawn.items())
+    each = " union all ".join(f"select 'main' as game, '{n}' as family, f.\"{n}\" as combinations, round(f.\"{n}\" / {float(comb(69, 5))!r}, 12) as share, o.\"{n}\" as draws from f cross join o" for n in tests)
+    out = {"subset_families": BASE + SPACE + f", f as materialized (select {counts} from u), o as materialized (select {seen} from draws) " + each}
+    sums = ", st as materialized (select a + b + c + d + e as total, count(*) as combinations from u group by 1), su as (select *, (sum(combinations) over (order by total))::bigint as at_most from st) "
+    out["sum_at_most"] = BASE + SPACE + sums + "select 'main' as game, su.total::int as total, draws, combinations, at_most from su join (select list_sum(s) as total, count(*) as draws from draws group by 1) x on x.total = su.total"
+    out["rule_space_share"] = BASE + SPACE + "select 'main' as game, bin::int as bin, combinations, draws from (select e - a as bin, count(*) as combinations from u group by 1) join (select s[5] - s[1] as bin, count(*) as draws from draws group by 1) using (bin)"
+    tables, bands = rules["position_bands"]
+    out["band_count"] = BASE + tables + SPACE + f", pb as materialized ({bands}), w as materialized (select list(lo order by position) as lo, list(hi order by position) as hi from pb) select 'main' as game, (select count(*) from u, w where a between lo[1] and hi[1] and b between lo[2] and hi[2] and c between lo[3] and hi[3] and d between lo[4] and hi[4] and e between lo[5] and hi[5]) as inside, count(case when {' and '.join(f's[{i}] between lo[{i}] and hi[{i}]' for i in range(1, 6))} then 1 end) as draws_inside from draws, w"
+    touch = "(b - a = 1)::int + (c - b = 1)::int + (d - c = 1)::int + (e - d = 1)::int >= 3"
+    out["touching_pairs"] = BASE + SPACE + f", z as materialized (select count(*) as m from u where {touch}) select 'main' as game, m as combinations, count(case when (s[2]-s[1] = 1)::int + (s[3]-s[2] = 1)::int + (s[4]-s[3] = 1)::int + (s[5]-s[4] = 1)::int >= 3 then 1 end) as draws, round(count(*) * m / 11238513.0::double, 6) as expected from draws, z group by m"
+    cuts = {n: tests[n] for n in CUT_ORDER} | {"low": "d <= 5 or e <= 9"}
+    cut_drawn = {n: drawn[n] for n in CUT_ORDER} | {"low": "s[4] <= 5 or s[5] <= 9"}
+    cuts["union"], cut_drawn["union"] = " or ".join(f"({t})" for t in cuts.values()), " or ".join(f"({t})" for t in cut_drawn.values())
+    f = ", ".join(f'count(*) filter (where {t}) as "{n}"' for n, t in cuts.items())
+    o = ", ".join(f'count(*) filter (where {t}) as "{n}"' for n, t in cut_drawn.items())
+    out["union_sizes"] = BASE + SPACE + f", f as materialized (select {f} from u), o as materialized (select {o} from draws) " + " union all ".join(f"select 'main' as game, '{n}' as family, f.\"{n}\" as members, o.\"{n}\" as draws from f cross join o" for n in cuts)
+    out["ledger"] = BASE + SPACE + f""", rec as materialized (select min(list_sum(s)) as lo, max(list_sum(s)) as hi from draws), done as materialized (select s[1] as a, s[2] as b, s[3] as c, s[4] as d, s[5] as e, count(*) as times from draws group by all),
+    v as materialized (select case when times is not null then 2 when {cuts["union"]} then 3 when a + b + c + d + e <= lo or a + b + c + d + e >= hi then 4 end as place, count(*) * 26 as removed from u cross join rec left join done using (a, b, c, d, e) group by 1),
+    w as (select x.place, x.step, coalesce(v.removed, 0)::bigint as removed, cost from (select 2 as place, 'drawn' as step, (select sum(times - 1) from done) as cost union all select 3, 'families', (select count(*) from draws where {cut_drawn["union"]}) union all select 4, 'sums', (select count(*) from draws, rec where list_sum(s) <= lo or list_sum(s) >= hi)) x left join v using (place))
+    select 'main' as game, place::int as place, step, removed, (292201338 - sum(removed) over (order by place))::bigint as remaining, cost::bigint as cost from w"""
+    tk = "(select c_custkey as ticket, list_sort([(1 + i * 13 + c_custkey % 13)::int for i in range(5)]) as numbers, (c_custkey % 26 + 1)::int as special from customer order by c_acctbal desc, c_custkey limit 5)"
+    out["portfolio_exact"] = BASE + SPACE + f""", k as materialized {tk}, cover as (select list_sort(list_distinct(flatten(list(numbers)))) as cover from k), pm as materialized (select [case when list_contains(cover, n) then 1::bigint << (list_position(cover, n) - 1) else 0::bigint end for n in range(1, 70)] as pm, len(cover) as covered from cover),
+    held as materialized (select list(list_sum([pm[n] for n in numbers])::bigint order by ticket) as tm, list(special order by ticket) as sp from k cross join pm),
+    m as materialized (select pm[a] | pm[b] | pm[c] | pm[d] | pm[e] as mask, covered, count(*) as c from u cross join pm group by all), x as (select c, covered, sp, [bit_count(mask & y) for y in tm] as m from m cross join held)
+    select 5::bigint as tickets, covered::int as covered, 11238513::bigint as draws, round(sum(c * case when len(list_filter(m, lambda y: y in (3, 4, 5))) > 0 then 1.0::double else len(list_distinct(sp)) / 26.0::double end) / 11238513, 9) as any_prize, round(sum(c * (list_max(m) >= 3)::int) / 11238513, 9) as three,
+      round(sum(c * (list_max(m) >= 4)::int) / 11238513, 9) as four, round(sum(c * list_max(m)) / 11238513, 9) as best_match from x group by covered"""
+    out["era_detect_planted"] = q["era_detect"].replace(BASE, planted("era"))
+    out["current_streaks_planted"] = q["current_streaks"].replace(BASE, planted("streak"))
+    cutoff = q["era_detect"].replace(BASE, "")
+    tables, by_day = rules["rule_slices"]
+    out["rule_slices_eras"] = planted("era") + tables + f", ed as materialized ({cutoff}) {by_day} union all select 'main', feature, alpha, 'era', case when t < cutoff then 'earlier' else 'current' end, count(*), round(avg(held::int), 6) from br cross join ed where v is not null group by all"
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return _queries() | _spaces()
+    q = _queries()
+    feats = _features()
+    rules = rules_sql.queries(feats, q["conditional_features"].replace(BASE, ""))
+    return q | {name: BASE + tables + sql for name, (tables, sql) in rules.items()} | _spaces(q, rules, feats)
 
 

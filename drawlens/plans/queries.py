@@ -1,14 +1,16 @@
 """The queries over histories derived from order tables."""
 
 from collections.abc import Callable
+from math import comb
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from drawlens.checkpoints import cut
 from drawlens.functions.odds import hypergeometric
-from drawlens.functions.shapes import total
-from drawlens.history import History
-from drawlens.operators import combinations, constraints, describe, eras, fairness, learn, money, overlaps, positions, reports, signals
+from drawlens.functions.shapes import families, total
+from drawlens.history import History, ordered
+from drawlens.operators import combinations, constraints, describe, eras, fairness, learn, money, overlaps, positions, reduction, reports, signals
 from drawlens.sources import orders, text
 from drawlens.sources.orders import history
 
@@ -38,7 +40,7 @@ def _tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ticket for each customer."""
     key = F.col("c_custkey")
     numbers = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (1 + i * 13 + key % 13).cast("int")))
-    date = F.date_add(F.to_date(F.lit("1995-01-01")), (key % 2400).cast("int"))
+    date = F.when(key % 11 > 0, F.date_add(F.to_date(F.lit("1995-01-01")), (key % 2400).cast("int")))  # some tickets have no date
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lit("main").alias("game"), key.alias("ticket"), numbers.alias("numbers"), (key % 26 + 1).cast("int").alias("special"), date.alias("for_date"), F.lit(2.0).alias("cost"))
 
 
@@ -69,16 +71,117 @@ def crowd_markers(h: History) -> DataFrame:
     return rows.select("game", "t", F.array_join(money.crowd_markers(F.col("sorted"), h.k, F.col("again")), ",").alias("markers"))
 
 
+def _lab(h: History) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The sampled universe, the bands before each draw, the rules, and the modes."""
+    universe, tested = cut(constraints.sample_universe(h.draws.sparkSession, h.k, h.d)), constraints.steps(h)
+    rules = cut(constraints.rules(h, universe, tested))
+    return universe, tested, rules, cut(constraints.modes(h, universe=universe, tested=tested, all_rules=rules))
+
+
 def pool_replay_bands(h: History) -> DataFrame:
     """The replay with the bands of the mode of the highest floor of survival."""
-    mode = constraints.modes(h)
-    top = mode.groupBy("game").agg(F.max("floor").alias("floor"))
-    return constraints.cut_by(h, constraints.mode_failures(h, mode.join(top, ["game", "floor"])))
+    _, tested, _, mode = _lab(h)
+    top = mode.groupBy("game").agg(F.max("mode").alias("mode"))
+    return constraints.cut_by(h, constraints.mode_failures(mode.join(top, ["game", "mode"]), tested))
+
+
+def mode_reports(h: History) -> DataFrame:
+    universe, tested, _, mode = _lab(h)
+    return constraints.mode_report(h, mode, universe, tested)
+
+
+def mode_eliminated(h: History) -> DataFrame:
+    _, tested, _, mode = _lab(h)
+    return constraints.eliminated(h, mode, tested)
+
+
+def mode_ledger(h: History) -> DataFrame:
+    universe, tested, _, mode = _lab(h)
+    return reduction.ledger(h, mode, constraints.mode_report(h, mode, universe, tested))
+
+
+def pool_left(h: History) -> DataFrame:
+    """How many of the sampled combinations each mode's reduced pool holds."""
+    universe, _, _, mode = _lab(h)
+    return reduction.reduced(h, universe, mode).groupBy("game", "mode").agg(F.count(F.lit(1)).alias("combinations"))
+
+
+def planted_era(h: History) -> History:
+    """The history with a smaller pool in its first part: draws with a number above 59 are left out there, and places are numbered anew."""
+    rows = h.draws.join(h.sizes, "game").where((F.col("t") >= F.col("draws") * 0.6) | (F.element_at("sorted", -1) <= 59)).drop("draws")
+    return History(cut(ordered(rows.drop("t"), "draw_key")), h.k, h.d, h.ks)
+
+
+def planted_streak(h: History) -> History:
+    """The history with a number in every late draw: of the last tenth only draws that hold 7 or 11 stay."""
+    rows = h.draws.join(h.sizes, "game").where((F.col("t") < F.col("draws") * 0.9) | F.arrays_overlap("sorted", F.array(F.lit(7), F.lit(11)))).drop("draws")
+    return History(cut(ordered(rows.drop("t"), "draw_key")), h.k, h.d, h.ks)
+
+
+def touching(h: History) -> DataFrame:
+    """game, combinations, draws, expected: the combinations of three touching pairs, made without a scan, and the draws among them, met by rank."""
+    members = reduction.touching_at_least(h.draws.sparkSession, h.k, h.d, 3).select(reduction.rank_of(F.col("sorted"), h.d).alias("rank"), F.lit(True).alias("member"))
+    size = members.agg(F.count(F.lit(1)).alias("combinations"))
+    rows = h.draws.select("game", reduction.rank_of(F.col("sorted"), h.d).alias("rank")).join(members, "rank", "left")
+    rows = rows.groupBy("game").agg(F.count("member").alias("draws"), F.count(F.lit(1)).alias("all")).join(F.broadcast(size), F.lit(True))
+    return rows.select("game", "combinations", "draws", (F.col("all") * F.col("combinations") / float(comb(h.k, h.d))).alias("expected"))
+
+
+def union_sizes(h: History) -> DataFrame:
+    """game, family, members, draws: the exact size of each family that is cut, of all together (union), and the draws in them."""
+    members = cut(reduction.family_members(h.draws.sparkSession, h.k, h.d).select("family", "rank"))
+    both = members.unionByName(members.select(F.lit("union").alias("family"), "rank").distinct())
+    drawn = h.draws.select("game", reduction.rank_of(F.col("sorted"), h.d).alias("rank"))
+    hits = both.join(drawn, "rank").groupBy("game", "family").agg(F.count(F.lit(1)).alias("draws"))
+    sizes = both.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    rows = h.sizes.select("game").join(F.broadcast(sizes), F.lit(True)).join(hits, ["game", "family"], "left")
+    return rows.select("game", "family", "members", F.coalesce("draws", F.lit(0)).alias("draws"))
+
+
+def sum_at_most(h: History) -> DataFrame:
+    """Every total that was drawn, how often, and how many combinations have it or less."""
+    table = combinations.sum_distribution(h.draws.sparkSession, h.k, h.d)
+    drawn = h.draws.groupBy("game", total(F.col("sorted")).alias("total")).agg(F.count(F.lit(1)).alias("draws"))
+    return drawn.join(table, "total").select("game", "total", "draws", "combinations", "at_most")
+
+
+def band_count(h: History) -> DataFrame:
+    """game, inside, draws_inside: how many combinations lie within the position bands, all at once, and how many draws."""
+    at = constraints.position_bands(h).groupBy("game").agg(F.array_sort(F.collect_list(F.struct("position", "lo", "hi"))).alias("x"))
+    table = [(r.game, combinations.band_count(h.k, h.d, [(p.lo, p.hi) for p in r.x]), [p.lo for p in r.x], [p.hi for p in r.x]) for r in at.collect()]  # d bands a game
+    bands = h.draws.sparkSession.createDataFrame(table, "game string, inside long, lo array<int>, hi array<int>")
+    ok = F.forall(F.arrays_zip("sorted", "lo", "hi"), lambda p: p["sorted"].between(p["lo"], p["hi"]))
+    return h.draws.join(F.broadcast(bands), "game").groupBy("game", "inside").agg(F.sum(ok.cast("long")).alias("draws_inside"))
+
+
+def spread_space(h: History) -> DataFrame:
+    """Every spread, the combinations of the whole space that have it, and the draws."""
+    space = combinations.subsets(h.draws.sparkSession, h.k, h.d).groupBy((F.element_at("sorted", -1) - F.element_at("sorted", 1)).alias("bin")).agg(F.count(F.lit(1)).alias("combinations"))
+    drawn = h.draws.groupBy("game", (F.element_at("sorted", -1) - F.element_at("sorted", 1)).alias("bin")).agg(F.count(F.lit(1)).alias("draws"))
+    return drawn.join(space, "bin").select("game", "bin", "combinations", "draws")
+
+
+def picked_law(h: History) -> DataFrame:
+    """game, hits, draws, p: how many of the ten most frequent numbers each draw held, against the law of chance."""
+    top = describe.frequency(h).withColumn("r", F.row_number().over(Window.partitionBy("game").orderBy(F.col("hits").desc(), "n"))).where("r <= 10").groupBy("game").agg(F.collect_list("n").alias("top"))
+    seen = h.draws.join(F.broadcast(top), "game").groupBy("game", F.size(F.array_intersect("sorted", "top")).alias("hits")).agg(F.count(F.lit(1)).alias("draws"))
+    law = h.draws.sparkSession.createDataFrame([(m, hypergeometric(h.k, 10, h.d, m)) for m in range(h.d + 1)], "hits int, p double")
+    return seen.join(F.broadcast(law), "hits").select("game", "hits", "draws", "p")
+
+
+def families_drawn(h: History) -> DataFrame:
+    """game, family, combinations, share, draws: every family's exact size, and the draws in it."""
+    tests = families(F.col("sorted"), h.k, h.d)
+    each = F.array(*[F.struct(F.lit(n).alias("family"), F.sum(c.cast("long")).alias("draws")) for n, c in tests.items()])
+    drawn = h.draws.groupBy("game").agg(each.alias("x")).select("game", F.inline("x"))
+    return drawn.join(combinations.family_counts(h.draws.sparkSession, h.k, h.d), "family").select("game", "family", "combinations", "share", "draws")
 
 
-def portfolio(spark: SparkSession) -> DataFrame:
-    tickets = spark.createDataFrame([([1, 2, 3], 1), ([3, 4, 5], 2), ([9, 10, 11], 1)], "numbers array<int>, special int")
-    return combinations.portfolio_stats(tickets, 12, 3, 4, [(3, False, 100.0), (5, False, 1.0), (4, False, 1.0), (0, True, 1.0), (1, True, 1.0), (2, True, 1.0), (3, True, 1.0), (4, True, 1.0)])
+def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact chances of the tickets of the five customers with the highest balance, as one portfolio."""
+    rich = spark.read.parquet(f"{sf_dir}/customer.parquet").orderBy(F.col("c_acctbal").desc(), "c_custkey").limit(5)
+    tickets = _tickets(spark, sf_dir).join(rich.select(F.col("c_custkey").alias("ticket")), "ticket", "leftsemi")
+    return combinations.portfolio_stats(tickets, 69, 5, 26)
 
 
 def ticket_deal(h: History) -> DataFrame:
@@ -94,7 +197,6 @@ def ticket_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     joined = lambda df, c="numbers": df.withColumn(c, F.array_join(c, "-"))
-    u = lambda spark: combinations.subsets(spark, 20, 4)
     by_rate = lambda h: describe.frequency(h).join(h.sizes, "game").withColumn("p", F.round((F.col("hits") + 20 * h.d / h.k) / (F.col("draws") + 20), 12))
     return {
         "ball_frequency": _of(describe.frequency), "ball_by_weekday": _of(describe.by_weekday), "schedule_detect": _of(describe.schedule), "gap_stats": _of(describe.gaps), "window_counts": _of(describe.recent_counts), "hot_cold": _of(describe.hot_cold), "overdue": _of(describe.overdue),
@@ -105,7 +207,7 @@ def queries() -> dict[str, Query]:
         "latest_sharing": _of(lambda h: h.draws.join(h.draws.groupBy("game").agg(F.max_by("sorted", "t").alias("mine")), "game").groupBy("game", F.size(F.array_intersect("sorted", "mine")).alias("overlap")).agg(F.count(F.lit(1)).alias("draws"), F.max("t").alias("last"))),
         "era_detect": _of(eras.detect), "jackpot_stats": lambda s, d: rounded(money.jackpots(_with_sales(s, d))), "attach_sales": lambda s, d: rounded(_with_sales(s, d).draws.select("game", "t", "sales"), 2), "recent_winners": _of(money.winners), "jackpot_thirds": _of(money.thirds), "jackpot_projection": _of(money.projection),
         "ticket_ev": _of(lambda h: money.ticket_value(h.draws.select("game", "t", "jackpot", F.lit(1e7).alias("sold")), "jackpot", "sold", h.k, h.d, h.ks).select("game", "t", "lower_value", "split", "share", "value"), 9),
-        "hypergeom_dist": lambda s, d: s.createDataFrame([(m, hypergeometric(69, 10, 5, m)) for m in range(6)], "hits int, p double"), "tier_grade": tier_grade, "ticket_ledger": lambda s, d: money.ledger(money.graded(_tickets(s, d), history(s, d))),
+        "hypergeom_dist": _of(picked_law, 12), "tier_grade": tier_grade, "ticket_ledger": lambda s, d: money.ledger(money.graded(_tickets(s, d), history(s, d))),
         "crowd_markers": _of(crowd_markers), "ball_chi2": _of(fairness.ball_chi2), "serial_corr": _of(fairness.serial), "ks_colex": _of(fairness.combination_ks), "repeat_test": _of(fairness.repeat_rate), "mean_gap_test": _of(fairness.mean_gap), "bonus_chi2": _of(fairness.bonus_chi2),
         "fairness": _of(fairness.tests),
         "sum_record": _of(lambda h: h.draws.select("game", "t", total(F.col("sorted")).alias("s")).groupBy("game").agg(F.min("s").alias("least"), F.min_by("t", F.struct("s", "t")).alias("least_t"), F.max("s").alias("most"), F.min_by("t", F.struct(-F.col("s"), F.col("t"))).alias("most_t"))),
@@ -117,13 +219,13 @@ def queries() -> dict[str, Query]:
         "rank_scores": _of(lambda h: by_rate(h).select("game", "n", F.row_number().over(Window.partitionBy("game").orderBy(F.col("p").desc(), "n")).alias("rank"))),
         "history_page": _of(lambda h: joined(h.draws.select("game", "t", "sorted").orderBy(F.col("t").desc()).offset(12).limit(12).withColumnRenamed("sorted", "numbers"))), "merge_draws": merge_draws,
         "isotonic_calibration": _of(lambda h: learn.isotonic(describe.frequency(h).select("game", F.row_number().over(Window.partitionBy("game").orderBy("n")).alias("rank"), F.col("hits").cast("double").alias("v")), "v", "rank").select("game", "rank", "fit")),
-        "subset_families": lambda s, d: rounded(combinations.family_counts(s, 69, 5), 12), "sum_at_most": lambda s, d: combinations.sum_distribution(s, 20, 4),
-        "band_count": lambda s, d: u(s).where("sorted[0] between 1 and 6 and sorted[1] between 4 and 12 and sorted[2] between 8 and 15 and sorted[3] between 10 and 20").agg(F.count(F.lit(1)).alias("combinations")),
-        "rule_space_share": lambda s, d: constraints.space_histogram(u(s), 20, 4).where("feature = 'sum'").select("bin", "combinations"), "portfolio_exact": lambda s, d: rounded(portfolio(s), 9),
+        "subset_families": _of(families_drawn, 12), "sum_at_most": _of(sum_at_most), "band_count": _of(band_count), "rule_space_share": _of(spread_space), "portfolio_exact": lambda s, d: rounded(portfolio(s, d), 9),
+        "touching_pairs": _of(touching), "union_sizes": _of(union_sizes), "ledger": _of(lambda h: reduction.ledger(h).drop("mode")), "position_bands": _of(constraints.position_bands), "constraint_rules": _of(constraints.rules), "rule_frontier": _of(constraints.frontier),
+        "rule_slices": _of(constraints.rule_slices), "rule_slices_eras": _of(lambda h: constraints.rule_slices(planted_era(h))), "era_detect_planted": _of(lambda h: eras.detect(planted_era(h))), "current_streaks_planted": _of(lambda h: describe.current_streaks(planted_streak(h))),
         "companions": _of(reports.companions), "calendar_rate": _of(reports.calendar_rate), "typical_sales": lambda s, d: rounded(reports.typical_sales(_with_sales(s, d)), 2), "slice_floors": _of(reports.slice_floors),
         "replay_reasons": _of(lambda h: reports.replay_reasons(constraints.cut_by(h))), "feature_standing": _of(reports.standing), "ticket_lab": ticket_lab,
         # Not for SQL: folds, samples and greedy choices, which tests hold against plain versions.
         "signals_next": _of(lambda h: signals.normalised(signals.raw(h)).drop("hit")), "bonus_signals": _of(signals.bonus), "walk_forward_signals": _of(lambda h: learn.backtest(h)["signals"]), "rank_calibration": _of(lambda h: learn.backtest(h)["ranks"]), "ml_combiner": _of(lambda h: learn.combiner(h)[1]),
-        "constraint_rules": _of(constraints.rules), "constraint_modes": _of(constraints.modes), "pool_replay": _of(constraints.cut_by), "pool_replay_bands": _of(pool_replay_bands), "overlap_law": _of(constraints.closed_form_overlap, 9),
+        "constraint_modes": _of(lambda h: _lab(h)[3]), "mode_reports": _of(mode_reports), "mode_eliminated": _of(mode_eliminated), "mode_ledger": _of(mode_ledger), "pool_left": _of(pool_left), "pool_replay": _of(constraints.cut_by), "pool_replay_bands": _of(pool_replay_bands), "overlap_law": _of(constraints.closed_form_overlap, 9),
         "ticket_deal": _of(ticket_deal), "best_combinations": _of(lambda h: joined(combinations.best_combinations(describe.frequency(h).select("game", "n", F.col("rate").alias("score")), h))), "positional_fit": _of(lambda h: positions.fit(h, [5, 17, 31, 44, 62])),
     }

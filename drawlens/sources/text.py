@@ -114,9 +114,10 @@ def merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.select(*[F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c in existing.columns], F.col("a.game").isNull().alias("added"))
 
 
-def attach_sales(draws: DataFrame, sales: DataFrame, order: str = "sales") -> DataFrame:
-    """draws with sales by date (date, sales); of repeated dates the last by `order` (a column of sales) stays, and only amounts above 0 count."""
-    day = sales.where(F.col("sales") > 0).groupBy("date").agg(F.max_by("sales", order).alias("_sales"))
+def attach_sales(draws: DataFrame, sales: DataFrame, order: str | None = None) -> DataFrame:
+    """draws with sales by date (date, sales); of repeated dates the last stays, by `order`, a column of sales, or else by the rows' place in their source; only amounts above 0 count."""
+    sales = sales if order else sales.withColumn("_place", F.monotonically_increasing_id())
+    day = sales.where(F.col("sales") > 0).groupBy("date").agg(F.max_by("sales", order or "_place").alias("_sales"))
     return draws.join(day, "date", "left").withColumn("sales", F.coalesce("_sales", F.col("sales") if "sales" in draws.columns else F.lit(None).cast("double"))).drop("_sales")
 
 

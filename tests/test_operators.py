@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from drawlens.functions import dates, odds, shapes
 from drawlens.history import History
-from drawlens.operators import combinations, constraints, describe, eras, fairness, learn, money, overlaps, positions, signals
+from drawlens.operators import combinations, constraints, describe, eras, fairness, learn, money, overlaps, positions, reduction, signals
 from drawlens.sources import generated
 
 
@@ -79,7 +79,7 @@ def test_later_draws_change_nothing_before_them(spark, fair):
     changed = History(fair.draws.withColumn("sorted", F.when(F.col("t") == last, F.array(*[F.lit(n) for n in (1, 2, 3, 4, 5)])).otherwise(F.col("sorted"))), fair.k, fair.d, 0)
     a, b = (signals.panel(h).where(F.col("t") < last) for h in (fair, changed))
     assert a.exceptAll(b).count() == 0
-    x, y = (constraints.walk_forward(constraints.long(constraints.measured(h)), h.k, h.d).where(F.col("t") < last) for h in (fair, changed))
+    x, y = (constraints.by_rule(constraints.steps(h)).where(F.col("t") < last) for h in (fair, changed))
     assert x.exceptAll(y).count() == 0
 
 
@@ -130,11 +130,6 @@ def test_era(spark):
     assert (r.kind, r.cutoff) == ("grow", 300)
 
 
-def test_bands():
-    counts = np.array([0, 1, 50, 40, 8, 1, 0.0])
-    assert constraints.band(counts, [0.0, 0.05, 0.2]) == [(0, 6), (2, 4), (2, 3)]
-
-
 def test_markers_and_families(spark):
     df = spark.createDataFrame([([1, 2, 3, 4, 5],), ([5, 10, 15, 20, 25],), ([3, 17, 33, 48, 61],), ([7, 17, 27, 37, 47],)], "s array<int>")
     got = [r.m for r in df.select(money.crowd_markers(F.col("s"), 69).alias("m")).collect()]
@@ -148,13 +143,13 @@ def test_grades(spark):
     day = datetime.date(2024, 1, 1)
     draws = spark.createDataFrame([("main", 0, day, [1, 2, 3, 4, 5], 9)], "game string, t long, date date, sorted array<int>, special int")
     tickets = spark.createDataFrame(
-        [("main", 1, [1, 2, 3, 4, 5], 9, day, 2.0), ("main", 2, [1, 2, 3, 4, 5], None, day, 2.0), ("main", 3, [1, 2, 3, 40, 50], 9, day, 2.0), ("main", 4, [1, 2, 3, 4, 5], 9, None, 2.0)],
+        [("main", 1, [1, 2, 3, 4, 5], 9, day, 2.0), ("main", 2, [1, 2, 3, 4, 5], None, day, 2.0), ("main", 3, [1, 2, 3, 40, 50], 9, day, 2.0), ("main", 4, [1, 2, 3, 4, 5], 9, None, 2.0), ("main", 5, [1, 2, 3, 4, 5], 9, day + datetime.timedelta(1), 3.0)],
         "game string, ticket long, numbers array<int>, special int, for_date date, cost double",
     )
     g = {r.ticket: r for r in money.graded(tickets, History(draws)).collect()}
-    assert g[1].jackpot and g[2].prize == 1_000_000 and not g[2].jackpot and g[3].prize == 100 and g[4].status == "pending"
+    assert g[1].jackpot and g[2].prize == 1_000_000 and not g[2].jackpot and g[3].prize == 100 and g[4].status == "open" and g[4].mains == 5 and g[5].status == "pending" and g[5].prize is None
     total = money.ledger(money.graded(tickets, History(draws))).first()
-    assert (total.settled, total.pending, total.spent) == (3, 1, 6.0)
+    assert (total.settled, total.pending, total.open, total.spent, total.won, total.best_mains, total.best_special) == (3, 1, 1, 9.0, 1_000_100.0, 5, True)
 
 
 def test_dates_and_money(spark):
@@ -169,7 +164,7 @@ def test_dates_and_money(spark):
 def test_members_of_families(spark):
     """Members and neighbours of each family at 69 and 5."""
     members = {
-        "oneDecade": ([20, 21, 25, 28, 29], [19, 21, 25, 28, 29]), "tightSpan": ([44, 45, 47, 50, 51], [44, 45, 47, 50, 52]), "slipRow": ([3, 17, 31, 45, 59], [3, 17, 31, 45, 60]), "slipColumn": ([57, 60, 63, 66, 69], [56, 60, 63, 66, 69]),
+        "oneDecade": ([2, 5, 6, 9, 10], [20, 21, 25, 28, 29]), "tightSpan": ([44, 45, 47, 50, 51], [44, 45, 47, 50, 52]), "slipRow": ([3, 17, 31, 45, 59], [3, 17, 31, 45, 60]), "slipColumn": ([57, 60, 63, 66, 69], [56, 60, 63, 66, 69]),
         "wideGaps": ([3, 19, 35, 51, 67], [3, 19, 35, 51, 65]), "evenStepTight": ([1, 12, 23, 34, 45], [1, 13, 25, 37, 49]), "slipDiagonal": ([1, 16, 31, 46, 61], [1, 16, 31, 46, 62]), "twoDigits": ([1, 11, 12, 21, 22], [1, 11, 12, 21, 23]),
         "sameMultiple": ([6, 12, 30, 48, 66], [5, 10, 15, 20, 25]), "repdigit": ([11, 22, 33, 44, 66], [11, 22, 33, 44, 65]), "digitSum": ([9, 18, 27, 36, 45], [9, 18, 27, 36, 46]), "mirrorPool": ([3, 19, 35, 51, 67], [3, 19, 35, 51, 66]), "fibLike": ([1, 3, 4, 7, 11], [1, 3, 4, 7, 12]),
         "squareCube": ([1, 8, 27, 36, 64], [1, 8, 27, 36, 63]), "powerTwo": ([1, 2, 4, 8, 64], [1, 2, 4, 8, 63]), "gridColumn": ([1, 10, 19, 28, 37], [1, 8, 15, 22, 29]),
@@ -193,8 +188,12 @@ def test_replay_by_bands_and_dates(spark):
         elif why is None:
             assert t == 10 or min(past) < sum(s) < max(past)
     pool = spark.createDataFrame([([10, 21, 36, 51, 62],), ([1, 2, 3, 4, 20],), (rows[0][2],), ([1, 2, 3, 4, 5],)], "sorted array<int>")
-    rule = spark.createDataFrame([("pos1", 2, 20)], "feature string, lo int, hi int")
-    assert [r.sorted for r in constraints.reduced_pool(h, pool, rule).collect()] == [[10, 21, 36, 51, 62]]
+    # Two rules on one feature hold together, whatever their order.
+    for held in ([("g", 0.9, "pos1", 2, 20), ("g", 0.9, "pos1", 10, 30)], [("g", 0.9, "pos1", 10, 30), ("g", 0.9, "pos1", 2, 20)]):
+        rule = spark.createDataFrame(held, "game string, mode double, feature string, lo int, hi int")
+        assert [r.sorted for r in reduction.reduced(h, pool, rule).collect()] == [[10, 21, 36, 51, 62]]
+    beyond = spark.createDataFrame([("g", 0.9, "pos1", 2, 20), ("g", 0.9, "pos1", 11, 30)], "game string, mode double, feature string, lo int, hi int")
+    assert reduction.reduced(h, pool, beyond).count() == 0
 
 
 def test_best_combinations_as_plain_loops(spark, fair):
