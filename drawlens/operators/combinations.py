@@ -100,14 +100,15 @@ def preset_counts(h: History) -> DataFrame:
     return rows.select("game", "preset", "combinations", (F.col("combinations") / float(everything)).alias("share"), (F.col("combinations") * F.col("draws") / float(everything)).alias("expected"), "observed")
 
 
-def portfolio_stats(tickets: DataFrame, k: int, d: int, ks: int, tiers: list[tuple] = TIERS) -> DataFrame:
-    """tickets, covered, any_prize, three, four, best_match: exact chances of a set of tickets (numbers, special) at one draw.
+def portfolio_stats(tickets: DataFrame, k: int, d: int, ks: int, tiers: list[tuple] = TIERS, by: list[str] | None = None) -> DataFrame:
+    """tickets, covered, draws, any_prize, three, four, best_match: exact chances of a set of tickets (numbers, special) at one draw; of several sets, if `by` names the columns that tell them apart.
 
     A draw matters only by the numbers that the tickets cover: every choice of j of those stands for C(k - covered, d - j) draws. Bonus numbers are independent: the chance that
     some ticket that needs one of a choice's bonus numbers gets it is their distinct number over ks.
     """
-    rows = tickets.select(F.array_sort("numbers").alias("numbers"), "special")
-    cover = rows.agg(F.count(F.lit(1)).alias("tickets"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("numbers")))).alias("cover"), F.collect_list(F.struct("numbers", "special")).alias("held"))
+    by = by or []
+    rows = tickets.select(*by, F.array_sort("numbers").alias("numbers"), "special")
+    cover = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("tickets"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("numbers")))).alias("cover"), F.collect_list(F.struct("numbers", "special")).alias("held"))
     sizes = [chosen(cover, "cover", j).withColumn("weight", F.lit(float(comb(k, d)))).withColumn("j", F.lit(j)) for j in range(d + 1)]
     drawn = reduce(DataFrame.unionByName, sizes)
     outside = F.lit(k) - F.size("cover")
@@ -129,7 +130,7 @@ def portfolio_stats(tickets: DataFrame, k: int, d: int, ks: int, tiers: list[tup
     luck = F.size(F.array_distinct(F.transform(F.filter("x", lambda y: y["m"].isin(with_bonus) & y["s"].isNotNull()), lambda y: y["s"]))) / F.lit(float(max(ks, 1)))
     prize = F.when(sure, 1.0).otherwise(luck)
     everything = float(comb(k, d))
-    out = rows.agg(F.max("tickets").alias("tickets"), F.max(F.size("cover")).alias("covered"), F.sum("w").alias("draws"), (F.sum(F.col("w") * prize) / everything).alias("any_prize"), (F.sum(F.when(F.col("best") >= 3, F.col("w")).otherwise(0.0)) / everything).alias("three"), (F.sum(F.when(F.col("best") >= 4, F.col("w")).otherwise(0.0)) / everything).alias("four"), (F.sum(F.col("w") * F.col("best")) / everything).alias("best_match"))
+    out = rows.groupBy(*by).agg(F.max("tickets").alias("tickets"), F.max(F.size("cover")).alias("covered"), F.sum("w").alias("draws"), (F.sum(F.col("w") * prize) / everything).alias("any_prize"), (F.sum(F.when(F.col("best") >= 3, F.col("w")).otherwise(0.0)) / everything).alias("three"), (F.sum(F.when(F.col("best") >= 4, F.col("w")).otherwise(0.0)) / everything).alias("four"), (F.sum(F.col("w") * F.col("best")) / everything).alias("best_match"))
     return out.withColumn("draws", F.round("draws").cast("long"))
 
 

@@ -15,26 +15,40 @@ from drawlens.operators import signals
 LEAST_HISTORY, TOP, SKILL_HALF_LIFE, RANK_PRIOR = 30, 10, 80.0, 30.0
 FLOOR, SHARPEN, TRUST_FROM, TRUST_SPAN = 0.35, 2, 2.0, 2.5
 RATE, SHRINK = 0.02, 1e-3
+BLOCK, CARRIED = 512, 10  # of moving means: draws to a block, and blocks that are carried on
 ML_KEY = "mlModel"
 
 
-def signal_hits(z: DataFrame) -> DataFrame:
-    """game, t, key, hits: of long signals, how many of each signal's best numbers (ties to the smaller) were drawn."""
+def signal_hits(z: DataFrame, top: int = TOP) -> DataFrame:
+    """game, t, key, hits: of long signals, how many of each signal's `top` best numbers (ties to the smaller) were drawn."""
     place = F.row_number().over(Window.partitionBy("game", "t", "key").orderBy(F.col("value").desc(), "n"))
-    return z.withColumn("place", place).where(F.col("place") <= TOP).groupBy("game", "t", "key").agg(F.sum("hit").alias("hits"))
+    return z.withColumn("place", place).where(F.col("place") <= top).groupBy("game", "t", "key").agg(F.sum("hit").alias("hits"))
 
 
 def skills(hits: DataFrame, chance: float) -> DataFrame:
-    """hits with evaluated and skill as before each draw: the smaller of the moving (half-life 80, seeded with the first) and the lifetime mean of hits over chance."""
+    """hits (game, t, key, hits; t gapless in a game) with evaluated and skill as before each draw, and a row for the draw to come, with hits null: the smaller of the moving (half-life 80, seeded with the first) and the lifetime mean of hits over chance.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        x = rows["hits"].astype(float) - chance
-        moving = x.ewm(alpha=1 - 0.5 ** (1 / SKILL_HALF_LIFE), adjust=False).mean()
-        life = x.expanding().mean()
-        return rows.assign(evaluated=np.arange(len(rows)), skill=np.minimum(moving, life).shift(1).fillna(0.0))
-
-    return hits.groupBy("game", "key").applyInPandas(fold, hits.select("game", "t", "key", F.col("hits").cast("long")).schema.add("evaluated", "long").add("skill", "double"))
+    Weights of the moving mean grow within blocks of draws and start anew in each, so nothing overflows; what earlier blocks leave is carried on. Nothing is folded: a task needs one key's block.
+    """
+    w = 0.5 ** (1 / SKILL_HALF_LIFE)
+    rows = hits.select("game", "key", "t", F.col("hits").cast("long").alias("hits"))
+    first = rows.groupBy("game", "key").agg(F.min("t").alias("first"), (F.max("t") + 1).alias("t"))
+    rows = rows.unionByName(first.select("game", "key", "t", F.lit(None).cast("long").alias("hits"))).join(first.select("game", "key", "first"), ["game", "key"])
+    i = F.col("t") - F.col("first")
+    rows = rows.withColumn("evaluated", i).withColumn("block", F.floor(i / BLOCK)).withColumn("at", (i % BLOCK).cast("double"))
+    part = (F.col("hits") - chance) * F.when(F.col("evaluated") == 0, 1.0).otherwise(1 - w)
+    rows = cut(rows.withColumn("x", part * F.pow(F.lit(w), -F.col("at"))))
+    by = ["game", "key", "block"]
+    blocks = rows.groupBy(*by).agg((F.sum("x") * w ** (BLOCK - 1)).alias("s"), F.sum("hits").alias("h"))
+    later = blocks.where("s is not null").select("game", "key", "block", "s", F.explode(F.sequence(F.lit(1), F.lit(CARRIED))).alias("k"))
+    carry = later.groupBy("game", "key", (F.col("block") + F.col("k")).alias("block")).agg(F.sum(F.col("s") * F.pow(F.lit(w), (BLOCK * (F.col("k") - 1)).cast("double"))).alias("carry"))
+    before = blocks.select(*by, F.sum("h").over(Window.partitionBy("game", "key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    own = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("own", F.sum("x").over(own)).withColumn("own_hits", F.sum("hits").over(own)).join(carry, by, "left").join(before, by)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    moving = zero(F.col("carry")) * F.pow(F.lit(w), F.col("at")) + zero(F.col("own")) * F.pow(F.lit(w), F.col("at") - 1)
+    life = (F.coalesce("earlier", F.lit(0)) + F.coalesce("own_hits", F.lit(0))) / F.greatest(F.col("evaluated"), F.lit(1)) - chance
+    return rows.select("game", "t", "key", "hits", "evaluated", F.when(F.col("evaluated") > 0, F.least(moving, life)).otherwise(0.0).alias("skill"))
 
 
 def weights(skilled: DataFrame, chance: float) -> DataFrame:
@@ -50,9 +64,9 @@ def weights(skilled: DataFrame, chance: float) -> DataFrame:
 
 
 def gradient_scores(h: History, z: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """game, t, n, mlModel: logits of an online softmax regression on the signals, each draw scored before it is learned from.
+    """game, t, n, mlModel, logit: the logits of an online softmax regression on the signals, each draw scored before it is learned from (steps by AdaGrad, a light pull to 0); mlModel is the logit in deviations from its draw's mean.
 
-    The fold is sequential in a game, so a task takes one game's targets; games run side by side.
+    The fold is sequential in a game, so a task takes one game's targets; games run side by side. `streaming.state` keeps the same fold's weights from draw to draw.
     """
     keys = keys or signals.KEYS
     k = h.k
@@ -61,22 +75,33 @@ def gradient_scores(h: History, z: DataFrame, keys: list[str] | None = None) ->
         rows = rows.sort_values(["t", "n"])
         x = rows[keys].to_numpy(float).reshape(-1, k, len(keys))
         hit = rows["hit"].to_numpy(float).reshape(-1, k)
-        w, seen, out = np.zeros(len(keys)), np.full(len(keys), 1e-8), np.zeros(hit.shape)
+        w, seen, out = np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(hit.shape)
         for i in range(len(x)):
-            logit = x[i] @ w
-            out[i] = logit
-            if np.isnan(hit[i]).any():
-                continue
-            p = np.exp(logit - max(0.0, logit.max()))
-            p /= p.sum()
-            g = hit[i].sum() * (p @ x[i]) - hit[i] @ x[i] + SHRINK * w
-            seen += g * g
-            w = w - RATE * g / np.sqrt(seen)
+            out[i] = x[i] @ w
+            if not np.isnan(hit[i]).any():
+                w, seen = learned(w, seen, x[i], hit[i])
         sd = out.std(1, keepdims=True)
-        out = np.where(sd > 1e-12, (out - out.mean(1, keepdims=True)) / np.where(sd > 1e-12, sd, 1), 0.0)
-        return rows[["game", "t", "n"]].assign(mlModel=out.ravel())
+        z = np.where(sd > 1e-12, (out - out.mean(1, keepdims=True)) / np.where(sd > 1e-12, sd, 1), 0.0)
+        return rows[["game", "t", "n"]].assign(mlModel=z.ravel(), logit=out.ravel())
+
+    return z.groupBy("game").applyInPandas(fold, z.select("game", "t", "n").schema.add("mlModel", "double").add("logit", "double"))
+
+
+def learned(w: np.ndarray, seen: np.ndarray, x: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and summed squares after a draw: x has a row of signals for each number, hit is 1 for those drawn."""
+    logit = x @ w
+    p = np.exp(logit - max(0.0, logit.max()))
+    p /= p.sum()
+    g = hit.sum() * (p @ x) - hit @ x
+    seen = seen + g * g
+    return w - RATE / np.sqrt(seen + 1e-8) * (g + SHRINK * w), seen
+
 
-    return z.groupBy("game").applyInPandas(fold, z.select("game", "t", "n").schema.add("mlModel", "double"))
+def skill_nats(scores: DataFrame, k: int) -> DataFrame:
+    """game, draws, nats: by how much the regression's log chances of what was drawn exceed even ones, a draw, on average. scores: game, t, n, hit, logit; draws without hits don't count."""
+    each = scores.where("hit is not null").groupBy("game", "t").agg(F.max("logit").alias("m"), F.collect_list("logit").alias("all"), F.sum(F.col("logit") * F.col("hit")).alias("s"), F.sum("hit").alias("c"))
+    norm = F.col("m") + F.log(F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("m"))))  # of k values
+    return each.withColumn("gain", F.col("s") - F.col("c") * (norm - F.log(F.lit(float(k))))).groupBy("game").agg(F.count(F.lit(1)).alias("draws"), F.avg("gain").alias("nats"))
 
 
 def isotonic(rows: DataFrame, value: str, order: str, by: str = "game") -> DataFrame:
@@ -95,35 +120,80 @@ def isotonic(rows: DataFrame, value: str, order: str, by: str = "game") -> DataF
     return rows.join(places, [by, order]).join(fit, [by, "b"]).drop("b")
 
 
-def combiner(h: History) -> tuple[DataFrame, DataFrame]:
-    """(values, model): all signals and mlModel, long, for the draws of the evaluation; and game, t, n, mlModel for the next draw, by what all draws have taught."""
+def combiner(h: History) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(values, model, scores): all signals and mlModel, long, for the draws of the evaluation; game, t, n, mlModel for the next draw, by what all draws have taught; and game, t, n, hit, logit of every draw."""
     ahead = signals.next_draw(h).select("game", "t", "dow")
     targets = h.draws.where(F.col("t") >= LEAST_HISTORY).select("game", "t", "dow").unionByName(ahead)
     z = cut(signals.normalised(signals.raw(h, targets)).select("game", "t", "n", "hit", *signals.KEYS))
     rows = cut(z.join(gradient_scores(h, z), ["game", "t", "n"]))
     ahead = ahead.select("game", "t")
-    return signals.long(rows.join(ahead, ["game", "t"], "left_anti"), [*signals.KEYS, ML_KEY]), rows.join(ahead, ["game", "t"], "left_semi").select("game", "t", "n", ML_KEY)
+    past = rows.join(ahead, ["game", "t"], "left_anti")
+    return signals.long(past, [*signals.KEYS, ML_KEY]), rows.join(ahead, ["game", "t"], "left_semi").select("game", "t", "n", ML_KEY), past.select("game", "t", "n", "hit", "logit")
+
+
+def evaluated(values: DataFrame, chance: float, top: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits, weighted, ranked) of long signals: each signal's hits among its `top` best; its weight as of each draw, and of the draw to come; and every number's score and rank by the weights from the draws before alone."""
+    hits = cut(signal_hits(values, top))
+    weighted = cut(weights(skills(hits, chance), chance))
+    score = values.join(weighted.where("weight > 0").select("game", "t", "key", "weight"), ["game", "t", "key"]).groupBy("game", "t", "n", "hit").agg(F.round(F.sum(F.col("weight") * F.col("value")), 12).alias("score"))
+    return hits, weighted, score.withColumn("rank", F.row_number().over(Window.partitionBy("game", "t").orderBy(F.col("score").desc(), "n")))
+
+
+def calibrated(ranked: DataFrame, chance: float, prior: float) -> DataFrame:
+    """game, rank, hits, evaluated, rate (with `prior` draws of chance), fit (the closest falling curve)."""
+    ranks = ranked.groupBy("game", "rank").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("evaluated"))
+    return isotonic(ranks.withColumn("rate", (F.col("hits") + prior * chance) / (F.col("evaluated") + prior)), "rate", "rank")
+
+
+def performance(hits: DataFrame, weighted: DataFrame, chance: float) -> DataFrame:
+    """game, key, mean_hits, evaluated, skill (mean hits over chance), weight (for the draw to come)."""
+    last = weighted.groupBy("game", "key").agg(F.max_by("weight", "t").alias("weight"))
+    return hits.groupBy("game", "key").agg(F.avg("hits").alias("mean_hits"), F.count(F.lit(1)).alias("evaluated")).withColumn("skill", F.col("mean_hits") - chance).join(last, ["game", "key"])
 
 
 def backtest(h: History, keys: list[str] | None = None) -> dict[str, DataFrame]:
-    """The walk-forward evaluation: signals (by key: mean hits, skill, last weight), points (by draw: hits of the ensemble's best d and 10, and of plain frequency) and
-    ranks (by rank: hits, smoothed rate and its falling fit). Draw t is judged by weights from the draws before t alone. All signals and the learned combiner take part, whose scores for the next draw are `model`; if keys
-    are given, only these."""
-    model = None
+    """The walk-forward evaluation: signals (by key: mean hits, skill, weight for the draw to come), points (by draw: hits of the ensemble's best d and 10, and of plain frequency's) and
+    ranks (by rank: hits, smoothed rate and its falling fit). Draw t is judged by weights from the draws before t alone. All signals and the learned combiner take part, whose scores for the next draw are `model` and whose log score over
+    chance is `nats`; if keys are given, only these."""
+    out = {}
     if keys is None:
-        values, model = combiner(h)
+        values, out["model"], scores = combiner(h)
+        out["nats"] = skill_nats(scores, h.k)
     else:
         targets = h.draws.where(F.col("t") >= LEAST_HISTORY).select("game", "t", "dow")
         values = signals.long(cut(signals.normalised(signals.raw(h, targets, keys), keys).select("game", "t", "n", "hit", *keys)), keys)
     chance = TOP * h.d / h.k
-    hits = cut(signal_hits(values))
-    weighted = cut(weights(skills(hits, chance), chance))
-    score = values.join(weighted.where("weight > 0").select("game", "t", "key", "weight"), ["game", "t", "key"]).groupBy("game", "t", "n", "hit").agg(F.round(F.sum(F.col("weight") * F.col("value")), 12).alias("score"))
-    ranked = score.withColumn("rank", F.row_number().over(Window.partitionBy("game", "t").orderBy(F.col("score").desc(), "n")))
-    base = hits.where("key = 'freqAll'").select("game", "t", F.col("hits").alias("baseline10"))
-    points = ranked.groupBy("game", "t").agg(F.sum(F.when(F.col("rank") <= h.d, F.col("hit")).otherwise(0)).alias("hits_pick"), F.sum(F.when(F.col("rank") <= TOP, F.col("hit")).otherwise(0)).alias("hits10")).join(base, ["game", "t"])
-    ranks = ranked.groupBy("game", "rank").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("evaluated"))
-    ranks = ranks.withColumn("rate", (F.col("hits") + RANK_PRIOR * h.d / h.k) / (F.col("evaluated") + RANK_PRIOR))
-    last = weighted.groupBy("game", "key").agg(F.max_by("skill", "t").alias("skill"), F.max_by("weight", "t").alias("weight"))
-    summary = hits.groupBy("game", "key").agg(F.avg("hits").alias("mean_hits"), F.count(F.lit(1)).alias("evaluated")).join(last, ["game", "key"])
-    return {"signals": summary, "points": points, "ranks": isotonic(ranks, "rate", "rank"), "ranked": ranked} | ({"model": model} if model is not None else {})
+    hits, weighted, ranked = evaluated(values, chance, TOP)
+    ranked = cut(ranked)
+    place = F.row_number().over(Window.partitionBy("game", "t").orderBy(F.col("value").desc(), "n"))
+    often = values.where("key = 'freqAll'").withColumn("place", place)
+    among = lambda rank, most: F.sum(F.when(F.col(rank) <= most, F.col("hit")).otherwise(0))
+    base = often.groupBy("game", "t").agg(among("place", h.d).alias("baseline_pick"), among("place", TOP).alias("baseline10"))
+    best = F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= TOP, F.struct("rank", "n")))), lambda x: x["n"])
+    points = ranked.groupBy("game", "t").agg(among("rank", h.d).alias("hits_pick"), among("rank", TOP).alias("hits10"), best.alias("predicted")).join(base, ["game", "t"])
+    return out | {"signals": performance(hits, weighted, chance), "points": points, "ranks": calibrated(ranked, h.d / h.k, RANK_PRIOR), "ranked": ranked}
+
+
+def summarised(points: DataFrame, h: History) -> DataFrame:
+    """game, dow (null: all days), draws, ensemble_pick, ensemble10, baseline_pick, baseline10, at_least_2 (the share of draws with two hits among the ten): of backtest()'s points."""
+    rows = points.join(h.draws.select("game", "t", "dow"), ["game", "t"]).withColumn("dow", F.explode(F.array(F.col("dow"), F.lit(None).cast("int"))))
+    means = {"ensemble_pick": "hits_pick", "ensemble10": "hits10", "baseline_pick": "baseline_pick", "baseline10": "baseline10"}
+    return rows.groupBy("game", "dow").agg(F.count(F.lit(1)).alias("draws"), *[F.avg(c).alias(n) for n, c in means.items()], F.avg((F.col("hits10") >= 2).cast("double")).alias("at_least_2"))
+
+
+def prediction_log(points: DataFrame, h: History, verdicts: DataFrame, bonus: DataFrame | None = None) -> DataFrame:
+    """game, t, date, predicted, actual, hits10, pool_kept, pool_cut_by, bonus_hit (whether the bonus number was among its three; null without one): backtest()'s points with constraints.cut_by()'s verdict on each date and the picks of bonus.backtest()."""
+    rows = points.join(h.draws.select("game", "t", "date", F.col("sorted").alias("actual")), ["game", "t"])
+    rows = rows.join(verdicts.select("game", "date", F.col("kept").alias("pool_kept"), F.col("cut_by").alias("pool_cut_by")), ["game", "date"], "left")
+    rows = rows.withColumn("bonus_hit", F.lit(None).cast("boolean")) if bonus is None else rows.join(bonus.select("game", "t", F.col("top3").cast("boolean").alias("bonus_hit")), ["game", "t"], "left")
+    return rows.select("game", "t", "date", "predicted", "actual", "hits10", "pool_kept", "pool_cut_by", "bonus_hit")
+
+
+ORDERS = {"date": "t", "hits": "hits10", "bonus": "bonus_hit", "top10": "predicted", "actual": "actual", "pool": "pool_kept"}
+
+
+def sorted_log(log: DataFrame, by: str = "date", falling: bool = True) -> DataFrame:
+    """log with place, from 1: a game's rows in one of ORDERS. Arrays compare number by number, then by length; draws without a bonus number count as missed, those without a verdict as kept; ties to the newest."""
+    value = {"bonus": F.coalesce("bonus_hit", F.lit(False)), "pool": F.coalesce("pool_kept", F.lit(True))}.get(by, F.col(ORDERS[by]))
+    order = [value.desc() if falling else value.asc(), F.col("t").desc()]
+    return log.withColumn("place", F.row_number().over(Window.partitionBy("game").orderBy(*order)))

@@ -176,26 +176,3 @@ def long(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """game, t, n, hit, key, value."""
     keys = keys or KEYS
     return rows.select("game", "t", "n", "hit", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in keys])).alias("s")).select("game", "t", "n", "hit", "s.key", "s.value")
-
-
-def bonus(h: History) -> DataFrame:
-    """game, n, sFreq, sDow, sOverdue, sFollower: scores of bonus numbers for the next draw."""
-    rows = h.draws.where(F.col("special").isNotNull()).select("game", "t", "dow", "special")
-    rows = rows.withColumn("s", F.row_number().over(Window.partitionBy("game").orderBy("t")) - 1).withColumn("after", F.lag("special").over(Window.partitionBy("game").orderBy("t")))
-    ahead = next_draw(h).select("game", F.col("dow").alias("next_dow"))
-    facts = rows.groupBy("game").agg(F.count(F.lit(1)).alias("m"), F.max_by("special", "t").alias("last")).join(ahead, "game")
-    gap = F.col("s") - F.lag("s").over(Window.partitionBy("game", "special").orderBy("s"))
-    seen = rows.withColumn("gap", gap).join(facts, "game").groupBy("game", F.col("special").alias("n")).agg(
-        F.count(F.lit(1)).alias("c"), F.max("s").alias("seen"), F.avg("gap").alias("gap"), F.sum((F.col("dow") == F.col("next_dow")).cast("int")).alias("cd"), F.sum((F.col("after") == F.col("last")).cast("int")).alias("tr")
-    )
-    totals = rows.join(facts, "game").groupBy("game").agg(F.sum((F.col("dow") == F.col("next_dow")).cast("int")).alias("nd"), F.sum((F.col("after") == F.col("last")).cast("int")).alias("nt"))
-    full = facts.select("game", "m", F.explode(F.sequence(F.lit(1), F.lit(h.ks))).alias("n")).join(totals, "game").join(seen, ["game", "n"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    base = (zero("c") + 10 / h.ks) / (F.col("m") + 10)
-    since = F.coalesce(F.col("m") - F.col("seen"), F.col("m"))
-    return full.select(
-        "game", "n", base.alias("sFreq"), ((zero("cd") + 12 * base) / (zero("nd") + 12)).alias("sDow"), F.least(F.lit(3.0), since / F.greatest(F.lit(1.0), F.coalesce("gap", F.lit(float(h.ks))))).alias("sOverdue"),
-        F.when(zero("nt") > 0, (zero("tr") + 8 * base) / (zero("nt") + 8)).otherwise(base).alias("sFollower"),
-    )
-
-

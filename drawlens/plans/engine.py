@@ -8,7 +8,7 @@ from drawlens.functions.dates import countdown, instant
 from drawlens.functions.odds import hypergeometric
 from drawlens.functions.shapes import features
 from drawlens.history import History
-from drawlens.operators import combinations, constraints, describe, eras, fairness, learn, money, overlaps, positions, reports, signals
+from drawlens.operators import bonus, combinations, constraints, describe, eras, fairness, learn, money, overlaps, positions, reports, signals
 
 LEAST_DRAWS, MOST_POOL = 12, 150
 LABELS = {
@@ -120,5 +120,6 @@ def analysed(history: History, evaluated: bool = True) -> dict[str, DataFrame]:
         "combinations": combinations.best_combinations(numbers.select("game", "n", "score"), h), "jackpots": money.jackpots(h), "projection": money.projection(h),
     }
     if h.ks:
-        out["bonus"] = signals.bonus(h)
+        test_bonus = bonus.backtest(h)
+        out |= {"bonus": bonus.live(h), "bonus_signals": test_bonus["signals"], "bonus_ranks": test_bonus["ranks"], "bonus_picks": test_bonus["picks"]}
     return out | ({"signals": test["signals"], "points": test["points"], "ranks": test["ranks"], "drivers": drivers(test["signals"]), "summary": reports.point_summary(test["points"])} if test else {})

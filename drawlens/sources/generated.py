@@ -20,19 +20,27 @@ def fair(spark: SparkSession, draws: int, k: int = 69, d: int = 5, games: int =
     return History(rows.withColumns({"special": none("int"), "jackpot": none("double"), "winner_location": none("string"), "sales": none("double")}), k, d, 0)
 
 
+# Fixed values of the planted history: some numbers come more often all along, by a wave; some on Saturdays; some after others; and the last draw's.
+SATURDAYS, FOLLOWERS = [5, 10, 15, 33, 40], {3: 33, 7: 21, 13: 28, 22: 11, 45: 46}
+ON_SATURDAY, AGAIN, AFTER = 1.45, 1.55, 1.9
+
+
 def planted(spark: SparkSession, draws: int = 715, seed: int = 0xC0FFEE, k: int = 49, d: int = 6) -> History:
-    """Mondays, Wednesdays and Saturdays; on Saturdays some numbers are likelier (x 1.45), so are the last draw's numbers (x 1.55) and the followers of some (x 1.9). Each draw
+    """Mondays, Wednesdays and Saturdays; numbers have uneven weights, some are likelier on Saturdays (x 1.45), so are the last draw's numbers (x 1.55) and the followers of some (x 1.9). Each draw
     depends on the one before, so the driver makes it; its size is a parameter."""
     rng = np.random.default_rng(seed)
-    likely, follow = rng.permutation(k)[:8], {int(a): int(b) for a, b in zip(rng.permutation(k)[:12], rng.permutation(k)[:12], strict=True)}
+    n = np.arange(1, k + 1)
+    base = np.maximum(0.35, 1 + 0.32 * np.sin(1.7 * n) + 0.22 * np.cos(0.53 * n))
     day, last, rows = datetime.date(2022, 1, 3), [], []
     while len(rows) < draws:
         if day.weekday() in (0, 2, 5):
-            w = np.ones(k)
+            w = base.copy()
             if day.weekday() == 5:
-                w[likely] *= 1.45
-            w[last] *= 1.55
-            w[[follow[x] for x in last if x in follow]] *= 1.9
+                w[[x - 1 for x in SATURDAYS if x <= k]] *= ON_SATURDAY
+            w[last] *= AGAIN
+            for x in last:
+                if FOLLOWERS.get(x + 1, k + 1) <= k:
+                    w[FOLLOWERS[x + 1] - 1] *= AFTER
             last = rng.choice(k, d, replace=False, p=w / w.sum()).tolist()
             rows.append((day, [x + 1 for x in last]))
         day += datetime.timedelta(days=1)
