@@ -100,18 +100,17 @@ def replay(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarra
         at = at[cur[at] == rank]
         if not len(at):
             continue
-        if vocab.calm[rank]:
-            # Of places that overlap (the same token again and again), every second one from the left.
-            follows = np.r_[False, nxt[at[:-1]] == at[1:]]
-            if follows.any():
-                i = np.arange(len(at))
-                at = at[(i - np.maximum.accumulate(np.where(follows, 0, i))) % 2 == 0]
-        else:
-            lead = np.r_[True, word[at[1:]] != word[at[:-1]]]
-            if not lead.all():
-                index[rank] = [at[~lead]]
+        # Of places that overlap (the same token again and again), every second one from the left.
+        follows = np.r_[False, nxt[at[:-1]] == at[1:]]
+        i = np.arange(len(at))
+        taken = (i - np.maximum.accumulate(np.where(follows, 0, i))) % 2 == 0 if follows.any() else np.ones(len(at), bool)
+        if not vocab.calm[rank]:
+            # Up to the first place of each word whose merge pairs up at a lower rank; the others come after that pair.
+            taken[taken] = _before_lower(vocab, rank, at[taken], sym, nxt, prv, word)
+            if not taken.all():
+                index[rank] = [at[~taken]]
                 heapq.heappush(queue, rank)
-            at = at[lead]
+        at = at[taken]
         gone = nxt[at]
         after = nxt[gone]
         sym[at], nxt[at], alive[gone], cur[gone] = rank, after, False, NONE
@@ -122,10 +121,26 @@ def replay(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarra
     return sym[alive], np.r_[0, np.cumsum(np.bincount(word[alive], minlength=len(words)))]
 
 
+def _before_lower(vocab: Vocabulary, rank: int, at: np.ndarray, sym: np.ndarray, nxt: np.ndarray, prv: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Which of the places `at` (of pairs of this rank, in order, none of which overlap) can be merged in one turn: in each word those up to the first whose merge gives a pair of a lower rank, that one included."""
+    after, before = nxt[nxt[at]], prv[at]
+    joined = np.r_[False, after[:-1] == at[1:]]  # the place before ends here, so it is merged by then
+    lower = np.zeros(len(at), bool)
+    has = before >= 0
+    lower[has] = vocab.rank(np.where(joined, rank, sym[before])[has], np.full(int(has.sum()), rank)) < rank
+    has = after >= 0
+    lower[has] |= vocab.rank(np.full(int(has.sum()), rank), sym[after[has]]) < rank
+    if not lower.any():
+        return np.ones(len(at), bool)
+    earlier = np.cumsum(lower) - lower
+    starts = np.r_[True, word[at[1:]] != word[at[:-1]]]
+    return earlier == earlier[starts][np.cumsum(starts) - 1]
+
+
 class Lexicon:
     """The words that a task has met, each with its ids: merges are replayed over what is new of each next part of the corpus, all new words together."""
 
-    MOST = 1 << 19  # words that are kept; beyond, the lexicon begins anew, which changes no ids
+    MOST, MOST_BYTES = 1 << 19, 64 << 20  # words that are kept, and their bytes; beyond, the lexicon begins anew, which changes no ids
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
@@ -133,15 +148,16 @@ class Lexicon:
 
     def clear(self) -> None:
         self.number: dict[str, int] = defaultdict(count().__next__)
-        self.ids, self.starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.ids, self.starts, self.bytes = np.zeros(0, np.int64), np.zeros(1, np.int64), 0
 
     def places(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The numbers of the words of each text; their ids are known from then on."""
-        if len(self.number) > self.MOST:
+        if len(self.number) > self.MOST or self.bytes > self.MOST_BYTES:
             self.clear()
         before = len(self.number)
         used = [np.fromiter(map(self.number.__getitem__, words), np.int64) for words in texts]
         new = [w.encode("utf-8", "surrogatepass") for w in islice(self.number, before, None)]
+        self.bytes += sum(map(len, new))
         ids, starts = replay(self.vocab, new)
         self.starts = np.concatenate([self.starts, starts[1:] + len(self.ids)])
         self.ids = np.concatenate([self.ids, ids])

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -48,6 +49,31 @@ def test_a_merge_that_opens_a_lower_rank():
     assert [ids[starts[i] : starts[i + 1]].tolist() for i in range(300)] == [enc.encode_ordinary(w) for w in words]
 
 
+def test_bpe_of_very_long_words(encoding):
+    """Words of a megabyte, of one letter pair or of any letters, and many pairs that open lower ranks."""
+    r = random.Random(4)
+    vocab = bpe.Vocabulary.read(PATH)
+    words = [b"ee" * 500_000, b"iv" * 100_000, b"a" * 300_001, bytes(r.choices(b"etaoinshrdlu", k=1_000_000)), bytes(r.choices(b"ab", k=200_000)), bytes(r.randrange(256) for _ in range(100_000))]
+    began = time.monotonic()
+    for w in words:
+        ids, _ = bpe.replay(vocab, [w])
+        if w.isascii():
+            assert ids.tolist() == encoding._encode_single_piece(w)
+        assert b"".join(vocab.bytes_of[i] for i in ids) == w
+    assert time.monotonic() - began < 60
+
+
+def test_lexicon_forgets_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe.Lexicon, "MOST_BYTES", 1000)
+    vocab = bpe.Vocabulary.read(PATH)
+    lexicon = bpe.Lexicon(vocab)
+    for i in range(6):
+        words = [chr(97 + i) * 600, "word", f"n{i}"]
+        (used,) = lexicon.places([words])
+        assert [b"".join(vocab.bytes_of[x] for x in lexicon.ids[lexicon.starts[u] : lexicon.starts[u + 1]]).decode() for u in used] == words
+        assert len(lexicon.number) <= 6
+
+
 def test_gif_round_trip(spark, odd_docs):
     rows = gif.features(gif.stored(odd_docs.withColumn("t", F.col("text")))).collect()
     assert len(rows) == odd_docs.count()
