@@ -35,6 +35,14 @@ def blocked(rows: DataFrame, back: int, size: int = BLOCK) -> DataFrame:
     return rows.withColumn("block", F.explode(blocks)).withColumn("edge", F.col("block") != own)
 
 
+def gapless(rows: DataFrame, name: str = "i") -> DataFrame:
+    """rows (game, t) with their place from 0, counted by blocks of t and then within each: no game is sorted in one task."""
+    rows = rows.withColumn("_b", F.floor(F.col("t") / BLOCK))
+    before = Window.partitionBy("game").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("game", "_b").agg(F.count(F.lit(1)).alias("_c")).select("game", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("game", "_b").orderBy("t"))).join(starts, ["game", "_b"]).withColumn(name, F.col("_s") + F.col("_r") - 1).drop("_b", "_s", "_r")
+
+
 @dataclass
 class History:
     """draws: game, t, date, dow (0 is Sunday), numbers, sorted, special, jackpot, winner_location, sales; k, d, ks: pool, numbers in a draw, bonus pool."""

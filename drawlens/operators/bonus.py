@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlens.checkpoints import cut
-from drawlens.history import BLOCK, History
+from drawlens.history import BLOCK, History, gapless
 from drawlens.operators import learn, signals
 
 KEYS = ["sFreq", "sRecency", "sDow", "sOverdue", "sFollower"]
@@ -14,11 +14,7 @@ FREQUENCY, WEEKDAY, FOLLOWER = 10, 12, 8  # fixed values: draws of the even shar
 
 def indexed(h: History) -> DataFrame:
     """game, s, t, dow, special, prev: the draws with a bonus number in the pool, s their place from 0 and prev the bonus number before. Places are counts of blocks of draws, then within a block, so no game is sorted in one task."""
-    rows = h.draws.where(F.col("special").between(1, h.ks)).select("game", "t", "dow", "special").withColumn("b", F.floor(F.col("t") / BLOCK))
-    before = Window.partitionBy("game").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("game", "b").agg(F.count(F.lit(1)).alias("c")).select("game", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("game", "b").orderBy("t")) - 1
-    rows = rows.withColumn("within", within).join(starts, ["game", "b"]).select("game", (F.col("start") + F.col("within")).alias("s"), "t", "dow", "special")
+    rows = gapless(h.draws.where(F.col("special").between(1, h.ks)).select("game", "t", "dow", "special"), "s").select("game", "s", "t", "dow", "special")
     return rows.join(rows.select("game", (F.col("s") + 1).alias("s"), F.col("special").alias("prev")), ["game", "s"], "left")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlens.functions.odds import smoothed_rate
-from drawlens.history import History, blocked
+from drawlens.history import BLOCK, History, blocked, gapless
 
 
 def frequency(h: History) -> DataFrame:
@@ -122,10 +122,23 @@ def repeats(h: History) -> DataFrame:
 
 
 def hazard(h: History, most: int = 199) -> DataFrame:
-    """game, gap, exposures, hits: over all draws and numbers, by draws since last seen (at most `most`), as before the draw. Never seen counts from the start."""
-    before = F.max(F.when(F.col("hit") == 1, F.col("t"))).over(Window.partitionBy("game", "n").orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
-    rows = h.grid.withColumn("gap", F.least(F.coalesce(F.col("t") - before, F.col("t")), F.lit(most)))
-    return rows.groupBy("game", "gap").agg(F.count(F.lit(1)).alias("exposures"), F.sum("hit").alias("hits"))
+    """game, gap, exposures, hits: over all draws and numbers, by draws since last seen (at most `most`), as before the draw. Never seen counts from the start.
+
+    Only hits are visited: a number that comes again after g draws was exposed at 1 to g, and until its first hit at 0 and on; so counts of stretches by length give exposures at each gap. The hit before comes from the own block of draws, or the last one of earlier blocks.
+    """
+    rows = h.hits.withColumn("b", F.floor(F.col("t") / BLOCK))
+    last = rows.groupBy("game", "n", "b").agg(F.max("t").alias("m"))
+    earlier = last.select("game", "n", "b", F.max("m").over(Window.partitionBy("game", "n").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    prev = F.coalesce(F.lag("t").over(Window.partitionBy("game", "n", "b").orderBy("t")), F.col("before"))
+    rows = rows.join(earlier, ["game", "n", "b"]).select("game", "t", prev.alias("prev"))
+    closed = rows.select("game", F.when(F.col("prev").isNull(), 0).otherwise(1).alias("first"), (F.col("t") - F.coalesce("prev", F.lit(0))).alias("upto"), F.lit(True).alias("hit"))
+    ends = h.numbers.join(last.groupBy("game", "n").agg(F.max("m").alias("m")), ["game", "n"], "left")
+    open_ = ends.select("game", F.when(F.col("m").isNull(), 0).otherwise(1).alias("first"), (F.col("draws") - 1 - F.coalesce("m", F.lit(0))).alias("upto"), F.lit(False).alias("hit"))
+    runs = closed.unionByName(open_.where(F.col("upto") >= F.col("first"))).groupBy("game", "first", "upto", "hit").agg(F.count(F.lit(1)).alias("c"))
+    each = runs.select("game", "upto", "hit", "c", F.explode(F.sequence(F.least("first", F.lit(most)), F.least("upto", F.lit(most)))).alias("gap"))
+    times = F.when(F.col("gap") < most, 1).otherwise(F.col("upto") - most + 1)
+    struck = F.col("hit") & (F.least("upto", F.lit(most)) == F.col("gap"))
+    return each.groupBy("game", "gap").agg(F.sum(F.col("c") * times).alias("exposures"), F.sum(F.when(struck, F.col("c")).otherwise(0)).alias("hits"))
 
 
 def shape(h: History) -> DataFrame:
@@ -141,11 +154,10 @@ def odd_counts(h: History) -> DataFrame:
 
 
 def bonus_counts(h: History) -> DataFrame:
-    """game, special, hits, last_seen, mean_gap: bonus numbers; gaps are in draws that have one."""
-    rows = h.draws.where(F.col("special").isNotNull()).select("game", "special", "t")
-    rows = rows.withColumn("s", F.row_number().over(Window.partitionBy("game").orderBy("t")) - 1)
-    rows = rows.withColumn("gap", F.col("s") - F.lag("s").over(Window.partitionBy("game", "special").orderBy("s")))
-    return rows.groupBy("game", "special").agg(F.count(F.lit(1)).alias("hits"), F.max("s").alias("last_seen"), F.avg("gap").alias("mean_gap"))
+    """game, special, hits, last_seen, mean_gap: bonus numbers; gaps are in draws that have one, and add up to the last place less the first."""
+    rows = gapless(h.draws.where(F.col("special").isNotNull()).select("game", "special", "t"), "s")
+    facts = rows.groupBy("game", "special").agg(F.count(F.lit(1)).alias("hits"), F.max("s").cast("int").alias("last_seen"), F.min("s").alias("first"))
+    return facts.select("game", "special", "hits", "last_seen", F.when(F.col("hits") > 1, (F.col("last_seen") - F.col("first")) / (F.col("hits") - 1)).alias("mean_gap"))
 
 
 def weekday_significance(h: History) -> DataFrame:

@@ -5,7 +5,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawlens.history import History
+from drawlens.history import BLOCK, History, gapless
 
 # The lower prizes of a 5 + 1 game: main matches, with the bonus number, dollars.
 TIERS = [(5, False, 1_000_000.0), (4, True, 50_000.0), (4, False, 100.0), (3, True, 100.0), (3, False, 7.0), (2, True, 7.0), (1, True, 4.0), (0, True, 4.0)]
@@ -35,30 +35,43 @@ def winners(h: History, most: int = 10) -> DataFrame:
     return h.draws.where(F.col("winner_location").isNotNull()).withColumn("place", place).where(F.col("place") <= most).select("game", "place", "t", "jackpot", "winner_location")
 
 
-def thirds(h: History) -> DataFrame:
-    """game, low_mean, high_mean, welch_t: ball values of the draws with the lowest and the highest third of jackpots; null below 30 jackpots."""
+def thirds(h: History, buckets: int = 1024) -> DataFrame:
+    """game, low_mean, high_mean, welch_t: ball values of the draws with the lowest and the highest third of jackpots; null below 30 jackpots. A jackpot's place is a count of buckets between the least and the most, then of its own bucket, so no game is sorted in one task."""
     rows = h.draws.where(F.col("jackpot").isNotNull()).select("game", "t", "jackpot", "sorted")
-    own = Window.partitionBy("game")
-    rows = rows.withColumn("i", F.row_number().over(own.orderBy("jackpot", "t")) - 1).withColumn("m", F.count(F.lit(1)).over(own)).withColumn("third", F.floor(F.col("m") / 3))
+    ends = rows.groupBy("game").agg(F.min("jackpot").alias("least"), F.max("jackpot").alias("most"), F.count(F.lit(1)).alias("m"))
+    at = F.floor((F.col("jackpot") - F.col("least")) / F.greatest(F.lit(1e-9), F.col("most") - F.col("least")) * buckets)
+    rows = rows.join(ends, "game").withColumn("b", at)
+    before = Window.partitionBy("game").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    starts = rows.groupBy("game", "b").agg(F.count(F.lit(1)).alias("c")).select("game", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("game", "b").orderBy("jackpot", "t"))).join(starts, ["game", "b"]).withColumn("i", F.col("start") + F.col("r") - 1).withColumn("third", F.floor(F.col("m") / 3))
     balls = rows.withColumn("part", F.when(F.col("i") < F.col("third"), "low").when(F.col("i") >= F.col("m") - F.col("third"), "high")).where(F.col("part").isNotNull() & (F.col("m") >= 30)).select("game", "part", F.explode("sorted").alias("v"))
     of = lambda f, p: f(F.when(F.col("part") == p, F.col("v")))
     a = balls.groupBy("game").agg(of(F.avg, "low").alias("low_mean"), of(F.avg, "high").alias("high_mean"), of(F.var_samp, "low").alias("vl"), of(F.var_samp, "high").alias("vh"), of(F.count, "low").alias("nl"), of(F.count, "high").alias("nh"))
     return a.select("game", "low_mean", "high_mean", ((F.col("high_mean") - F.col("low_mean")) / F.sqrt(F.greatest(F.lit(1e-12), F.col("vl") / F.col("nl") + F.col("vh") / F.col("nh")))).alias("welch_t"))
 
 
+def latest(rows: DataFrame, most: int) -> DataFrame:
+    """rows (game, t): the `most` latest of each game, first of each block of t, then of all."""
+    back = lambda *by: F.row_number().over(Window.partitionBy("game", *by).orderBy(F.col("t").desc()))
+    rows = rows.withColumn("_b", F.floor(F.col("t") / BLOCK))
+    few = rows.withColumn("_r", back("_b")).where(F.col("_r") <= most)
+    # Blocks are gone through from the last one on until `most` rows are there.
+    later = few.groupBy("game", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    after = F.coalesce(F.sum("_c").over(Window.partitionBy("game").orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    need = later.withColumn("_a", after).where(F.col("_a") < most).select("game", "_b", "_a")
+    return few.join(need, ["game", "_b"]).where(F.col("_a") + F.col("_r") <= most).drop("_b", "_r", "_a")
+
+
 def projection(h: History) -> DataFrame:
     """game, basis, projected: the next jackpot. After a win the upper median of the last 20 first jackpots after wins; else the last one, and for each draw since it, the upper median of the
-    last 30 steps upward between draws without a win."""
-    rows = h.draws.where(F.col("jackpot").isNotNull()).select("game", "t", "jackpot", F.col("winner_location").isNotNull().alias("won"))
-    by = Window.partitionBy("game").orderBy("t")
-    rows = rows.withColumn("before", F.lag("jackpot").over(by)).withColumn("before_won", F.lag("won").over(by)).withColumn("back", F.row_number().over(Window.partitionBy("game").orderBy(F.col("t").desc())))
-    reset = F.col("before_won")
-    step = ~F.col("before_won") & (F.col("jackpot") > F.col("before"))
-    rows = rows.withColumn("reset_back", F.sum(reset.cast("int")).over(by.orderBy(F.col("t").desc()))).withColumn("step_back", F.sum(step.cast("int")).over(by.orderBy(F.col("t").desc())))
-    facts = rows.groupBy("game").agg(
-        F.count(F.lit(1)).alias("known"), F.max_by("jackpot", "t").alias("last"), F.max_by("won", "t").alias("last_won"), F.max("t").alias("last_t"),
-        F.collect_list(F.when(reset & (F.col("reset_back") <= 20), F.col("jackpot"))).alias("resets"), F.collect_list(F.when(step & (F.col("step_back") <= 30), F.col("jackpot") - F.col("before"))).alias("steps"),
-    ).join(h.sizes, "game").where("known >= 4")
+    last 30 steps upward between draws without a win. The jackpot before a draw comes by an equi-join on gapless places."""
+    rows = gapless(h.draws.where(F.col("jackpot").isNotNull()).select("game", "t", "jackpot", F.col("winner_location").isNotNull().alias("won")))
+    prior = rows.select("game", (F.col("i") + 1).alias("i"), F.col("jackpot").alias("before"), F.col("won").alias("before_won"))
+    rows = rows.join(prior, ["game", "i"], "left")
+    resets = latest(rows.where("before_won").select("game", "t", "jackpot"), 20).groupBy("game").agg(F.collect_list("jackpot").alias("resets"))
+    steps = latest(rows.where("not before_won and jackpot > before").select("game", "t", (F.col("jackpot") - F.col("before")).alias("step")), 30).groupBy("game").agg(F.collect_list("step").alias("steps"))
+    facts = rows.groupBy("game").agg(F.count(F.lit(1)).alias("known"), F.max_by("jackpot", "t").alias("last"), F.max_by("won", "t").alias("last_won"), F.max("t").alias("last_t"))
+    facts = facts.join(h.sizes, "game").where("known >= 4").join(resets, "game", "left").join(steps, "game", "left")
     gap = F.col("draws") - F.col("last_t")
     rolled = F.col("last") + gap * upper_median(F.col("steps"))
     return facts.select("game", F.when(F.col("last_won"), "reset").otherwise("roll").alias("basis"), F.when(F.col("last_won"), upper_median(F.col("resets"))).otherwise(rolled).alias("projected"))

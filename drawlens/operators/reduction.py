@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from drawlens.checkpoints import cut
-from drawlens.functions.shapes import FIBONACCI, GRIDS, LEAST_FACTOR, SLIP, TIGHT_SPAN, TIGHT_STEP, features, total
+from drawlens.functions.shapes import FIBONACCI, GRIDS, LEAST_FACTOR, PRIMES, SLIP, SLIP_COLUMNS, TIGHT_SPAN, TIGHT_STEP, WIDE_GAP, families, features, total
 from drawlens.history import History
-from drawlens.operators import bands
-from drawlens.operators.combinations import chosen
+from drawlens.operators import bands, constraints
+from drawlens.operators.combinations import band_count, chosen, preset_counts, sum_distribution
 
 
 def rank_of(s: Column, d: int) -> Column:
@@ -156,3 +156,42 @@ def reduced(h: History, universe: DataFrame, mode: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(at), (total(F.col("sorted")) > F.col("least")) & (total(F.col("sorted")) < F.col("most")))
     rows = rows.where(passes(F.col("sorted"), F.col("limits"), h.k, h.d))
     return rows.join(h.draws.select("game", rank_of(F.col("sorted"), h.d).alias("rank")).distinct(), ["game", "rank"], "left_anti").select("game", "mode", "sorted")
+
+
+def closed_sizes(k: int, d: int) -> dict[str, int]:
+    """The sizes of the families that are measured but never cut, by arithmetic."""
+    upto = range(1, k + 1)
+    of = lambda sizes: sum(comb(m, d) for m in sizes)
+    out = {"evenSpaced": sum(k - step * (d - 1) for step in range(1, (k - 1) // (d - 1) + 1)), "wideGaps": comb(max(0, k - (d - 1) * (WIDE_GAP - 1)), d), "allPrime": of([sum(n in PRIMES for n in upto)]), "triangular": of([sum(8 * n + 1 == round((8 * n + 1) ** 0.5) ** 2 for n in upto)])}
+    out["slipColumn"] = of(sum(min(SLIP_COLUMNS - 1, (n - 1) // SLIP) == c for n in upto) for c in range(SLIP_COLUMNS))
+    out["column7"] = of(sum((n - 1) % 7 == c for n in upto) for c in range(7))
+    out["mirrorPool"] = comb(k // 2, d // 2) if d % 2 == 0 or k % 2 else 0
+    last = [(1, 0), (0, 1)]  # the r-th number of a row of sums, as parts of the first two
+    while len(last) < d:
+        last.append((last[-1][0] + last[-2][0], last[-1][1] + last[-2][1]))
+    a, b = last[d - 1]
+    out["fibLike"] = sum(max(0, (k - a * x) // b - x) for x in upto)
+    return out
+
+
+def presets(h: History) -> DataFrame:
+    """game, preset, combinations, share, expected, observed: every shape that a sorted sheet of draws suggests: its exact size, what chance expects of so many draws, and how many had it: low, high and tight draws, sums beyond the record, all families, outside the bands of places, within a month, and drawn before."""
+    spark, k, d = h.draws.sparkSession, h.k, h.d
+    everything = float(comb(k, d))
+    sizes = family_members(spark, k, d).where("family <> 'low'").groupBy("family").agg(F.count(F.lit(1)).alias("combinations"))
+    sizes = sizes.unionByName(spark.createDataFrame(list(closed_sizes(k, d).items()), "family string, combinations long"))
+    each = F.array(*[F.struct(F.lit(n).alias("family"), F.sum(c.cast("long")).alias("observed")) for n, c in families(F.col("sorted"), k, d).items()])
+    seen = h.draws.groupBy("game").agg(each.alias("x")).select("game", F.inline("x"))
+    rows = seen.join(F.broadcast(sizes), "family").select("game", F.col("family").alias("preset"), "combinations", "observed")
+    table = sum_distribution(spark, k, d)  # d * k rows
+    record = h.draws.groupBy("game").agg(F.min(total(F.col("sorted"))).alias("least"), F.max(total(F.col("sorted"))).alias("most"))
+    beyond = record.join(F.broadcast(table), F.lit(True)).groupBy("game").agg(F.sum(F.when(F.col("total") < F.col("least"), F.col("combinations")).otherwise(0)).alias("sumLow"), F.sum(F.when(F.col("total") > F.col("most"), F.col("combinations")).otherwise(0)).alias("sumHigh"))
+    rows = rows.unionByName(beyond.select("game", F.inline(F.array(*[F.struct(F.lit(n).alias("preset"), F.col(n).alias("combinations")) for n in ("sumLow", "sumHigh")])), F.lit(0).cast("long").alias("observed")).where("combinations > 0"))
+    at = constraints.position_bands(h).groupBy("game").agg(F.array_sort(F.collect_list(F.struct("position", "lo", "hi"))).alias("x"))
+    bands_ = spark.createDataFrame([(r.game, comb(k, d) - band_count(k, d, [(p.lo, p.hi) for p in r.x]), [p.lo for p in r.x], [p.hi for p in r.x]) for r in at.collect()], "game string, combinations long, lo array<int>, hi array<int>")  # d bands a game
+    out_of = ~F.forall(F.arrays_zip("sorted", "lo", "hi"), lambda p: p["sorted"].between(p["lo"], p["hi"]))
+    rows = rows.unionByName(h.draws.join(F.broadcast(bands_), "game").groupBy("game", "combinations").agg(F.sum(out_of.cast("long")).alias("observed")).select("game", F.lit("posBands").alias("preset"), "combinations", "observed"))
+    rows = rows.join(h.sizes, "game").select("game", "preset", "combinations", (F.col("combinations") / everything).alias("share"), (F.col("combinations") * F.col("draws") / everything).alias("expected"), "observed")
+    drawn = h.draws.groupBy("game", "sorted").agg(F.count(F.lit(1)).alias("times")).groupBy("game").agg(F.count(F.lit(1)).alias("combinations"), F.sum("times").alias("n"), F.sum(F.col("times") - 1).alias("observed"))
+    again = drawn.select("game", F.lit("pastWinner").alias("preset"), "combinations", (F.col("combinations") / everything).alias("share"), (F.col("n") * (F.col("n") - 1) / 2 / everything).alias("expected"), "observed")
+    return preset_counts(h).unionByName(rows).unionByName(again)

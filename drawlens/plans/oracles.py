@@ -281,6 +281,13 @@ def _spaces(q: dict[str, str], rules: dict[str, tuple[str, str]], feats: dict[st
     m as materialized (select pm[a] | pm[b] | pm[c] | pm[d] | pm[e] as mask, covered, count(*) as c from u cross join pm group by all), x as (select c, covered, sp, [bit_count(mask & y) for y in tm] as m from m cross join held)
     select 5::bigint as tickets, covered::int as covered, 11238513::bigint as draws, round(sum(c * case when len(list_filter(m, lambda y: y in (3, 4, 5))) > 0 then 1.0::double else len(list_distinct(sp)) / 26.0::double end) / 11238513, 9) as any_prize, round(sum(c * (list_max(m) >= 3)::int) / 11238513, 9) as three,
       round(sum(c * (list_max(m) >= 4)::int) / 11238513, 9) as four, round(sum(c * list_max(m)) / 11238513, 9) as best_match from x group by covered"""
+    sizes = " union all ".join(f"select '{n}' as preset, (select \"{n}\" from f) as combinations, (select \"{n}\" from o) as observed" for n in tests)
+    inside = lambda names: " and ".join(f"{x} between lo[{i}] and hi[{i}]" for i, x in enumerate(names, 1))
+    out["preset_eliminations"] = BASE + tables + SPACE + f""", f as materialized (select {counts} from u), o as materialized (select {seen} from draws), pb as materialized ({bands}), w as materialized (select list(lo order by position) as lo, list(hi order by position) as hi from pb), rec as materialized (select min(list_sum(s)) as least, max(list_sum(s)) as most from draws),
+    z as ({sizes} union all select 'sumLow', (select count(*) from u, rec where a + b + c + d + e < least), 0 union all select 'sumHigh', (select count(*) from u, rec where a + b + c + d + e > most), 0
+      union all select 'posBands', (select count(*) from u, w where not ({inside("abcde")})), (select count(*) from draws, w where not ({inside([f"s[{i}]" for i in range(1, 6)])})))
+    {q["preset_eliminations"].replace(BASE, "")} union all select 'main', preset, combinations, round(combinations / 11238513.0::double, 9), round(combinations::double * (select count(*) from draws) / 11238513, 6), observed from z where combinations > 0
+    union all select 'main', 'pastWinner', count(*), round(count(*) / 11238513.0::double, 9), round(sum(m)::double * (sum(m) - 1) / 2 / 11238513, 6), sum(m - 1)::bigint from (select count(*) as m from draws group by s)"""
     out["era_detect_planted"] = q["era_detect"].replace(BASE, planted("era"))
     out["current_streaks_planted"] = q["current_streaks"].replace(BASE, planted("streak"))
     out["portfolio_checked"] = "select 'main' as game, 5::bigint as tickets, 25::bigint as covered, 0::bigint as past_winners, 0::bigint as crowded, 0::bigint as out_of_shape, 5::bigint as bonus_numbers from orders limit 1"

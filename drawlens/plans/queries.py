@@ -242,7 +242,7 @@ def queries() -> dict[str, Query]:
         "crowd_markers": _of(crowd_markers), "ball_chi2": _of(fairness.ball_chi2), "serial_corr": _of(fairness.serial), "ks_colex": _of(fairness.combination_ks), "repeat_test": _of(fairness.repeat_rate), "mean_gap_test": _of(fairness.mean_gap), "bonus_chi2": _of(fairness.bonus_chi2),
         "fairness": _of(fairness.tests),
         "sum_record": _of(lambda h: h.draws.select("game", "t", total(F.col("sorted")).alias("s")).groupBy("game").agg(F.min("s").alias("least"), F.min_by("t", F.struct("s", "t")).alias("least_t"), F.max("s").alias("most"), F.min_by("t", F.struct(-F.col("s"), F.col("t"))).alias("most_t"))),
-        "preset_eliminations": lambda s, d: combinations.preset_counts(history(s, d)).select("game", "preset", "combinations", F.round("share", 9).alias("share"), F.round("expected", 6).alias("expected"), "observed"),
+        "preset_eliminations": lambda s, d: reduction.presets(history(s, d)).select("game", "preset", "combinations", F.round("share", 9).alias("share"), F.round("expected", 6).alias("expected"), "observed"),
         "rolling_counts_asof": _of(lambda h: signals.panel(h).where("hit is not null").select("game", "t", "n", "hit", "c", "c10", "c20", "c50", "last_seen")), "weekday_recent_asof": _of(lambda h: signals.panel(h).where("hit is not null").select("game", "t", "n", "c_dow8", "c_dow")),
         "ewma_asof": _of(ewma_asof), "freq_signal": _value("freqAll"), "zone_signal": _value("zone"), "hot_signal": _value("hot"), "overdue_signal": _value("overdue"), "cycle_signal": _value("cycle"), "hazard_signal": _value("hazard"), "repeat_signal": _value("repeat"), "follower_signal": _value("follower"),
         "similar_situations": _of(lambda h: signals.similar(h, signals.next_draw(h)).select("game", "t", "u", "similarity", "place")), "next_draw": _of(signals.next_draw), "shape_features": _of(lambda h: constraints.measured(h, context=False)),

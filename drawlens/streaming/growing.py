@@ -40,6 +40,30 @@ def current(spark: SparkSession, table: str, version: int | None = None) -> Data
     return spark.read.schema(DRAWS).parquet(f"{table}/v{max(found)}") if found else spark.createDataFrame([], DRAWS)
 
 
+def mark_seen(draws: DataFrame, table: str) -> None:
+    """Stores the last date of each game's draws as what has been seen, as a new version beside the old one; games without new draws keep theirs."""
+    spark = draws.sparkSession
+    old, version = _seen(spark, table)
+    new = draws.groupBy("game").agg(F.max("date").alias("date"))
+    both = old.unionByName(new).groupBy("game").agg(F.max("date").alias("date"))
+    both.coalesce(1).write.parquet(f"{table}/v{version + 1}")  # a row for each game
+
+
+def _seen(spark: SparkSession, table: str) -> tuple[DataFrame, int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [int(f.getPath().getName()[1:]) for f in fs.listStatus(path)] if fs.exists(path) else []
+    rows = spark.read.schema("game string, date date").parquet(f"{table}/v{max(found)}") if found else spark.createDataFrame([], "game string, date date")
+    return rows, max(found, default=0)
+
+
+def unseen(draws: DataFrame, table: str) -> DataFrame:
+    """The draws after the date that mark_seen() stored for their game; all of a game that has none."""
+    seen, _ = _seen(draws.sparkSession, table)
+    rows = draws.join(seen.withColumnRenamed("date", "_seen"), "game", "left")
+    return rows.where(F.col("_seen").isNull() | (F.col("date") > F.col("_seen"))).drop("_seen")
+
+
 def hits_by_window(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts of numbers by window of event time, of a stream or a table of draws with `ts`; rows later than `late` are left out of a stream."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
