@@ -167,6 +167,10 @@ def _queries() -> dict[str, str]:
     q["history_page"] = "select 'main' as game, t, array_to_string(s, '-') as numbers from draws order by t desc limit 12 offset 12"
     q["merge_draws"] = "select 'main' as game, sum((src = 3)::int)::bigint as both, sum((src = 1)::int)::bigint as only_old, sum((src = 2)::int)::bigint as only_new, count(jackpot) as jackpots from (select date, s, special, sum(distinct src) as src, max(jackpot) as jackpot from (select date, s, special, case when t % 5 = 0 then null else jackpot end as jackpot, 1 as src from draws where t % 3 > 0 union all select date, s, special, jackpot, 2 from draws where t % 3 < 2) group by date, s, special)"
     q["isotonic_calibration"] = """select 'main' as game, x::int as rank, round(fit, 6) as fit from (select x, min(top) as fit from (select a.x as a, b.x, max(b2.m) as top from sp a join sp b on b.x >= a.x join mm b2 on b2.a = a.x and b2.b >= b.x group by 1, 2) group by x)"""
+    q["imported_draws"] = "select distinct 'main' as game, date, dow, array_to_string(s, '-') as numbers, special, round(jackpot, 2) as jackpot from draws where t % 40 not in (3, 7, 11, 13, 17)"
+    q["import_errors"] = """select 'main' as game, case t % 40 when 3 then 'a number comes twice' when 7 then 'text between numbers' when 11 then 'too few numbers' when 13 then 'a number is out of range' else 'no date' end as error, count(*) as rows from draws where t % 40 in (3, 7, 11, 13, 17) group by 2"""
+    q["import_facts"] = """select 'main' as game, count(*) + count(case when t % 40 = 19 then 1 end) as rows, true as day_first, 5 as size, true as has_bonus, count(case when t % 40 in (3, 7, 11, 13, 17) then 1 end) as errors, count(case when t % 40 = 23 then 1 end) as extra,
+      count(case when t % 40 = 19 then 1 end)::bigint as repeated, count(case when t % 40 = 29 then 1 end) as wrong_day, false as mixed from draws"""
     q["companions"] = """select 'main' as game, n, kind, place::int as place, other, times from (select *, row_number() over (partition by n, kind order by times desc, other) as place from
       (select h1.n as n, h2.n as other, 'partner' as kind, count(*) as times from hits h1 join hits h2 on h1.t = h2.t and h1.n <> h2.n group by 1, 2 union all select j, i, 'follower', followed from trans)) where place <= 5"""
     q["calendar_rate"] = f"select 'main' as game, sum((s[5] <= 31)::int)::bigint as seen, count(*) as draws, round({comb(31, D) / comb(K, D)!r}::double, 6) as expected from draws"

@@ -11,7 +11,7 @@ from drawlens.functions.odds import hypergeometric
 from drawlens.functions.shapes import families, total
 from drawlens.history import History, ordered
 from drawlens.operators import bonus, combinations, constraints, describe, eras, fairness, learn, money, overlaps, portfolio, positions, reduction, reports, signals
-from drawlens.sources import orders, text
+from drawlens.sources import orders, table, text
 from drawlens.sources.orders import history
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +113,19 @@ def prediction_log(h: History) -> DataFrame:
     return rows.select("game", "place", "t", F.array_join("predicted", "-").alias("predicted"), F.array_join("actual", "-").alias("actual"), "hits10", "pool_kept", "pool_cut_by", "bonus_hit")
 
 
+def _typed(h: History) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The draws as a sheet with odd rows, imported again."""
+    head = h.draws.sparkSession.createDataFrame([(x,) for x in table.HEAD], "line string")
+    lines = cut(head.unionByName(table.odd_lines(h.draws)))
+    some = [r.line for r in table.odd_lines(h.draws.where("t < 10")).collect()]  # as a file's first lines would be
+    return table.imported(lines, [*table.HEAD, *some], "main")
+
+
+def import_errors(h: History) -> DataFrame:
+    """game, error, rows of the sheet's rows that hold no draw."""
+    return _typed(h)[1].groupBy(F.lit("main").alias("game"), "error").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def planted_era(h: History) -> History:
     """The history with a smaller pool in its first part: draws with a number above 59 are left out there, and places are numbered anew."""
     rows = h.draws.join(h.sizes, "game").where((F.col("t") >= F.col("draws") * 0.6) | (F.element_at("sorted", -1) <= 59)).drop("draws")
@@ -254,6 +267,7 @@ def queries() -> dict[str, Query]:
         "touching_pairs": _of(touching), "union_sizes": _of(union_sizes), "ledger": _of(lambda h: reduction.ledger(h).drop("mode")), "position_bands": _of(constraints.position_bands), "constraint_rules": _of(constraints.rules), "rule_frontier": _of(constraints.frontier),
         "rule_slices": _of(constraints.rule_slices), "rule_slices_eras": _of(lambda h: constraints.rule_slices(planted_era(h))), "era_detect_planted": _of(lambda h: eras.detect(planted_era(h))), "current_streaks_planted": _of(lambda h: describe.current_streaks(planted_streak(h))),
         "bonus_signals": _of(bonus.live), "bonus_backtest": _of(lambda h: bonus.backtest(h)["signals"]), "bonus_ranks": _of(lambda h: bonus.backtest(h)["ranks"].select("game", "rank", "hits", "evaluated", "rate", "fit")), "bonus_points": _of(lambda h: joined(bonus.backtest(h)["points"], "picks")), "bonus_picks": _of(lambda h: bonus.backtest(h)["picks"]),
+        "imported_draws": _of(lambda h: joined(_typed(h)[0].select("game", "date", "dow", F.col("sorted").alias("numbers"), "special", "jackpot")), 2), "import_errors": _of(import_errors), "import_facts": _of(lambda h: _typed(h)[2]),
         "companions": _of(reports.companions), "calendar_rate": _of(reports.calendar_rate), "typical_sales": lambda s, d: rounded(reports.typical_sales(_with_sales(s, d)), 2), "slice_floors": _of(reports.slice_floors),
         "replay_reasons": _of(lambda h: reports.replay_reasons(constraints.cut_by(h))), "feature_standing": _of(reports.standing), "ticket_lab": ticket_lab,
         # Not for SQL: folds, samples and greedy choices, which tests hold against plain versions.

@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from drawlens.sources import text
+from drawlens.sources import table, text
 from drawlens.streaming import growing, state
 
 LINES = ["Date | Day | N1 | N2 | N3 | N4 | N5", *[f"2024-01-{d:02d} | Mon | {d} | {d + 10} | {d + 20} | {d + 30} | {d + 38}" for d in range(1, 15)]]
@@ -79,3 +79,38 @@ def test_stateful_counters(spark, tmp_path):
     q.awaitTermination()
     r = spark.table("counters").where("n = 31").first()
     assert (r.hits, r.draws) == (2, 14)
+
+
+def lines_of(spark, lines, **more):
+    return table.imported(spark.createDataFrame([(x,) for x in lines], "line string"), lines[:12], "g", **more)
+
+
+def test_layout_is_found_from_all_rows(spark, tmp_path):
+    # The first 12 rows show neither the order of days and months nor the bonus; most rows do.
+    rows = [f"{1 + i % 12}/{1 + i % 12}/2023,{i % 7 + 1},{i % 7 + 12},{i % 7 + 23},{i % 7 + 34},{i % 7 + 52},{i % 7 + 60}" for i in range(12)]
+    rows += [f"{13 + i % 15}/{1 + i % 12}/20{10 + i % 12},{1 + i % 7},{12 + i % 7},{23 + i % 7},{34 + i % 7},{45 + i % 7},{i % 19 + 1}" for i in range(60)]
+    draws, errors, facts = lines_of(spark, rows)
+    f = facts.first()
+    assert (f.day_first, f["size"], f.has_bonus) == (True, 6, False)  # the first rows' last column is too large for a bonus
+    draws, errors, facts = lines_of(spark, rows[12:])
+    f = facts.first()
+    assert (f.day_first, f["size"], f.has_bonus, f.errors) == (True, 5, True, 0) and draws.where("special is null").count() == 0
+    assert lines_of(spark, rows[12:], bonus="no")[2].first()["size"] == 6 and lines_of(spark, rows[12:], size=4, bonus="no")[2].first().extra == 60
+    text_ = "\n".join(rows[12:40]) + "\r" + "\r\n".join(rows[40:])
+    (tmp_path / "x.csv").write_text(text_)
+    assert table.read(spark, str(tmp_path / "x.csv"), "g")[2].first().rows == 60
+
+
+def test_malformed_rows(spark):
+    lines = ["A title", "Draw Date,Day,n1,n2,n3,n4,n5,pb_ball,Power Play Multiplier,Jackpot,jackpot_win_loc"]
+    good = [f"2024-03-{d:02d},{datetime.date(2024, 3, d):%a},{d},{d + 10},{d + 20},{d + 30},{d + 38},{d % 20 + 1},{d % 5 + 2},$2{d} million,N/A" for d in range(1, 20)]
+    bad = ['2024-04-01,Mon,1,2,3,4,5,6,2,$20 million,"Smith\'s 6"" Grocery, Ohio"', "2024-04-02,Wed,7,8,9,10,11,12", "2024-04-03,,10,20*,30,40,50,6,2,,", "2024-04-04,Thu,1,2,3", "not a date,,1,2,3,4,5,6", ",,1,2,3,4,5,6", "2024-04-05,Fri,x,2,3,4,5,6,2,,", "2024-04-06,Sat,1,2,3,4,5,6,3,,late,text", good[0]]
+    draws, errors, facts = lines_of(spark, [*lines, *good, *bad])
+    assert sorted(r.error for r in errors.collect()) == ["no date", "not a number", "text between numbers", "too few numbers"]
+    f = facts.first()
+    assert (f["size"], f.has_bonus, f.repeated, f.wrong_day) == (5, True, 1, 1) and draws.count() == 22
+    r = draws.where("date = '2024-04-01'").first()
+    assert (r.sorted, r.special, r.jackpot) == ([1, 2, 3, 4, 5], 6, 2e7) and r.winner_location.startswith("Smith's 6")
+    assert draws.where("date = '2024-03-05'").first().jackpot == 25e6 and draws.where("winner_location is not null").count() <= 2
+    empty = lines_of(spark, ["", " "])
+    assert empty[0].count() == 0 and empty[2].first().rows == 0
