@@ -158,7 +158,7 @@ PAIRS, SUM, ODD, COLUMNS, FREE = 0.3, 0.06, 0.25, 0.12, 1.5
 
 
 def best_combinations(scores: DataFrame, h: History, pool: int = 12, most: int = 8, accept: Column | None = None) -> DataFrame:
-    """game, place, numbers, score, sum_z: of all choices of d of each game's best `pool` numbers, those with the highest score.
+    """game, place, numbers, score, sum_z, pair_lift (of the mean log lift), relative (to the best, of 100), in_top (numbers among the game's best d): of all choices of d of each game's best `pool` numbers, those with the highest score.
 
     A score is the sum of the numbers' scores, plus the mean log lift of their pairs, less the squared distance of their sum from the mean draw's, plus the log of how common their count of
     odd numbers is, less how far each place is from what that place has been. accept: a test of `numbers`; combinations that fail it are only used where none passes. The choices are a
@@ -196,7 +196,10 @@ def best_combinations(scores: DataFrame, h: History, pool: int = 12, most: int =
         far = far + F.when(c["sd"] > 0, beyond).otherwise(0.0)
     own = F.aggregate(s, F.lit(0.0), lambda acc, x: acc + F.element_at("of", x))
     value = own + PAIRS * pairs - SUM * z * z + ODD * odd_bonus - COLUMNS * far
-    rows = rows.select("game", "numbers", F.round(value, 9).alias("score"), z.alias("sum_z"), (F.lit(True) if accept is None else accept).alias("good"))
+    rows = rows.select("game", "numbers", F.round(value, 9).alias("score"), z.alias("sum_z"), F.exp(pairs).alias("pair_lift"), (F.lit(True) if accept is None else accept).alias("good"))
     place = F.row_number().over(Window.partitionBy("game").orderBy(F.col("good").desc(), F.col("score").desc(), "numbers"))
     best = rows.withColumn("place", place).where(F.col("place") <= most).withColumn("any", F.max("good").over(Window.partitionBy("game")))
-    return best.where("good or not any").select("game", "place", "numbers", "score", "sum_z")
+    best = best.where("good or not any").withColumn("first", F.max("score").over(Window.partitionBy("game")))
+    leaders = top.where(F.col("r") <= h.d).groupBy("game").agg(F.collect_list("n").alias("leaders"))
+    relative = F.round(100 * F.exp(0.9 * (F.col("score") - F.col("first")))).cast("int")
+    return best.join(leaders, "game").select("game", "place", "numbers", "score", "sum_z", "pair_lift", relative.alias("relative"), F.size(F.array_intersect("numbers", "leaders")).alias("in_top"))

@@ -117,6 +117,18 @@ def graded(tickets: DataFrame, h: History, tiers: list[tuple] = TIERS) -> DataFr
     return rows.withColumn("jackpot", won).withColumn("prize", F.when(F.col("sorted").isNotNull(), F.when(won, 0.0).otherwise(prize))).drop("sorted", "drawn_special")
 
 
+def added(tickets: DataFrame, more: DataFrame) -> DataFrame:
+    """tickets (game, ticket, numbers, special, for_date, cost) and those of `more` that aren't among them: a ticket is its game, numbers in any order, bonus number and date. Of equal new ones the smallest `ticket` stays."""
+    key = F.concat_ws("|", "game", F.array_join(F.array_sort("numbers"), "-"), F.coalesce(F.col("special").cast("string"), F.lit("")), F.coalesce(F.col("for_date").cast("string"), F.lit("")))
+    new = more.withColumn("_key", key).withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy("ticket"))).where("_r = 1").join(tickets.select(key.alias("_key")), "_key", "left_anti")
+    return tickets.unionByName(new.select(*tickets.columns))
+
+
+def without(draws: DataFrame, gone: DataFrame) -> DataFrame:
+    """draws without those of a date and numbers (game, date, sorted) in `gone`; all equal rows go."""
+    return draws.join(gone.select("game", "date", "sorted").distinct(), ["game", "date", "sorted"], "left_anti").select(*draws.columns)
+
+
 def ledger(grades: DataFrame) -> DataFrame:
     """game, tickets, settled, pending, open, spent, won, net, best_mains, best_special: totals of graded tickets. A dated ticket is spent, drawn or not; open ones never touch money or the best result, which counts a bonus hit as half a number."""
     of = lambda s: F.sum((F.col("status") == s).cast("long"))

@@ -11,7 +11,9 @@ from drawlens.history import BLOCK, History
 from drawlens.operators.combinations import chosen
 from drawlens.operators.constraints import long, measured
 from drawlens.operators.describe import pair_counts, transitions
-from drawlens.operators.money import upper_median
+from drawlens.operators import positions
+from drawlens.operators.money import crowd_markers, latest, upper_median
+from drawlens.operators.signals import next_draw, similar
 
 CALENDAR = 31  # fixed value: the largest day of a month
 
@@ -150,3 +152,37 @@ def ticket_lab(tickets: DataFrame, h: History) -> DataFrame:
     bonus = h.draws.where("special is not null").groupBy("game", "special").agg(F.count(F.lit(1)).alias("_c"))
     out = tickets.withColumn("sorted", F.array_sort("numbers")).join(rows, ["game", "sorted"], "left").join(bonus, ["game", "special"], "left")
     return out.withColumn("special_count", F.when(F.col("special").isNotNull(), F.coalesce("_c", F.lit(0)))).drop("sorted", "_c")
+
+
+def ticket_numbers(tickets: DataFrame, h: History, scores: DataFrame) -> DataFrame:
+    """game, ticket, position, n, rank, below, log_likelihood, typical: each number of each ticket: its rank by scores (game, n, score; ties to the smaller), and how it stands among the numbers that had its place: the share of draws below, the log chance of the value (each value seen once more), and whether it lies
+    within the 10 % and 90 % values. Tickets meet counts of values by place, not draws."""
+    ranks = scores.select("game", "n", F.row_number().over(Window.partitionBy("game").orderBy(F.col("score").desc(), "n")).alias("rank"))
+    values = positions.counts(h)
+    own = Window.partitionBy("game", "position")
+    run = F.coalesce(F.sum("hits").over(own.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = h.numbers.select("game", F.explode(F.sequence(F.lit(1), F.lit(h.d))).alias("position"), F.col("n").alias("v")).join(values, ["game", "position", "v"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    every = every.withColumn("under", run).withColumn("draws", F.sum("hits").over(own)).join(positions.statistics(h).select("game", "position", "p10", "p90"), ["game", "position"])
+    table = every.select("game", "position", F.col("v").alias("n"), (F.col("under") / F.col("draws")).alias("below"), F.log((F.col("hits") + 1) / (F.col("draws") + h.k)).alias("log_likelihood"), F.col("v").between(F.col("p10"), F.col("p90")).alias("typical"))
+    rows = tickets.select("game", "ticket", F.posexplode(F.array_sort("numbers")).alias("position", "n")).withColumn("position", F.col("position") + 1)
+    return rows.join(table, ["game", "position", "n"], "left").join(ranks, ["game", "n"], "left").select("game", "ticket", "position", "n", F.coalesce("rank", F.lit(h.k)).alias("rank"), "below", "log_likelihood", "typical")
+
+
+def ticket_crowd(tickets: DataFrame, h: History) -> DataFrame:
+    """game, ticket, markers: why many people may hold each ticket (money.crowd_markers()), past winners included."""
+    drawn = h.draws.select("game", F.array_join("sorted", "-").alias("key")).distinct().withColumn("drawn", F.lit(True))
+    rows = tickets.withColumn("s", F.array_sort("numbers")).withColumn("key", F.array_join("s", "-")).join(drawn, ["game", "key"], "left")
+    return rows.select("game", "ticket", F.array_join(crowd_markers(F.col("s"), h.k, F.coalesce("drawn", F.lit(False))), ",").alias("markers"))
+
+
+def jackpot_series(h: History, last: int = 120) -> DataFrame:
+    """game, t, date, jackpot, won of the last draws that have a jackpot."""
+    return latest(h.draws.where(F.col("jackpot").isNotNull()).select("game", "t", "date", "jackpot", F.col("winner_location").isNotNull().alias("won")), last)
+
+
+def similar_outcomes(h: History, scores: DataFrame, most: int = 6, top: int = 10) -> DataFrame:
+    """game, place, u, similarity, outcome, shared: what was drawn in the situations most like the one before the draw to come, and which of it is among the `top` best numbers of scores (game, n, score)."""
+    best = scores.withColumn("r", F.row_number().over(Window.partitionBy("game").orderBy(F.col("score").desc(), "n"))).where(F.col("r") <= top).groupBy("game").agg(F.collect_list("n").alias("best"))
+    alike = similar(h, next_draw(h)).where(F.col("place") <= most)
+    rows = alike.join(h.draws.select("game", F.col("t").alias("u"), F.col("sorted").alias("outcome")), ["game", "u"]).join(best, "game")
+    return rows.select("game", "place", "u", "similarity", "outcome", F.array_sort(F.array_intersect("outcome", "best")).alias("shared"))

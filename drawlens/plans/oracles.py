@@ -171,6 +171,21 @@ def _queries() -> dict[str, str]:
     q["import_errors"] = """select 'main' as game, case t % 40 when 3 then 'a number comes twice' when 7 then 'text between numbers' when 11 then 'too few numbers' when 13 then 'a number is out of range' else 'no date' end as error, count(*) as rows from draws where t % 40 in (3, 7, 11, 13, 17) group by 2"""
     q["import_facts"] = """select 'main' as game, count(*) + count(case when t % 40 = 19 then 1 end) as rows, true as day_first, 5 as size, true as has_bonus, count(case when t % 40 in (3, 7, 11, 13, 17) then 1 end) as errors, count(case when t % 40 = 23 then 1 end) as extra,
       count(case when t % 40 = 19 then 1 end)::bigint as repeated, count(case when t % 40 = 29 then 1 end) as wrong_day, false as mixed from draws"""
+    pl = "(select position, v, hits, coalesce(sum(hits) over (partition by position order by v rows between unbounded preceding and 1 preceding), 0) as under, sum(hits) over (partition by position) as draws from (select x.position, pool.n as v, count(y.v) as hits from (select unnest(range(1, 6)) as position) x cross join pool left join " + pos + " y on y.position = x.position and y.v = pool.n group by 1, 2))"
+    q["ticket_numbers"] = f"""select 'main' as game, k.ticket, k.position::int as position, k.n, f.place::int as rank, round(l.under / l.draws::double, 6) as below, round(ln((l.hits + 1) / (l.draws + 69)::double), 6) as log_likelihood, k.n between z.p10 and z.p90 as typical
+      from (select ticket, unnest(range(1, 6)) as position, unnest(numbers) as n from {tk}) k join {pl} l on l.position = k.position and l.v = k.n join (select n, row_number() over (order by rate desc, n) as place from freq) f on f.n = k.n
+      join (select position, {", ".join(f"min(case when i = least(m - 1, floor({f} * m)) then v end) as p{round(f * 100)}" for f in (0.1, 0.9))} from (select position, v, row_number() over (partition by position order by v, t) - 1 as i, count(*) over (partition by position) as m from {pos}) group by position) z on z.position = k.position"""
+    q["ticket_crowd"] = f"""select 'main' as game, ticket, array_to_string(list_filter([case when s[5] <= 12 then 'months' when s[5] <= 31 then 'calendar' end, case when list_min({st}) = list_max({st}) then case when s[2] - s[1] = 1 then 'run' else 'step' end end,
+      case when len(list_filter(s, lambda x: x % 5 = 0)) = 5 then 'fives' end, case when len(list_distinct([x % 10 for x in s])) = 1 then 'same_digit' end, case when s in (select s from draws) then 'past_winner' end], lambda x: x is not null), ',') as markers from (select ticket, numbers as s from {tk})"""
+    q["jackpot_series"] = "select 'main' as game, t, date, round(jackpot, 6) as jackpot, winner_location is not null as won from draws where jackpot is not null order by t desc limit 120"
+    q["similar_outcomes"] = f"""select 'main' as game, x.place, x.u, x.similarity, array_to_string(d.s, '-') as outcome, array_to_string(list_sort(list_intersect(d.s, b.best)), '-') as shared from ({q["similar_situations"]}) x join draws d on d.t = x.u cross join (select list(n) as best from (select n from freq order by rate desc, n limit 10)) b where x.place <= 6"""
+    q["tickets_added"] = f"select 'main' as game, for_date, count(*) as tickets from (select distinct numbers, special, for_date from {tk}) group by for_date"
+    q["draws_removed"] = "select 'main' as game, count(*) as draws, min(t) as first_t, max(t) as last_t from draws d where not exists (select 1 from draws g where g.t % 10 = 0 and g.date = d.date and g.s = d.s)"
+    pairs_of = " + ".join(f"l{i}{j}.lift" for i in range(1, 6) for j in range(i + 1, 6))
+    q["best_combinations"] = f"""select 'main' as game, place::int as place, array_to_string(s, '-') as numbers, round(score, 6) as score, round(z, 6) as sum_z, round(exp(p), 6) as pair_lift, round(100 * exp(0.9 * (score - max(score) over ())))::int as relative, len(list_intersect(s, lead))::int as in_top from (select *, row_number() over (order by score desc, s) as place from (
+      select s, p, z, lead, round(base + 0.3 * p - 0.06 * z * z + 0.25 * ln((coalesce(o.m, 0) + 1.0) / (om + 1.0)) - 0.12 * far, 9) as score from (
+        select c.*, (list_sum(s) - mean_sum) / greatest(1.0, sum_sd) as z, len(list_filter(s, lambda x: x % 2 = 1)) as odd from bc c cross join (select avg(list_sum(s)) as mean_sum, stddev_pop(list_sum(s)) as sum_sd from draws)) q
+      left join od_ o on o.odd = q.odd cross join (select max(m) as om from od_) cross join (select list(n) as lead from (select n from freq order by rate desc, n limit 5)))) where place <= 8"""
     q["companions"] = """select 'main' as game, n, kind, place::int as place, other, times from (select *, row_number() over (partition by n, kind order by times desc, other) as place from
       (select h1.n as n, h2.n as other, 'partner' as kind, count(*) as times from hits h1 join hits h2 on h1.t = h2.t and h1.n <> h2.n group by 1, 2 union all select j, i, 'follower', followed from trans)) where place <= 5"""
     q["calendar_rate"] = f"select 'main' as game, sum((s[5] <= 31)::int)::bigint as seen, count(*) as draws, round({comb(31, D) / comb(K, D)!r}::double, 6) as expected from draws"
@@ -187,7 +202,13 @@ def _queries() -> dict[str, str]:
       from (select *, arg_max(bin, t) over (partition by feature) as value from bf) group by feature, value, room"""
     q["ticket_lab"] = f"""select 'main' as game, k.ticket, list_sum(k.numbers)::int as total, round(a.under, 6) as total_below, round(a.same, 6) as odd_share, a.pair_total, a.best_overlap, array_to_string(b.best_t, '-') as best_t, a.three_up, coalesce(c.c, 0)::bigint as special_count
       from {tk} k join la a on a.numbers = k.numbers join (select l.numbers, list(l.t order by l.t)[1:3] as best_t from lm l join la on la.numbers = l.numbers and l.o = la.best_overlap group by l.numbers) b on b.numbers = k.numbers left join (select special, count(*) as c from draws group by special) c on c.special = k.special"""
+    cols = ", ".join(f"avg(s[{i}]) as m{i}, stddev_pop(s[{i}]) as d{i}, min(s[{i}]) as a{i}, max(s[{i}]) as b{i}" for i in range(1, 6))
+    far = " + ".join(f"case when d{i} > 0 then case when abs(x{i}.n - m{i}) / d{i} > 1.5 then power(abs(x{i}.n - m{i}) / d{i} - 1.5, 2) else 0 end + case when x{i}.n < a{i} or x{i}.n > b{i} then 4.0 else 0 end else 0 end" for i in range(1, 6))
     more = {
+        "best_combinations": f""", cd as materialized (select n, rate, hits from freq order by rate desc, n limit 12), lf as materialized (select a.n as a, b.n as b, ln((coalesce(t.c, 0) + 0.75) / (a.hits * b.hits / (select draws from sizes)::double * {(D - 1) * K / (D * (K - 1))!r} + 0.75)) as lift from cd a join cd b on b.n > a.n left join (select h1.n as a, h2.n as b, count(*) as c from hits h1 join hits h2 on h1.t = h2.t and h1.n < h2.n group by 1, 2) t on t.a = a.n and t.b = b.n),
+          od_ as materialized (select len(list_filter(s, lambda x: x % 2 = 1)) as odd, count(*) as m from draws group by 1), co as (select {cols} from draws),
+          bc as materialized (select [x1.n, x2.n, x3.n, x4.n, x5.n] as s, x1.rate + x2.rate + x3.rate + x4.rate + x5.rate as base, ({pairs_of}) / 10 as p, {far} as far from cd x1 join cd x2 on x2.n > x1.n join cd x3 on x3.n > x2.n join cd x4 on x4.n > x3.n join cd x5 on x5.n > x4.n cross join co
+          {" ".join(f"join lf l{i}{j} on l{i}{j}.a = x{i}.n and l{i}{j}.b = x{j}.n" for i in range(1, 6) for j in range(i + 1, 6))}) """,
         "slice_floors": f", sf as (select slice, count(distinct part) as groups, count(lo) as chances, count(case when v < lo then 1 end) as broke from (select slice, part, v, min(v) over (partition by slice, part order by t rows between unbounded preceding and 1 preceding) as lo from ({sliced}) where part is not null) group by slice) ",
         "replay_reasons": f", rp as ({q['pool_replay']}) ", "feature_standing": f", bf as ({binned}) ",
         "ticket_lab": f", lm as (select k.numbers, d.t, len(list_intersect(k.numbers, d.s))::int as o, list_sum(d.s) < list_sum(k.numbers) as under, len(list_filter(d.s, lambda x: x % 2 = 1)) = len(list_filter(k.numbers, lambda x: x % 2 = 1)) as same from (select distinct numbers from {tk}) k cross join draws d), la as (select numbers, avg(under::int) as under, avg(same::int) as same, sum(o * (o - 1) // 2)::bigint as pair_total, max(o) as best_overlap, count(case when o >= 3 then 1 end) as three_up from lm group by numbers) ",
@@ -198,7 +219,7 @@ def _queries() -> dict[str, str]:
     }
     nx = ", nx as (select l.t + 1 as t, l.date + coalesce((select min(k) from (select unnest(range(1, 15)) as k) where dayofweek(l.date + k::int) in (select dow from sched)), 1)::int as date, l.s from (select t, date, s from draws order by t desc limit 1) l), nx0 as (select 1) "
     nx = nx.replace(", nx0 as (select 1)", "").replace("nx as (select l.t", "nx_ as (select l.t") + ", nx as (select *, dayofweek(date)::int as dow from nx_) "
-    more["next_draw"] = more["similar_situations"] = nx
+    more["next_draw"] = more["similar_situations"] = more["similar_outcomes"] = nx
     for name, (tables, sql) in bonus_sql.queries(nx).items():
         q[name], more[name] = sql, tables
     return {name: BASE + more.get(name, "") + sql for name, sql in q.items()}

@@ -121,6 +121,23 @@ def _typed(h: History) -> tuple[DataFrame, DataFrame, DataFrame]:
     return table.imported(lines, [*table.HEAD, *some], "main")
 
 
+def _rates(h: History) -> DataFrame:
+    return describe.frequency(h).select("game", "n", F.col("rate").alias("score"))
+
+
+def tickets_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tickets of each date there are after the tickets of even customers got those of all, some of which they hold already, and some with the numbers in another order."""
+    all_ = _tickets(spark, sf_dir)
+    more = all_.withColumn("numbers", F.reverse("numbers")).withColumn("ticket", F.col("ticket") + 1_000_000_000)
+    return money.added(all_.where("ticket % 2 = 0").dropDuplicates(["game", "numbers", "special", "for_date"]), more).groupBy("game", "for_date").agg(F.count(F.lit(1)).alias("tickets"))
+
+
+def draws_removed(h: History) -> DataFrame:
+    """game, draws, first_t, last_t: what is left when the draws of every tenth place go, by date and numbers."""
+    gone = h.draws.where("t % 10 = 0").select("game", "date", "sorted")
+    return money.without(h.draws, gone).groupBy("game").agg(F.count(F.lit(1)).alias("draws"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+
+
 def import_errors(h: History) -> DataFrame:
     """game, error, rows of the sheet's rows that hold no draw."""
     return _typed(h)[1].groupBy(F.lit("main").alias("game"), "error").agg(F.count(F.lit(1)).alias("rows"))
@@ -268,6 +285,8 @@ def queries() -> dict[str, Query]:
         "rule_slices": _of(constraints.rule_slices), "rule_slices_eras": _of(lambda h: constraints.rule_slices(planted_era(h))), "era_detect_planted": _of(lambda h: eras.detect(planted_era(h))), "current_streaks_planted": _of(lambda h: describe.current_streaks(planted_streak(h))),
         "bonus_signals": _of(bonus.live), "bonus_backtest": _of(lambda h: bonus.backtest(h)["signals"]), "bonus_ranks": _of(lambda h: bonus.backtest(h)["ranks"].select("game", "rank", "hits", "evaluated", "rate", "fit")), "bonus_points": _of(lambda h: joined(bonus.backtest(h)["points"], "picks")), "bonus_picks": _of(lambda h: bonus.backtest(h)["picks"]),
         "imported_draws": _of(lambda h: joined(_typed(h)[0].select("game", "date", "dow", F.col("sorted").alias("numbers"), "special", "jackpot")), 2), "import_errors": _of(import_errors), "import_facts": _of(lambda h: _typed(h)[2]),
+        "ticket_numbers": lambda s, d: rounded(reports.ticket_numbers(_tickets(s, d), history(s, d), _rates(history(s, d)))), "ticket_crowd": lambda s, d: reports.ticket_crowd(_tickets(s, d), history(s, d)), "jackpot_series": _of(reports.jackpot_series), "similar_outcomes": _of(lambda h: joined(joined(reports.similar_outcomes(h, _rates(h)), "outcome"), "shared")),
+        "tickets_added": tickets_added, "draws_removed": _of(draws_removed),
         "companions": _of(reports.companions), "calendar_rate": _of(reports.calendar_rate), "typical_sales": lambda s, d: rounded(reports.typical_sales(_with_sales(s, d)), 2), "slice_floors": _of(reports.slice_floors),
         "replay_reasons": _of(lambda h: reports.replay_reasons(constraints.cut_by(h))), "feature_standing": _of(reports.standing), "ticket_lab": ticket_lab,
         # Not for SQL: folds, samples and greedy choices, which tests hold against plain versions.
