@@ -97,5 +97,6 @@ def cluster(rows: DataFrame, key: str, vector: str, k: int = 8, dims: int = 64,
     rest = assigned.where(F.col("_w") * HOT <= total).drop("_w")
     base = base.select("_kept", "_q")
     both = base.join(hot, "_q").unionByName(base.join(hot.select("_q"), "_q", "left_anti").join(rest, "_q"))
-    drop(distinct)
+    if centroids:
+        drop(distinct)
     return both.join(F.broadcast(table), "cluster").select(*[F.col(f"_kept.`{c}`").alias(c) for c in others], "cluster", "distance", "cluster_inertia", "inertia", "centroid")
