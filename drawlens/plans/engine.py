@@ -8,7 +8,7 @@ from drawlens.functions.dates import countdown, instant
 from drawlens.functions.odds import hypergeometric
 from drawlens.functions.shapes import features
 from drawlens.history import History
-from drawlens.operators import bonus, combinations, constraints, describe, eras, fairness, learn, money, overlaps, positions, reports, signals
+from drawlens.operators import bonus, combinations, constraints, describe, eras, fairness, learn, money, overlaps, positions, reduction, reports, signals
 
 LEAST_DRAWS, MOST_POOL = 12, 150
 LABELS = {
@@ -106,8 +106,21 @@ def recap(h: History, since: Column, grades: DataFrame, points: DataFrame, most:
     return rows.select("game", "place", "t", "date", F.array_join("sorted", "-").alias("numbers"), "hits_pick", F.coalesce("wins", F.lit(0)).alias("wins"))
 
 
-def analysed(history: History, evaluated: bool = True) -> dict[str, DataFrame]:
-    """Everything about the games that have no problem, on each game's current era: a table for each concept. Nothing runs until a table is asked for, but for the folds of the evaluation."""
+def laboratory(h: History) -> dict[str, DataFrame]:
+    """The rules of shape: rules, their slices, modes and what they are worth, the frontier, position bands, presets, the ledger with each mode, and the replay with the bands of the deepest mode. Bands and modes are worked out at once, as all tables stand on them."""
+    universe, tested = cut(constraints.sample_universe(h.draws.sparkSession, h.k, h.d)), constraints.steps(h)
+    rules = cut(constraints.rules(h, universe, tested))
+    modes = cut(constraints.modes(h, universe=universe, tested=tested, all_rules=rules))
+    reports_ = cut(constraints.mode_report(h, modes, universe, tested))
+    deepest = modes.join(modes.groupBy("game").agg(F.min("mode").alias("mode")), ["game", "mode"])
+    return {
+        "rules": rules, "rule_slices": constraints.rule_slices(h, tested), "modes": modes, "mode_reports": reports_, "eliminated": constraints.eliminated(h, modes, tested), "frontier": constraints.frontier(h, universe, tested, rules), "position_bands": constraints.position_bands(h), "presets": reduction.presets(h),
+        "ledger": reduction.ledger(h, modes, reports_), "replay": constraints.cut_by(h, constraints.mode_failures(deepest, tested)),
+    }
+
+
+def analysed(history: History, evaluated: bool = True, lab: bool = True) -> dict[str, DataFrame]:
+    """Everything about the games that have no problem, on each game's current era: a table for each concept. Nothing runs until a table is asked for, but for the evaluation and the laboratory, which can be left out."""
     h = eras.scoped(history)
     h = History(cut(h.draws), h.k, h.d, h.ks)  # every table below reads the draws again
     h = History(cut(h.draws.join(problems(h), "game", "left_anti")), h.k, h.d, h.ks)
@@ -116,10 +129,12 @@ def analysed(history: History, evaluated: bool = True) -> dict[str, DataFrame]:
     out = {
         "problems": problems(history), "eras": eras.detect(history), "next_draw": signals.next_draw(h), "numbers": numbers, "reasons": reasons, "number_stats": number_stats(h), "hot_cold": describe.hot_cold(h), "overdue": describe.overdue(h), "pairs": describe.top_pairs(h),
         "followers": describe.top_followers(h), "weekdays": describe.weekday_profiles(h), "weekday_tests": describe.weekday_significance(h), "trends": describe.trends(h), "streaks": describe.current_streaks(h), "positions": positions.statistics(h), "profiles": positions.profiles(h), "overlaps": overlaps.histogram(history),
-        "repeats": overlaps.exact(history), "closest": overlaps.closest(history), "similar": signals.similar(h, signals.next_draw(h)), "fairness": fairness.tests(h), "presets": combinations.preset_counts(h), "rules": constraints.rules(h), "replay": constraints.cut_by(h), "companions": reports.companions(h), "standing": reports.standing(h), "slice_floors": reports.slice_floors(h),
+        "repeats": overlaps.exact(history), "closest": overlaps.closest(history), "similar": signals.similar(h, signals.next_draw(h)), "fairness": fairness.tests(h), "replay": constraints.cut_by(h), "companions": reports.companions(h), "standing": reports.standing(h), "slice_floors": reports.slice_floors(h),
         "combinations": combinations.best_combinations(numbers.select("game", "n", "score"), h), "jackpots": money.jackpots(h), "projection": money.projection(h),
     }
+    if lab:
+        out |= laboratory(h)
     if h.ks:
         test_bonus = bonus.backtest(h)
         out |= {"bonus": bonus.live(h), "bonus_signals": test_bonus["signals"], "bonus_ranks": test_bonus["ranks"], "bonus_picks": test_bonus["picks"]}
-    return out | ({"signals": test["signals"], "points": test["points"], "ranks": test["ranks"], "drivers": drivers(test["signals"]), "summary": reports.point_summary(test["points"])} if test else {})
+    return out | ({"signals": test["signals"], "points": test["points"], "ranks": test["ranks"], "drivers": drivers(test["signals"]), "summary": reports.point_summary(test["points"]), "by_day": learn.summarised(test["points"], h), "skill": test["nats"], "log": learn.prediction_log(test["points"], h, out["replay"], test_bonus["points"] if h.ks else None)} if test else {})

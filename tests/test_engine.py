@@ -59,7 +59,8 @@ def test_reality_and_inspection(spark):
 def test_all_signals_and_the_combiner_are_evaluated(spark):
     h = generated.fair(spark, 60)
     h = History(h.draws.persist(), h.k, h.d, h.ks)
-    out = engine.analysed(h)
+    out = engine.analysed(h, lab=False)
+    assert out["by_day"].where("dow is null").first().draws == 30 and out["skill"].first().draws == 30 and out["log"].count() == 30
     assert {r.key for r in out["signals"].collect()} == {*signals.KEYS, "mlModel"}
     assert {r.key for r in engine.prediction(h, *(learn.backtest(h)[x] for x in ("signals", "ranks", "model")))[1].collect()} >= {"similarity", "mlModel"}
     # the live scores come from a fold over all draws before, so they differ from number to number
@@ -72,3 +73,13 @@ def test_tickets_are_dealt_with_all_tries(spark, monkeypatch):
     monkeypatch.setattr(queries.combinations, "deal", lambda *a, **k: given.update(k) or deal(*a, **k))
     tickets = queries.ticket_deal(generated.fair(spark, 60))
     assert "tries" not in given and tickets.count() == 5
+
+
+def test_the_laboratory_stands_on_its_own(spark):
+    h = generated.fair(spark, 190, games=2)
+    h = History(h.draws.where("game = 'fair0' or t < 130").persist(), h.k, h.d, h.ks)  # the second game is too short for rules
+    out = engine.analysed(h, evaluated=False)
+    assert out["rules"].count() == 136 and {r.game for r in out["modes"].collect()} == {"fair0"} and out["frontier"].count() == 13
+    left = {(r.mode, r.place): r.remaining for r in out["ledger"].collect()}
+    assert all(left[m, p] >= left[m, p + 1] > 0 for m, p in left if p < 4)
+    assert {r.game for r in out["presets"].collect()} == {"fair0", "fair1"} and "signals" not in out
