@@ -212,6 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 SKETCH = 2048  # coordinates of which the last contents to be compared keep one bit each
+FEW = 128  # an element that so many of the last contents have, at most, brings them together
 PIVOTS = 3  # rounds in which the rest of every band is compared with one of its members
 
 
@@ -235,7 +236,9 @@ def _parts(docs: DataFrame, key: str, text: str, similarity: float, words: int,
     Every content meets the lowest of its bands (stars, never all pairs of a band). Then only bands whose contents are in different parts are of interest: in
     each round all their contents meet one, first the one with the least of its own. Shingles that no other content of these bands has can't be common to a pair, which
     bounds the similarities that a content can have: those of whom nothing near enough can exist leave, and with them nearly all of a large group of copies that are
-    too far from each other. What then is still in one band and in different parts is compared pair by pair, by long sketches first.
+    too far from each other. What then is still in one band and in different parts meets by elements that few have (FEW at most, so the pairs are linear in the elements): a content
+    of which s elements are needed for a link holds more than it can lack among them, so no link is lost, and pairs whose common rare elements are too few end there. Only contents made of
+    frequent elements, from which that can't be told, are compared pair by pair, by long sketches first.
     """
     members, every = contents(docs, key, text, words, bands, rows)
     one = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "at")).alias("one")
@@ -294,25 +297,44 @@ def _parts(docs: DataFrame, key: str, text: str, similarity: float, words: int,
         pairs = rest.join(pivots, "band").where((F.col("comp") != F.col("pivot.comp")) & could("", "pivot.")).select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct()
         parts = joined(parts, _verified(pairs, sets, similarity))
         rest = unsettled(placed_in(rest, parts))
-    # What is left, pair by pair, each in the first band of both. Sizes within the similarity fall in the same or the next class of sizes.
+    # What is left meets by what few have: of the elements that y can have in common with an x as large or larger, so many that a link must hold one of them.
     rest = materialise(rest, "unsettled")
+    left = rest.select("node", "comp", "size").distinct()
+    elements = sets.join(left, "node").select("node", "comp", "size", F.explode("shingles").alias("e"))
+    spread = elements.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where(f"x = y or n <= {FEW}")
+    few = materialise(elements.join(spread.select("e", F.when(F.col("x") == F.col("y"), 0).otherwise(F.col("n")).alias("n")), "e"), "few")  # 0: in one part only
+    scarce = few.groupBy("node", "comp", "size").agg(F.count_if(F.col("n") == 0).alias("alone"), F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("n", "e")))).alias("rarest"))
+    both_need = F.col("size") - F.ceil(F.col("size") * (2 * similarity / (1 + similarity)) - 1e-6)  # so many elements a link can lack
+    scarce = scarce.withColumn("slack", both_need).where(F.col("alone") + F.size("rarest") > F.col("slack"))
+    # A word in common makes as many shingles common as they have words: one more than that tells chance meetings from links.
+    take = F.when(F.col("alone") > F.col("slack"), 0).otherwise(F.least(F.size("rarest"), F.col("slack") + words + 1 - F.col("alone"))).cast("int")
+    scarce = scarce.withColumn("part", F.slice("rarest.e", F.lit(1), take))
+    scarce = materialise(scarce.select("node", "comp", "size", "part", (F.col("size") - F.col("alone") - F.size("part")).alias("others")), "scarce")
+    ordered = (F.col("asize") < F.col("bsize")) | ((F.col("asize") == F.col("bsize")) & (F.col("anode") < F.col("bnode")))
+    side = lambda n, *more: [F.col(c).alias(f"{n}{c}") for c in ("node", "comp", "size", *more)]
+    met = scarce.select(F.explode("part").alias("e"), *side("a", "others")).join(few.where("n > 0").select("e", *side("b")), "e")
+    met = met.where((F.col("acomp") != F.col("bcomp")) & ordered & fits(F.col("asize"), F.col("bsize"))).groupBy("anode", "bnode", "asize", "bsize", "aothers").agg(F.count(F.lit(1)).alias("common"))
+    met = met.where(F.col("common") + F.col("aothers") >= (F.col("asize") + F.col("bsize")) * (similarity / (1 + similarity)) - 1e-6)
+    parts = joined(parts, _verified(met.select(F.col("anode").alias("a"), F.col("bnode").alias("b")), sets, similarity))
+    # Contents of frequent elements alone are compared pair by pair with what is as large or larger, in the first band of both, by sketches. Sizes within the similarity fall in the same or the next class of sizes.
+    rest = placed_in(rest, parts).join(scarce.select("node", F.lit(False).alias("plain")), "node", "left").withColumn("plain", F.coalesce("plain", F.lit(True)))
+    rest = materialise(unsettled(rest), "unsettled")
+    rest = rest.join(rest.where("plain").select("band").distinct(), "band", "leftsemi")
     own = sets.join(rest.select("node").distinct(), "node", "leftsemi")
     held = materialise(rest.groupBy("node").agg(F.collect_list("band").alias("in")).join(sketches(own), "node"), "held")  # both sides of the join read it
     rest = rest.join(held, "node")
     step = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
-    side = lambda n: [F.col(c).alias(f"{n}{c}") for c in ("node", "comp", "size", "most", "in", "bits")]
-    left = rest.withColumn("own", step).select("band", F.explode(F.array("own", F.col("own") + 1)).alias("step"), "own", *side("a"))
-    right = rest.select("band", step.alias("step"), *side("b"))
-    ordered = (F.col("anode") < F.col("bnode")) | (F.col("own") != F.col("step"))
+    more = ("most", "in", "bits")
+    smaller = rest.where("plain").withColumn("own", step).select("band", F.explode(F.array("own", F.col("own") + 1)).alias("step"), *side("a", *more))
+    larger = rest.select("band", step.alias("step"), *side("b", *more))
     differ = sum((F.bit_count(F.get("abits", F.lit(i)).bitwiseXOR(F.get("bbits", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
     apart_by = (1 - similarity) / 2  # the part of the bits that differ between sets just so similar
     near = differ <= int(SKETCH * apart_by + 5 * (SKETCH * apart_by * (1 - apart_by)) ** 0.5)
     once = F.array_min(F.array_intersect("ain", "bin")) == F.col("band")
-    cross = left.join(right, ["band", "step"]).where((F.col("acomp") != F.col("bcomp")) & ordered & could("a", "b") & near & once)
-    cross = cross.select(F.greatest("anode", "bnode").alias("a"), F.least("anode", "bnode").alias("b")).distinct()
-    parts = joined(parts, _verified(cross, sets, similarity))
+    cross = smaller.join(larger, ["band", "step"]).where((F.col("acomp") != F.col("bcomp")) & ordered & could("a", "b") & near & once)
+    parts = joined(parts, _verified(cross.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct(), sets, similarity))
     placed = materialise(nodes.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    drop(nodes, banded, stars, sets, rest, held)
+    drop(nodes, banded, stars, sets, few, scarce, held)
     return members, placed
 
 

@@ -58,6 +58,24 @@ def test_classes_as_brute_force(spark):
     assert got == plain_classes(rows)
 
 
+def test_classes_of_one_template(spark, monkeypatch):
+    """Texts of one template, each 0.74 like any other, and texts of the same few sentences, in which nothing is rare: classes as by brute force, and of the templated ones few pairs are met at last."""
+    r = random.Random(5)
+    rows = []
+    for i in range(300):
+        filled = [f"t{j}" for j in range(204)]
+        for slot in range(17, 204, 34):
+            filled[slot] = f"f{r.randrange(100)}"
+        rows.append((i, " ".join(filled)))
+    sentences = [" ".join(f"l{i}x{j}" for j in range(12)) for i in range(20)]
+    rows += [(1000 + i, " ".join(x for x in sentences if r.random() > 0.12)) for i in range(100)]
+    pairs, plain = [], darts._verified
+    monkeypatch.setattr(darts, "_verified", lambda p, *rest: pairs.append(p.select("a", "b").distinct().count()) or plain(p, *rest))
+    got = {x.doc_id: x.class_id for x in darts.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_classes(rows)
+    assert sum(pairs[-2:]) < len(rows), pairs  # of 44,850 pairs of the templated texts
+
+
 def test_kept_by_row(spark):
     words = [f"w{i}" for i in range(40)]
     near, other, third = " ".join([*words[:-1], "x"]), " ".join(words[::-1]), "quite another text of a few words"
