@@ -332,3 +332,27 @@ def test_seats_as_one_customer_at_a_time():
         got = t.reshape(n, -1).mean(0)
         assert np.allclose(got, want, rtol=0.06), (got, want)
         assert np.allclose(root, t.reshape(n, -1).sum(1))
+
+
+def test_sweeps_of_a_round_settle():
+    """The sweeps that fit() makes by itself end where many more do: rare and frequent words over many contexts, started anew."""
+    import inspect
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    n, cells = 4000, []
+    for w in range(n):
+        u, c = np.unique(r.integers(0, lm.CONTEXTS, int(2 + r.pareto(0.6) % 4000)), return_counts=True)
+        cells.append((w * 1_000_003, u.astype(np.uint8).tobytes(), c.astype("<i8").tobytes()))
+    batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*cells, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["w", "us", "ns"])
+    x = lm.Cells(batch)
+    seating = lm.Seating(0.7, 0.7, x.by_context(np.ones(len(x.c))))
+    default = inspect.signature(lm.fit).parameters["burn"].default
+    got, long = (np.mean([seating.run(x, burn, 0, seed)[0].sum() for seed in range(3)]) for burn in (default, 120))
+    assert abs(got / long - 1) < 0.01, (default, got, long)
+    # batches are put together, and their order and size change nothing
+    lots = list(lm._together(batch.slice(i, 300) for i in range(0, n, 300)))
+    assert len(lots) == 1 and lots[0].equals(batch)
+    parts = np.concatenate([seating.run(lm.Cells(batch.slice(i, 700)), 3, 2, 7)[0] for i in range(0, n, 700)])
+    assert np.allclose(parts, seating.run(x, 3, 2, 7)[0])
