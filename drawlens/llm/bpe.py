@@ -4,7 +4,7 @@ import base64
 import hashlib
 import heapq
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count, islice
 
 import numpy as np
@@ -150,12 +150,12 @@ class Lexicon:
         self.number: dict[str, int] = defaultdict(count().__next__)
         self.ids, self.starts, self.bytes = np.zeros(0, np.int64), np.zeros(1, np.int64), 0
 
-    def places(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The numbers of the words of each text; their ids are known from then on."""
+    def places(self, texts: Iterable[list[str]]) -> list[np.ndarray]:
+        """The numbers of the words of each text; their ids are known from then on. Texts are taken one by one, so only what is new of their words is held."""
         if len(self.number) > self.MOST or self.bytes > self.MOST_BYTES:
             self.clear()
         before = len(self.number)
-        used = [np.fromiter(map(self.number.__getitem__, words), np.int64) for words in texts]
+        used = [np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)) for words in texts]
         new = [w.encode("utf-8", "surrogatepass") for w in islice(self.number, before, None)]
         self.bytes += sum(map(len, new))
         ids, starts = replay(self.vocab, new)
@@ -166,10 +166,10 @@ class Lexicon:
 
 def encode(lexicon: Lexicon, pattern, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts in a row, and where each text's begin."""
-    used = lexicon.places([pattern.findall(t) for t in texts])
+    used = lexicon.places(map(pattern.findall, texts))
     ids, starts = lexicon.ids, lexicon.starts
     sizes = starts[1:] - starts[:-1]
-    at = np.concatenate(used) if used else np.zeros(0, np.int64)
+    at = np.concatenate(used) if used else np.zeros(0, np.int32)
     lengths = sizes[at]
     ends = np.cumsum(lengths)
     picked = np.repeat(starts[:-1][at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
@@ -183,7 +183,7 @@ def decode(vocab: Vocabulary, ids: list[int]) -> bytes:
     return b"".join(map(vocab.bytes_of.__getitem__, ids))
 
 
-def tokenised(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = True, chunk: int = 24 << 20) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = True, chunk: int = 4 << 20) -> DataFrame:
     """docs without the text, with n_tokens, ids_sha256, decoded_sha256 and, if asked for, `ids`.
 
     Texts are encoded as the rank file at `path` (read by the driver; its size is that of the vocabulary) and `pattern` say, without special tokens. Each task replays the merges over the

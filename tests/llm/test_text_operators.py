@@ -356,3 +356,26 @@ def test_sweeps_of_a_round_settle():
     assert len(lots) == 1 and lots[0].equals(batch)
     parts = np.concatenate([seating.run(lm.Cells(batch.slice(i, 700)), 3, 2, 7)[0] for i in range(0, n, 700)])
     assert np.allclose(parts, seating.run(x, 3, 2, 7)[0])
+
+
+def test_words_of_one_text_at_a_time():
+    """Encoding holds the words of a text only until they are numbered, so a worker's memory doesn't grow with all words of a part of the corpus."""
+    import weakref
+
+    class Words(list):
+        pass
+
+    class Pattern:
+        seen, most = [], 0
+
+        def findall(self, text):
+            words = Words(re.findall(r" ?[a-z]+", text))
+            self.seen.append(weakref.ref(words))
+            self.most = max(self.most, sum(x() is not None for x in self.seen))
+            return words
+
+    vocab = bpe.Vocabulary({bytes([b]): b for b in range(256)} | {b"ab": 256, b" ab": 257})
+    pattern, texts = Pattern(), ["ab abc ab"] * 40 + ["", "cab ab"]
+    flat, starts = bpe.encode(bpe.Lexicon(vocab), pattern, texts)
+    assert [bpe.decode(vocab, flat[a:b].tolist()).decode() for a, b in zip(starts, starts[1:], strict=False)] == texts
+    assert pattern.most <= 2
