@@ -84,7 +84,17 @@ def mix(df: DataFrame, source: str, size: str, key: list[str], blocks: int = 102
     return rows.select(*[F.col(f"_kept.`{c}`").alias(c) for c in kept], "source_size", "target", "taken", "position", "positions")
 
 
-def in_order(mixed: DataFrame) -> DataFrame:
-    """One row for each use of a row by the mix, in order of its position: range partitions, each sorted."""
-    uses = mixed.select(*[F.col(f"`{c}`") for c in mixed.columns if c not in ("position", "positions")], F.explode("positions").alias("position"))
+def in_order(mixed: DataFrame, size: str | None = None) -> DataFrame:
+    """One row for each use of a row by the mix, in order of its position: range partitions, each sorted. With `size`, the column that was mixed by, each use has its `words`, how many it takes."""
+    made = {"position", "positions"} | ({"words"} if size else set())
+    kept = [c for c in mixed.columns if c not in made]
+    words = lambda i: F.least(F.col(size), F.col("taken") - i * F.col(size)) if size else F.lit(0)
+    uses = mixed.select(F.struct(*[mixed[f"`{c}`"] for c in kept]).alias("_kept"), F.explode(F.transform("positions", lambda p, i: F.struct(p.alias("position"), words(i).cast("long").alias("words")))).alias("_use"))
+    uses = uses.select(*[F.col(f"_kept.`{c}`").alias(c) for c in kept], "_use.position", *["_use.words"] * bool(size))
     return uses.repartitionByRange(F.col("position")).sortWithinPartitions("position")
+
+
+def by_row(ordered: DataFrame, mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """columns (that tell the rows apart) of every row of the mix, with taken and position (of its first use) as the uses in order have them; 0 and null for rows without a use."""
+    used = ordered.groupBy(*columns).agg(F.sum("words").alias("taken"), F.min("position").alias("position"))
+    return used.unionByName(mixed.where(F.size("positions") == 0).select(*columns, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("double").alias("position")))

@@ -267,3 +267,24 @@ def test_repeats_are_laid_along_the_whole_run(spark):
 def test_positions_invert_the_schedule(spark, slope):
     t = spark.range(11).select((F.col("id") / 10).alias("t")).withColumn("d", F.col("t") + slope * (F.col("t") * F.col("t") - F.col("t")))
     assert all(abs(r.p - r.t) < 1e-9 for r in t.withColumn("p", mixing.position(F.col("d"), F.lit(slope))).collect())
+
+
+def test_mixing_query_orders_all_uses(spark, monkeypatch):
+    """op10's rows come from every use of a document, put in order of position."""
+    from drawlens.llm import queries
+
+    orders, plain = [], mixing.in_order
+    monkeypatch.setattr(mixing, "in_order", lambda *a: orders.append(plain(*a)) or orders[-1])
+    rows = queries.op10_mixing(spark, "/root/testdata/sf0.001").collect()
+    assert len(orders) == 1
+    uses = orders[0].collect()
+    at = [x.position for x in uses]
+    assert at == sorted(at) and all(0 < x.words <= x.size for x in uses)
+    by_row, first = collections.Counter(), {}
+    for x in uses:
+        by_row[x.row] += x.words
+        first.setdefault(x.row, x.position)
+    assert sorted(n for n in by_row.values()) == sorted(x.taken for x in rows if x.taken)
+    assert sorted(round(p, 9) for p in first.values()) == sorted(x.position for x in rows if x.taken)
+    assert all((x.position is None) == (x.taken == 0) for x in rows) and len(uses) > len(by_row)
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
