@@ -188,8 +188,16 @@ def sketches(sets: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Of edges (a, b): node, comp, the smallest node of each connected component, by large and small stars in turn until only stars are left.
 
-    A node's neighbours are never gathered: each star is a minimum by node, joined back. Edges that are stars already, as those of an earlier result, take no turn. Nodes
-    without edges aren't in the result.
+    Nodes without edges aren't in the result.
+    """
+    edges = _starred(edges)
+    return edges.union(edges.select("comp", "comp").distinct().toDF("node", "comp"))
+
+
+def _starred(edges: DataFrame) -> DataFrame:
+    """components() without the smallest nodes themselves: a written table, read as it is wherever parts are asked for.
+
+    A node's neighbours are never gathered: each star is a minimum by node, joined back. Edges that are stars already, as those of an earlier result, take no turn.
     """
     down = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
 
@@ -208,7 +216,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a").where("b != m").select("b", "m").union(least.select("a", "m")).toDF("a", "b")
         old, edges = edges, materialise(small.select(down).distinct(), "edges", files)
         drop(old)
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(edges.select("b", "b").distinct().toDF("node", "comp"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
 SKETCH = 2048  # coordinates of which the last contents to be compared keep one bit each
@@ -258,11 +266,11 @@ def _parts(docs: DataFrame, key: str, text: str, similarity: float, words: int,
 
     def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
         """The parts as the links between them join them."""
-        return components(parts.toDF("a", "b").unionByName(links))
+        return _starred(parts.toDF("a", "b").unionByName(links))
 
     # Each content with the lowest that it shares most bands with; then the other stars, where they could still join parts.
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    parts = components(_verified(best, sets, similarity))
+    parts = _starred(_verified(best, sets, similarity))
     parts = joined(parts, _verified(apart(stars, parts), sets, similarity))
 
     def placed_in(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -318,24 +326,40 @@ def _parts(docs: DataFrame, key: str, text: str, similarity: float, words: int,
     parts = joined(parts, _verified(met.select(F.col("anode").alias("a"), F.col("bnode").alias("b")), sets, similarity))
     # Contents of frequent elements alone are compared pair by pair with what is as large or larger, in the first band of both, by sketches. Sizes within the similarity fall in the same or the next class of sizes.
     rest = placed_in(rest, parts).join(scarce.select("node", F.lit(False).alias("plain")), "node", "left").withColumn("plain", F.coalesce("plain", F.lit(True)))
-    rest = materialise(unsettled(rest), "unsettled")
-    rest = rest.join(rest.where("plain").select("band").distinct(), "band", "leftsemi")
-    own = sets.join(rest.select("node").distinct(), "node", "leftsemi")
-    held = materialise(rest.groupBy("node").agg(F.collect_list("band").alias("in")).join(sketches(own), "node"), "held")  # both sides of the join read it
-    rest = rest.join(held, "node")
+    last = materialise(_outside(materialise(unsettled(rest), "unsettled")), "last")
+    held = materialise(sketches(sets.join(last.select("node").distinct(), "node", "leftsemi")), "held")  # both sides of the join read it
+    parts = joined(parts, _verified(_near(last, held, similarity), sets, similarity))
+    placed = materialise(nodes.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+    drop(nodes, banded, stars, sets, few, scarce, last, held)
+    return members, placed
+
+
+def _outside(rest: DataFrame) -> DataFrame:
+    """The rows of bands that hold plain ones, with outside: whether a row is not in the largest part of its band."""
+    counts = rest.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.bool_or("plain").alias("plain"))
+    largest = counts.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.bool_or("plain").alias("any")).where("any")
+    return rest.join(largest.drop("any"), "band").withColumn("outside", F.col("comp") != F.col("largest")).drop("largest")
+
+
+def _near(rest: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a band, in different parts, whose sketches are near enough for a link and of which the smaller (ties by node) is plain. rest: of _outside(); held: the sketches.
+
+    Of two contents in different parts one at least is outside the largest part of the band: such rows meet all rows of the band, and no two rows of the largest part ever meet, which
+    would be nearly all pairs of a large group. Sizes within the similarity fall in the same or a neighbouring class of sizes.
+    """
     step = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
-    more = ("most", "in", "bits")
-    smaller = rest.where("plain").withColumn("own", step).select("band", F.explode(F.array("own", F.col("own") + 1)).alias("step"), *side("a", *more))
-    larger = rest.select("band", step.alias("step"), *side("b", *more))
-    differ = sum((F.bit_count(F.get("abits", F.lit(i)).bitwiseXOR(F.get("bbits", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    columns = ("node", "comp", "size", "most", "plain")
+    side = lambda n, *more: [F.col(c).alias(f"{n}{c}") for c in (*columns, *more)]
+    outside = rest.where("outside").join(held, "node").withColumn("own", step).select("band", F.explode(F.array(F.col("own") - 1, "own", F.col("own") + 1)).alias("step"), *side("x", "bits"))
+    every = rest.join(held, "node").select("band", step.alias("step"), *side("y", "bits"))
+    common = F.least("xmost", "ymost")
+    could = common >= F.lit(similarity - 1e-9) * (F.col("xsize") + F.col("ysize") - common)
+    first = (F.col("xsize") < F.col("ysize")) | ((F.col("xsize") == F.col("ysize")) & (F.col("xnode") < F.col("ynode")))
+    differ = sum((F.bit_count(F.get("xbits", F.lit(i)).bitwiseXOR(F.get("ybits", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
     apart_by = (1 - similarity) / 2  # the part of the bits that differ between sets just so similar
     near = differ <= int(SKETCH * apart_by + 5 * (SKETCH * apart_by * (1 - apart_by)) ** 0.5)
-    once = F.array_min(F.array_intersect("ain", "bin")) == F.col("band")
-    cross = smaller.join(larger, ["band", "step"]).where((F.col("acomp") != F.col("bcomp")) & ordered & could("a", "b") & near & once)
-    parts = joined(parts, _verified(cross.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct(), sets, similarity))
-    placed = materialise(nodes.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    drop(nodes, banded, stars, sets, few, scarce, held)
-    return members, placed
+    met = outside.join(every, ["band", "step"]).where((F.col("xcomp") != F.col("ycomp")) & F.when(first, F.col("xplain")).otherwise(F.col("yplain")) & could & near)
+    return met.select(F.when(first, F.col("xnode")).otherwise(F.col("ynode")).alias("a"), F.when(first, F.col("ynode")).otherwise(F.col("xnode")).alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

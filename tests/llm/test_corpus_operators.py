@@ -120,6 +120,44 @@ def test_components(spark):
     assert all(got.get(n, n) == root(n) for n in parent)
 
 
+def test_stars_are_read_without_a_shuffle(spark):
+    edges = [(1, 2), (2, 3), (3, 4), (7, 9)]
+    parts = darts._starred(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(tuple(r) for r in parts.collect()) == [(2, 1), (3, 1), (4, 1), (9, 7)]
+    assert "Exchange" not in parts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_last_contents_meet_all_outside_the_largest_part(spark, monkeypatch):
+    """Without pivots and rare elements all links but the first stars' come from the last comparison: they are those of brute force, and rows of the largest part never meet."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(3):
+        base = [f"w{g}x{i}" for i in range(60)]
+        for _ in range(60):
+            words = list(base)
+            for at in rng.choice(60, int(rng.integers(1, 5)), replace=False):
+                words[at] = f"v{g}y{rng.integers(3)}"
+            rows.append((len(rows), " ".join(words)))
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(56)} for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]) - 1e-9]
+    head = list(range(len(rows)))
+    for _ in rows:
+        for i, j in links:
+            head[i] = head[j] = min(head[i], head[j])
+    assert 3 < len(set(head)) < len(rows)
+    met, plain = [], darts._near
+    monkeypatch.setattr(darts, "PIVOTS", 0)
+    monkeypatch.setattr(darts, "FEW", 1)
+    monkeypatch.setattr(darts, "_near", lambda rest, *more: met.append({b: [(r.comp, r.outside) for r in rest.where(rest.band == b).collect()] for b in [x.band for x in rest.select("band").distinct().limit(5).collect()]}) or plain(rest, *more))
+    got = {x.doc_id: x.class_id for x in darts.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(head))
+    assert met[0]
+    for of in met[0].values():
+        inside = {c for c, outside in of if not outside}
+        assert len(inside) == 1 and not any(c in inside for c, outside in of if outside)
+        assert sum(not outside for _, outside in of) == max(collections.Counter(c for c, _ in of).values())
+
+
 def test_signatures_meet_as_often_as_weights_agree():
     rng = np.random.default_rng(7)
     e = rng.integers(0, 2**63, 200).astype(np.uint64)
