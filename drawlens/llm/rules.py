@@ -80,7 +80,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measures = _Measures()
         for batch in batches:
-            for lo, hi, data, ends in slices(batch.column(at)):
+            for lo, hi, data, ends in slices(batch.column(at), 1 << 20):
                 values = measures.of(data, ends)
                 yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in batch.columns] + [pa.array(v) for v in values.T], names=schema.names)
 
@@ -187,5 +187,6 @@ def scored(docs: DataFrame, ensemble: Ensemble, text: str = "text", least: float
     """docs with score (0 to 1) and predicted (1 if the score is at least `least`). Nulls and empty texts are scored like any other text;
     columns of docs that bear a name of the result are replaced."""
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    rows = measured(docs.select(F.struct(*[docs[c] for c in kept]).alias("_kept"), F.col(text).alias("text"))).withColumn("score", compiled(ensemble))
-    return rows.select(*[F.col(f"_kept.`{c}`").alias(c) for c in kept], "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    others = [c for c in kept if c != text]  # the text goes to Python once, and back
+    rows = measured(docs.select(*[F.struct(*[docs[c] for c in others]).alias("_kept")] * bool(others), F.col(text).alias("text"))).withColumn("score", compiled(ensemble))
+    return rows.select(*[F.col("text" if c == text else f"_kept.`{c}`").alias(c) for c in kept], "score", (F.col("score") >= least).cast("int").alias("predicted"))

@@ -233,6 +233,19 @@ def jump(key, n):
     return b
 
 
+def test_scored_sends_a_text_to_python_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "some words", "en"), (2, None, "fr")], "doc_id long, text string, lang string")
+    sent, plain = [], rules.measured
+    monkeypatch.setattr(rules, "measured", lambda d, *more: sent.append(d) or plain(d, *more))
+    ensemble = rules.Ensemble([], [], 0.0)
+    rows = rules.scored(docs, ensemble)
+    assert rows.columns == ["doc_id", "text", "lang", "score", "predicted"]
+    assert [tuple(r) for r in rows.orderBy("doc_id").collect()] == [(1, "some words", "en", 0.5, 0), (2, None, "fr", 0.5, 0)]
+    assert sum(tuple(r).count("some words") + list(r[0]).count("some words") for r in sent[0].collect()) == 1
+    assert rules.scored(docs.select("text"), ensemble).columns == ["text", "score", "predicted"]
+    assert rules.scored(docs.select("text"), ensemble).count() == 2
+
+
 def test_shards(spark, odd_docs):
     df = spark.createDataFrame([(i * 977 - 5000,) for i in range(3000)], "k long").withColumn("shard", F.lit("old")).withColumn("_block", F.lit(1))
     rows = sharding.place(df, "k", 16).collect()
