@@ -294,6 +294,30 @@ def test_same_scores_however_dealt(spark):
     assert math.isclose(one.perplexity, 10 ** (-sum(got[1].values()) / tokens), rel_tol=1e-9) and one.perplexity < one.base_perplexity
 
 
+def test_frequent_words_in_the_drivers_memory(spark):
+    """The frequent words fill their table without an object for each cell; what is scored from it is what the join gives."""
+    import tracemalloc
+
+    n = 20_000
+    words = spark.range(n).selectExpr("id * 7919 % 1000003 w", "id + 2 c", "64D root", "transform(sequence(0, 63), x -> cast(x as tinyint)) us", "transform(sequence(0, 63), x -> cast((id + x) % 5 / 10 as float)) held")
+    each = np.ones(lm.CONTEXTS)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    tracemalloc.start()
+    try:
+        lm.score(docs, lm.Model(words, 10**9, n, 0.5, each / 2, each / 1e6, 64.0 * n, 1.0, 2))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 4 * n * lm.CONTEXTS * 4, most
+
+    r = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{min(int(r.paretovariate(0.6)), 400)}" for _ in range(60))) for i in range(60)], "doc_id long, text string")
+    model, got = lm.fit(docs.where("doc_id % 3 > 0")), []
+    for model.least in (1, 5, 1 << 40):
+        got.append({x.doc_id: (x.n_known, x.base_score, x.score) for x in lm.score(docs, model).collect()})
+    assert all(np.allclose(one[i], got[-1][i], rtol=1e-6) for one in got for i in range(60))
+
+
 def plain_tables(counts, u, d, d0, tables, sweeps, r):
     """Mean numbers of tables of one word's cells, by moving one customer at a time between tables that are known one by one."""
     theta, seats = 1.0, [[c] for c in counts]
