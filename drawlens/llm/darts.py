@@ -19,6 +19,7 @@ from drawlens.llm.scratch import drop, materialise
 
 U = np.uint64
 GOLD = U(0x9E3779B97F4A7C15)
+SLICE = 512 << 10  # bytes of text that a worker takes at once; it keeps about 80 times as much
 # The chance that a unit of area holds at most 0, 1, 2 ... darts.
 POISSON = np.cumsum([np.exp(-1.0) / f for f in np.cumprod([1.0, *range(1, 13)])])
 
@@ -129,7 +130,7 @@ def contents(docs: DataFrame, key: str, text: str, words: int, bands: int, rows:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         for batch in batches:
-            for lo, hi, data, ends in slices(batch.column(2)):
+            for lo, hi, data, ends in slices(batch.column(2), SLICE):
                 n = hi - lo
                 h, of, node = _words(tokens, data, ends)
                 own = _first(node)[of]
@@ -154,7 +155,7 @@ def sets_of(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         for batch in batches:
-            for lo, hi, data, ends in slices(batch.column(0)):
+            for lo, hi, data, ends in slices(batch.column(0), SLICE):
                 h, of, node = _words(tokens, data, ends)
                 first = _first(node)
                 t, m = _units(*shingles(h[first[of]], of[first[of]], hi - lo, words))
@@ -172,8 +173,8 @@ def sketches(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 16):
+                some = batch.slice(at, 16)
                 n, lists = some.num_rows, some.column(1)
                 element = lists.flatten().to_numpy().view(np.uint64)
                 of = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
@@ -206,7 +207,7 @@ def _starred(edges: DataFrame) -> DataFrame:
         ends = e.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(e.select("b", F.lit(0), F.lit(1)))
         return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or (below > 0 and above > 0)").isEmpty()
 
-    files = 1 + edges.count() // 200_000
+    files = _files(edges.count())
     edges = materialise(edges.select(down).where("a != b").distinct(), "edges", files)
     while not stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -219,6 +220,16 @@ def _starred(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
+def _files(rows: int) -> int:
+    """Files for a table with a few numbers for each of so many rows."""
+    return 1 + rows // 200_000
+
+
+def _gathered(df: DataFrame, name: str, files: int) -> DataFrame:
+    """materialise() in so many files, for what many tasks find little of: each task would write a file of its own, however small, and Hadoop's local file system forks the executor twice for each."""
+    return materialise(df.repartition(files), name)
+
+
 SKETCH = 2048  # coordinates of which the last contents to be compared keep one bit each
 FEW = 128  # an element that so many of the last contents have, at most, brings them together
 PIVOTS = 3  # rounds in which the rest of every band is compared with one of its members
@@ -251,6 +262,7 @@ def _parts(docs: DataFrame, key: str, text: str, similarity: float, words: int,
     members, every = contents(docs, key, text, words, bands, rows)
     one = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "at")).alias("one")
     nodes = materialise(members.groupBy("node").agg(one, F.count(F.lit(1)).alias("copies")), "nodes")
+    files = _files(nodes.count())
     banded = materialise(every.dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("band")), "bands")
     lowest = banded.groupBy("band").agg(F.min(F.struct("node", "size")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     fits = lambda x, y: F.least(x, y) >= F.lit(similarity - 1e-9) * F.greatest(x, y)
@@ -270,8 +282,8 @@ def _parts(docs: DataFrame, key: str, text: str, similarity: float, words: int,
 
     # Each content with the lowest that it shares most bands with; then the other stars, where they could still join parts.
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    parts = _starred(_verified(best, sets, similarity))
-    parts = joined(parts, _verified(apart(stars, parts), sets, similarity))
+    parts = _starred(_verified(best, sets, similarity, files))
+    parts = joined(parts, _verified(apart(stars, parts), sets, similarity, files))
 
     def placed_in(rows: DataFrame, parts: DataFrame) -> DataFrame:
         """The rows with comp."""
@@ -282,7 +294,7 @@ def _parts(docs: DataFrame, key: str, text: str, similarity: float, words: int,
         mixed = rows.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y")
         return rows.join(mixed.select("band"), "band", "leftsemi")
 
-    rest = materialise(unsettled(placed_in(banded.join(lowest.where("n > 2").select("band"), "band", "leftsemi"), parts)), "unsettled")
+    rest = _gathered(unsettled(placed_in(banded.join(lowest.where("n > 2").select("band"), "band", "leftsemi"), parts)), "unsettled", files)
     # Elements that only one of these contents has: `most` is what a content can have in common with another.
     elements = sets.join(rest.select("node").distinct(), "node", "leftsemi").select("node", F.explode("shingles").alias("e"))
     alone = elements.groupBy("e").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
@@ -303,7 +315,7 @@ def _parts(docs: DataFrame, key: str, text: str, similarity: float, words: int,
         else:
             pivots = rest.groupBy("band").agg(F.max_by(F.struct("node", "size", "most", "comp"), first).alias("pivot"))
         pairs = rest.join(pivots, "band").where((F.col("comp") != F.col("pivot.comp")) & could("", "pivot.")).select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct()
-        parts = joined(parts, _verified(pairs, sets, similarity))
+        parts = joined(parts, _verified(pairs, sets, similarity, files))
         rest = unsettled(placed_in(rest, parts))
     # What is left meets by what few have: of the elements that y can have in common with an x as large or larger, so many that a link must hold one of them.
     rest = materialise(rest, "unsettled")
@@ -323,12 +335,12 @@ def _parts(docs: DataFrame, key: str, text: str, similarity: float, words: int,
     met = scarce.select(F.explode("part").alias("e"), *side("a", "others")).join(few.where("n > 0").select("e", *side("b")), "e")
     met = met.where((F.col("acomp") != F.col("bcomp")) & ordered & fits(F.col("asize"), F.col("bsize"))).groupBy("anode", "bnode", "asize", "bsize", "aothers").agg(F.count(F.lit(1)).alias("common"))
     met = met.where(F.col("common") + F.col("aothers") >= (F.col("asize") + F.col("bsize")) * (similarity / (1 + similarity)) - 1e-6)
-    parts = joined(parts, _verified(met.select(F.col("anode").alias("a"), F.col("bnode").alias("b")), sets, similarity))
+    parts = joined(parts, _verified(met.select(F.col("anode").alias("a"), F.col("bnode").alias("b")), sets, similarity, files))
     # Contents of frequent elements alone are compared pair by pair with what is as large or larger, in the first band of both, by sketches. Sizes within the similarity fall in the same or the next class of sizes.
     rest = placed_in(rest, parts).join(scarce.select("node", F.lit(False).alias("plain")), "node", "left").withColumn("plain", F.coalesce("plain", F.lit(True)))
     last = materialise(_outside(materialise(unsettled(rest), "unsettled")), "last")
-    held = materialise(sketches(sets.join(last.select("node").distinct(), "node", "leftsemi")), "held")  # both sides of the join read it
-    parts = joined(parts, _verified(_near(last, held, similarity), sets, similarity))
+    held = _gathered(sketches(sets.join(last.select("node").distinct(), "node", "leftsemi")), "held", files)  # both sides of the join read it
+    parts = joined(parts, _verified(_near(last, held, similarity), sets, similarity, files))
     placed = materialise(nodes.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
     drop(nodes, banded, stars, sets, few, scarce, last, held)
     return members, placed
@@ -362,12 +374,12 @@ def _near(rest: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.when(first, F.col("xnode")).otherwise(F.col("ynode")).alias("a"), F.when(first, F.col("ynode")).otherwise(F.col("xnode")).alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, files: int = 1) -> DataFrame:
     """The pairs (a, b) whose sets of shingles are as similar as that."""
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     alike = common / (F.size("x") + F.size("y") - common)
-    return materialise(both.where(alike >= similarity - 1e-9).select("a", "b"), "links")
+    return _gathered(both.where(alike >= similarity - 1e-9).select("a", "b"), "links", files)
 
 
 def kept(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, words: int = 5, bands: int = 24, rows: int = 5) -> DataFrame:
@@ -377,7 +389,7 @@ def kept(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: f
     document; one of them stays.
     """
     _, nodes = _parts(docs, key, text, similarity, words, bands, rows)
-    heads = materialise(nodes.groupBy("comp").agg(F.min("one").alias("one")).select(F.col("one.key").alias("_head"), F.col("one.at").alias("_head_at")), "heads")
-    marked = docs.withColumn("_darts_at", F.xxhash64(text))
-    own = marked.join(heads, marked[key].eqNullSafe(heads["_head"]) & (marked["_darts_at"] == heads["_head_at"]), "leftsemi")
-    return own.dropDuplicates([key, "_darts_at"]).select(*docs.columns)
+    # A struct with a null equals its like, so the join deals the texts out by the same columns that dropDuplicates() does, and they are shuffled once.
+    heads = materialise(nodes.groupBy("comp").agg(F.min("one").alias("one")).select(F.struct("one.key").alias("_darts_key"), F.col("one.at").alias("_darts_at")), "heads")
+    marked = docs.withColumns({"_darts_key": F.struct(F.col(key).alias("key")), "_darts_at": F.xxhash64(text)})
+    return marked.join(heads, ["_darts_key", "_darts_at"], "leftsemi").dropDuplicates(["_darts_key", "_darts_at"]).select(*docs.columns)

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -84,6 +85,31 @@ def test_kept_by_row(spark):
     assert sorted((r.doc_id or 0, r.text) for r in got) in [sorted([(0, third), (1, other), (3, "the one text of three"), (1, x)]) for x in (" ".join(words), near)]
 
 
+def test_kept_writes_few_files_and_deals_texts_out_once(spark, monkeypatch):
+    """A small table that many tasks find is written in one file, and the texts kept are shuffled once (besides the heads)."""
+    files, plain = [], darts.materialise
+
+    def written(df, name, *rest):
+        out = plain(df, name, *rest)
+        files.append((name, len(list(Path(out._scratch_path.removeprefix("file://")).glob("part-*")))))
+        return out
+
+    monkeypatch.setattr(darts, "materialise", written)
+    rows = [(100 * g + i, " ".join([*[f"g{g}w{j}" for j in range(60)], *[f"end{i}"] * (i > 0)])) for g in range(30) for i in range(3)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        kept = darts.kept(spark.createDataFrame(rows, "doc_id long, text string"))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == [100 * g for g in range(30)]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert {n for name, n in files if name in ("links", "held")} <= {0, 1}, files
+    assert plan.count("Exchange hashpartitioning") == 2, plan
+
+
 def test_repeated_lines_weigh(spark):
     line = "this same line again and again "
     rows = [(1, line * 40 + "tail one two three four"), (2, line * 39 + "tail one two three four"), (3, line * 4 + "tail one two three four")]
