@@ -47,8 +47,8 @@ def weighted(scores: DataFrame) -> DataFrame:
     return scores.select("game", "n", "score", weight.alias("weight")).groupBy("game").agg(F.array_sort(F.collect_list(F.struct("n", "score", "weight"))).alias("numbers"))
 
 
-def pick(state: DataFrame, d: int, fresh: int, seed: int, slot: int, best: bool, tries: int = TRIES, accept: Column | None = None) -> DataFrame:
-    """game, ticket: the next ticket of each game. state: game, numbers (of weighted()), used (numbers of the tickets before), lo, hi, sum_lo, sum_hi (null: any shape), barred (combinations never to deal, as 1-2-3).
+def pick(state: DataFrame, d: int, fresh: int, seed: int, slot: int, best: bool, tries: int = TRIES, accept: Column | None = None, barred: DataFrame | None = None) -> DataFrame:
+    """game, ticket: the next ticket of each game. state: game, numbers (of weighted()), used (numbers of the tickets before), lo, hi, sum_lo, sum_hi (null: any shape). barred: game, sorted, combinations never to deal; what of it equals a candidate is looked up, so no row holds all of them.
 
     A candidate takes `fresh` numbers that aren't used and fills up with used ones, as far as there are any, each by weight without replacement: those with the least -ln(u) / weight. The first candidate of the right shape that isn't barred and that `accept` (a test of `c`) lets
     pass is dealt; if none is, the first on flat weights; else the one of the right shape with the highest score; else the best numbers as they are. `best`: the best numbers, if they may be dealt, else the acceptable candidate with the highest score.
@@ -65,13 +65,16 @@ def pick(state: DataFrame, d: int, fresh: int, seed: int, slot: int, best: bool,
         key = lambda x: -F.log(chance_of(F.lit(seed), F.col("game"), F.lit(slot), F.col("flat"), F.col("try"), x["n"])) / F.when(F.col("flat") == 1, 1.0).otherwise(x["weight"])
         return F.transform(F.slice(F.array_sort(F.transform(part, lambda x: F.struct(key(x).alias("k"), x["n"].alias("n")))), F.lit(1), F.col(count)), lambda x: x["n"])
 
-    tried = tried.withColumn("c", F.array_sort(F.concat(drawn("free", "fresh"), drawn("held", "again")))).select("game", "flat", "try", "c", "greedy", "numbers", "lo", "hi", "sum_lo", "sum_hi", "barred")
-    alone = rows.select("game", F.lit(2).alias("flat"), F.lit(0).alias("try"), F.col("greedy").alias("c"), "greedy", "numbers", "lo", "hi", "sum_lo", "sum_hi", "barred")
+    tried = tried.withColumn("c", F.array_sort(F.concat(drawn("free", "fresh"), drawn("held", "again")))).select("game", "flat", "try", "c", "greedy", "numbers", "lo", "hi", "sum_lo", "sum_hi")
+    alone = rows.select("game", F.lit(2).alias("flat"), F.lit(0).alias("try"), F.col("greedy").alias("c"), "greedy", "numbers", "lo", "hi", "sum_lo", "sum_hi")
     tried = cut(tried.unionByName(alone))
     within = F.forall(F.arrays_zip("c", "lo", "hi"), lambda x: (x["c"] >= x["lo"]) & (x["c"] <= x["hi"])) & total(F.col("c")).between(F.col("sum_lo"), F.col("sum_hi"))
-    allowed = ~F.array_contains("barred", F.array_join("c", "-"))
-    if accept is not None:
-        allowed = allowed & accept
+    allowed = F.lit(True) if accept is None else accept
+    if barred is not None:
+        asked = F.broadcast(tried.select("game", F.col("c").alias("sorted")).distinct())  # 2 * tries + 1 a game at most
+        known = barred.select("game", "sorted").join(asked, ["game", "sorted"], "leftsemi").distinct().select("game", F.col("sorted").alias("c"), F.lit(True).alias("known"))
+        tried = tried.join(F.broadcast(known), ["game", "c"], "left")
+        allowed = allowed & F.col("known").isNull()
     score = F.aggregate(F.filter("numbers", lambda x: F.array_contains("c", x["n"])), F.lit(0.0), lambda a, x: a + x["score"])
     tried = tried.select("game", "flat", "try", "c", "greedy", (F.col("lo").isNull() | within).alias("shaped"), F.coalesce(allowed, F.lit(True)).alias("allowed"), F.round(score, 12).alias("score"))
     sampled = F.col("flat") < 2
@@ -106,18 +109,17 @@ def built(scores: DataFrame, specials: DataFrame, h: History, count: int = 5, sp
     spark = h.draws.sparkSession
     base = weighted(scores)
     base = base.join(shape, "game", "left") if shape is not None else base.withColumns({"lo": F.lit(None).cast("array<int>"), "hi": F.lit(None).cast("array<int>"), "sum_lo": F.lit(None).cast("int"), "sum_hi": F.lit(None).cast("int")})
-    never = (barred if barred is not None else h.draws.limit(0)).groupBy("game").agg(F.collect_set(F.array_join("sorted", "-")).alias("barred"))
-    base = cut(base.join(never, "game", "left").withColumn("barred", F.coalesce("barred", F.array().cast("array<string>"))))
+    base = cut(base)
     held = (hold if hold is not None else spark.createDataFrame([], "game string, ticket int, numbers array<int>, special int")).withColumn("r", F.row_number().over(Window.partitionBy("game").orderBy("ticket"))).where(F.col("r") <= count)
     kept = held.groupBy("game").agg(F.array_sort(F.collect_list(F.struct("r", "numbers", "special"))).alias("held"))
     state = base.join(kept, "game", "left").withColumn("held", F.coalesce("held", F.array().cast("array<struct<r:int,numbers:array<int>,special:int>>")))
     state = cut(state.withColumn("tickets", F.transform("held", lambda x: F.array_sort(x["numbers"]))).withColumn("used", F.array_distinct(F.flatten("tickets"))))
     fresh = fresh_numbers(count, h.d, h.k, spread)
     for slot in range(count):
-        ticket = pick(state.where(F.size("tickets") == slot), h.d, fresh[slot], seed, slot, spread == 0, tries, accept)
+        ticket = pick(state.where(F.size("tickets") == slot), h.d, fresh[slot], seed, slot, spread == 0, tries, accept, barred)
         state = state.join(ticket, "game", "left").withColumn("tickets", F.when(F.col("ticket").isNotNull(), F.array_append("tickets", F.col("ticket"))).otherwise(F.col("tickets")))
         state = cut(state.withColumn("used", F.array_distinct(F.flatten("tickets"))).drop("ticket"))
-    top = pick(base.withColumn("used", F.array().cast("array<int>")), h.d, h.d, seed, count, True, tries, accept)
+    top = pick(base.withColumn("used", F.array().cast("array<int>")), h.d, h.d, seed, count, True, tries, accept, barred)
     bonus = dealt_specials(specials, h, seed) if h.ks else base.select("game").withColumns({"ranked": F.array().cast("array<int>"), "dealt": F.array().cast("array<int>")})
     rows = state.select("game", "tickets", "held").join(bonus, "game", "left").join(top, "game")
     taken = F.transform("held", lambda x: x["special"])

@@ -222,3 +222,14 @@ def test_log_orders(spark):
     order = lambda by, falling: [r.t for r in learn.sorted_log(log, by, falling).orderBy("place").collect()]
     assert order("date", True) == [4, 3, 2, 1] and order("hits", True) == [3, 1, 2, 4] and order("hits", False) == [4, 2, 3, 1]
     assert order("top10", False) == [4, 2, 1, 3] and order("actual", False) == [3, 1, 4, 2] and order("bonus", True) == [2, 4, 3, 1] and order("pool", False) == [4, 2, 3, 1]
+
+
+def test_barred_combinations_are_looked_up_and_not_carried(spark, monkeypatch):
+    states, pick = [], portfolio.pick
+    monkeypatch.setattr(portfolio, "pick", lambda state, *a: states.append(state) or pick(state, *a))
+    h = History(spark.createDataFrame([("g", t, [1 + t % 9, 10 + t % 5, 16 + t % 4]) for t in range(50)], "game string, t long, sorted array<int>"), K, D, 4)
+    scores = spark.createDataFrame([("g", n, 1.0 + n % 3) for n in range(1, K + 1)], "game string, n int, score double")
+    picks = spark.createDataFrame([("g", 1, 2, 0.4)], "game string, place int, n int, probability double")
+    rows = portfolio.built(scores, picks, h, 2, barred=h.draws, tries=30).where("kind <> 'quick'").collect()
+    assert len(rows) == 4 and not {tuple(r.numbers) for r in rows} & {tuple(r.sorted) for r in h.draws.collect()}
+    assert len(states) == 3 and all("barred" not in s.columns for s in states)
