@@ -208,3 +208,12 @@ def test_ledger_against_a_scan(spark):
         if m is not None:
             assert got[1].removed == round(start * 0.2) and got[1].cost == 7
         assert got[4].remaining == start - sum(r.removed for r in got.values())
+
+
+def test_steps_are_kept_by_blocks_and_modes_are_chosen_without_the_driver(fair, lab, monkeypatch):
+    _, tested, rules, modes = lab
+    assert tested.count() == 34 and constraints.by_rule(tested).count() == 34 * 4 * (400 - constraints.WARM_UP + 1)  # a row for each feature and block, not for each draw
+    some = rules.where("place <= 2").select("game", "feature", "alpha", "place")
+    assert constraints.by_rule(tested, some).select("feature", "alpha", "place").distinct().count() == 2
+    monkeypatch.setattr(type(fair.draws), "collect", lambda self: pytest.fail("rows go to the driver"))
+    constraints.modes(fair, universe=lab[0], tested=tested, all_rules=rules)
