@@ -114,7 +114,10 @@ def imported(lines: DataFrame, head: list[str], game: str, size: int = 0, bonus:
     )
     rows = rows.withColumn("error", F.coalesce("error", later)).withColumn("extra", F.size("found") > needed).withColumn("numbers", numbers).withColumn("special", special)
     kept = rows.where("error is null")
-    draws = shaped(kept, game)
+    # Of rows with the same date, numbers and bonus the one with the least line stays, whatever the order in which they come.
+    cells = ["date", "numbers", "special", "jackpot", "winner_location"]
+    one = kept.groupBy("date", F.array_sort("numbers").alias("_s"), "special").agg(F.min_by(F.struct(*[F.col(c).alias(f"_{c}") for c in cells]), "line").alias("x"))
+    draws = shaped(one.select(*[F.col(f"x._{c}").alias(c) for c in cells]), game)
     count = rows.agg(*[F.sum(c.cast("long")).alias(n) for n, c in {"errors": F.col("error").isNotNull(), "extra": F.col("error").isNull() & F.col("extra"), "wrong_day": F.col("wrong_day") & F.col("error").isNull()}.items()], F.count(F.lit(1)).alias("rows"))
     alike = kept.groupBy("date", F.array_sort("numbers").alias("s"), "special").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("repeated"))
     facts = count.join(alike, F.lit(True)).select(F.lit(game).alias("game"), "rows", F.lit(bool(day_first)).alias("day_first"), F.lit(size).alias("size"), F.lit(bool(has_bonus)).alias("has_bonus"), "errors", "extra", "repeated", "wrong_day", F.lit(mixed).alias("mixed"))

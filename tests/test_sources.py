@@ -114,3 +114,12 @@ def test_malformed_rows(spark):
     assert draws.where("date = '2024-03-05'").first().jackpot == 25e6 and draws.where("winner_location is not null").count() <= 2
     empty = lines_of(spark, ["", " "])
     assert empty[0].count() == 0 and empty[2].first().rows == 0
+
+
+def test_of_repeated_rows_the_least_line_stays(spark):
+    head = ["Date,N1,N2,N3,N4,N5,Bonus,Jackpot"]
+    rows = [f"2021-03-{1 + i % 28:02},{1 + i},{10 + i},{20 + i},{30 + i},{40 + i},{1 + i % 9},${amount}" for i in range(12) for amount in (900, 400, 700)]
+    for order in (rows, rows[::-1]):
+        lines = spark.createDataFrame([(x,) for x in [*head, *order]], "line string").repartition(5)
+        draws, errors, facts = table.imported(lines, [*head, *rows[:5]], "g")
+        assert [r.jackpot for r in draws.collect()] == [400.0] * 12 and errors.count() == 0 and facts.first().repeated == 24
