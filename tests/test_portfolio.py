@@ -293,3 +293,16 @@ def test_the_walk_says_what_tables_say(spark, monkeypatch):
     assert {r.t: r.predicted for r in points} == best and all(r.hits10 == len(set(r.predicted) & set(rows[r.t].sorted)) for r in points)
     r = learn.skill_nats(seen, h.k).first()
     assert nats[0].draws == r.draws == 100 and abs(nats[0].nats - r.nats) < 1e-9
+
+
+def test_similarity_looks_back_so_far_and_no_further():
+    rng, k, d, back = np.random.default_rng(3), 20, 3, 40
+    draws = [set((rng.choice(k, d, replace=False) + 1).tolist()) for _ in range(150)]
+    hit, dow = np.array([[float(n in s) for n in range(1, k + 1)] for s in draws]), rng.integers(0, 7, 150)
+    past = signals.Past(k, d, back, 5)
+    got = np.concatenate([past.signals(np.arange(a, a + 30), dow[a : a + 30], hit[a : a + 30], np.ones(30, bool)) for a in range(0, 150, 30)])[:, :, signals.KEYS.index("similarity")]
+    for t in range(8, 150):
+        like = lambda u: round(0.55 * len(draws[t - 1] & draws[u - 1]) / d + 0.2 * (dow[t] == dow[u]) + 0.25 * max(0, 1 - abs(sum(draws[t - 1]) - sum(draws[u - 1])) / 50), 9)  # noqa: B023, E731
+        best = sorted((-like(u), u) for u in range(max(1, t - back), t))[:5]
+        whole = -sum(s for s, _ in best)
+        assert all(abs(got[t, n - 1] - sum(-s for s, u in best if n in draws[u]) / whole) < 1e-7 for n in range(1, k + 1)), t
